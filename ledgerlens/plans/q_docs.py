@@ -1 +1,196 @@
-"""Registered queries."""
+"""Registered queries: documentation, chunks, similarity search, context."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import docs as dc
+from ..operators import history as hi
+from . import adapters as ad
+from . import oracle as o
+from .catalog import register
+from .q_core import nation_flags
+
+
+def _real(x):
+    return o.real_text(x)
+
+
+ACCOUNT_DOCS_SQL = f"""
+docs AS (
+  SELECT account_id,
+         account_id || '_' || replace(replace(lower(account_name), '&', 'and'), ' ', '_') || '.md' AS source_file,
+         concat_ws(chr(10),
+           '# ' || account_id || ' ' || account_name,
+           '',
+           '## Purpose',
+           'Ledger account for ' || account_name || ' (' || category || ', ' || coalesce(subcategory, 'general') || ').',
+           coalesce(description, ''),
+           '',
+           '## Expected monthly range',
+           coalesce('$' || {_real('typical_min')} || ' to $' || {_real('typical_max')}, 'not set'),
+           '',
+           '## Variance policy',
+           printf('Movements above %.1f%% need a written explanation.', coalesce(variance_threshold_pct, 15.0)),
+           'Changes above 15% go to the controller; above 30% to the CFO.',
+           '',
+           '## Seasonality',
+           CASE WHEN is_seasonal THEN 'Seasonal account. Expected pattern: ' || coalesce(seasonal_pattern, 'not stated') || '.'
+                ELSE 'Not seasonal: month-to-month movement should be small.' END) AS text
+  FROM accounts
+)"""
+
+
+@register("account_docs", o.with_(o.SQL_ACCOUNTS_NATION, ACCOUNT_DOCS_SQL) + "SELECT * FROM docs")
+def account_docs(spark, sf):
+    return dc.account_docs(ad.accounts_from_nations(spark, sf))
+
+
+@register("account_docs_customers", o.with_(o.SQL_ACCOUNTS_CUSTOMER, ACCOUNT_DOCS_SQL) + "SELECT * FROM docs")
+def account_docs_customers(spark, sf):
+    return dc.account_docs(ad.accounts_from_customers(spark, sf))
+
+
+@register("missing_docs", o.with_(o.SQL_ACCOUNTS_NATION, ACCOUNT_DOCS_SQL) + """,
+existing AS (SELECT d.source_file FROM docs d JOIN nation n ON d.account_id = CAST(n.n_nationkey AS VARCHAR)
+             WHERE n.n_regionkey <> 4)
+SELECT * FROM docs WHERE source_file NOT IN (SELECT source_file FROM existing)""")
+def missing_docs(spark, sf):
+    """Docs already written for every region but one; the rest are missing."""
+    acc = ad.accounts_from_nations(spark, sf)
+    nat = ad.table(spark, sf, "nation").filter(F.col("n_regionkey") != 4).select(
+        F.col("n_nationkey").cast("string").alias("account_id"))
+    existing = dc.account_docs(acc).join(nat, "account_id", "left_semi").select("source_file")
+    return dc.missing_docs(acc, existing)
+
+
+CHUNK_SQL = """
+SELECT doc_id, lang, source, n_chars, CAST(i AS INTEGER) AS chunk_no,
+       substr(text, CAST(i * 450 + 1 AS BIGINT), 500) AS chunk_text, CAST(i * 450 AS INTEGER) AS chunk_start
+FROM (SELECT *, unnest(range(0, CASE WHEN length(text) <= 500 THEN 1
+                                     ELSE CAST(ceil((length(text) - 50) / 450.0) AS BIGINT) END)) AS i
+      FROM documents WHERE length(text) > 0)"""
+
+
+@register("chunk_docs", CHUNK_SQL)
+def chunk_docs(spark, sf):
+    return dc.chunk_fixed(ad.table(spark, sf, "documents"))
+
+
+@register("chunk_docs_recursive")
+def chunk_docs_recursive(spark, sf):
+    """Separator-aware chunks of every document (no SQL twin; unit tests
+    check the boundaries)."""
+    d = ad.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return dc.chunk_recursive(d)
+
+
+@register("embed_chunks")
+def embed_chunks(spark, sf):
+    """Hashed embeddings of every chunk (no SQL twin: the hash is Spark's)."""
+    return dc.embed_chunks(dc.chunk_fixed(ad.table(spark, sf, "documents").select("doc_id", "text")))
+
+
+@register("dedupe_chunks", "WITH c AS (" + CHUNK_SQL + """),
+h AS (SELECT *, sha256(chunk_text) AS content_hash FROM c)
+SELECT source, content_hash,
+       min(doc_id) AS doc_id_first, count(*) AS copies
+FROM h GROUP BY source, content_hash""")
+def dedupe_chunks(spark, sf):
+    d = dc.dedupe_chunks(dc.chunk_fixed(ad.table(spark, sf, "documents")), key="source")
+    return d.select("source", "content_hash", F.col("doc_id").alias("doc_id_first"), "copies")
+
+
+@register("add_documents", "WITH c AS (" + CHUNK_SQL + """),
+h AS (SELECT *, sha256(chunk_text) AS content_hash FROM c)
+SELECT lang, content_hash, count(*) AS copies FROM h GROUP BY lang, content_hash""")
+def add_documents(spark, sf):
+    """Chunks of the en/fr documents, then the de/es documents added."""
+    docs = ad.table(spark, sf, "documents")
+    base = dc.chunk_fixed(docs.filter(F.col("lang").isin("en", "fr")))
+    out = dc.add_documents(base, docs.filter(~F.col("lang").isin("en", "fr")), key="lang")
+    return out.select("lang", "content_hash", "copies")
+
+
+TOPK_SQL = """
+SELECT query_id, chunk_id, CAST(rk AS INTEGER) AS rank, similarity FROM (
+  SELECT q.vec_id AS query_id, c.vec_id AS chunk_id,
+         round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS similarity,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY
+             round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) DESC,
+             c.vec_id) AS rk
+  FROM embeddings q JOIN embeddings c ON {on} AND q.vec_id <> c.vec_id)
+WHERE rk <= {k}"""
+
+
+@register("topk_docs", TOPK_SQL.format(on="q.label = c.label", k=3))
+def topk_docs(spark, sf):
+    """3 nearest vectors of the same label (label plays the account)."""
+    e = ad.table(spark, sf, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    c = e.select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    return dc.topk_similar(q, c, k=3, key="label", exclude_self=True, block_size=64)
+
+
+@register("similar_past_anomalies", TOPK_SQL.format(on="TRUE", k=5))
+def similar_past_anomalies(spark, sf):
+    """5 nearest vectors with no key filter."""
+    e = ad.table(spark, sf, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    c = e.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return dc.topk_similar(q, c, k=5, exclude_self=True, block_size=128)
+
+
+@register("context_rollup", "WITH hits AS (" + TOPK_SQL.format(on="q.label = c.label", k=3) + """),
+ch AS (SELECT vec_id AS chunk_id, 'vector ' || CAST(vec_id AS VARCHAR) AS chunk_text,
+              'label_' || CAST(label AS VARCHAR) || '.vec' AS source_file FROM embeddings),
+j AS (SELECT h.query_id AS anomaly_id, h.rank, ch.chunk_text, ch.source_file FROM hits h JOIN ch USING (chunk_id))
+SELECT anomaly_id,
+       coalesce(max(chunk_text) FILTER (WHERE rank = 1), 'No documentation found') AS account_documentation,
+       list(chunk_text ORDER BY rank) FILTER (WHERE rank > 1) AS similar_cases,
+       list(DISTINCT source_file) AS source_files
+FROM j GROUP BY anomaly_id""")
+def context_rollup(spark, sf):
+    e = ad.table(spark, sf, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    c = e.select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    hits = dc.topk_similar(q, c, k=3, key="label", exclude_self=True, block_size=64)
+    chunks = e.select(F.col("vec_id").alias("chunk_id"),
+                      F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("chunk_text"),
+                      F.concat(F.lit("label_"), F.col("label").cast("string"), F.lit(".vec")).alias("source_file"))
+    return dc.context_rollup(hits.withColumnRenamed("query_id", "anomaly_id"), chunks)
+
+
+@register("retrieval_queries", o.DETECT_NATION.rstrip() + "," + o.FLAGS + """
+SELECT strftime(month, '%Y%m') || '-' || gl_account_id AS anomaly_id, gl_account_id, month,
+       printf('%s %s changed %.2f%% in %s (%s)', gl_account_id, account_name, variance_percent,
+              current_month, direction) AS query_text
+FROM flags""")
+def retrieval_queries(spark, sf):
+    return dc.retrieval_queries(nation_flags(spark, sf))
+
+
+def nation_chunks(spark, sf):
+    docs = dc.account_docs(ad.accounts_from_nations(spark, sf))
+    ch = dc.chunk_fixed(docs, size=200, overlap=20)
+    return ch.withColumn("chunk_id", F.concat_ws(":", F.col("source_file"), F.col("chunk_no").cast("string")))
+
+
+@register("retrieve_context")
+def retrieve_context(spark, sf):
+    """Context of every flagged account-month of the dense ledger: top-3
+    chunks of its generated documentation + capped history count."""
+    flags = nation_flags(spark, sf)
+    inv = hi.investigations_from_flags(flags)
+    return dc.retrieve_context(flags, nation_chunks(spark, sf), history_counts=hi.history_count(inv))
+
+
+@register("attach_context")
+def attach_context(spark, sf):
+    """Flags joined to context from the high-severity-only retrieval; the
+    medium / low ones are the skipped (anti-join) side, counted here."""
+    flags = nation_flags(spark, sf)
+    ctx = dc.retrieve_context(flags, nation_chunks(spark, sf), only_high=True)
+    joined, skipped = dc.attach_context(flags, ctx)
+    return (joined.select("anomaly_id", "severity", F.lit(True).alias("has_context"))
+            .unionByName(skipped.select("anomaly_id", "severity", F.lit(False).alias("has_context"))))
