@@ -29,5 +29,5 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import (q_core, q_costs, q_docs, q_history, q_ingest, q_reuse,  # noqa: F401
+    from . import (q_core, q_costs, q_docs, q_history, q_ingest, q_report, q_reuse,  # noqa: F401
                    q_state, q_streams, q_text)
