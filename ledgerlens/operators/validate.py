@@ -25,12 +25,12 @@ def check_required_columns(df: DataFrame, kind: str) -> None:
 
 
 def _strict_date(c: Column) -> Column:
-    return F.try_to_date(c, F.lit("yyyy-MM-dd"))
+    return F.try_to_date(c, "yyyy-MM-dd")
 
 
 def ledger_rules(df: DataFrame) -> dict[str, Column]:
     """Rule name -> condition that is true when the row breaks the rule."""
-    amount_num = F.try_cast(F.col("amount"), "double")
+    amount_num = (F.col("amount")).try_cast("double")
     return {
         "null_account": F.col("gl_account_id").isNull(),
         "null_amount": F.col("amount").isNull(),
@@ -42,7 +42,7 @@ def ledger_rules(df: DataFrame) -> dict[str, Column]:
 
 
 def account_rules(df: DataFrame) -> dict[str, Column]:
-    thr = F.try_cast(F.col("variance_threshold_pct"), "double")
+    thr = (F.col("variance_threshold_pct")).try_cast("double")
     return {
         "null_account_id": F.col("account_id").isNull(),
         "bad_category": ~F.coalesce(F.lower(F.col("category")).isin(ACCOUNT_CATEGORIES), F.lit(False)),
@@ -91,7 +91,7 @@ def project_ledger(raw: DataFrame, mode: str = "fail"):
             F.col("transaction_id"),
             F.col("gl_account_id"),
             _strict_date(F.col("date")).alias("transaction_date"),
-            F.round(F.try_cast(F.col("amount"), "decimal(20,4)"), 2).cast(MONEY).alias("amount"),
+            F.round((F.col("amount")).try_cast("decimal(20,4)"), 2).cast(MONEY).alias("amount"),
             F.col("description"),
             *opt,
             src.alias("source_file"),
@@ -106,7 +106,7 @@ def project_accounts(raw: DataFrame, mode: str = "fail"):
 
     def typed(df: DataFrame) -> DataFrame:
         def opt(c, t="string"):
-            return F.try_cast(F.nullif(F.trim(F.col(c)), F.lit("")), t) if c in df.columns else F.lit(None).cast(t)
+            return F.nullif(F.trim(F.col(c)), F.lit("")).try_cast(t) if c in df.columns else F.lit(None).cast(t)
         seasonal = F.lower(opt("is_seasonal")).isin("true", "1", "yes")
         return df.select(
             F.col("account_id"), F.col("account_name"), F.lower(F.trim(F.col("category"))).alias("category"),
@@ -141,7 +141,7 @@ def check_flag_domain(flags: DataFrame, confidence_col: str | None = None) -> Da
 
 def validate_month(c: Column) -> Column:
     """``YYYY-MM`` with a real month."""
-    return c.rlike(MONTH_PATTERN) & F.try_to_date(F.concat(c, F.lit("-01")), F.lit("yyyy-MM-dd")).isNotNull()
+    return c.rlike(MONTH_PATTERN) & F.try_to_date(F.concat(c, F.lit("-01")), "yyyy-MM-dd").isNotNull()
 
 
 def validate_identifier(c: Column) -> Column:

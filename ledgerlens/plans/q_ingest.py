@@ -1 +1,148 @@
-"""Registered queries."""
+"""Registered queries: validation, typed projection, files, parameterised reads."""
+
+from __future__ import annotations
+
+import datetime
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import validate as va
+from ..session import scratch_path
+from ..sources import files as fs
+from . import adapters as ad
+from . import oracle as o
+from .catalog import register
+
+RAW_LEDGER_SQL = o.SQL_LEDGER_NATION.rstrip() + """,
+raw AS (SELECT transaction_id, gl_account_id, CAST(transaction_date AS VARCHAR) AS date,
+               CAST(amount AS VARCHAR) AS amount, description, department, vendor, source_file FROM ledger)"""
+
+
+@register("quality_report", o.with_(RAW_LEDGER_SQL) + """
+SELECT count(*) AS rows,
+       count_if(gl_account_id IS NULL) AS null_account,
+       count_if(amount IS NULL) AS null_amount,
+       count_if(amount IS NOT NULL AND try_cast(amount AS DOUBLE) IS NULL) AS non_numeric_amount,
+       count_if(date IS NULL OR try_strptime(date, '%Y-%m-%d') IS NULL) AS bad_date,
+       count_if(coalesce(try_cast(amount AS DOUBLE) = 0, FALSE)) AS zero_amount,
+       count_if(transaction_id IS NULL) AS null_transaction_id
+FROM raw""")
+def quality_report(spark, sf):
+    return va.quality_report(ad.raw_ledger_by_nation(spark, sf))
+
+
+@register("quality_report_accounts", o.with_(o.SQL_ACCOUNTS_CUSTOMER) + """
+SELECT count(*) AS rows, count_if(account_id IS NULL) AS null_account_id,
+       count_if(NOT coalesce(lower(category) IN ('expense', 'revenue', 'asset', 'liability'), FALSE)) AS bad_category,
+       count_if(variance_threshold_pct IS NOT NULL AND NOT coalesce(variance_threshold_pct BETWEEN 0 AND 100, FALSE))
+         AS threshold_out_of_range
+FROM accounts""")
+def quality_report_accounts(spark, sf):
+    acc = ad.accounts_from_customers(spark, sf)
+    raw = acc.select(*[F.col(c).cast("string").alias(c) for c in acc.columns])
+    return va.quality_report(raw, kind="accounts")
+
+
+@register("project_ledger", o.with_(o.SQL_LEDGER_NATION) + "SELECT * FROM ledger")
+def project_ledger(spark, sf):
+    return va.project_ledger(ad.raw_ledger_by_nation(spark, sf), mode="fail")
+
+
+@register("project_accounts", o.with_(o.SQL_ACCOUNTS_NATION) + "SELECT * FROM accounts")
+def project_accounts(spark, sf):
+    acc = ad.accounts_from_nations(spark, sf)
+    raw = acc.select(*[F.col(c).cast("string").alias(c) for c in acc.columns])
+    return va.project_accounts(raw, mode="fail")
+
+
+@register("check_flag_domain", o.DETECT_NATION.rstrip() + "," + o.FLAGS + """
+SELECT gl_account_id, month, lower(trim(direction)) AS direction, lower(trim(severity)) AS severity,
+       coalesce(lower(trim(direction)) IN ('increase', 'decrease') AND lower(trim(severity)) IN ('high', 'medium', 'low'), FALSE)
+         AS domain_ok
+FROM flags""")
+def check_flag_domain(spark, sf):
+    from .q_core import nation_flags
+    return va.check_flag_domain(nation_flags(spark, sf)).select(
+        "gl_account_id", "month", "direction", "severity", "domain_ok")
+
+
+@register("check_balance_domain", o.DETECT_CUSTOMER + """
+SELECT * FROM balances WHERE NOT regexp_matches(strftime(month, '%Y-%m'), '^\\d{4}-(0[1-9]|1[0-2])$')
+   OR transaction_count < 0""")
+def check_balance_domain(spark, sf):
+    from ..operators import balances as bal
+    return va.check_balance_domain(bal.monthly_balances(ad.ledger_by_customer(spark, sf)))
+
+
+@register("validate_month", """
+WITH c AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS candidate FROM orders
+           UNION SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) || '-' || CAST(month(o_orderdate) AS VARCHAR) FROM orders
+           UNION SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) || '-' || CAST(month(o_orderdate) + 3 AS VARCHAR) FROM orders)
+SELECT candidate,
+       regexp_matches(candidate, '^\\d{4}-(0[1-9]|1[0-2])$') AND try_strptime(candidate || '-01', '%Y-%m-%d') IS NOT NULL AS valid
+FROM c""")
+def validate_month(spark, sf):
+    """Month labels as users type them: ``YYYY-MM``, ``YYYY-M`` and
+    off-by-three months (some past 12)."""
+    od = ad.table(spark, sf, "orders").select("o_orderdate")
+    y, m = F.year("o_orderdate").cast("string"), F.month("o_orderdate")
+    c = (od.select(F.date_format("o_orderdate", "yyyy-MM").alias("candidate"))
+         .union(od.select(F.concat(y, F.lit("-"), m.cast("string")).alias("candidate")))
+         .union(od.select(F.concat(y, F.lit("-"), (m + 3).cast("string")).alias("candidate")))
+         .distinct())
+    return c.select("candidate", va.validate_month(F.col("candidate")).alias("valid"))
+
+
+@register("validate_identifier", """
+SELECT c_name AS name, coalesce(regexp_matches(c_name, '^[a-zA-Z0-9_]+$'), FALSE) AS valid FROM customer
+UNION ALL
+SELECT n_name, coalesce(regexp_matches(n_name, '^[a-zA-Z0-9_]+$'), FALSE) FROM nation""")
+def validate_identifier(spark, sf):
+    c = ad.table(spark, sf, "customer").select(F.col("c_name").alias("name"))
+    n = ad.table(spark, sf, "nation").select(F.col("n_name").alias("name"))
+    u = c.unionByName(n)
+    return u.select("name", va.validate_identifier(F.col("name")).alias("valid"))
+
+
+@register("validate_keys", """
+WITH p AS (SELECT page_id, CASE WHEN starts_with(url, 'https') THEN 'OPENAI_API_KEY' ELSE 'SEARCH_API_KEY' END AS name,
+                  regexp_extract(html, 'track\\(([0-9]+)\\)', 1) AS value FROM pages)
+SELECT page_id, name, value,
+       CASE WHEN value IS NULL OR value = '' THEN FALSE
+            WHEN name = 'OPENAI_API_KEY' THEN regexp_matches(value, '^sk-[a-zA-Z0-9]{48,}$') ELSE TRUE END AS valid,
+       CASE WHEN value IS NULL OR value = '' THEN 'Missing'
+            WHEN name = 'OPENAI_API_KEY' AND NOT regexp_matches(value, '^sk-[a-zA-Z0-9]{48,}$') THEN 'Invalid format' END AS error
+FROM p""")
+def validate_keys(spark, sf):
+    """Key name/value pairs taken from pages: the tracking number stands
+    for the key value (so the secret-format rule rejects it)."""
+    p = ad.table(spark, sf, "pages")
+    pairs = p.select(
+        "page_id",
+        F.when(F.col("url").startswith("https"), F.lit("OPENAI_API_KEY")).otherwise(F.lit("SEARCH_API_KEY")).alias("name"),
+        F.regexp_extract("html", r"track\(([0-9]+)\)", 1).alias("value"))
+    return va.validate_keys(pairs)
+
+
+@register("table_read", o.DETECT_NATION + """
+SELECT * FROM balances WHERE month >= DATE '1999-01-01' AND net_balance > 1000000""")
+def table_read(spark, sf):
+    """Parameterised SQL over a registered view (named parameters)."""
+    from ..operators import balances as bal
+    name = f"balances_{uuid.uuid4().hex[:8]}"
+    bal.monthly_balances(ad.ledger_by_nation(spark, sf)).createOrReplaceTempView(name)
+    return fs.table_read(spark, f"SELECT * FROM {name} WHERE month >= :since AND net_balance > :floor",
+                         since=datetime.date(1999, 1, 1), floor=1000000)
+
+
+@register("load_all_months", o.with_(o.SQL_LEDGER_NATION) +
+          "SELECT * EXCLUDE (source_file) FROM ledger")
+def load_all_months(spark, sf):
+    """Round trip: the ledger written as monthly CSV files (one folder per
+    month, in the shared scratch folder), read back from the folder of
+    files, validated and typed."""
+    out = scratch_path(spark, "ledger_csv")
+    fs.sink_ledger_csv(ad.ledger_by_nation(spark, sf), out, combined=False)
+    raw = fs.scan_ledger_months(spark, f"{out}/by_month", pattern="*/*.csv")
+    return va.project_ledger(raw, mode="fail").drop("source_file")
