@@ -1 +1,162 @@
-"""Registered queries."""
+"""Registered queries: stored tables and their updates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from . import adapters as ad
+from . import oracle as o
+from . import store as st
+from .catalog import register
+from .q_core import nation_flags
+
+CUTOFF = "2000-01-01"
+
+
+def _ledger(spark, sf):
+    return ad.ledger_by_nation(spark, sf)
+
+
+@register("new_transactions", o.with_(o.SQL_LEDGER_NATION) + f"SELECT * FROM ledger WHERE transaction_date >= DATE '{CUTOFF}'")
+def new_transactions(spark, sf):
+    """Stored: rows before the cut-off.  Batch: rows from six months
+    earlier on, each twice: only the unseen ids are new, once."""
+    led = _ledger(spark, sf)
+    existing = led.filter(F.col("transaction_date") < F.lit(CUTOFF).cast("date"))
+    batch = led.filter(F.col("transaction_date") >= F.lit("1999-07-01").cast("date"))
+    batch = batch.unionByName(batch)
+    return st.new_transactions(batch, existing, order=["source_file", "transaction_id"])
+
+
+@register("append_ledger", o.with_(o.SQL_LEDGER_NATION) + "SELECT * FROM ledger")
+def append_ledger(spark, sf):
+    """Two appends into a stored ledger table; the second overlaps the
+    first and only adds the unseen ids."""
+    path = scratch_path(spark, "ledger")
+    led = _ledger(spark, sf)
+    st.append_ledger(spark, led.filter(F.col("transaction_date") < F.lit(CUTOFF).cast("date")), path)
+    st.append_ledger(spark, led.filter(F.col("transaction_date") >= F.lit("1999-07-01").cast("date")), path)
+    return spark.read.parquet(path).drop("month")
+
+
+@register("upsert_accounts", o.with_(o.SQL_ACCOUNTS_NATION) + """,
+n AS (SELECT CAST(n_nationkey AS VARCHAR) AS account_id FROM nation WHERE n_regionkey = 2)
+SELECT a.account_id,
+       CASE WHEN n.account_id IS NOT NULL THEN lower(a.account_name) ELSE a.account_name END AS account_name,
+       a.category, a.subcategory, a.typical_min, a.typical_max, a.variance_threshold_pct, a.is_seasonal,
+       a.seasonal_pattern,
+       CASE WHEN n.account_id IS NOT NULL THEN 'revised twice' ELSE a.description END AS description
+FROM accounts a LEFT JOIN n ON a.account_id = n.account_id""")
+def upsert_accounts(spark, sf):
+    """Master rows of one region replaced by a batch holding two versions
+    of each; the later version wins."""
+    master = ad.accounts_from_nations(spark, sf)
+    region2 = master.join(ad.table(spark, sf, "nation").filter(F.col("n_regionkey") == 2)
+                          .select(F.col("n_nationkey").cast("string").alias("account_id")), "account_id", "left_semi")
+    v1 = region2.withColumn("account_name", F.lower("account_name")).withColumn(
+        "description", F.lit("revised once")).withColumn("_seq", F.lit(1))
+    v2 = v1.withColumn("description", F.lit("revised twice")).withColumn("_seq", F.lit(2))
+    return st.upsert_accounts(master, v2.unionByName(v1), order_col="_seq")
+
+
+_REFRESH_LEDGER = o.SQL_LEDGER_NATION.rstrip() + """,
+lall AS (SELECT * FROM ledger WHERE transaction_date < DATE '2001-02-01'),
+l1 AS (SELECT * FROM lall WHERE transaction_date < DATE '2001-01-01' AND vendor <> '5-LOW'),
+agg AS (
+  SELECT gl_account_id, CAST(date_trunc('month', transaction_date) AS DATE) AS month,
+         CAST(SUM(amount) AS DECIMAL(38,2)) AS net_balance, COUNT(*) AS transaction_count
+  FROM l1 GROUP BY ALL
+  UNION ALL
+  SELECT gl_account_id, CAST(date_trunc('month', transaction_date) AS DATE) AS month,
+         CAST(SUM(amount) AS DECIMAL(38,2)) AS net_balance, COUNT(*) AS transaction_count
+  FROM lall WHERE transaction_date >= DATE '2001-01-01' GROUP BY ALL
+),
+balances AS (SELECT * FROM agg)"""
+
+
+def _refresh_scenario(spark, sf):
+    led = _ledger(spark, sf)
+    lall = led.filter(F.col("transaction_date") < F.lit("2001-02-01").cast("date"))
+    l1 = lall.filter((F.col("transaction_date") < F.lit("2001-01-01").cast("date")) & (F.col("vendor") != "5-LOW"))
+    path = scratch_path(spark, "balances")
+    st.refresh_balances(spark, l1, path)
+    enriched = st.refresh_balances(spark, lall, path, target_month="2001-01")
+    return lall, path, enriched
+
+
+@register("refresh_balances", o.with_(_REFRESH_LEDGER, o.MONTHS, o.ENRICHED) + """
+SELECT gl_account_id, month, net_balance, transaction_count, prev_month_balance, variance_amount, variance_percent
+FROM enriched""")
+def refresh_balances(spark, sf):
+    """First run on the ledger without its low-priority rows (all months),
+    second run after those rows arrive late plus the next month: only the
+    target month is rolled up again; variance is recomputed everywhere."""
+    _, _, enriched = _refresh_scenario(spark, sf)
+    return enriched.select("gl_account_id", "month", "net_balance", "transaction_count",
+                           "prev_month_balance", "variance_amount", "variance_percent")
+
+
+@register("late_rows", o.with_(_REFRESH_LEDGER) + """,
+actual AS (SELECT gl_account_id, CAST(date_trunc('month', transaction_date) AS DATE) AS month,
+                  CAST(SUM(amount) AS DECIMAL(38,2)) AS ledger_balance, COUNT(*) AS ledger_count
+           FROM lall GROUP BY ALL)
+SELECT coalesce(a.gl_account_id, b.gl_account_id) AS gl_account_id, coalesce(a.month, b.month) AS month,
+       a.ledger_balance, a.ledger_count, b.net_balance AS stored_balance, b.transaction_count AS stored_count
+FROM actual a FULL OUTER JOIN balances b ON a.gl_account_id = b.gl_account_id AND a.month = b.month
+WHERE a.ledger_balance IS DISTINCT FROM b.net_balance OR a.ledger_count IS DISTINCT FROM b.transaction_count""")
+def late_rows(spark, sf):
+    lall, path, _ = _refresh_scenario(spark, sf)
+    return st.late_rows(lall, spark.read.parquet(path))
+
+
+RUNS_SQL = o.DETECT_NATION.rstrip() + "," + o.FLAGS + """,
+runs AS (
+  SELECT 'monthly' AS analysis_period, current_month AS target_month,
+         (SELECT count(*) FROM accounts) AS total_accounts_analyzed,
+         count(*) AS anomalies_detected, count_if(severity = 'high') AS high_severity_count,
+         count_if(severity = 'medium') AS medium_severity_count, count(*) + 2 AS total_llm_calls,
+         CAST(NULL AS DOUBLE) AS total_cost_usd,
+         CAST(current_month || '-28 00:00:00' AS TIMESTAMP) AS created_at
+  FROM flags GROUP BY current_month
+)"""
+
+
+def _runs(spark, sf):
+    return st.run_rows(nation_flags(spark, sf), ad.accounts_from_nations(spark, sf))
+
+
+@register("store_run", RUNS_SQL + "SELECT * FROM runs")
+def store_run(spark, sf):
+    """Run rows appended to a runs table and read back."""
+    path = scratch_path(spark, "runs")
+    st.store_run(_runs(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@register("latest_run", RUNS_SQL + "SELECT * FROM runs ORDER BY created_at DESC, target_month DESC LIMIT 1")
+def latest_run(spark, sf):
+    return st.latest_run(_runs(spark, sf))
+
+
+@register("table_counts", RUNS_SQL + """
+SELECT 'pl_transactions' AS table_name, count(*) AS rows FROM ledger
+UNION ALL SELECT 'gl_accounts', count(*) FROM accounts
+UNION ALL SELECT 'gl_monthly_balances', count(*) FROM balances
+UNION ALL SELECT 'detected_anomalies', count(*) FROM flags
+UNION ALL SELECT 'analysis_runs', count(*) FROM runs""")
+def table_counts(spark, sf):
+    from ..operators import balances as bal
+    led = _ledger(spark, sf)
+    return st.table_counts({
+        "pl_transactions": led,
+        "gl_accounts": ad.accounts_from_nations(spark, sf),
+        "gl_monthly_balances": bal.monthly_balances(led),
+        "detected_anomalies": nation_flags(spark, sf),
+        "analysis_runs": _runs(spark, sf),
+    })
+
+
+@register("sort_ledger", o.with_(o.SQL_LEDGER_SUPPLIER) + "SELECT * FROM ledger ORDER BY transaction_date, transaction_id")
+def sort_ledger(spark, sf):
+    return st.sort_ledger(ad.ledger_by_supplier(spark, sf))
