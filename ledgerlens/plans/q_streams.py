@@ -1 +1,70 @@
-"""Registered queries."""
+"""Registered queries: streaming loads, run to completion (available-now)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from ..streaming import streams as sm
+from . import adapters as ad
+from . import oracle as o
+from .catalog import register
+
+
+def _landing(spark, sf, twice: bool = False) -> str:
+    """The dense ledger written to a landing folder (twice when asked, the
+    second copy overlapping, as files that arrive again)."""
+    path = scratch_path(spark, "landing")
+    led = ad.ledger_by_nation(spark, sf)
+    led.write.mode("append").parquet(path)
+    if twice:
+        led.filter(F.col("transaction_date") >= F.lit("1999-01-01").cast("date")).write.mode("append").parquet(path)
+    return path
+
+
+@register("stream_monthly_balances", o.with_(o.SQL_LEDGER_NATION, o.BALANCES) + "SELECT * FROM balances")
+def stream_monthly_balances(spark, sf):
+    src = sm.stream_from_table(spark, _landing(spark, sf))
+    agg = sm.monthly_balances_stream(src)
+    out = sm.upsert_log(agg, scratch_path(spark, "stream_bal"), scratch_path(spark, "ckpt_bal"))
+    res = sm.latest_rows(spark, out, ["gl_account_id", "month_ts"])
+    return res.select("gl_account_id", F.col("month_ts").cast("date").alias("month"), "net_balance",
+                      "transaction_count")
+
+
+@register("stream_dedupe", o.with_(o.SQL_LEDGER_NATION) + "SELECT * FROM ledger")
+def stream_dedupe(spark, sf):
+    src = sm.stream_from_table(spark, _landing(spark, sf, twice=True))
+    out = sm.write_stream(sm.dedupe_stream(src), scratch_path(spark, "stream_dedupe"),
+                          scratch_path(spark, "ckpt_dedupe"))
+    return spark.read.parquet(out)
+
+
+@register("stream_call_rates", o.with_(o.CALL_LOG) + """,
+w AS (SELECT agent, to_timestamp(((epoch_us(ts) // 10000000) * 10 - k * 10)::DOUBLE) AS ws
+      FROM call_log, range(0, 6) r(k))
+SELECT agent, CAST(ws AS TIMESTAMP) AS window_start, CAST(ws + INTERVAL 60 SECOND AS TIMESTAMP) AS window_end,
+       count(*) AS calls
+FROM w GROUP BY agent, ws""")
+def stream_call_rates(spark, sf):
+    calls = ad.call_log_from_events(spark, sf).select("ts", "agent")
+    path = scratch_path(spark, "calls_landing")
+    calls.write.parquet(path)
+    win = sm.call_rate_windows(sm.stream_from_table(spark, path))
+    out = sm.upsert_log(win, scratch_path(spark, "stream_rates"), scratch_path(spark, "ckpt_rates"))
+    return sm.latest_rows(spark, out, ["agent", "window_start"])
+
+
+@register("stream_ledger", o.DETECT_NATION + o.detect_select(o.GLOBAL_FLAG))
+def stream_ledger(spark, sf):
+    """Ledger files streamed through append -> refresh -> detect."""
+    src = sm.stream_from_table(spark, _landing(spark, sf))
+    base = scratch_path(spark, "stream_ledger")
+    flags_path = sm.stream_ledger(spark, src, ad.accounts_from_nations(spark, sf), base,
+                                  scratch_path(spark, "ckpt_ledger"))
+    cols = ["gl_account_id", "account_name", "month", "current_month", "previous_month", "current_balance",
+            "previous_balance", "variance_percent", "variance_amount", "transaction_count", "rolling_3mo_avg",
+            "rolling_6mo_std", "z_score", "is_statistical_outlier", "typical_range", "severity", "direction",
+            "past_anomaly_count"]
+    df = spark.read.parquet(flags_path).withColumn("current_month", F.col("current_month").cast("string"))
+    return df.select(*cols)

@@ -70,7 +70,7 @@ def upsert_accounts(master: DataFrame, batch: DataFrame, order_col: str | None =
 
 
 def refresh_balances(spark: SparkSession, ledger: DataFrame, path: str,
-                     target_month: str | None = None, refresh: str = "target") -> DataFrame:
+                     target_month: str | list[str] | None = None, refresh: str = "target") -> DataFrame:
     """Write the monthly balance table and return it enriched with variance.
 
     First run (no table): every month.  Later runs: only ``target_month``
@@ -79,7 +79,8 @@ def refresh_balances(spark: SparkSession, ledger: DataFrame, path: str,
     (``refresh="affected"``).  Only the rewritten month partitions change
     (dynamic partition overwrite).
     """
-    if not _exists(spark, path) or target_month is None:
+    targets = [target_month] if isinstance(target_month, str) else list(target_month or [])
+    if not _exists(spark, path) or not targets:
         fresh = bal.monthly_balances(ledger)
         fresh.write.mode("overwrite").partitionBy("month").parquet(path)
     else:
@@ -89,9 +90,9 @@ def refresh_balances(spark: SparkSession, ledger: DataFrame, path: str,
             months = diff.select("month").distinct()
             fresh = bal.monthly_balances(ledger.join(
                 months, bal.month_start("transaction_date") == months.month, "left_semi"))
-            fresh = fresh.unionByName(bal.monthly_balances(ledger, months=[target_month]))
+            fresh = fresh.unionByName(bal.monthly_balances(ledger, months=targets)).distinct()
         else:
-            fresh = bal.monthly_balances(ledger, months=[target_month])
+            fresh = bal.monthly_balances(ledger, months=targets)
         (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("month").parquet(path))
     return bal.enrich_balances(spark.read.parquet(path))
