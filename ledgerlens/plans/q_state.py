@@ -160,3 +160,41 @@ def table_counts(spark, sf):
 @register("sort_ledger", o.with_(o.SQL_LEDGER_SUPPLIER) + "SELECT * FROM ledger ORDER BY transaction_date, transaction_id")
 def sort_ledger(spark, sf):
     return st.sort_ledger(ad.ledger_by_supplier(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Generators
+# ---------------------------------------------------------------------------
+
+@register("generate_accounts", """
+SELECT CAST(c_custkey AS VARCHAR) AS account_id, c_name AS account_name,
+       CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'revenue' ELSE 'expense' END AS category,
+       c_mktsegment AS subcategory,
+       CAST(round((abs(c_acctbal) + 100.0) * 0.8, 2) AS DECIMAL(18,2)) AS typical_min,
+       CAST(round((abs(c_acctbal) + 100.0) * 1.2, 2) AS DECIMAL(18,2)) AS typical_max,
+       15.0::DOUBLE AS variance_threshold_pct, c_mktsegment = 'HOUSEHOLD' AS is_seasonal,
+       CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'December peak' END AS seasonal_pattern,
+       'Account of ' || c_name AS description
+FROM customer""")
+def generate_accounts(spark, sf):
+    from ..sources import generate as gen
+    return gen.generate_accounts(ad.table(spark, sf, "customer"))
+
+
+@register("generate_ledger")
+def generate_ledger(spark, sf):
+    """A synthetic monthly ledger for every customer over the months the
+    orders span (rows-only check: the noise is Spark's hash)."""
+    from ..sources import generate as gen
+    o_ = ad.table(spark, sf, "orders")
+    start = o_.agg(F.trunc(F.min("o_orderdate"), "MM")).scalar()
+    end = o_.agg(F.trunc(F.max("o_orderdate"), "MM")).scalar()
+    return gen.generate_ledger(gen.generate_accounts(ad.table(spark, sf, "customer")), start, end)
+
+
+@register("generate_month")
+def generate_month(spark, sf):
+    """Next month's rows for every supplier account of the line-item ledger."""
+    from ..operators import balances as bal
+    from ..sources import generate as gen
+    return gen.generate_month(bal.monthly_balances(ad.ledger_by_supplier(spark, sf)))
