@@ -198,3 +198,14 @@ def generate_month(spark, sf):
     from ..operators import balances as bal
     from ..sources import generate as gen
     return gen.generate_month(bal.monthly_balances(ad.ledger_by_supplier(spark, sf)))
+
+
+@register("run_analysis")
+def run_analysis(spark, sf):
+    """The full chain on the dense ledger's newest month; returns the
+    report lines (rows-only: the chain includes hashed retrieval)."""
+    from .analysis import run_analysis as run
+    raw = ad.raw_ledger_by_nation(spark, sf)
+    acc = ad.accounts_from_nations(spark, sf)
+    raw_acc = acc.select(*[F.col(c).cast("string").alias(c) for c in acc.columns])
+    return run(spark, raw, raw_acc, scratch_path(spark, "analysis")).report
