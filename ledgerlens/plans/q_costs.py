@@ -106,3 +106,16 @@ def admit_calls(spark, sf):
     decision is recursive; tests compare it with a plain Python replay."""
     c = ad.call_log_from_events(spark, sf).select("ts", "agent", "caller_id")
     return co.admit_calls(c, key="agent", per_minute=3, per_hour=40)
+
+
+@register("sink_cost_json", BASE + """
+SELECT run_id, count(*) AS total_calls, printf('%.8f', CAST(CAST(sum(cost_exact) AS DECIMAL(38,11)) AS DOUBLE)) AS total_cost
+FROM priced2 GROUP BY run_id""")
+def sink_cost_json(spark, sf):
+    """Cost summary written as JSON lines (money as 8-decimal text) and read back."""
+    from ..session import scratch_path
+    from ..sources import files as fs
+    s = co.cost_summary(priced(spark, sf)).select("run_id", "total_calls", "total_cost")
+    path = scratch_path(spark, "cost_json")
+    fs.sink_cost_json(s, path)
+    return spark.read.schema("run_id string, total_calls long, total_cost string").json(path)

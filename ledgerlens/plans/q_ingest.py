@@ -146,3 +146,13 @@ def load_all_months(spark, sf):
     fs.sink_ledger_csv(ad.ledger_by_nation(spark, sf), out, combined=False)
     raw = fs.scan_ledger_months(spark, f"{out}/by_month", pattern="*/*.csv")
     return va.project_ledger(raw, mode="fail").drop("source_file")
+
+
+@register("scan_accounts_csv", o.with_(o.SQL_ACCOUNTS_CUSTOMER) + "SELECT * FROM accounts")
+def scan_accounts_csv(spark, sf):
+    """Round trip: the customer account master written as CSV, read back
+    with the explicit text schema and typed."""
+    acc = ad.accounts_from_customers(spark, sf)
+    out = scratch_path(spark, "accounts_csv")
+    acc.write.option("header", True).csv(out)
+    return va.project_accounts(fs.scan_accounts(spark, out), mode="fail")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import history as hi
 from ..operators import report as rp
 from . import adapters as ad
@@ -144,3 +146,55 @@ def explanation_requests(spark, sf):
     inv = hi.investigations_from_flags(flags)
     return rp.explanation_requests(flags, history=inv).select("anomaly_id", "gl_account_id", "month", "facts",
                                                               "history_text")
+
+
+@register("sink_report", BASE.rstrip() + "," + SECTIONS_SQL + f""",
+s AS (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY abs(variance_percent) DESC, gl_account_id) AS rk
+      FROM sec WHERE month = DATE '{REPORT_MONTH}-01'),
+c AS (SELECT count(*) AS n, count_if(severity = 'high') AS h, count_if(severity = 'medium') AS md FROM s),
+lines AS (
+  SELECT 0 AS section, 0 AS line_no,
+         '# Variance report {REPORT_MONTH}' || chr(10) || chr(10) || CAST(n AS VARCHAR) || ' anomalies: '
+         || CAST(h AS VARCHAR) || ' high, ' || CAST(md AS VARCHAR) || ' medium' AS text FROM c
+  UNION ALL
+  SELECT CASE WHEN severity = 'high' THEN 1 ELSE 2 END, CAST(rk AS INTEGER), section_text FROM s
+  WHERE severity = 'high' OR (severity = 'medium' AND rk <= 3)
+  UNION ALL
+  SELECT 2, 1000000, '(showing top 3 of ' || CAST(md AS VARCHAR) || ' medium items)' FROM c WHERE md > 3
+  UNION ALL
+  SELECT 3, 0, '## Recommendations' || chr(10) || '{chr(10).join("- " + r for r in rp.RECOMMENDATIONS).replace(chr(10), "' || chr(10) || '")}' FROM c)
+SELECT string_agg(text || chr(10), '' ORDER BY section, line_no) AS report_text FROM lines""")
+def sink_report(spark, sf):
+    """The report written as one markdown file and read back whole."""
+    from ..session import scratch_path
+    from ..sources import files as fs
+    flags, ex = flags_and_explanations(spark, sf)
+    path = scratch_path(spark, "report")
+    fs.sink_report(rp.report_lines(rp.report_sections(flags, ex), REPORT_MONTH), path)
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("report_text"))
+
+
+@register("parse_sections")
+def parse_sections(spark, sf):
+    """Explanations rendered as marked-up text and parsed back into
+    sections (rows-only: the section pattern needs look-ahead, which the
+    SQL engine lacks; unit tests cover it)."""
+    from ..functions import text as tx
+    _, ex = flags_and_explanations(spark, sf)
+    marked = F.concat(F.lit("**Root Cause**: "), F.col("root_cause"),
+                      F.lit("\n**Recommendation**: "), F.col("recommendation"),
+                      F.lit("\n**Supporting Evidence**: "), F.array_join("supporting_evidence", ", "))
+    return ex.select("anomaly_id", tx.parse_sections(marked).alias("sections")).select("anomaly_id", "sections.*")
+
+
+@register("merge_split_evidence")
+def merge_split_evidence(spark, sf):
+    """Evidence lists split in the middle of amounts (at the decimal
+    point), merged back (rows-only; unit tests cover the rule)."""
+    from ..functions import text as tx
+    _, ex = flags_and_explanations(spark, sf)
+    broken = F.flatten(F.transform("supporting_evidence", lambda e: F.when(
+        e.rlike(r"\d\.\d\d$"), F.array(F.regexp_replace(e, r"\.(\d\d)$", r" \\\\\$"),
+                                        F.regexp_extract(e, r"(\d\d)$", 1)))
+        .otherwise(F.array(e))))
+    return ex.select("anomaly_id", broken.alias("broken"), tx.merge_split_evidence(broken).alias("merged"))

@@ -65,3 +65,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = base.rstrip("/")
     import uuid
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and continue from the
+    written copy: the lineage is cut (a lost executor does not recompute
+    the upstream scan) and several readers share one computation."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
