@@ -87,7 +87,10 @@ def mask_hits(c: Column) -> dict[str, Column]:
 def normalize_spacing(c: Column) -> Column:
     """Split glued phrases and words, space numbers from letters, split
     camelCase, keep ``$100`` and ``15%`` together, collapse whitespace, trim."""
-    return F.trim(_fold(_fold(c, SPACING_PHRASES), SPACING_RULES))
+    # The phrases are plain text, so they go through literal replace (no
+    # regex engine); the rules after them are patterns.
+    phrases = reduce(lambda acc, r: F.replace(acc, F.lit(r[0]), F.lit(r[1])), SPACING_PHRASES, c)
+    return F.trim(_fold(phrases, SPACING_RULES))
 
 
 def escape_currency(c: Column) -> Column:

@@ -229,28 +229,30 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = RETRIEVAL_K,
         for pdf in batches:
             out_q, out_c, out_s = [], [], []
             for qs, cs in zip(pdf["_q"], pdf["_c"]):
-                qids = [r["id"] for r in qs]
+                # corpus block in id order, so a stable sort on -similarity
+                # breaks ties by the smaller id
+                cs = sorted(cs, key=lambda r: r["id"])
+                qids = np.array([r["id"] for r in qs], dtype=object)
                 cids = np.array([r["id"] for r in cs], dtype=object)
                 qm = np.array([np.asarray(r["v"], dtype=np.float64) for r in qs])
                 cm = np.array([np.asarray(r["v"], dtype=np.float64) for r in cs])
                 qn = np.linalg.norm(qm, axis=1)
                 cn = np.linalg.norm(cm, axis=1)
-                sims = (qm @ cm.T) / np.outer(np.where(qn == 0, np.nan, qn), np.where(cn == 0, np.nan, cn))
-                sims = np.round(sims, 6)
-                for i, qi in enumerate(qids):
-                    s = sims[i]
-                    valid = ~np.isnan(s)
-                    if exclude_self:
-                        valid &= cids != qi
-                    idx = np.nonzero(valid)[0]
-                    if idx.size == 0:
-                        continue
-                    # order: similarity desc, then corpus id asc
-                    order = sorted(idx, key=lambda j: (-s[j], cids[j]))[:k]
-                    for j in order:
-                        out_q.append(qi)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sims = np.round((qm @ cm.T) / np.outer(qn, cn), 6)
+                valid = np.isfinite(sims)
+                if exclude_self:
+                    valid &= qids[:, None] != cids[None, :]
+                keyed = np.where(valid, -sims, np.inf)
+                kk = min(k, keyed.shape[1])
+                order = np.argsort(keyed, axis=1, kind="stable")[:, :kk]
+                for i in range(len(qids)):
+                    for j in order[i]:
+                        if not valid[i, j]:
+                            break
+                        out_q.append(qids[i])
                         out_c.append(cids[j])
-                        out_s.append(float(s[j]))
+                        out_s.append(float(sims[i, j]))
             yield pd.DataFrame({"_qid": out_q, "_cid": out_c, "similarity": out_s})
 
     cand = pairs.mapInPandas(run, out_schema)

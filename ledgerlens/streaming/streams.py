@@ -62,10 +62,10 @@ def call_rate_windows(calls: DataFrame, key: str = "agent", size: str = "60 seco
 
 def stream_ledger(spark: SparkSession, ledger_stream: DataFrame, accounts: DataFrame, base: str,
                   checkpoint: str) -> str:
-    """Micro-batch pipeline: append -> refresh -> detect.  Each batch's new
-    months are re-aggregated; detection output for every month touched is
-    rewritten (dynamic partition overwrite), so a replayed batch after a
-    failure gives the same tables."""
+    """Micro-batch pipeline: append -> refresh -> detect.  Each batch's
+    months are re-aggregated; detection output is rewritten for those
+    months and the month observed after each (dynamic partition overwrite),
+    so a replayed batch after a failure gives the same tables."""
     ledger_path, bal_path, flags_path = f"{base}/ledger", f"{base}/balances", f"{base}/flags"
 
     def each(batch: DataFrame, epoch: int) -> None:
@@ -83,7 +83,13 @@ def stream_ledger(spark: SparkSession, ledger_stream: DataFrame, accounts: DataF
         # of the balance table are rewritten.
         enriched = st.refresh_balances(spark, stored, bal_path,
                                        target_month=None if not st._exists(spark, bal_path) else months)
-        flags = det.detect_anomalies(enriched, accounts)
+        # Flags can change only in the batch's months and in the month
+        # observed right after each of them; only those partitions are
+        # rewritten (the month table is calendar-bounded, so broadcast).
+        touched = [F.to_date(F.lit(f"{m}-01")) for m in months]
+        om = bal.observed_months(spark.read.parquet(bal_path))
+        affected = om.filter(F.col("month").isin(*touched) | F.col("prev_observed_month").isin(*touched)).select("month")
+        flags = det.detect_anomalies(enriched, accounts).join(F.broadcast(affected), "month", "left_semi")
         (flags.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("current_month").parquet(flags_path))
 
