@@ -198,11 +198,10 @@ def attach_context(spark, sf):
 
 @register("sink_account_docs", o.with_(o.SQL_ACCOUNTS_CUSTOMER, ACCOUNT_DOCS_SQL) + "SELECT account_id, text FROM docs")
 def sink_account_docs(spark, sf):
-    """Generated docs written one folder per account and read back whole."""
+    """Generated docs written as a JSON-lines table and read back."""
     from ..session import scratch_path
     from ..sources import files as fs
     path = scratch_path(spark, "account_docs")
     fs.sink_account_docs(dc.account_docs(ad.accounts_from_customers(spark, sf)), path)
-    back = spark.read.text(path, wholetext=True)
-    return back.select(F.regexp_extract(F.col("_metadata.file_path"), r"account_id=([^/]+)", 1).alias("account_id"),
-                       F.regexp_replace("value", r"\n$", "").alias("text"))
+    return spark.read.schema("account_id string, source_file string, text string").json(path).select(
+        "account_id", "text")

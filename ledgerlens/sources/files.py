@@ -90,7 +90,13 @@ def sink_cost_json(summary: DataFrame, path: str) -> None:
     out.write.mode("overwrite").json(path)
 
 
-def sink_account_docs(docs: DataFrame, out_dir: str) -> None:
-    """One markdown document per account, partitioned by account id."""
-    (docs.select("account_id", "text").write.mode("overwrite")
-     .partitionBy("account_id").text(out_dir))
+def sink_account_docs(docs: DataFrame, out_dir: str, folder_per_account: bool = False) -> None:
+    """Generated documents as a JSON-lines table (account id, file name,
+    text): file count follows the data size, not the number of accounts.
+    ``folder_per_account=True`` writes one text folder per account instead;
+    meant for small masters only, since it makes one folder per account."""
+    if folder_per_account:
+        (docs.select("account_id", "text").write.mode("overwrite")
+         .partitionBy("account_id").text(out_dir))
+    else:
+        docs.select("account_id", "source_file", "text").write.mode("overwrite").json(out_dir)

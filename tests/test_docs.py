@@ -70,3 +70,15 @@ def test_dedupe_keeps_first(spark):
                                "account_id string, doc_id int, chunk_no int, chunk_text string")
     got = sorted((r["account_id"], r["doc_id"], r["chunk_no"], r["copies"]) for r in dc.dedupe_chunks(df).collect())
     assert got == [("a", 1, 3, 2), ("a", 5, 0, 1), ("b", 1, 0, 1)]
+
+
+def test_sink_account_docs_folder_per_account(spark):
+    from ledgerlens.session import scratch_path
+    from ledgerlens.sources.files import sink_account_docs
+    docs = spark.createDataFrame([("1", "1_a.md", "# one\nbody"), ("2", "2_b.md", "# two")],
+                                 "account_id string, source_file string, text string")
+    path = scratch_path(spark, "t_docs")
+    sink_account_docs(docs, path, folder_per_account=True)
+    back = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"account_id=([^/]+)", 1).alias("a"), "value")
+    assert sorted((r["a"], r["value"].rstrip("\n")) for r in back.collect()) == [("1", "# one\nbody"), ("2", "# two")]
