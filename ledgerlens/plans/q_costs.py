@@ -101,11 +101,11 @@ def call_rate_stats_by_agent(spark, sf):
 
 @register("admit_calls")
 def admit_calls(spark, sf):
-    """Rate-limiter replay per agent with tight limits (3 a minute, 40 an
+    """Rate-limiter replay per agent with tight limits (2 a minute, 4 an
     hour) so that rejections happen on the test data.  No SQL twin: the
     decision is recursive; tests compare it with a plain Python replay."""
     c = ad.call_log_from_events(spark, sf).select("ts", "agent", "caller_id")
-    return co.admit_calls(c, key="agent", per_minute=3, per_hour=40)
+    return co.admit_calls(c, key="agent", per_minute=2, per_hour=4)
 
 
 @register("sink_cost_json", BASE + """

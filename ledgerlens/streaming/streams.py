@@ -128,3 +128,39 @@ def stream_from_table(spark: SparkSession, path: str) -> DataFrame:
 
 def month_of(col: str):
     return bal.month_start(col)
+
+
+def admit_calls_stream(calls: DataFrame, key: str = "agent", ts: str = "ts",
+                       per_minute: int = 60, per_hour: int = 1000, timeout: str = "NoTimeout") -> DataFrame:
+    """The rate-limiter replay as a stateful stream.
+
+    State per key is the admitted call times of the last hour (at most
+    ``per_hour`` values), so it stays bounded however long the stream
+    runs.  Each micro-batch's calls of a key are sorted and replayed on top
+    of that state; calls are expected to arrive in time order across
+    batches (a file per period, ``maxFilesPerTrigger`` bounding a batch).
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout  # noqa: F401
+
+    minute_us, hour_us = 60_000_000, 3_600_000_000
+    src = calls.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"),
+                       F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+
+    def replay(k, batches, state):
+        admitted = list(state.get[0]) if state.exists else []
+        frames = [pdf for pdf in batches]
+        pdf = pd.concat(frames, ignore_index=True).sort_values(["us"], kind="stable")
+        out = []
+        for t in pdf["us"].tolist():
+            admitted = [a for a in admitted if a >= t - hour_us]
+            last_min = sum(1 for a in admitted if a >= t - minute_us)
+            ok = last_min < per_minute and len(admitted) < per_hour
+            if ok:
+                admitted.append(t)
+            out.append(ok)
+        state.update((admitted,))
+        yield pd.DataFrame({"key": [k[0]] * len(out), "ts": pdf["ts"].tolist(), "admitted": out})
+
+    return src.groupBy("key").applyInPandasWithState(
+        replay, "key string, ts timestamp, admitted boolean", "admitted array<long>", "append", timeout)

@@ -103,3 +103,12 @@ def test_stream_ledger_two_batches(spark):
                  for r in spark.read.parquet(flags_path).collect())
     # Batch 2 touched Feb (late row for B) and Mar: B Feb = 200 vs 100 -> +100 %.
     assert got == [("A", "2025-02", 100.0), ("A", "2025-03", 350.0), ("B", "2025-02", 100.0), ("B", "2025-03", -50.0)]
+
+
+def test_stream_limiter_equals_batch(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    sf = "/root/testdata/sf0.01"      # dense enough for rejections
+    a = sorted((r["agent"], r["ts"], r["admitted"]) for r in q["stream_admit_calls"](spark, sf).collect())
+    b = sorted((r["agent"], r["ts"], r["admitted"]) for r in q["admit_calls"](spark, sf).collect())
+    assert a == b and any(not x[2] for x in a)
