@@ -94,6 +94,24 @@ def cost_by_agent(priced: DataFrame) -> DataFrame:
             .withColumn("agent_cost", F.col("_exact").cast("double")).drop("_exact"))
 
 
+def money8(c):
+    """Cost as text with 8 decimals, rounded half-up on the exact decimal
+    value first (so no engine's float formatting sees a tie)."""
+    return F.format_string("%.8f", F.round(c.cast(COST), 8).cast("double"))
+
+
+def cost_report(priced: DataFrame) -> DataFrame:
+    """Per run: the summary plus the per-agent cost breakdown as a JSON
+    list sorted by agent, costs as 8-decimal text.  The breakdown holds one
+    entry per agent (a handful), so collecting it per run is bounded; the
+    calls themselves stay a separate table (``price_calls``)."""
+    per = priced.groupBy("run_id", "agent").agg(F.sum("cost_exact").cast(COST).alias("_c"))
+    br = per.groupBy("run_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(
+        F.col("agent"), money8(F.col("_c")).alias("cost"))))).alias("cost_breakdown"))
+    summ = cost_summary(priced).withColumn("total_cost", money8(F.col("total_cost")))
+    return summ.join(br, "run_id", "inner")
+
+
 def cost_per_anomaly(summary: DataFrame, anomaly_counts: DataFrame) -> DataFrame:
     """Run cost divided by its number of anomalies; 0 when there are none."""
     j = summary.join(anomaly_counts, "run_id", "left")

@@ -268,8 +268,9 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = RETRIEVAL_K,
 
 def retrieval_queries(flags: DataFrame) -> DataFrame:
     """One query sentence per flagged account-month."""
+    pct = F.round(F.col("variance_percent").cast("decimal(38,6)"), 2).cast("double")   # half-up on the decimal
     q = F.format_string("%s %s changed %.2f%% in %s (%s)", F.col("gl_account_id"), F.col("account_name"),
-                        F.col("variance_percent"), F.col("current_month"), F.col("direction"))
+                        pct, F.col("current_month"), F.col("direction"))
     return flags.select(F.concat(F.date_format("month", "yyyyMM"), F.lit("-"), F.col("gl_account_id")).alias("anomaly_id"),
                         "gl_account_id", "month", q.alias("query_text"))
 

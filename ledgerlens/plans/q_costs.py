@@ -109,7 +109,7 @@ def admit_calls(spark, sf):
 
 
 @register("sink_cost_json", BASE + """
-SELECT run_id, count(*) AS total_calls, printf('%.8f', CAST(CAST(sum(cost_exact) AS DECIMAL(38,11)) AS DOUBLE)) AS total_cost
+SELECT run_id, count(*) AS total_calls, printf('%.8f', CAST(round(CAST(CAST(CAST(sum(cost_exact) AS DECIMAL(38,11)) AS DOUBLE) AS DECIMAL(38,11)), 8) AS DOUBLE)) AS total_cost
 FROM priced2 GROUP BY run_id""")
 def sink_cost_json(spark, sf):
     """Cost summary written as JSON lines (money as 8-decimal text) and read back."""
@@ -119,3 +119,18 @@ def sink_cost_json(spark, sf):
     path = scratch_path(spark, "cost_json")
     fs.sink_cost_json(s, path)
     return spark.read.schema("run_id string, total_calls long, total_cost string").json(path)
+
+
+@register("cost_report", BASE + """,
+per AS (SELECT run_id, agent, CAST(sum(cost_exact) AS DECIMAL(38,11)) AS c FROM priced2 GROUP BY run_id, agent),
+br AS (SELECT run_id, to_json(list({'agent': agent, 'cost': printf('%.8f', CAST(round(c, 8) AS DOUBLE))} ORDER BY agent))
+              AS cost_breakdown FROM per GROUP BY run_id)
+SELECT s.run_id, count(*) AS total_calls, sum(input_tokens)::BIGINT AS total_input_tokens,
+       sum(output_tokens)::BIGINT AS total_output_tokens,
+       printf('%.8f', CAST(round(CAST(CAST(CAST(sum(cost_exact) AS DECIMAL(38,11)) AS DOUBLE) AS DECIMAL(38,11)), 8) AS DOUBLE)) AS total_cost,
+       min(ts) AS start_time, max(ts) AS end_time, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS total_duration,
+       any_value(br.cost_breakdown) AS cost_breakdown
+FROM priced2 s JOIN br ON s.run_id = br.run_id GROUP BY s.run_id""")
+def cost_report(spark, sf):
+    """Run summary with the per-agent breakdown, as the JSON report holds it."""
+    return co.cost_report(priced(spark, sf))

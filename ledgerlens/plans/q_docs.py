@@ -163,7 +163,8 @@ def context_rollup(spark, sf):
 
 @register("retrieval_queries", o.DETECT_NATION.rstrip() + "," + o.FLAGS + """
 SELECT strftime(month, '%Y%m') || '-' || gl_account_id AS anomaly_id, gl_account_id, month,
-       printf('%s %s changed %.2f%% in %s (%s)', gl_account_id, account_name, variance_percent,
+       printf('%s %s changed %.2f%% in %s (%s)', gl_account_id, account_name,
+              CAST(round(CAST(variance_percent AS DECIMAL(38,6)), 2) AS DOUBLE),
               current_month, direction) AS query_text
 FROM flags""")
 def retrieval_queries(spark, sf):

@@ -86,7 +86,7 @@ def sink_cost_json(summary: DataFrame, path: str) -> None:
     money = [f.name for f in summary.schema.fields if f.name.endswith("cost") or f.name.endswith("_cost_usd")]
     out = summary
     for c in money:
-        out = out.withColumn(c, F.format_string("%.8f", F.col(c).cast("double")))
+        out = out.withColumn(c, F.format_string("%.8f", F.round(F.col(c).cast("decimal(38,11)"), 8).cast("double")))
     out.write.mode("overwrite").json(path)
 
 
