@@ -106,9 +106,11 @@ def enrich_balances(balances: DataFrame,
         "prev_observed_month", "prev_month_balance",
         variance_amount.alias("variance_amount"),
         pct.alias("variance_percent"),
-        F.round(F.when(F.col("_n_avg") == avg_months, F.col("_avg")), 4).alias("rolling_3mo_avg"),
-        F.round(F.when(full_std, F.col("_std6")), 4).alias("rolling_6mo_std"),
-        F.round(z, 4).alias("z_score"),
+        # "+ 0.0" turns a rounded -0.0 into 0.0, so the sign of a value that
+        # is zero up to float error does not depend on summation order
+        (F.round(F.when(F.col("_n_avg") == avg_months, F.col("_avg")), 4) + F.lit(0.0)).alias("rolling_3mo_avg"),
+        (F.round(F.when(full_std, F.col("_std6")), 4) + F.lit(0.0)).alias("rolling_6mo_std"),
+        (F.round(z, 4) + F.lit(0.0)).alias("z_score"),
         outlier.alias("is_statistical_outlier"),
     )
 

@@ -55,10 +55,10 @@ enriched AS (
          CAST(b.net_balance - p.net_balance AS DECIMAL(38,2)) AS variance_amount,
          CAST(b.net_balance - p.net_balance AS DOUBLE)
            / NULLIF(CAST(abs(p.net_balance) AS DOUBLE), 0) * 100.0 AS variance_percent,
-         round(CASE WHEN s.n3 = 3 THEN s.avg3 END, 4) AS rolling_3mo_avg,
-         round(CASE WHEN s.n6 = 6 THEN s.std6 END, 4) AS rolling_6mo_std,
+         round(CASE WHEN s.n3 = 3 THEN s.avg3 END, 4) + 0.0 AS rolling_3mo_avg,
+         round(CASE WHEN s.n6 = 6 THEN s.std6 END, 4) + 0.0 AS rolling_6mo_std,
          round(CASE WHEN s.n6 = 6 AND s.std6 > 0
-                    THEN (CAST(b.net_balance AS DOUBLE) - s.mean6) / s.std6 END, 4) AS z_score,
+                    THEN (CAST(b.net_balance AS DOUBLE) - s.mean6) / s.std6 END, 4) + 0.0 AS z_score,
          CASE WHEN s.n6 <> 6 THEN NULL
               WHEN s.std6 = 0 THEN CAST(b.net_balance AS DOUBLE) <> s.mean6
               ELSE abs((CAST(b.net_balance AS DOUBLE) - s.mean6) / s.std6) > 2.0 END AS is_statistical_outlier
