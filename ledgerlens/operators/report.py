@@ -34,9 +34,15 @@ def signed_pct(c: Column) -> Column:
     return F.concat(F.when(c >= 0, F.lit("+")).otherwise(F.lit("")), fmt2(c), F.lit("%"))
 
 
+EXPLANATION_COLS = ["anomaly_id", "gl_account_id", "month", "severity", "is_expected_variance", "confidence",
+                    "root_cause", "supporting_evidence", "recommendation", "requires_immediate_attention"]
+
+
 def explain_anomalies(flags: DataFrame, accounts: DataFrame) -> DataFrame:
     """Rule-based explanation per flagged row: expected or not, confidence,
-    root cause, evidence list, recommendation, urgency."""
+    root cause, evidence list, recommendation, urgency.  The flag columns
+    are kept, so sections and reports read this one frame (no second
+    evaluation of the flags to join back)."""
     acc = accounts.select(F.col("account_id").alias("gl_account_id"), "typical_min", "typical_max",
                           "is_seasonal", "seasonal_pattern")
     j = flags.join(acc, "gl_account_id", "left")
@@ -64,7 +70,7 @@ def explain_anomalies(flags: DataFrame, accounts: DataFrame) -> DataFrame:
            .otherwise(F.lit("Monitor next month.")))
     return j.select(
         anomaly_key(F.col("gl_account_id"), F.col("month")).alias("anomaly_id"),
-        "gl_account_id", "month", "severity",
+        *[c for c in flags.columns],
         expected.alias("is_expected_variance"),
         confidence.alias("confidence"),
         root.alias("root_cause"),
@@ -122,11 +128,10 @@ def explanation_requests(flags: DataFrame, history: DataFrame | None = None, con
 SEVERITY_MARK = {"high": "[HIGH]", "medium": "[MEDIUM]", "low": "[LOW]"}
 
 
-def report_sections(flags: DataFrame, explanations: DataFrame) -> DataFrame:
-    """One markdown section per anomaly (as a single text column)."""
-    ex = explanations.select("anomaly_id", "is_expected_variance", "confidence", "root_cause",
-                             "supporting_evidence", "recommendation", "requires_immediate_attention")
-    j = flags.withColumn("anomaly_id", anomaly_key(F.col("gl_account_id"), F.col("month"))).join(ex, "anomaly_id", "inner")
+def report_sections(explained: DataFrame) -> DataFrame:
+    """One markdown section per anomaly (as a single text column), from the
+    output of ``explain_anomalies``."""
+    j = explained
     mark = F.when(F.col("severity") == "high", F.lit(SEVERITY_MARK["high"])).when(
         F.col("severity") == "medium", F.lit(SEVERITY_MARK["medium"])).otherwise(F.lit(SEVERITY_MARK["low"]))
     arrow = F.when(F.col("direction") == "increase", F.lit("up")).otherwise(F.lit("down"))
@@ -157,28 +162,43 @@ RECOMMENDATIONS = [
 def report_lines(sections: DataFrame, month: str | Column, n_medium: int = 3) -> DataFrame:
     """Report of one month as (section, line_no, text): header and counts,
     every high section in rank order, the first ``n_medium`` medium ones
-    (with a note when more exist), then the static recommendations."""
+    (with a note when more exist), then the static recommendations.
+
+    One pass: ranks and month counts are windows over the month's sections,
+    and each row emits its own line plus, on the month's first row, the
+    header, note and closing lines (``explode``), so the sections are
+    computed once.
+    """
     m = F.to_date(F.lit(f"{month}-01")) if isinstance(month, str) else month
     s = sections.filter(F.col("month") == m)
-    order = F.abs(F.col("variance_percent")).desc()
-    w = Window.partitionBy("severity").orderBy(order, F.col("gl_account_id"))
-    ranked = s.withColumn("_rk", F.row_number().over(w))
-    shown = ranked.filter((F.col("severity") == "high") | ((F.col("severity") == "medium") & (F.col("_rk") <= n_medium)))
-    counts = s.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "high").alias("h"),
-                   F.count_if(F.col("severity") == "medium").alias("md"))
+    order = [F.abs(F.col("variance_percent")).desc(), F.col("gl_account_id")]
+    by_sev = Window.partitionBy("severity").orderBy(*order)
+    whole = Window.partitionBy("month")
+    s = (s.withColumn("_rk", F.row_number().over(by_sev))
+         .withColumn("_pos", F.row_number().over(whole.orderBy(F.col("severity"), *order)))
+         .withColumn("_n", F.count(F.lit(1)).over(whole))
+         .withColumn("_h", F.count_if(F.col("severity") == "high").over(whole))
+         .withColumn("_md", F.count_if(F.col("severity") == "medium").over(whole)))
+    first = F.col("_pos") == 1
+    shown = (F.col("severity") == "high") | ((F.col("severity") == "medium") & (F.col("_rk") <= n_medium))
     label = F.date_format(m, "yyyy-MM")
-    header = counts.select(F.lit(0).alias("section"), F.lit(0).alias("line_no"), F.concat(
-        F.lit("# Variance report "), label, F.lit("\n\n"), F.col("n").cast("string"), F.lit(" anomalies: "),
-        F.col("h").cast("string"), F.lit(" high, "), F.col("md").cast("string"), F.lit(" medium")).alias("text"))
-    body = shown.select(
-        F.when(F.col("severity") == "high", F.lit(1)).otherwise(F.lit(2)).alias("section"),
-        F.col("_rk").cast("int").alias("line_no"), F.col("section_text").alias("text"))
-    note = counts.filter(F.col("md") > n_medium).select(
-        F.lit(2).alias("section"), F.lit(10 ** 6).alias("line_no"),
-        F.concat(F.lit(f"(showing top {n_medium} of "), F.col("md").cast("string"), F.lit(" medium items)")).alias("text"))
+
+    def line(section, line_no, text):
+        return F.struct(F.lit(section).alias("section"), line_no.cast("int").alias("line_no"), text.alias("text"))
+
+    header = F.concat(F.lit("# Variance report "), label, F.lit("\n\n"), F.col("_n").cast("string"), F.lit(" anomalies: "),
+                      F.col("_h").cast("string"), F.lit(" high, "), F.col("_md").cast("string"), F.lit(" medium"))
+    note = F.concat(F.lit(f"(showing top {n_medium} of "), F.col("_md").cast("string"), F.lit(" medium items)"))
     recs = F.lit("## Recommendations\n" + "\n".join(f"- {r}" for r in RECOMMENDATIONS))
-    tail = counts.select(F.lit(3).alias("section"), F.lit(0).alias("line_no"), recs.alias("text"))
-    return header.unionByName(body).unionByName(note).unionByName(tail)
+    lines = F.array(
+        F.when(first, line(0, F.lit(0), header)),
+        F.when(shown, F.struct(F.when(F.col("severity") == "high", F.lit(1)).otherwise(F.lit(2)).alias("section"),
+                               F.col("_rk").cast("int").alias("line_no"), F.col("section_text").alias("text"))),
+        F.when(first & (F.col("_md") > n_medium), line(2, F.lit(10 ** 6), note)),
+        F.when(first, line(3, F.lit(0), recs)),
+    )
+    return (s.select(F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("l"))
+            .select("l.section", "l.line_no", "l.text"))
 
 
 def report_summary(flags: DataFrame, accounts: DataFrame, month: str) -> DataFrame:

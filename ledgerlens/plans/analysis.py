@@ -56,7 +56,7 @@ def run_analysis(spark: SparkSession, raw_ledger: DataFrame, raw_accounts: DataF
     hist_counts = hi.history_count(history) if history is not None else None
     context = dc.retrieve_context(flags, chunks, history_counts=hist_counts)
     explanations = rp.explain_anomalies(flags, accounts)
-    report = rp.report_lines(rp.report_sections(flags, explanations), target_month)
+    report = rp.report_lines(rp.report_sections(explanations), target_month)
     inv = hi.investigations_from_flags(flags, run_id=F.lit(f"run-{target_month}"), explanations=explanations.select(
         "anomaly_id", "root_cause", F.array_join("supporting_evidence", "; ").alias("llm_explanation"),
         F.col("confidence").alias("llm_confidence")))

@@ -83,13 +83,13 @@ def flags_and_explanations(spark, sf):
 
 @register("explain_anomalies", BASE + "SELECT * FROM ex")
 def explain_anomalies(spark, sf):
-    return flags_and_explanations(spark, sf)[1]
+    return flags_and_explanations(spark, sf)[1].select(*rp.EXPLANATION_COLS)
 
 
 @register("report_sections", BASE.rstrip() + "," + SECTIONS_SQL + "\nSELECT * FROM sec")
 def report_sections(spark, sf):
-    flags, ex = flags_and_explanations(spark, sf)
-    return rp.report_sections(flags, ex)
+    _, ex = flags_and_explanations(spark, sf)
+    return rp.report_sections(ex)
 
 
 @register("report", BASE.rstrip() + "," + SECTIONS_SQL + f""",
@@ -107,8 +107,8 @@ SELECT 2, 1000000, '(showing top 3 of ' || CAST(md AS VARCHAR) || ' medium items
 UNION ALL
 SELECT 3, 0, '## Recommendations' || chr(10) || '{chr(10).join("- " + r for r in rp.RECOMMENDATIONS).replace(chr(10), "' || chr(10) || '")}' FROM c""")
 def report(spark, sf):
-    flags, ex = flags_and_explanations(spark, sf)
-    return rp.report_lines(rp.report_sections(flags, ex), REPORT_MONTH)
+    _, ex = flags_and_explanations(spark, sf)
+    return rp.report_lines(rp.report_sections(ex), REPORT_MONTH)
 
 
 @register("report_summary", o.DETECT_NATION.rstrip() + "," + o.FLAGS + f"""
@@ -168,9 +168,9 @@ def sink_report(spark, sf):
     """The report written as one markdown file and read back whole."""
     from ..session import scratch_path
     from ..sources import files as fs
-    flags, ex = flags_and_explanations(spark, sf)
+    _, ex = flags_and_explanations(spark, sf)
     path = scratch_path(spark, "report")
-    fs.sink_report(rp.report_lines(rp.report_sections(flags, ex), REPORT_MONTH), path)
+    fs.sink_report(rp.report_lines(rp.report_sections(ex), REPORT_MONTH), path)
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("report_text"))
 
 
