@@ -33,7 +33,7 @@ def investigations_from_flags(flags: DataFrame, run_id: Column | None = None,
     return (inv.withColumn("is_true_anomaly", F.lit(None).cast("boolean"))
             .withColumn("investigation_notes", F.lit(None).cast("string"))
             .withColumn("resolved_by", F.lit(None).cast("string"))
-            .withColumn("resolved_at", F.lit(None).cast("timestamp")))
+            .withColumn("resolved_at", F.lit(None).cast("timestamp_ntz")))
 
 
 def recent_history(history: DataFrame, n: int = HISTORY_LIMIT) -> DataFrame:

@@ -59,7 +59,7 @@ ACCOUNTS = T.StructType([
 
 CALL_LOG = T.StructType([
     T.StructField("run_id", T.StringType()),
-    T.StructField("ts", T.TimestampType()),
+    T.StructField("ts", T.TimestampNTZType()),
     T.StructField("model", T.StringType()),
     T.StructField("agent", T.StringType()),
     T.StructField("input_tokens", T.LongType()),
@@ -81,7 +81,7 @@ INVESTIGATIONS = T.StructType([
     T.StructField("is_true_anomaly", T.BooleanType()),
     T.StructField("investigation_notes", T.StringType()),
     T.StructField("resolved_by", T.StringType()),
-    T.StructField("resolved_at", T.TimestampType()),
+    T.StructField("resolved_at", T.TimestampNTZType()),
     T.StructField("run_id", T.StringType()),
 ])
 
@@ -92,15 +92,15 @@ FEEDBACK = T.StructType([
     T.StructField("adjust_threshold", T.BooleanType()),
     T.StructField("resolution_notes", T.StringType()),
     T.StructField("resolved_by", T.StringType()),
-    T.StructField("feedback_ts", T.TimestampType()),
+    T.StructField("feedback_ts", T.TimestampNTZType()),
 ])
 
 STORED_RESULTS = T.StructType([
     T.StructField("namespace", T.StringType()),
     T.StructField("key", T.StringType()),
     T.StructField("value", T.StringType()),
-    T.StructField("created_at", T.TimestampType()),
-    T.StructField("expires_at", T.TimestampType()),
+    T.StructField("created_at", T.TimestampNTZType()),
+    T.StructField("expires_at", T.TimestampNTZType()),
     T.StructField("size_bytes", T.LongType()),
 ])
 
