@@ -206,3 +206,15 @@ def sink_account_docs(spark, sf):
     fs.sink_account_docs(dc.account_docs(ad.accounts_from_customers(spark, sf)), path)
     return spark.read.schema("account_id string, source_file string, text string").json(path).select(
         "account_id", "text")
+
+
+@register("scan_docs", o.with_(o.SQL_ACCOUNTS_NATION, ACCOUNT_DOCS_SQL) + "SELECT account_id, text FROM docs")
+def scan_docs(spark, sf):
+    """The nation accounts' docs written one folder per account (a small
+    master), then scanned back as documentation files."""
+    from ..session import scratch_path
+    from ..sources import files as fs
+    path = scratch_path(spark, "docs_folder")
+    fs.sink_account_docs(dc.account_docs(ad.accounts_from_nations(spark, sf)), path, folder_per_account=True)
+    back = fs.scan_docs(spark, path, account_from="folder")
+    return back.select("account_id", F.regexp_replace("text", r"\n$", "").alias("text"))

@@ -198,3 +198,26 @@ def merge_split_evidence(spark, sf):
                                         F.regexp_extract(e, r"(\d\d)$", 1)))
         .otherwise(F.array(e))))
     return ex.select("anomaly_id", broken.alias("broken"), tx.merge_split_evidence(broken).alias("merged"))
+
+
+def _band_explainer(batches):
+    """Example user explanation hook: runs per Arrow batch in pandas."""
+    import pandas as pd
+    for pdf in batches:
+        band = pd.cut(pdf["variance_percent"].abs(), [0, 30, 100, 1000, float("inf")],
+                      labels=["moderate", "large", "very large", "extreme"], right=True).astype(str)
+        yield pd.DataFrame({
+            "anomaly_id": pdf["anomaly_id"],
+            "explanation": pdf["gl_account_id"] + " moved a " + band + " amount in " + pdf["current_month"],
+            "band": band,
+        })
+
+
+@register("explain_with_hook")
+def explain_with_hook(spark, sf):
+    """Explanations from a user function over Arrow batches (the slot a
+    remote explainer would take); rows-only."""
+    flags, _ = flags_and_explanations(spark, sf)
+    keyed = flags.select(F.concat(F.date_format("month", "yyyyMM"), F.lit("-"), F.col("gl_account_id")).alias("anomaly_id"),
+                         "gl_account_id", "current_month", "variance_percent")
+    return rp.explain_with(keyed, _band_explainer, "anomaly_id string, explanation string, band string")

@@ -38,18 +38,21 @@ def scan_accounts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _csv(spark, ACCOUNTS_RAW, paths)
 
 
-def scan_docs(spark: SparkSession, folder: str) -> DataFrame:
+def scan_docs(spark: SparkSession, folder: str, account_from: str = "file") -> DataFrame:
     """Documentation files (``.md`` / ``.txt``, any depth): one row per file.
 
-    The account id is the file stem up to the first ``_`` (the whole stem
-    when there is none).
+    ``account_from="file"``: the account id is the file stem up to the
+    first ``_`` (the whole stem when there is none).  ``"folder"``: it is
+    the ``account_id=`` folder the file lies in (as ``sink_account_docs``
+    writes them).
     """
     df = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     name = F.col("_metadata.file_name")
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    return (df.select(F.col("value").alias("text"), name.alias("source_file"))
-            .filter(name.endswith(".md") | name.endswith(".txt"))
-            .withColumn("account_id", F.split(stem, "_").getItem(0)))
+    acc = (F.split(stem, "_").getItem(0) if account_from == "file"
+           else F.regexp_extract(F.col("_metadata.file_path"), r"account_id=([^/]+)/", 1))
+    return (df.select(F.col("value").alias("text"), name.alias("source_file"), acc.alias("account_id"))
+            .filter(name.endswith(".md") | name.endswith(".txt")))
 
 
 def table_read(spark: SparkSession, sql: str, **params) -> DataFrame:
