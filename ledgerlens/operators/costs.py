@@ -50,12 +50,11 @@ def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
     The price table is a fixed list of a few models, so broadcasting it is
     safe at any data size.
     """
-    default = prices.filter(F.col("model") == DEFAULT_PRICE_MODEL).select(
-        F.col("input_price").alias("_d_in"), F.col("output_price").alias("_d_out"))
-    p = F.broadcast(prices)
-    j = calls.join(p, "model", "left").join(F.broadcast(default), how="left")
-    in_price = F.coalesce("input_price", "_d_in")
-    out_price = F.coalesce("output_price", "_d_out")
+    # The default model's price is a fixed value: a literal, not a join.
+    d_in, d_out = next((i, o) for m, i, o in PRICES_PER_MILLION if m == DEFAULT_PRICE_MODEL)
+    j = calls.join(F.broadcast(prices), "model", "left")
+    in_price = F.coalesce(F.col("input_price"), (F.lit(d_in).cast(PER_TOKEN) / 1000000).cast(PER_TOKEN))
+    out_price = F.coalesce(F.col("output_price"), (F.lit(d_out).cast(PER_TOKEN) / 1000000).cast(PER_TOKEN))
     # Exact decimals while computing; the result columns are doubles (the
     # exact value rounded once), which compare equal across engines.
     input_cost = F.col("input_tokens").cast(TOKENS) * in_price
@@ -65,7 +64,7 @@ def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
             .withColumn("output_cost", output_cost.cast(COST).cast("double"))
             .withColumn("total_cost", F.col("cost_exact").cast("double"))
             .withColumn("query_preview", F.substring(F.coalesce(F.col("query_preview"), F.lit("")), 1, 100))
-            .drop("input_price", "output_price", "_d_in", "_d_out"))
+            .drop("input_price", "output_price"))
 
 
 def cost_summary(priced: DataFrame) -> DataFrame:
