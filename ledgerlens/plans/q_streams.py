@@ -73,13 +73,13 @@ def stream_ledger(spark, sf):
 @register("stream_admit_calls")
 def stream_admit_calls(spark, sf):
     """The limiter replay as a stateful stream over the call log landed one
-    file per day (one day per micro-batch); rows-only, and a test checks it
+    file per day (a week per micro-batch); rows-only, and a test checks it
     equals the batch replay."""
     calls = ad.call_log_from_events(spark, sf).select("ts", "agent").withColumn("day", F.to_date("ts"))
     path = scratch_path(spark, "calls_by_day")
     calls.write.partitionBy("day").parquet(path)
     schema = spark.read.parquet(path).schema
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 7).parquet(path)
     out = sm.write_stream(sm.admit_calls_stream(src, per_minute=2, per_hour=4),
                           scratch_path(spark, "stream_admit"), scratch_path(spark, "ckpt_admit"))
     return spark.read.parquet(out).select(F.col("key").alias("agent"), F.col("ts").cast("timestamp_ntz").alias("ts"),
