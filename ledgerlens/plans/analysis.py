@@ -60,7 +60,7 @@ def run_analysis(spark: SparkSession, raw_ledger: DataFrame, raw_accounts: DataF
     inv = hi.investigations_from_flags(flags, run_id=F.lit(f"run-{target_month}"), explanations=explanations.select(
         "anomaly_id", "root_cause", F.array_join("supporting_evidence", "; ").alias("llm_explanation"),
         F.col("confidence").alias("llm_confidence")))
-    inv.write.mode("append").parquet(inv_path)
+    st.store_investigations(spark, inv, inv_path)
     run = st.run_rows(flags, accounts)
     st.store_run(run, runs_path)
     return AnalysisResult(target_month, flags, context, explanations, report, run)

@@ -126,6 +126,19 @@ def run_rows(flags: DataFrame, accounts: DataFrame, period: str = "monthly") ->
     )
 
 
+def store_investigations(spark: SparkSession, investigations: DataFrame, path: str, dedupe: bool = True) -> DataFrame:
+    """Append investigation records.  With ``dedupe`` (default) a rerun of
+    the same run adds nothing: rows whose (anomaly id, run id) is stored
+    already are skipped.  ``dedupe=False`` appends blindly, like the
+    reference's unkeyed inserts."""
+    new = investigations
+    if dedupe and _exists(spark, path):
+        new = new.join(spark.read.parquet(path).select("anomaly_id", "run_id"), ["anomaly_id", "run_id"], "left_anti")
+    new = new.persist()
+    new.write.mode("append").parquet(path)
+    return new
+
+
 def store_run(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").parquet(path)
 

@@ -112,3 +112,13 @@ def test_stream_limiter_equals_batch(spark):
     a = sorted((r["agent"], r["ts"], r["admitted"]) for r in q["stream_admit_calls"](spark, sf).collect())
     b = sorted((r["agent"], r["ts"], r["admitted"]) for r in q["admit_calls"](spark, sf).collect())
     assert a == b and any(not x[2] for x in a)
+
+
+def test_store_investigations_rerun_is_idempotent(spark):
+    inv = spark.createDataFrame([("i1", "r1", "A"), ("i2", "r1", "B")], "anomaly_id string, run_id string, gl_account_id string")
+    path = scratch_path(spark, "t_inv")
+    st.store_investigations(spark, inv, path)
+    st.store_investigations(spark, inv, path)
+    assert spark.read.parquet(path).count() == 2
+    st.store_investigations(spark, inv, path, dedupe=False)
+    assert spark.read.parquet(path).count() == 4
