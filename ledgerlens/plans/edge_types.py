@@ -1,6 +1,6 @@
-"""Result columns of the registered queries that are exact decimals inside
-the library and are handed to the driver as doubles (generated; a test
-checks it against the query schemas)."""
+"""Result columns of the registered queries whose type is changed at the
+driver edge (generated; the oracle test checks the map is complete):
+exact decimals become doubles, dates become ISO ``yyyy-MM-dd`` text."""
 
 DECIMAL_RESULT_COLUMNS = {
     'account_threshold_detect': ['current_balance', 'previous_balance', 'variance_amount'],
@@ -47,3 +47,55 @@ DECIMAL_RESULT_COLUMNS = {
     'upsert_accounts': ['typical_min', 'typical_max'],
     'zscore_outliers': ['net_balance'],
 }
+
+DATE_RESULT_COLUMNS = {
+    'account_threshold_after_feedback': ['month'],
+    'account_threshold_detect': ['month'],
+    'append_ledger': ['transaction_date'],
+    'apply_feedback': ['detected_month'],
+    'approval_route': ['month'],
+    'category_variance': ['month'],
+    'check_balance_domain': ['month'],
+    'check_flag_domain': ['month'],
+    'detect_anomalies': ['month'],
+    'detect_anomalies_lineitem': ['month'],
+    'detect_anomalies_sparse': ['month'],
+    'detect_month': ['month'],
+    'explain_anomalies': ['month'],
+    'explanation_requests': ['month'],
+    'filter_month': ['month'],
+    'filter_variance': ['month'],
+    'flag_material': ['month'],
+    'generate_ledger': ['transaction_date'],
+    'generate_month': ['transaction_date'],
+    'join_accounts': ['month'],
+    'late_rows': ['month'],
+    'ledger_partition_counts': ['month'],
+    'load_all_months': ['transaction_date'],
+    'mom_variance': ['month'],
+    'mom_variance_dense': ['month'],
+    'monthly_balances': ['month'],
+    'monthly_balances_for': ['month'],
+    'new_transactions': ['transaction_date'],
+    'observed_months': ['month', 'prev_observed_month'],
+    'past_anomaly_count': ['month'],
+    'previous_observed_month': ['month', 'prev_observed_month'],
+    'project_ledger': ['transaction_date'],
+    'rank_anomalies': ['month'],
+    'recent_history': ['detected_month'],
+    'refresh_balances': ['month'],
+    'report_sections': ['month'],
+    'retrieval_queries': ['month'],
+    'rolling_avg': ['month'],
+    'rolling_std': ['month'],
+    'scan_ledger': ['transaction_date'],
+    'seasonal_break': ['month'],
+    'sort_ledger': ['transaction_date'],
+    'store_investigations': ['detected_month'],
+    'stream_dedupe': ['transaction_date'],
+    'stream_ledger': ['month'],
+    'stream_monthly_balances': ['month'],
+    'table_read': ['month'],
+    'top_medium': ['month'],
+    'zscore_outliers': ['month'],
+}
