@@ -52,10 +52,14 @@ def history_count(history: DataFrame, cap: int = RETRIEVAL_HISTORY_LIMIT) -> Dat
 
 
 def latest_feedback(feedback: DataFrame) -> DataFrame:
-    """One feedback per anomaly: the latest (ties by notes text)."""
-    w = Window.partitionBy("anomaly_id").orderBy(F.col("feedback_ts").desc_nulls_last(),
-                                                 F.col("resolution_notes").desc_nulls_last())
-    return feedback.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    """One feedback per anomaly: the latest (ties by notes text).  An
+    aggregate (``max_by``), so an anomaly reviewed very many times is
+    merged map-side instead of sorted in one task."""
+    rest = [c for c in feedback.columns if c != "anomaly_id"]
+    latest = F.max_by(F.struct(*[F.col(c) for c in rest]),
+                      F.struct(F.col("feedback_ts"), F.col("resolution_notes")))
+    return (feedback.groupBy("anomaly_id").agg(latest.alias("_f"))
+            .select("anomaly_id", *[F.col(f"_f.{c}").alias(c) for c in rest]))
 
 
 def apply_feedback(history: DataFrame, feedback: DataFrame) -> DataFrame:

@@ -122,3 +122,15 @@ def test_store_investigations_rerun_is_idempotent(spark):
     assert spark.read.parquet(path).count() == 2
     st.store_investigations(spark, inv, path, dedupe=False)
     assert spark.read.parquet(path).count() == 4
+
+
+def test_latest_feedback_per_anomaly(spark):
+    fb = spark.createDataFrame([
+        ("i1", True, None, False, "first", "a", dt.datetime(2025, 3, 1)),
+        ("i1", False, None, True, "second", "b", dt.datetime(2025, 3, 5)),
+        ("i1", True, None, False, "undated", "c", None),
+        ("i2", True, None, False, "only", "d", None)],
+        "anomaly_id string, is_true_anomaly boolean, correct_explanation string, adjust_threshold boolean, "
+        "resolution_notes string, resolved_by string, feedback_ts timestamp_ntz")
+    got = {r["anomaly_id"]: r["resolution_notes"] for r in hi.latest_feedback(fb).collect()}
+    assert got == {"i1": "second", "i2": "only"}
