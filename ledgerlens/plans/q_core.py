@@ -222,13 +222,13 @@ SELECT gl_account_id, month, variance_percent,
        row_number() OVER (PARTITION BY month ORDER BY abs(variance_percent) DESC, gl_account_id) AS anomaly_rank
 FROM flags""")
 def rank_anomalies(spark, sf):
-    """Rank within month.  Computed from the globally sorted output: the
-    sort is range-partitioned, and the rank is a per-month running count."""
-    ranked = det.rank_anomalies(nation_flags(spark, sf))
-    from pyspark.sql import Window
-    w = Window.partitionBy("month").orderBy(F.abs(F.col("variance_percent")).desc(), F.col("gl_account_id"))
-    return ranked.select("gl_account_id", "month", "variance_percent",
-                         F.row_number().over(w).alias("anomaly_rank"))
+    """Rank within month, worst first.  Numbered from the global range
+    sort (``operators.ranking``), so a month holding most flags is not
+    sorted in one task."""
+    from ..operators.ranking import row_number_in_groups
+    flags = nation_flags(spark, sf).select("gl_account_id", "month", "variance_percent")
+    return row_number_in_groups(flags, ["month"], [F.abs(F.col("variance_percent")).desc(), F.col("gl_account_id")],
+                                name="anomaly_rank")
 
 
 @register("top_medium", o.DETECT_NATION.rstrip() + "," + o.FLAGS + """,
