@@ -164,21 +164,22 @@ def report_lines(sections: DataFrame, month: str | Column, n_medium: int = 3) ->
     every high section in rank order, the first ``n_medium`` medium ones
     (with a note when more exist), then the static recommendations.
 
-    One pass: ranks and month counts are windows over the month's sections,
-    and each row emits its own line plus, on the month's first row, the
-    header, note and closing lines (``explode``), so the sections are
-    computed once.
+    The month's counts are one aggregate row joined back (broadcast: one row
+    per month); ranks per severity are numbered from a global sort
+    (``operators.ranking``); each row emits its own line plus, on one
+    designated row, the header, note and closing lines (``explode``).
     """
+    from .ranking import row_number_in_groups
     m = F.to_date(F.lit(f"{month}-01")) if isinstance(month, str) else month
     s = sections.filter(F.col("month") == m)
     order = [F.abs(F.col("variance_percent")).desc(), F.col("gl_account_id")]
-    by_sev = Window.partitionBy("severity").orderBy(*order)
-    whole = Window.partitionBy("month")
-    s = (s.withColumn("_rk", F.row_number().over(by_sev))
-         .withColumn("_pos", F.row_number().over(whole.orderBy(F.col("severity"), *order)))
-         .withColumn("_n", F.count(F.lit(1)).over(whole))
-         .withColumn("_h", F.count_if(F.col("severity") == "high").over(whole))
-         .withColumn("_md", F.count_if(F.col("severity") == "medium").over(whole)))
+    # month counts: one aggregate row (joined back, so no whole-month window)
+    counts = s.groupBy("month").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("severity") == "high").alias("_h"),
+        F.count_if(F.col("severity") == "medium").alias("_md"), F.min("severity").alias("_first_sev"))
+    # ranks per severity from the global sort (a big severity group is not one task)
+    s = row_number_in_groups(s, ["severity"], order, name="_rk").join(F.broadcast(counts), "month")
+    s = s.withColumn("_pos", F.when((F.col("severity") == F.col("_first_sev")) & (F.col("_rk") == 1), F.lit(1)))
     first = F.col("_pos") == 1
     shown = (F.col("severity") == "high") | ((F.col("severity") == "medium") & (F.col("_rk") <= n_medium))
     label = F.date_format(m, "yyyy-MM")
