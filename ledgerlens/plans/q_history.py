@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import balances as bal
 from ..operators import detect as det
 from ..operators import history as hi
 from . import adapters as ad
