@@ -209,3 +209,83 @@ def run_analysis(spark, sf):
     acc = ad.accounts_from_nations(spark, sf)
     raw_acc = acc.select(*[F.col(c).cast("string").alias(c) for c in acc.columns])
     return run(spark, raw, raw_acc, scratch_path(spark, "analysis")).report
+
+
+# ---------------------------------------------------------------------------
+# DuckDB twins of the generators (same md5-derived noise)
+# ---------------------------------------------------------------------------
+
+def _noise_sql(seed: int, *parts: str) -> str:
+    text = "concat_ws('|', '" + str(seed) + "', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")"
+    return (f"(CAST((('0x' || substr(md5({text}), 1, 12))::BIGINT % 2000000) AS DOUBLE)"
+            f" / CAST(1000000.0 AS DOUBLE) - CAST(1.0 AS DOUBLE))")
+
+
+def _seasonal_sql(acc: str, month: str) -> str:
+    from ..sources.generate import SEASONAL_FACTORS
+    f = "1.0"
+    for a, months, factor in SEASONAL_FACTORS:
+        ms = ", ".join(str(m) for m in months)
+        f = f"(CASE WHEN {acc} = '{a}' AND month({month}) IN ({ms}) THEN {f} * {factor} ELSE {f} END)"
+    return f
+
+
+_GEN_ACCOUNTS = """
+accounts AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS account_id,
+         CAST(round((abs(c_acctbal) + 100.0) * 0.8, 2) AS DECIMAL(18,2)) AS typical_min,
+         CAST(round((abs(c_acctbal) + 100.0) * 1.2, 2) AS DECIMAL(18,2)) AS typical_max
+  FROM customer
+),
+span AS (SELECT CAST(date_trunc('month', min(o_orderdate)) AS DATE) AS s,
+                CAST(date_trunc('month', max(o_orderdate)) AS DATE) AS e FROM orders),
+base AS (
+  SELECT account_id,
+         coalesce((CAST(typical_min AS DOUBLE) + CAST(typical_max AS DOUBLE)) / 2, 10000.0) AS b,
+         coalesce((CAST(typical_max AS DOUBLE) - CAST(typical_min AS DOUBLE)) / 2,
+                  coalesce((CAST(typical_min AS DOUBLE) + CAST(typical_max AS DOUBLE)) / 2, 10000.0) * 0.1) AS sp
+  FROM accounts
+),
+rows_ AS (
+  SELECT account_id, b, sp, CAST(unnest(generate_series(s, e, INTERVAL 1 MONTH)) AS DATE) AS month, e
+  FROM base, span
+)"""
+
+_amount = (f"(b + {_noise_sql(42, 'account_id', 'month')} * sp * 0.1) * {_seasonal_sql('account_id', 'month')}")
+_anom = f"(month = e AND {_noise_sql(43, 'account_id')} < (0.05 * 2 - 1))"
+_shock = f"(0.3 + ({_noise_sql(44, 'account_id')} + 1) * 1.35)"
+
+GENERATE_LEDGER_SQL = "WITH " + _GEN_ACCOUNTS.strip() + f"""
+SELECT 'TXN-' || account_id || '-' || strftime(month, '%Y%m') AS transaction_id,
+       account_id AS gl_account_id,
+       CAST(month + INTERVAL 14 DAY AS DATE) AS transaction_date,
+       CAST(round(CASE WHEN {_anom} THEN {_amount} * {_shock} ELSE {_amount} END, 2) AS DECIMAL(18,2)) AS amount,
+       CASE WHEN {_anom} THEN 'ANOMALY: monthly ' || account_id || ' - ' || strftime(month, '%B %Y')
+            ELSE 'Monthly ' || account_id || ' - ' || strftime(month, '%B %Y') END AS description,
+       'Operations' AS department,
+       'Vendor_' || account_id AS vendor,
+       'pl_' || strftime(month, '%Y-%m') || '.csv' AS source_file
+FROM rows_"""
+
+_m_pick = f"({_noise_sql(7, 'gl_account_id')} < (0.3 * 2 - 1))"
+_m_shock = f"(0.3 + ({_noise_sql(8, 'gl_account_id')} + 1) * 1.35)"
+_m_amount = f"(CAST(last AS DOUBLE) * (1.0 + {_noise_sql(9, 'gl_account_id')} * 0.05))"
+
+GENERATE_MONTH_SQL = o.with_(o.SQL_LEDGER_SUPPLIER, o.BALANCES) + f""",
+last_ AS (SELECT gl_account_id, arg_max(net_balance, month) AS last,
+                 CAST(max(month) + INTERVAL 1 MONTH AS DATE) AS nm
+          FROM balances GROUP BY gl_account_id)
+SELECT 'TXN-' || gl_account_id || '-' || strftime(nm, '%Y%m') AS transaction_id,
+       gl_account_id,
+       CAST(nm + INTERVAL 14 DAY AS DATE) AS transaction_date,
+       CAST(round(CASE WHEN {_m_pick} THEN {_m_amount} * {_m_shock} ELSE {_m_amount} END, 2) AS DECIMAL(18,2)) AS amount,
+       CASE WHEN {_m_pick} THEN 'ANOMALY: next month' ELSE 'Next month' END AS description,
+       'Operations' AS department,
+       'Vendor_' || gl_account_id AS vendor,
+       'pl_' || strftime(nm, '%Y-%m') || '.csv' AS source_file
+FROM last_"""
+
+from .catalog import ORACLE as _ORACLE  # noqa: E402
+
+_ORACLE["generate_ledger"] = GENERATE_LEDGER_SQL
+_ORACLE["generate_month"] = GENERATE_MONTH_SQL

@@ -1,7 +1,7 @@
 """Synthetic ledgers for scale tests, generated on the executors.
 
 Rows come from ``sequence`` + ``explode`` per account (no join), noise from
-``xxhash64(seed, account, month)`` so any executor regenerates the same row.
+``md5(seed|account|month)`` so any executor regenerates the same row.
 """
 
 from __future__ import annotations
@@ -25,8 +25,11 @@ SEASONAL_FACTORS = [
 
 
 def unit_noise(seed: int, *parts: Column) -> Column:
-    """Deterministic value in [-1, 1) from the hash of the parts."""
-    h = F.xxhash64(F.lit(seed), *parts)
+    """Deterministic value in [-1, 1) from the md5 of ``seed|part|...``
+    (first 48 bits), so any executor, and any SQL engine with md5,
+    derives the same value."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    h = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
     return (F.pmod(h, F.lit(2_000_000)).cast("double") / F.lit(1_000_000.0)) - F.lit(1.0)
 
 
