@@ -187,15 +187,43 @@ def parse_sections(spark, sf):
     return ex.select("anomaly_id", tx.parse_sections(marked).alias("sections")).select("anomaly_id", "sections.*")
 
 
-@register("merge_split_evidence")
+_NUM = "regexp_matches(regexp_replace(trim(x), '^-\\s*', ''), '^[0-9.]+$') AND regexp_matches(trim(x), '[0-9]')"
+_LAST = "string_split(acc, chr(30))[-1]"
+_GROUP = "(\\\\\\$\\d+)(\\d{3})(\\D|$)"
+
+
+def _group_sql(x: str, rounds: int = 6) -> str:
+    for _ in range(rounds):
+        x = f"regexp_replace({x}, '{_GROUP}', '\\1,\\2\\3', 'g')"
+    return x
+
+
+MERGE_SQL = BASE + f"""
+SELECT anomaly_id, broken,
+       list_transform(string_split(list_reduce(broken, lambda acc, x:
+           CASE WHEN {_NUM} AND (ends_with({_LAST}, '\\$') OR starts_with(trim(x), '-'))
+                THEN acc || regexp_replace(trim(x), '^-\\s*', '')
+                ELSE acc || chr(30) || x END), chr(30)), lambda s: {_group_sql('s')}) AS merged
+FROM (SELECT anomaly_id,
+             flatten(list_transform(supporting_evidence, lambda e:
+               CASE WHEN regexp_matches(e, '\\d,\\d{{3}}\\.\\d\\d$')
+                    THEN [regexp_replace(e, '(\\d+),(\\d{{3}})\\.(\\d\\d)$', '\\\\$\\1'),
+                          '-' || regexp_extract(e, '(\\d{{3}}\\.\\d\\d)$', 1)]
+                    ELSE [e] END)) AS broken
+      FROM ex)"""
+
+
+@register("merge_split_evidence", MERGE_SQL)
 def merge_split_evidence(spark, sf):
-    """Evidence lists split in the middle of amounts (at the decimal
-    point), merged back (rows-only; unit tests cover the rule)."""
+    """Evidence lists with every amount split at its thousands comma into
+    ``... \\$812`` and ``-237.81`` (as a list split mid-amount arrives),
+    merged back into ``\\$812,237.81``."""
     from ..functions import text as tx
     _, ex = flags_and_explanations(spark, sf)
     broken = F.flatten(F.transform("supporting_evidence", lambda e: F.when(
-        e.rlike(r"\d\.\d\d$"), F.array(F.regexp_replace(e, r"\.(\d\d)$", r" \\\\\$"),
-                                        F.regexp_extract(e, r"(\d\d)$", 1)))
+        e.rlike(r"\d,\d{3}\.\d\d$"),
+        F.array(F.regexp_replace(e, r"(\d+),(\d{3})\.(\d\d)$", r"\\\$$1"),
+                F.concat(F.lit("-"), F.regexp_extract(e, r"(\d{3}\.\d\d)$", 1))))
         .otherwise(F.array(e))))
     return ex.select("anomaly_id", broken.alias("broken"), tx.merge_split_evidence(broken).alias("merged"))
 
