@@ -186,7 +186,9 @@ def retrieve_context(spark, sf):
     return dc.retrieve_context(flags, nation_chunks(spark, sf), history_counts=hi.history_count(inv))
 
 
-@register("attach_context")
+@register("attach_context", o.DETECT_NATION.rstrip() + "," + o.FLAGS + """
+SELECT strftime(month, '%Y%m') || '-' || gl_account_id AS anomaly_id, severity, severity = 'high' AS has_context
+FROM flags""")
 def attach_context(spark, sf):
     """Flags joined to context from the high-severity-only retrieval; the
     medium / low ones are the skipped (anti-join) side, counted here."""
