@@ -8,7 +8,7 @@ from ..operators import history as hi
 from ..operators import report as rp
 from . import adapters as ad
 from . import oracle as o
-from .catalog import register
+from .catalog import ORACLE, register
 from .q_core import nation_flags
 from .q_history import INV_SQL
 
@@ -92,20 +92,33 @@ def report_sections(spark, sf):
     return rp.report_sections(ex)
 
 
-@register("report", BASE.rstrip() + "," + SECTIONS_SQL + f""",
+def report_sql(month_sql: str, label_sql: str) -> str:
+    """The report's lines for one month; nothing when the month has no flags."""
+    recs = "' || chr(10) || '".join("- " + r for r in rp.RECOMMENDATIONS)
+    return BASE.rstrip() + "," + SECTIONS_SQL + f""",
 s AS (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY abs(variance_percent) DESC, gl_account_id) AS rk
-      FROM sec WHERE month = DATE '{REPORT_MONTH}-01'),
+      FROM sec WHERE month = {month_sql}),
 c AS (SELECT count(*) AS n, count_if(severity = 'high') AS h, count_if(severity = 'medium') AS md FROM s)
 SELECT 0 AS section, 0 AS line_no,
-       '# Variance report {REPORT_MONTH}' || chr(10) || chr(10) || CAST(n AS VARCHAR) || ' anomalies: '
-       || CAST(h AS VARCHAR) || ' high, ' || CAST(md AS VARCHAR) || ' medium' AS text FROM c
+       '# Variance report ' || {label_sql} || chr(10) || chr(10) || CAST(n AS VARCHAR) || ' anomalies: '
+       || CAST(h AS VARCHAR) || ' high, ' || CAST(md AS VARCHAR) || ' medium' AS text FROM c WHERE n > 0
 UNION ALL
 SELECT CASE WHEN severity = 'high' THEN 1 ELSE 2 END, CAST(rk AS INTEGER), section_text FROM s
 WHERE severity = 'high' OR (severity = 'medium' AND rk <= 3)
 UNION ALL
 SELECT 2, 1000000, '(showing top 3 of ' || CAST(md AS VARCHAR) || ' medium items)' FROM c WHERE md > 3
 UNION ALL
-SELECT 3, 0, '## Recommendations' || chr(10) || '{chr(10).join("- " + r for r in rp.RECOMMENDATIONS).replace(chr(10), "' || chr(10) || '")}' FROM c""")
+SELECT 3, 0, '## Recommendations' || chr(10) || '{recs}' FROM c WHERE n > 0"""
+
+
+REPORT_SQL = report_sql(f"DATE '{REPORT_MONTH}-01'", f"'{REPORT_MONTH}'")
+
+# the whole-analysis chain reports the ledger's newest month
+_NEWEST = "(SELECT CAST(date_trunc('month', max(transaction_date)) AS DATE) FROM ledger)"
+ORACLE["run_analysis"] = report_sql(_NEWEST, f"strftime({_NEWEST}, '%Y-%m')")
+
+
+@register("report", REPORT_SQL)
 def report(spark, sf):
     _, ex = flags_and_explanations(spark, sf)
     return rp.report_lines(rp.report_sections(ex), REPORT_MONTH)
@@ -148,21 +161,7 @@ def explanation_requests(spark, sf):
                                                               "history_text")
 
 
-@register("sink_report", BASE.rstrip() + "," + SECTIONS_SQL + f""",
-s AS (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY abs(variance_percent) DESC, gl_account_id) AS rk
-      FROM sec WHERE month = DATE '{REPORT_MONTH}-01'),
-c AS (SELECT count(*) AS n, count_if(severity = 'high') AS h, count_if(severity = 'medium') AS md FROM s),
-lines AS (
-  SELECT 0 AS section, 0 AS line_no,
-         '# Variance report {REPORT_MONTH}' || chr(10) || chr(10) || CAST(n AS VARCHAR) || ' anomalies: '
-         || CAST(h AS VARCHAR) || ' high, ' || CAST(md AS VARCHAR) || ' medium' AS text FROM c
-  UNION ALL
-  SELECT CASE WHEN severity = 'high' THEN 1 ELSE 2 END, CAST(rk AS INTEGER), section_text FROM s
-  WHERE severity = 'high' OR (severity = 'medium' AND rk <= 3)
-  UNION ALL
-  SELECT 2, 1000000, '(showing top 3 of ' || CAST(md AS VARCHAR) || ' medium items)' FROM c WHERE md > 3
-  UNION ALL
-  SELECT 3, 0, '## Recommendations' || chr(10) || '{chr(10).join("- " + r for r in rp.RECOMMENDATIONS).replace(chr(10), "' || chr(10) || '")}' FROM c)
+@register("sink_report", "WITH lines AS (" + REPORT_SQL + """)
 SELECT string_agg(text || chr(10), '' ORDER BY section, line_no) AS report_text FROM lines""")
 def sink_report(spark, sf):
     """The report written as one markdown file and read back whole."""
