@@ -99,12 +99,31 @@ def call_rate_stats_by_agent(spark, sf):
                                                      "calls_last_minute", "calls_last_hour")
 
 
-@register("admit_calls")
+def limiter_sql(per_minute: int, per_hour: int) -> str:
+    """The limiter replay as a recursive CTE: per agent, call n+1 is decided
+    from the admitted call times of the last hour carried as a list."""
+    keep = "list_filter(r.state, lambda a: a >= c.us - 3600000000)"
+    ok = (f"(len(list_filter(r.state, lambda a: a >= c.us - 60000000)) < {per_minute}"
+          f" AND len({keep}) < {per_hour})")
+    return o.with_(o.CALL_LOG) + f""",
+c AS (SELECT agent, ts, epoch_us(ts) AS us,
+             row_number() OVER (PARTITION BY agent ORDER BY epoch_us(ts), ts) AS rn FROM call_log),
+r AS (
+  SELECT agent, rn, ts, TRUE AS admitted, [us] AS state FROM c WHERE rn = 1
+  UNION ALL
+  SELECT c.agent, c.rn, c.ts, {ok},
+         CASE WHEN {ok} THEN list_append({keep}, c.us) ELSE {keep} END
+  FROM r JOIN c ON c.agent = r.agent AND c.rn = r.rn + 1
+)
+SELECT ts, agent, admitted FROM r"""
+
+
+@register("admit_calls", "WITH RECURSIVE" + limiter_sql(2, 4)[len("WITH"):])
 def admit_calls(spark, sf):
     """Rate-limiter replay per agent with tight limits (2 a minute, 4 an
-    hour) so that rejections happen on the test data.  No SQL twin: the
-    decision is recursive; tests compare it with a plain Python replay."""
-    c = ad.call_log_from_events(spark, sf).select("ts", "agent", "caller_id")
+    hour) so that rejections happen on the test data.  The SQL twin is a
+    recursive CTE carrying the admitted times of the last hour."""
+    c = ad.call_log_from_events(spark, sf).select("ts", "agent")
     return co.admit_calls(c, key="agent", per_minute=2, per_hour=4)
 
 

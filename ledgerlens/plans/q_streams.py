@@ -70,11 +70,16 @@ def stream_ledger(spark, sf):
     return df.select(*cols)
 
 
-@register("stream_admit_calls")
+def _limiter_sql():
+    from .q_costs import limiter_sql
+    return "WITH RECURSIVE" + limiter_sql(2, 4)[len("WITH"):]
+
+
+@register("stream_admit_calls", _limiter_sql())
 def stream_admit_calls(spark, sf):
     """The limiter replay as a stateful stream over the call log landed one
-    file per day (a week per micro-batch); rows-only, and a test checks it
-    equals the batch replay."""
+    file per day (a week per micro-batch); same result as the batch replay
+    and its recursive SQL twin."""
     calls = ad.call_log_from_events(spark, sf).select("ts", "agent").withColumn("day", F.to_date("ts"))
     path = scratch_path(spark, "calls_by_day")
     calls.write.partitionBy("day").parquet(path)

@@ -27,9 +27,9 @@ def con():
 
 
 def test_every_query_has_oracle_or_is_listed():
-    rows_only = {"admit_calls", "chunk_docs_recursive", "embed_chunks", "retrieve_context",
+    rows_only = {"chunk_docs_recursive", "embed_chunks", "retrieve_context",
                  "parse_sections",
-                 "stream_admit_calls", "explain_with_hook"}
+                 "explain_with_hook"}
     assert set(QUERIES) - set(ORACLE) == rows_only
 
 
