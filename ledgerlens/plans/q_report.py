@@ -176,8 +176,8 @@ def sink_report(spark, sf):
 @register("parse_sections")
 def parse_sections(spark, sf):
     """Explanations rendered as marked-up text and parsed back into
-    sections (rows-only: the section pattern needs look-ahead, which the
-    SQL engine lacks; unit tests cover it)."""
+    sections (the SQL twin below replaces the look-ahead, which DuckDB's
+    regex engine lacks, by a consumed alternative)."""
     from ..functions import text as tx
     _, ex = flags_and_explanations(spark, sf)
     marked = F.concat(F.lit("**Root Cause**: "), F.col("root_cause"),
@@ -248,3 +248,53 @@ def explain_with_hook(spark, sf):
     keyed = flags.select(F.concat(F.date_format("month", "yyyyMM"), F.lit("-"), F.col("gl_account_id")).alias("anomaly_id"),
                          "gl_account_id", "current_month", "variance_percent")
     return rp.explain_with(keyed, _band_explainer, "anomaly_id string, explanation string, band string")
+
+
+# ---------------------------------------------------------------------------
+# DuckDB twin of parse_sections: the look-ahead end of a section becomes a
+# consumed alternative, and commas between digits are protected by a
+# placeholder before the evidence split.
+# ---------------------------------------------------------------------------
+
+def _section_sql(c: str, title: str) -> str:
+    pat = "(?s)\\*\\*" + title + "\\*\\*:\\s*(.+?)(?:\\n\\*\\*|$)"
+    return f"(CASE WHEN regexp_matches({c}, '{pat}') THEN trim(regexp_extract({c}, '{pat}', 1)) END)"
+
+
+def _parse_sql() -> str:
+    from ..functions import text as tx
+    from .q_text import _sql_fold
+    m = "m"
+
+    def joined(title):
+        return _sql_fold(_section_sql(m, title), tx.SPLIT_AMOUNT_RULES)
+
+    ev = joined("Supporting Evidence")
+    parts = (f"list_transform(string_split(regexp_replace({ev}, '(\\d),(\\d)', '\\1' || chr(31) || '\\2', 'g'), ','),"
+             " lambda s: trim(replace(s, chr(31), ',')))")
+    escaped = f"list_transform({parts}, lambda s: regexp_replace(s, '\\\\?\\$', '\\\\$', 'g'))"
+    merged = (f"list_transform(string_split(list_reduce(esc, lambda acc, x:"
+              f" CASE WHEN {_NUM} AND (ends_with({_LAST}, '\\\\$') OR starts_with(trim(x), '-'))"
+              f" THEN acc || regexp_replace(trim(x), '^-\\\\s*', '') ELSE acc || chr(30) || x END), chr(30)),"
+              f" lambda s: {_group_sql('s')})")
+    return BASE + f""",
+marked AS (
+  SELECT anomaly_id,
+         '**Root Cause**: ' || root_cause || chr(10) || '**Recommendation**: ' || recommendation
+         || chr(10) || '**Supporting Evidence**: ' || array_to_string(supporting_evidence, ', ') AS m
+  FROM ex
+),
+parsed AS (
+  SELECT anomaly_id,
+         {joined("Root Cause")} AS root_cause,
+         {joined("Chain of Thought")} AS chain_of_thought,
+         {joined("Recommendation")} AS recommendation,
+         CASE WHEN {ev} IS NULL OR lower(trim({ev})) = 'none' THEN CAST([] AS VARCHAR[]) ELSE {escaped} END AS esc
+  FROM marked
+)
+SELECT anomaly_id, root_cause, chain_of_thought, recommendation,
+       CASE WHEN len(esc) = 0 THEN CAST([] AS VARCHAR[]) ELSE {merged} END AS supporting_evidence
+FROM parsed"""
+
+
+ORACLE["parse_sections"] = _parse_sql()
