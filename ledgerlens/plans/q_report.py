@@ -240,10 +240,16 @@ def _band_explainer(batches):
         })
 
 
-@register("explain_with_hook")
+@register("explain_with_hook", o.DETECT_NATION.rstrip() + "," + o.FLAGS + """,
+b AS (SELECT strftime(month, '%Y%m') || '-' || gl_account_id AS anomaly_id, gl_account_id, current_month,
+             CASE WHEN abs(variance_percent) <= 30 THEN 'moderate' WHEN abs(variance_percent) <= 100 THEN 'large'
+                  WHEN abs(variance_percent) <= 1000 THEN 'very large' ELSE 'extreme' END AS band
+      FROM flags)
+SELECT anomaly_id, gl_account_id || ' moved a ' || band || ' amount in ' || current_month AS explanation, band FROM b""")
 def explain_with_hook(spark, sf):
     """Explanations from a user function over Arrow batches (the slot a
-    remote explainer would take); rows-only."""
+    remote explainer would take); the example function is simple enough
+    to have a SQL twin."""
     flags, _ = flags_and_explanations(spark, sf)
     keyed = flags.select(F.concat(F.date_format("month", "yyyyMM"), F.lit("-"), F.col("gl_account_id")).alias("anomaly_id"),
                          "gl_account_id", "current_month", "variance_percent")

@@ -27,7 +27,7 @@ def con():
 
 
 def test_every_query_has_oracle_or_is_listed():
-    rows_only = {"chunk_docs_recursive", "embed_chunks", "retrieve_context", "explain_with_hook"}
+    rows_only = {"chunk_docs_recursive", "embed_chunks", "retrieve_context"}
     assert set(QUERIES) - set(ORACLE) == rows_only
 
 
