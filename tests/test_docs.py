@@ -82,3 +82,23 @@ def test_sink_account_docs_folder_per_account(spark):
     back = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"account_id=([^/]+)", 1).alias("a"), "value")
     assert sorted((r["a"], r["value"].rstrip("\n")) for r in back.collect()) == [("1", "# one\nbody"), ("2", "# two")]
+
+
+def test_retrieve_context_filters_by_account_first(spark):
+    import datetime as dt
+    flags = spark.createDataFrame(
+        [("A", "Rent", dt.date(2025, 2, 1), "2025-02", 50.0, "increase", "high"),
+         ("B", "Travel", dt.date(2025, 2, 1), "2025-02", -40.0, "decrease", "high")],
+        "gl_account_id string, account_name string, month date, current_month string, variance_percent double, "
+        "direction string, severity string")
+    chunks = spark.createDataFrame(
+        [(f"A_{i}", "A", f"rent changed text {i}", "A_rent.md") for i in range(5)]
+        + [("C_0", "C", "rent changed text", "C_other.md")],
+        "chunk_id string, account_id string, chunk_text string, source_file string")
+    hist = spark.createDataFrame([("A", 7)], "gl_account_id string, history_count long")
+    ctx = {r["gl_account_id"]: r for r in dc.retrieve_context(flags, chunks, history_counts=hist).collect()}
+    a, b = ctx["A"], ctx["B"]
+    assert a["account_documentation"].startswith("rent changed text")
+    assert len(a["similar_cases"]) == 2 and a["source_files"] == ["A_rent.md"]   # only A's chunks, k = 3
+    assert b["account_documentation"] == "No documentation found" and b["similar_cases"] == []
+    assert a["past_anomaly_count"] == 7 and b["past_anomaly_count"] == 0
