@@ -254,9 +254,4 @@ def approval_route(spark, sf):
         "gl_account_id", "month", "severity", "approval", "action")
 
 
-@register("high_severity_list", o.DETECT_NATION.rstrip() + "," + o.FLAGS + """
-SELECT gl_account_id, account_name, current_month, variance_percent, variance_amount
-FROM flags WHERE severity = 'high'""")
-def high_severity_list(spark, sf):
-    return det.high_severity_list(nation_flags(spark, sf)).select(
-        "gl_account_id", "account_name", "current_month", "variance_percent", "variance_amount")
+

@@ -304,3 +304,18 @@ FROM parsed"""
 
 
 ORACLE["parse_sections"] = _parse_sql()
+
+
+@register("high_severity_list", BASE + """
+SELECT gl_account_id, account_name, current_month, variance_percent, variance_amount,
+       substr(recommendation, 1, 100) AS recommendation_short
+FROM ex JOIN (SELECT strftime(month, '%Y%m') || '-' || gl_account_id AS anomaly_id, account_name, current_month,
+                     variance_percent, variance_amount FROM flags) f USING (anomaly_id)
+WHERE ex.severity = 'high'""")
+def high_severity_list(spark, sf):
+    """The console list of high rows, recommendation cut to 100 characters."""
+    from ..operators import detect as det
+    _, ex = flags_and_explanations(spark, sf)
+    return det.high_severity_list(ex, recommendation_col="recommendation").select(
+        "gl_account_id", "account_name", "current_month", "variance_percent", "variance_amount",
+        "recommendation_short")
