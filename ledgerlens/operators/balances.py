@@ -32,10 +32,14 @@ def monthly_balances(ledger: DataFrame, months: list[str] | None = None) -> Data
     """SUM(amount), COUNT(*) per account and month.
 
     ``months`` restricts the roll-up to some months (given as ``YYYY-MM``);
-    the filter is on the transaction date, so it reaches the scan.
+    the filter is on the transaction date, so it reaches the scan, and on
+    the ``month`` partition column when the ledger is a stored table.
     """
     df = ledger
     if months:
+        if "month" in ledger.columns:
+            # a stored ledger partitioned by month: prune partitions
+            df = df.filter(F.col("month").isin([F.to_date(F.lit(f"{m}-01")) for m in months]))
         bounds = None
         for m in months:
             start = F.to_date(F.lit(f"{m}-01"))

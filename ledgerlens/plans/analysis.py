@@ -34,15 +34,16 @@ class AnalysisResult:
 
 def run_analysis(spark: SparkSession, raw_ledger: DataFrame, raw_accounts: DataFrame, base: str,
                  target_month: str | None = None, threshold: float = 15.0,
-                 docs: DataFrame | None = None, mode: str = "fail") -> AnalysisResult:
+                 docs: DataFrame | None = None, mode: str = "fail",
+                 id_scope: str = "global") -> AnalysisResult:
     ledger = va.project_ledger(raw_ledger, mode=mode)
     accounts = va.project_accounts(raw_accounts, mode=mode)
     if mode == "quarantine":
         ledger, accounts = ledger[0], accounts[0]
     ledger_path, bal_path, inv_path, runs_path = (f"{base}/ledger", f"{base}/balances",
                                                   f"{base}/investigations", f"{base}/runs")
-    st.append_ledger(spark, ledger, ledger_path)
-    stored = spark.read.parquet(ledger_path).drop("month")
+    st.append_ledger(spark, ledger, ledger_path, id_scope=id_scope)
+    stored = spark.read.parquet(ledger_path)      # keeps the month partition column (pruning)
     if target_month is None:
         # one scalar: the newest month of the batch
         target_month = ledger.agg(F.date_format(F.max("transaction_date"), "yyyy-MM")).first()[0]

@@ -35,25 +35,44 @@ def dedupe_first(batch: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def new_transactions(batch: DataFrame, existing: DataFrame | None,
-                     order: list[str] | None = None) -> DataFrame:
+                     order: list[str] | None = None, id_scope: str = "global") -> DataFrame:
     """Rows to insert: complete rows (no NULL account, date or amount),
-    first per id within the batch, and ids not stored yet (first write wins)."""
+    first per id within the batch, and ids not stored yet (first write wins).
+
+    ``id_scope="global"`` (default, exact) checks the id against the whole
+    stored ledger.  ``"month"`` checks it only within the row's month: the
+    stored table is partitioned by month, so dynamic partition pruning reads
+    only the months the batch touches.  Exact as long as a transaction's
+    date never changes between deliveries.
+    """
     b = batch.filter(F.col("transaction_id").isNotNull() & F.col("gl_account_id").isNotNull()
                      & F.col("transaction_date").isNotNull() & F.col("amount").isNotNull())
     order = order or (["source_file", "file_order"] if "file_order" in b.columns else ["source_file", "transaction_id"])
     b = dedupe_first(b, "transaction_id", order)
     if existing is not None:
-        b = b.join(existing.select("transaction_id"), "transaction_id", "left_anti")
+        if id_scope == "month":
+            ex_month = existing["month"] if "month" in existing.columns else bal.month_start("transaction_date")
+            b = b.withColumn("month", bal.month_start("transaction_date"))
+            # The batch's months (a calendar-bounded list) become a filter on
+            # the stored table's month partition column: only the touched
+            # months are read.  (Spark does not prune the build side of an
+            # anti-join dynamically.)
+            touched = [r["month"] for r in b.select("month").distinct().collect()]
+            ex = existing.select("transaction_id", ex_month.alias("month")).filter(F.col("month").isin(touched))
+            b = b.join(ex, ["transaction_id", "month"], "left_anti")
+        elif id_scope == "global":
+            b = b.join(existing.select("transaction_id"), "transaction_id", "left_anti")
+        else:
+            raise ValueError(f"id_scope must be 'global' or 'month': {id_scope}")
     return b.select(*[c for c in LEDGER_COLS if c in b.columns])
 
 
-def append_ledger(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
-    """Insert-or-ignore by transaction id into the ledger table; returns the
-    rows that were new."""
+def append_ledger(spark: SparkSession, batch: DataFrame, path: str, id_scope: str = "global") -> None:
+    """Insert-or-ignore by transaction id into the ledger table (partitioned
+    by month)."""
     existing = spark.read.parquet(path) if _exists(spark, path) else None
-    new = new_transactions(batch, existing).withColumn("month", bal.month_start("transaction_date"))
+    new = new_transactions(batch, existing, id_scope=id_scope).withColumn("month", bal.month_start("transaction_date"))
     new.write.mode("append").partitionBy("month").parquet(path)
-    return new
 
 
 def upsert_accounts(master: DataFrame, batch: DataFrame, order_col: str | None = None) -> DataFrame:
@@ -126,7 +145,7 @@ def run_rows(flags: DataFrame, accounts: DataFrame, period: str = "monthly") ->
     )
 
 
-def store_investigations(spark: SparkSession, investigations: DataFrame, path: str, dedupe: bool = True) -> DataFrame:
+def store_investigations(spark: SparkSession, investigations: DataFrame, path: str, dedupe: bool = True) -> None:
     """Append investigation records.  With ``dedupe`` (default) a rerun of
     the same run adds nothing: rows whose (anomaly id, run id) is stored
     already are skipped.  ``dedupe=False`` appends blindly, like the
@@ -134,9 +153,7 @@ def store_investigations(spark: SparkSession, investigations: DataFrame, path: s
     new = investigations
     if dedupe and _exists(spark, path):
         new = new.join(spark.read.parquet(path).select("anomaly_id", "run_id"), ["anomaly_id", "run_id"], "left_anti")
-    new = new.persist()
     new.write.mode("append").parquet(path)
-    return new
 
 
 def store_run(runs: DataFrame, path: str) -> None:

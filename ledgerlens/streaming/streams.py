@@ -61,7 +61,7 @@ def call_rate_windows(calls: DataFrame, key: str = "agent", size: str = "60 seco
 
 
 def stream_ledger(spark: SparkSession, ledger_stream: DataFrame, accounts: DataFrame, base: str,
-                  checkpoint: str) -> str:
+                  checkpoint: str, id_scope: str = "global") -> str:
     """Micro-batch pipeline: append -> refresh -> detect.  Each batch's
     months are re-aggregated; detection output is rewritten for those
     months and the month observed after each (dynamic partition overwrite),
@@ -74,11 +74,11 @@ def stream_ledger(spark: SparkSession, ledger_stream: DataFrame, accounts: DataF
         # the append: afterwards the anti-join would see the rows as stored.
         months = sorted(r["m"] for r in batch.select(
             F.date_format("transaction_date", "yyyy-MM").alias("m")).distinct().collect())
-        st.append_ledger(spark, batch, ledger_path)
+        st.append_ledger(spark, batch, ledger_path, id_scope=id_scope)
         batch.unpersist()
         if not months:
             return
-        stored = spark.read.parquet(ledger_path).drop("month")
+        stored = spark.read.parquet(ledger_path)   # month partition column kept: refresh prunes
         # The month list is bounded by the calendar; only those partitions
         # of the balance table are rewritten.
         enriched = st.refresh_balances(spark, stored, bal_path,

@@ -134,3 +134,18 @@ def test_latest_feedback_per_anomaly(spark):
         "resolution_notes string, resolved_by string, feedback_ts timestamp_ntz")
     got = {r["anomaly_id"]: r["resolution_notes"] for r in hi.latest_feedback(fb).collect()}
     assert got == {"i1": "second", "i2": "only"}
+
+
+def test_month_scoped_insert_and_partition_pruning(spark):
+    path = scratch_path(spark, "t_ledger_scope")
+    first = [("1", "A", "2025-01-10", 100), ("2", "A", "2025-02-10", 50)]
+    st.append_ledger(spark, ledger_rows(spark, first), path)
+    batch = ledger_rows(spark, [("2", "A", "2025-02-10", 50), ("3", "A", "2025-02-11", 70)])
+    stored = spark.read.parquet(path)
+    g = sorted(r["transaction_id"] for r in st.new_transactions(batch, stored, id_scope="global").collect())
+    m_df = st.new_transactions(batch, stored, id_scope="month")
+    m = sorted(r["transaction_id"] for r in m_df.collect())
+    assert g == m == ["3"]
+    # a month refresh on the stored table filters the month partition column
+    plan = bal.monthly_balances(stored, months=["2025-02"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
