@@ -54,3 +54,20 @@ def test_incremental_equals_batch(spark):
     assert _collect(inc) == _collect(batch)
     again = st.refresh_balances(spark, led, path, target_month=months[-1])     # rerun: same table
     assert _collect(again) == _collect(batch)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st_.lists(st_.tuples(st_.sampled_from(["hot", "hot", "hot", "k1", "k2"]), st_.integers(0, 3 * 3600)),
+                 min_size=1, max_size=120),
+       st_.sampled_from([3600, 7200, 86400]))
+def test_trailing_counts_match_brute_force(spark, events, bucket):
+    from ledgerlens.operators.costs import trailing_counts
+    t0 = dt.datetime(2024, 3, 1)
+    rows = [(k, t0 + dt.timedelta(seconds=s), i) for i, (k, s) in enumerate(events)]
+    df = spark.createDataFrame(rows, "caller_id string, ts timestamp_ntz, i int")
+    got = {r["i"]: (r["m"], r["h"]) for r in
+           trailing_counts(df, "caller_id", "ts", {"m": 60, "h": 3600}, bucket_seconds=bucket).collect()}
+    for k, s, i in [(k, s, i) for i, (k, s) in enumerate(events)]:
+        same = [s2 for k2, s2 in events if k2 == k]
+        exp = (sum(1 for u in same if s - 60 <= u <= s), sum(1 for u in same if s - 3600 <= u <= s))
+        assert got[i] == exp
