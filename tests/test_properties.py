@@ -71,3 +71,42 @@ def test_trailing_counts_match_brute_force(spark, events, bucket):
         same = [s2 for k2, s2 in events if k2 == k]
         exp = (sum(1 for u in same if s - 60 <= u <= s), sum(1 for u in same if s - 3600 <= u <= s))
         assert got[i] == exp
+
+
+@settings(max_examples=5, deadline=None)
+@given(st_.integers(20, 120), st_.sampled_from([4, 16, 64]), st_.integers(1, 4), st_.integers(0, 10_000))
+def test_blocked_topk_matches_brute_force(spark, n, block, k, seed):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from ledgerlens.operators.docs import topk_similar
+    rnd = np.random.default_rng(seed)
+    vecs = rnd.normal(size=(n, 8)).astype(np.float32)
+    keys = np.where(rnd.random(n) < 0.6, 0, rnd.integers(1, 3, size=n))       # key 0 is hot
+    df = spark.createDataFrame([(int(i), [float(x) for x in vecs[i]], int(keys[i])) for i in range(n)],
+                               "id long, embedding array<float>, g int")
+    got = topk_similar(df.select(F.col("id").alias("query_id"), "embedding", "g"),
+                       df.select(F.col("id").alias("chunk_id"), "embedding", "g"),
+                       k=k, key="g", exclude_self=True, block_size=block).collect()
+    mine = {}
+    for r in got:
+        mine.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"]))
+    v = vecs.astype(np.float64)
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(n):
+        cand = sorted((-round(float(v[q] @ v[j]), 6), j) for j in range(n) if keys[j] == keys[q] and j != q)[:k]
+        assert [c for _, c in sorted(mine.get(q, []))] == [j for _, j in cand]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st_.lists(st_.tuples(st_.sampled_from(["a", "a", "a", "b", "c"]), st_.integers(0, 20)), min_size=1,
+                 max_size=200),
+       st_.integers(1, 9))
+def test_distributed_row_numbers_match_window(spark, rows, parts):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from ledgerlens.operators.ranking import row_number_in_groups
+    df = spark.createDataFrame([(g, v, i) for i, (g, v) in enumerate(rows)], "g string, v int, i int")
+    order = [F.col("v").desc(), F.col("i")]
+    got = {r["i"]: r["rn"] for r in row_number_in_groups(df, ["g"], order, name="rn", partitions=parts).collect()}
+    exp = {r["i"]: r["rn"] for r in df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(*order))).collect()}
+    assert got == exp
