@@ -137,7 +137,7 @@ def sink_cost_json(spark, sf):
     s = co.cost_summary(priced(spark, sf)).select("run_id", "total_calls", "total_cost")
     path = scratch_path(spark, "cost_json")
     fs.sink_cost_json(s, path)
-    return spark.read.schema("run_id string, total_calls long, total_cost string").json(path)
+    return spark.read.schema("run_id string, total_calls long, total_cost string").json(f"{path}/summary")
 
 
 @register("cost_report", BASE + """,

@@ -84,13 +84,22 @@ def sink_report(lines: DataFrame, path: str) -> None:
      .select("text").write.mode("overwrite").text(path))
 
 
-def sink_cost_json(summary: DataFrame, path: str) -> None:
-    """Cost summary rows as JSON lines; money columns become 8-decimal text."""
-    money = [f.name for f in summary.schema.fields if f.name.endswith("cost") or f.name.endswith("_cost_usd")]
-    out = summary
+def _money_text(df: DataFrame) -> DataFrame:
+    money = [f.name for f in df.schema.fields if f.name.endswith("cost") or f.name.endswith("_cost_usd")]
     for c in money:
-        out = out.withColumn(c, F.format_string("%.8f", F.round(F.col(c).cast("decimal(38,11)"), 8).cast("double")))
-    out.write.mode("overwrite").json(path)
+        df = df.withColumn(c, F.format_string("%.8f", F.round(F.col(c).cast("decimal(38,11)"), 8).cast("double")))
+    return df
+
+
+def sink_cost_json(summary: DataFrame, path: str, calls: DataFrame | None = None) -> None:
+    """Cost summary rows (one per run, with its per-agent breakdown when
+    given) as JSON lines under ``summary/``; money columns become 8-decimal
+    text.  The calls go to their own JSON-lines table under ``calls/``,
+    partitioned by run, so no run's calls are ever gathered into one row."""
+    _money_text(summary).write.mode("overwrite").json(f"{path}/summary")
+    if calls is not None:
+        (_money_text(calls.drop("cost_exact") if "cost_exact" in calls.columns else calls)
+         .write.mode("overwrite").partitionBy("run_id").json(f"{path}/calls"))
 
 
 def sink_account_docs(docs: DataFrame, out_dir: str, folder_per_account: bool = False) -> None:

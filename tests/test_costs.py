@@ -80,3 +80,16 @@ def test_admit_calls_matches_replay(spark):
         mine = [r["admitted"] for r in sorted((r for r in got if r["caller_id"] == key), key=lambda r: r["ts"])]
         assert mine == exp
     assert any(not r["admitted"] for r in got)
+
+
+def test_cost_json_with_calls(spark):
+    from ledgerlens.session import scratch_path
+    from ledgerlens.sources.files import sink_cost_json
+    rows = [("r1", T0, "gpt-4o", "a", 1_000_000, 0, 1.0, "q"), ("r2", T0, "gpt-4", "b", 10, 10, 1.0, "q")]
+    p = co.price_calls(_calls(spark, rows), co.price_list(spark))
+    path = scratch_path(spark, "t_cost_json")
+    sink_cost_json(co.cost_report(p), path, calls=p)
+    summ = {r["run_id"]: r for r in spark.read.json(f"{path}/summary").collect()}
+    assert summ["r1"]["total_cost"] == "0.00500000" and '"agent":"a"' in summ["r1"]["cost_breakdown"]
+    calls = spark.read.json(f"{path}/calls").collect()
+    assert sorted((r["run_id"], r["total_cost"]) for r in calls) == [("r1", "0.00500000"), ("r2", "0.00000090")]
