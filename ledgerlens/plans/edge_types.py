@@ -1,6 +1,7 @@
 """Result columns of the registered queries whose type is changed at the
-driver edge (generated; the oracle test checks the map is complete):
-exact decimals become doubles, dates become ISO ``yyyy-MM-dd`` text."""
+driver edge (generated by tools/gen_edge_types.py; the oracle test checks
+the map is complete): exact decimals become doubles, dates become ISO
+``yyyy-MM-dd`` text."""
 
 DECIMAL_RESULT_COLUMNS = {
     'account_threshold_detect': ['current_balance', 'previous_balance', 'variance_amount'],
@@ -10,6 +11,7 @@ DECIMAL_RESULT_COLUMNS = {
     'category_variance': ['net_balance', 'prev_balance', 'variance_amount'],
     'check_balance_domain': ['net_balance'],
     'detect_anomalies': ['current_balance', 'previous_balance', 'variance_amount'],
+    'detect_anomalies_hot_account': ['current_balance', 'previous_balance', 'variance_amount'],
     'detect_anomalies_lineitem': ['current_balance', 'previous_balance', 'variance_amount'],
     'detect_anomalies_sparse': ['current_balance', 'previous_balance', 'variance_amount'],
     'detect_month': ['current_balance', 'previous_balance', 'variance_amount'],
@@ -58,6 +60,7 @@ DATE_RESULT_COLUMNS = {
     'check_balance_domain': ['month'],
     'check_flag_domain': ['month'],
     'detect_anomalies': ['month'],
+    'detect_anomalies_hot_account': ['month'],
     'detect_anomalies_lineitem': ['month'],
     'detect_anomalies_sparse': ['month'],
     'detect_month': ['month'],

@@ -255,3 +255,23 @@ def approval_route(spark, sf):
 
 
 
+
+
+_SQL_LEDGER_HOT = o.SQL_LEDGER_SUPPLIER.replace(
+    "CAST(l_suppkey AS VARCHAR) AS gl_account_id",
+    "CASE WHEN l_suppkey % 3 = 0 THEN '1' ELSE CAST(l_suppkey AS VARCHAR) END AS gl_account_id")
+
+
+@register("detect_anomalies_hot_account",
+          o.with_(_SQL_LEDGER_HOT, o.SQL_ACCOUNTS_SUPPLIER, o.BALANCES, o.MONTHS, o.ENRICHED)
+          + o.detect_select(o.GLOBAL_FLAG))
+def detect_anomalies_hot_account(spark, sf):
+    """The line-item ledger with every third supplier's lines booked to
+    account 1, so one account holds a third of all rows: the roll-up
+    pre-aggregates it map-side and the per-account window then sees one row
+    per month for it."""
+    led = ad.ledger_by_supplier(spark, sf).withColumn(
+        "gl_account_id",
+        F.when(F.col("gl_account_id").cast("long") % 3 == 0, F.lit("1")).otherwise(F.col("gl_account_id")))
+    return det.detect_anomalies(bal.enrich_balances(bal.monthly_balances(led)),
+                                ad.accounts_from_suppliers(spark, sf))
