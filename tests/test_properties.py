@@ -110,3 +110,25 @@ def test_distributed_row_numbers_match_window(spark, rows, parts):
     got = {r["i"]: r["rn"] for r in row_number_in_groups(df, ["g"], order, name="rn", partitions=parts).collect()}
     exp = {r["i"]: r["rn"] for r in df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(*order))).collect()}
     assert got == exp
+
+
+@settings(max_examples=40, deadline=None)
+@given(st_.lists(st_.tuples(st_.text(alphabet="abcdefghij", min_size=1, max_size=30),
+                            st_.sampled_from([" ", " ", " ", "\n", "\n\n"])), min_size=0, max_size=200),
+       st_.sampled_from([(100, 10), (500, 50), (60, 0)]))
+def test_recursive_chunks_cover_text_in_order(parts, sizes):
+    from ledgerlens.operators.docs import _split_recursive
+    size, overlap = sizes
+    text = "".join(w + sep for w, sep in parts)
+    chunks = _split_recursive(text, size, overlap)
+    assert all(0 < len(c) <= size for c in chunks)
+    words = text.split()
+    # every word is inside some chunk (a word longer than size is split by characters)
+    joined = " ".join(chunks)
+    assert all(w in joined for w in words if len(w) <= size)
+    # chunks follow the text: each chunk's first word occurs at or after the previous chunk's
+    pos = 0
+    for c in chunks:
+        i = text.find(c.split()[0], pos if pos < len(text) else 0)
+        assert i >= 0
+        pos = i
