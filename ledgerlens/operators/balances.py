@@ -28,9 +28,10 @@ def parse_month(label: str) -> Column:
     return F.to_date(F.lit(f"{label}-01"))
 
 
-def monthly_balances(ledger: DataFrame, months: list[str] | None = None) -> DataFrame:
+def monthly_balances(ledger: DataFrame, months: list[str] | None = None, checkpoint: bool = False) -> DataFrame:
     """SUM(amount), COUNT(*) per account and month.
 
+    ``checkpoint=True`` materialises the result (see below).
     ``months`` restricts the roll-up to some months (given as ``YYYY-MM``);
     the filter is on the transaction date, so it reaches the scan, and on
     the ``month`` partition column when the ledger is a stored table.
@@ -46,11 +47,18 @@ def monthly_balances(ledger: DataFrame, months: list[str] | None = None) -> Data
             cond = (F.col("transaction_date") >= start) & (F.col("transaction_date") < F.add_months(start, 1))
             bounds = cond if bounds is None else (bounds | cond)
         df = df.filter(bounds)
-    return (
+    out = (
         df.groupBy("gl_account_id", month_start("transaction_date").alias("month"))
         .agg(F.sum("amount").cast(MONEY_SUM).alias("net_balance"),
              F.count(F.lit(1)).alias("transaction_count"))
     )
+    if checkpoint:
+        # Large ledgers: write the roll-up to the shared checkpoint folder
+        # once; the month list and the windows then read the (small) balance
+        # table instead of scanning the ledger a second time.
+        from ..session import materialize
+        out = materialize(out)
+    return out
 
 
 def observed_months(balances: DataFrame) -> DataFrame:

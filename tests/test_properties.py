@@ -132,3 +132,12 @@ def test_recursive_chunks_cover_text_in_order(parts, sizes):
         i = text.find(c.split()[0], pos if pos < len(text) else 0)
         assert i >= 0
         pos = i
+
+
+def test_checkpointed_rollup_same_result(spark):
+    from conftest import ledger_rows
+    rows = [(str(i), "AB"[i % 2], f"2025-{1 + i % 5:02d}-10", 10 + i) for i in range(50)]
+    led = ledger_rows(spark, rows)
+    a = bal.mom_variance(bal.monthly_balances(led))
+    b = bal.mom_variance(bal.monthly_balances(led, checkpoint=True))
+    assert _collect(a) == _collect(b)
