@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import slug
-from ..schemas import (CHUNK_OVERLAP, CHUNK_SIZE, NO_DOCUMENTATION, RETRIEVAL_K)
+from ..schemas import (CHUNK_OVERLAP, CHUNK_SIZE, HISTORY_QUERY_PREFIX, NO_DOCUMENTATION, RETRIEVAL_K,
+                       SIMILAR_CASES_K)
 from .detect import real_text
 
 # --------------------------------------------------------------------------
@@ -312,6 +313,17 @@ def retrieve_context(flags: DataFrame, chunks: DataFrame, history_counts: DataFr
     return out
 
 
+def similar_past_anomalies(flags: DataFrame, chunks: DataFrame, k: int = SIMILAR_CASES_K,
+                           dim: int = 256) -> DataFrame:
+    """The ``k`` chunks nearest to each flagged row's query sentence, with
+    the history prefix and no account filter (all accounts' chunks)."""
+    q = retrieval_queries(flags).withColumn("query_text", F.concat(F.lit(HISTORY_QUERY_PREFIX), F.col("query_text")))
+    q = embed_text(q, "query_text", "embedding", dim)
+    c = chunks if "embedding" in chunks.columns else embed_chunks(chunks, dim)
+    return topk_similar(q.select(F.col("anomaly_id").alias("query_id"), "embedding"),
+                        c.select("chunk_id", "embedding"), k=k)
+
+
 def attach_context(flags: DataFrame, context: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Flags joined to their context, and the flags skipped for want of it."""
     keyed = flags.withColumn("anomaly_id", F.concat(F.date_format("month", "yyyyMM"), F.lit("-"), F.col("gl_account_id")))

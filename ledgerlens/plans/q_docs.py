@@ -220,3 +220,11 @@ def scan_docs(spark, sf):
     fs.sink_account_docs(dc.account_docs(ad.accounts_from_nations(spark, sf)), path, folder_per_account=True)
     back = fs.scan_docs(spark, path, account_from="folder")
     return back.select("account_id", F.regexp_replace("text", r"\n$", "").alias("text"))
+
+
+@register("similar_past_anomalies_text")
+def similar_past_anomalies_text(spark, sf):
+    """5 nearest documentation chunks to each flagged row's query sentence
+    prefixed ``Historical anomaly: ``, across all accounts (rows-only: the
+    vectors come from Spark's feature hashing)."""
+    return dc.similar_past_anomalies(nation_flags(spark, sf), nation_chunks(spark, sf))
