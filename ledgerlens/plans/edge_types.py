@@ -40,6 +40,7 @@ DECIMAL_RESULT_COLUMNS = {
     'scan_accounts_csv': ['typical_min', 'typical_max'],
     'scan_ledger': ['amount'],
     'seasonal_break': ['net_balance', 'year_ago_balance', 'yoy_amount'],
+    'sink_ledger_csv': ['amount'],
     'sort_ledger': ['amount'],
     'store_investigations': ['variance_amount'],
     'stream_dedupe': ['amount'],
@@ -93,6 +94,7 @@ DATE_RESULT_COLUMNS = {
     'rolling_std': ['month'],
     'scan_ledger': ['transaction_date'],
     'seasonal_break': ['month'],
+    'sink_ledger_csv': ['transaction_date'],
     'sort_ledger': ['transaction_date'],
     'store_investigations': ['detected_month'],
     'stream_dedupe': ['transaction_date'],

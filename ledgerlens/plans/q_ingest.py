@@ -156,3 +156,95 @@ def scan_accounts_csv(spark, sf):
     out = scratch_path(spark, "accounts_csv")
     acc.write.option("header", True).csv(out)
     return va.project_accounts(fs.scan_accounts(spark, out), mode="fail")
+
+
+# ---------------------------------------------------------------------------
+# One query per validation rule: every row with the rule's verdict
+# ---------------------------------------------------------------------------
+
+def _rule_rows(raw, rules, id_col, names):
+    r = rules(raw)
+    return raw.select(id_col, *[F.coalesce(r[n], F.lit(False)).alias(n) for n in names])
+
+
+_RAW = o.with_(RAW_LEDGER_SQL)
+_ACC_RAW = o.with_(o.SQL_ACCOUNTS_CUSTOMER)
+
+
+@register("check_required_columns", _RAW + """
+SELECT transaction_id, gl_account_id, date, amount, description FROM raw""")
+def check_required_columns(spark, sf):
+    """The schema check (raises on a missing column), then the required
+    columns of every row."""
+    raw = ad.raw_ledger_by_nation(spark, sf)
+    va.check_required_columns(raw, "ledger")
+    return raw.select("transaction_id", "gl_account_id", "date", "amount", "description")
+
+
+@register("check_nulls", _RAW + """
+SELECT transaction_id, gl_account_id IS NULL AS null_account, amount IS NULL AS null_amount FROM raw""")
+def check_nulls(spark, sf):
+    return _rule_rows(ad.raw_ledger_by_nation(spark, sf), va.ledger_rules, "transaction_id",
+                      ["null_account", "null_amount"])
+
+
+@register("check_numeric", _RAW + """
+SELECT transaction_id, coalesce(amount IS NOT NULL AND try_cast(amount AS DOUBLE) IS NULL, FALSE) AS non_numeric_amount
+FROM raw""")
+def check_numeric(spark, sf):
+    return _rule_rows(ad.raw_ledger_by_nation(spark, sf), va.ledger_rules, "transaction_id", ["non_numeric_amount"])
+
+
+@register("check_dates", _RAW + """
+SELECT transaction_id, coalesce(date IS NULL OR try_strptime(date, '%Y-%m-%d') IS NULL, FALSE) AS bad_date FROM raw""")
+def check_dates(spark, sf):
+    return _rule_rows(ad.raw_ledger_by_nation(spark, sf), va.ledger_rules, "transaction_id", ["bad_date"])
+
+
+@register("check_nonzero_amount", _RAW + """
+SELECT transaction_id, coalesce(try_cast(amount AS DOUBLE) = 0, FALSE) AS zero_amount FROM raw""")
+def check_nonzero_amount(spark, sf):
+    return _rule_rows(ad.raw_ledger_by_nation(spark, sf), va.ledger_rules, "transaction_id", ["zero_amount"])
+
+
+def _raw_accounts(spark, sf):
+    acc = ad.accounts_from_customers(spark, sf)
+    return acc.select(*[F.col(c).cast("string").alias(c) for c in acc.columns])
+
+
+@register("check_category_domain", _ACC_RAW + """
+SELECT account_id, NOT coalesce(lower(category) IN ('expense', 'revenue', 'asset', 'liability'), FALSE) AS bad_category
+FROM accounts""")
+def check_category_domain(spark, sf):
+    return _rule_rows(_raw_accounts(spark, sf), va.account_rules, "account_id", ["bad_category"])
+
+
+@register("check_threshold_range", _ACC_RAW + """
+SELECT account_id, coalesce(variance_threshold_pct IS NOT NULL
+                            AND NOT coalesce(variance_threshold_pct BETWEEN 0 AND 100, FALSE), FALSE) AS threshold_out_of_range
+FROM accounts""")
+def check_threshold_range(spark, sf):
+    return _rule_rows(_raw_accounts(spark, sf), va.account_rules, "account_id", ["threshold_out_of_range"])
+
+
+# ---------------------------------------------------------------------------
+# Ledger files: written per month, read back
+# ---------------------------------------------------------------------------
+
+@register("sink_ledger_csv", o.with_(o.SQL_LEDGER_NATION) + "SELECT * EXCLUDE (source_file) FROM ledger")
+def sink_ledger_csv(spark, sf):
+    """The ledger written as monthly CSV files plus one combined file; the
+    combined copy read back and typed."""
+    out = scratch_path(spark, "ledger_csv_sink")
+    fs.sink_ledger_csv(ad.ledger_by_nation(spark, sf), out, combined=True)
+    return va.project_ledger(fs.scan_ledger(spark, f"{out}/all"), mode="fail").drop("source_file")
+
+
+@register("scan_ledger_months", _RAW + """
+SELECT transaction_id, gl_account_id, date, amount, description, department, vendor FROM raw""")
+def scan_ledger_months(spark, sf):
+    """Monthly ledger files scanned as text columns (one folder per month)."""
+    out = scratch_path(spark, "ledger_months")
+    fs.sink_ledger_csv(ad.ledger_by_nation(spark, sf), out, combined=False)
+    raw = fs.scan_ledger_months(spark, f"{out}/by_month", pattern="*/*.csv")
+    return raw.select("transaction_id", "gl_account_id", "date", "amount", "description", "department", "vendor")
