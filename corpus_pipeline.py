@@ -1,10 +1,65 @@
-"""Corpus pipeline: quality rules, near-duplicate join, mixing, packing."""
-STAGES = []
+"""Corpus pipeline: documents to packed token sequences in four stages.
+
+Each stage takes what the one before it kept.  All but the last return the
+columns of the table of documents.
+
+1. quality rules: documents that the rules reject go;
+2. n-gram Jaccard join: of each group of similar documents the one with the
+   smallest id stays (of repeated rows one; a null id ranks last);
+3. mixing: documents are repeated or left out to meet the sources' targets;
+4. packing: the pieces of all documents in sequences of at most 2048 ids.
+
+The pipeline's rows can't be expressed in SQL (binomial bounds, tokenizer), so
+ORACLE_SQL is None and tests compare each stage with a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import mixing, ngram_join, packing, q_native, q_texts, q_tokens
+from ledgerlens.llm.common import stored
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Only the documents to be dropped are joined with the texts by id; a
+    document is found again by its id and the hash of its text."""
+    tied = docs.withColumn("__tie", F.xxhash64("text"))
+    rejected = q_texts.judged(spark, sf_dir, tied, ("doc_id", "lang", "__tie")).where(~F.col("kept")).select(
+        F.col("doc_id").alias("__id"), F.col("__tie").alias("__other")).distinct()
+    return tied.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__other")),
+                     "left_anti").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = ngram_join.similar_documents(docs)
+    # texts without words are in no group; all of them stay, repeated rows once
+    alone = F.col("set_id").isNull()
+    keep = groups.groupBy("set_id", F.when(alone, F.col("doc_id")), F.when(alone, F.col("tie"))).agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first"))
+    keep = keep.select(F.col("first.doc_id").alias("__id"), F.col("first.tie").alias("__other"))
+    tied = docs.withColumn("__tie", F.xxhash64("text"))
+    kept = tied.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__other")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__tie"]).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    weighed = q_native.with_quality(spark, sf_dir, docs)
+    return mixing.mix_documents(weighed, quality=F.col("__quality"), seed=q_native.SEED, drop=["__quality"]).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(packing.pack(docs, q_tokens.vocabulary("byte_bpe_50k.json"), end_id=1, window=2048))
+
+
+STAGES = [("quality_rules", keep_good), ("ngram_join", one_of_each_group), ("mixing", mix), ("packing", pack)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table of documents; each one's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,4 +19,4 @@ def register(name: str, sql: str | None = None):
     return put
 
 
-from . import q_tokens  # noqa: E402,F401
+from . import q_chat, q_native, q_texts, q_tokens  # noqa: E402,F401
