@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .textnum import Texts
-from .token_files import groups, with_end
+from .token_files import ENCODED, groups, with_end
 from .tokenizer import encoder
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64())])
@@ -135,7 +135,7 @@ def _pack(path: str, end_id: int, window: int, most: int, max_gap: int):
         enc = encoder(path)
         for batch in batches:
             doc = batch.column(0).to_pylist()
-            for k, m, t in groups(Texts.of(batch.column(1))):
+            for k, m, t in groups(Texts.of(batch.column(1)), ENCODED):
                 ids, n = with_end(*enc.encode(t), end_id)
                 raw, ends = ids.tobytes(), np.cumsum(n)
                 for d, a, b in zip(doc[k:m], (ends - n).tolist(), ends.tolist(), strict=True):

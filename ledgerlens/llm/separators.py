@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .textnum import Texts, ranges
-from .token_files import groups
+from .token_files import ENCODED, groups
 from .tokenizer import encoder
 
 HEADER = 5
@@ -53,7 +53,7 @@ def _encode(path: str):
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            for k, m, t in groups(Texts.of(batch.column(1))):
+            for k, m, t in groups(Texts.of(batch.column(1)), ENCODED):
                 ids, n = enc.encode(t)
                 if len(ids) and int(ids.max()) > 0xFFFF:
                     raise ValueError("the vocabulary has ids that do not fit in 16 bits")

@@ -51,9 +51,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """64-bit hash of the bytes in each span; an empty span has one too."""
-    out = np.empty(len(starts), np.uint64)
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, *seeds: int) -> np.ndarray:
+    """64-bit hash of the bytes in each span (an empty span has one too); one
+    row for each seed if there are several."""
+    seeds = seeds or (1,)
+    out = np.empty((len(seeds), len(starts)), np.uint64)
     lengths = ends - starts
     done = np.cumsum(lengths)
     k = 0
@@ -61,18 +63,21 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
         base = done[k] - lengths[k]
         m = max(k + 1, int(np.searchsorted(done, base + STEP, "right")))
         s, n = starts[k:m], lengths[k:m]
-        place = ranges(np.zeros(m - k, np.int64), n)
+        at = np.cumsum(n) - n
+        place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(at, n)
         contiguous = len(place) and s[0] + len(place) == ends[m - 1] and np.array_equal(s[1:], ends[k:m - 1])
-        data = buf[s[0]:ends[m - 1]] if contiguous else buf[ranges(s, n)]
-        value = (data.astype(np.uint64) + np.uint64(1)) * _weights(seed, int(n.max()) if len(n) else 1)[place]
-        sums = np.zeros(m - k, np.uint64)
+        data = (buf[s[0]:ends[m - 1]] if contiguous else buf[place + np.repeat(s, n)]).astype(np.uint64)
+        data += np.uint64(1)
         full = n > 0
-        if full.any():
-            at = (np.cumsum(n) - n)[full]
-            sums[full] = np.add.reduceat(value, at)
-        out[k:m] = mix(sums + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for row, seed in zip(out, seeds, strict=True):
+            sums = np.zeros(m - k, np.uint64)
+            if len(data):
+                value = _weights(seed, int(n.max()))[place]
+                value *= data
+                sums[full] = np.add.reduceat(value, at[full])
+            row[k:m] = mix(sums + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         k = m
-    return out
+    return out if len(seeds) > 1 else out[0]
 
 
 @dataclass

@@ -29,8 +29,12 @@ from .textnum import Texts, ranges
 from .tokenizer import encoder
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
+#: rows, one per file, that are broadcast at most
+MAX_BROADCAST = 1_000_000
 #: texts of one Arrow batch are encoded and sent on in groups of so many bytes
 GROUP = 2_000_000
+#: and of so many where they are encoded, as larger groups have fewer distinct pieces
+ENCODED = 4_000_000
 
 
 def groups(t: Texts, size: int = GROUP) -> Iterator[tuple[int, int, Texts]]:
@@ -57,7 +61,7 @@ def _encode_parts(path: str, end_id: int):
         enc = encoder(path)
         for batch in batches:
             doc = batch.column(0)
-            for k, m, t in groups(Texts.of(batch.column(1))):
+            for k, m, t in groups(Texts.of(batch.column(1)), ENCODED):
                 ids, n = with_end(*enc.encode(t), end_id)
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays(
@@ -95,7 +99,8 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: Sequence[int] | No
     offsets = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     if doc_ids is not None:
         rows = rows.where(F.col("doc_id").isin([int(x) for x in doc_ids]))
-    return rows.join(offsets, "part").select(
+    few = parts.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST      # else a plain join
+    return rows.join(F.broadcast(offsets) if few else offsets, "part").select(
         "doc_id", (F.col("offset") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 

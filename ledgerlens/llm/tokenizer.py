@@ -2,31 +2,39 @@
 
 Neither vocabulary of this library joins characters across a blank or a line
 end that stands between two non-blank characters, nor across the end of a run
-of ASCII letters before one of , . ; : ! ?  So texts are cut there.  Equal
-pieces of a batch are found by hash (a second hash confirms), each distinct
-one is encoded once, and the ids are gathered back into texts.  Distinct
-pieces are also remembered between batches; that memory is bounded.
+of ASCII letters before ASCII punctuation other than the apostrophe.  So
+texts are cut there; where the vocabulary has lower case only, capital ASCII
+letters are made small first.  Equal pieces of a batch are found by sorting
+(pieces of up to 16 bytes are compared as they are, longer ones by 128 bits of
+hash), each distinct one is encoded once, and the ids are gathered back into
+texts.  Distinct pieces are also remembered between batches; that memory is
+bounded.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
-from .textnum import Texts, ranges, span_hashes
+from .textnum import Texts, mix, ranges, span_hashes
 
 _SEPARATOR = "<|endoftext|>"
-_LETTERS = re.compile(rb" ?[A-Za-z]+\Z")
+#: a word of Latin letters, perhaps after a blank
+_LETTERS = re.compile(r" ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+\Z")
 _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _IS_MARK = np.zeros(256, bool)
-_IS_MARK[list(b",.;:!?")] = True
+_IS_MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
 #: bytes that are, or may begin, white space
 _MAY_BE_BLANK = np.zeros(256, bool)
 _MAY_BE_BLANK[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
-STEP = 2_000_000
+STEP = 4_000_000
 
 
 def cut_points(t: Texts) -> np.ndarray:
@@ -55,36 +63,73 @@ def cut_points(t: Texts) -> np.ndarray:
     return np.flatnonzero(edge[:n])
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself
+    if it is printable in Latin-1, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def words16(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each piece that differ between different pieces
+    of one length: its bytes themselves, or hashes if it has more than 16."""
+    padded = np.concatenate([buf, np.zeros(32, np.uint8)])
+    phases = [padded[k:k + (len(padded) - k) // 8 * 8].view("<u8") for k in range(8)]
+    out = []
+    for shift in (0, 8):
+        at = s + shift
+        n = np.clip(e - at, 0, 8)
+        value = np.zeros(len(s), np.uint64)
+        phase = at & 7
+        for k in range(8):
+            here = np.flatnonzero((phase == k) & (n > 0))
+            value[here] = phases[k][at[here] >> 3]
+        out.append(value & _LOW_BYTES[n])
+    long = np.flatnonzero(e - s > 16)
+    if len(long):
+        out[0][long], out[1][long] = span_hashes(buf, s[long], e[long], 1, 2)
+    return out[0], out[1]
+
+
 class PieceEncoder:
     """``encode(texts)`` gives the ids of all texts in one uint32 array and
     the number of ids of each text; equal to
     ``Tokenizer.encode(text, add_special_tokens=False)`` with the strings of
     special tokens taken as ordinary text.  None counts as empty."""
 
-    def __init__(self, path: str, max_pieces: int = 900_000, longest: int = 64):
+    def __init__(self, path: str, max_pieces: int = 700_000, longest: int = 64):
         from tokenizers import Tokenizer
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         self.model = self.plain.model
         self.max_pieces, self.longest = max_pieces, longest
         self.known: dict[bytes, bytes] = {}
-        probe = " Ab" if self.plain.normalizer is None else self.plain.normalizer.normalize_str(" Ab")
-        self.as_model_sees = self.plain.pre_tokenizer.pre_tokenize_str(probe)[0][0]   # of a word after a blank
+        self.chars, self.lower = byte_characters(), False
+        seen = [self._model_view(w) for w in (" Ab", " Éßñ")]
+        self.lower = seen[0] == "ab"           # blanks dropped, lower case
+        self.direct = seen == [self._mapped(" Ab"), self._mapped(" Éßñ")]
+
+    def _model_view(self, text: str) -> str | None:
+        """What the model is given for a text, if that is a single word."""
+        if self.plain.normalizer is not None:
+            text = self.plain.normalizer.normalize_str(text)
+        words = [w for w, _ in self.plain.pre_tokenizer.pre_tokenize_str(text)]
+        return words[0] if len(words) == 1 else None
+
+    def _mapped(self, word: str) -> str:
+        if self.lower:
+            word = unicodedata.normalize("NFC", word.strip(" ")).lower()
+        return word.encode().decode("latin-1").translate(self.chars)
 
     def one(self, text: str) -> bytes:
         return np.asarray(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, piece: bytes) -> bytes:
-        if _LETTERS.match(piece):       # one word of ASCII letters goes to the model as it is
-            word = piece.decode()
-            if self.as_model_sees == "ab":
-                word = word.strip(" ").lower()
-            elif self.as_model_sees == "ĠAb":
-                word = word.replace(" ", "Ġ")
-            else:
-                return self.one(word)
-            return np.asarray([x.id for x in self.model.tokenize(word)], "<u4").tobytes()
-        return self.one(piece.decode("utf-8"))
+        text = piece.decode("utf-8")
+        if self.direct and _LETTERS.match(text) and "\u0130" not in text:      # a single word for the model
+            return np.array([x.id for x in self.model.tokenize(self._mapped(text))], "<u4").tobytes()
+        return self.one(text)
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
         known = self.known
@@ -101,7 +146,9 @@ class PieceEncoder:
 
     def _group(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pieces, and the number of ids of each piece."""
-        h = span_hashes(buf, s, e, 1)
+        lo, hi = words16(buf, s, e)
+        n = (e - s).astype(np.uint64)
+        h = mix(lo + n * np.uint64(0x9E3779B97F4A7C15)) + mix(hi ^ np.uint64(0x5851F42D4C957F2D))
         order = np.argsort(h)
         hs = h[order]
         new = np.ones(len(hs), bool)
@@ -109,9 +156,9 @@ class PieceEncoder:
         kind = np.empty(len(hs), np.int64)
         kind[order] = np.cumsum(new) - 1
         first = order[new]
-        check = span_hashes(buf, s, e, 2)
-        if not np.array_equal(check, check[first][kind]):      # two pieces with one hash: all by themselves
-            first, kind = np.arange(len(s)), np.arange(len(s))
+        same = first[kind]
+        if not (np.array_equal(lo, lo[same]) and np.array_equal(hi, hi[same]) and np.array_equal(n, n[same])):
+            first, kind = np.arange(len(s)), np.arange(len(s))        # two pieces with one sort key: all by themselves
         raw = buf.tobytes()
         ids = self._ids([raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -121,6 +168,8 @@ class PieceEncoder:
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         t = texts if isinstance(texts, Texts) else Texts.of(texts)
+        if self.lower:
+            t = Texts(_SMALL[t.buf], t.starts, t.ends)
         s = cut_points(t)
         e = np.append(s[1:], len(t.buf))
         if not len(s):
