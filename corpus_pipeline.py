@@ -45,8 +45,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    weighed = q_native.with_quality(spark, sf_dir, docs)
-    return mixing.mix_documents(weighed, quality=F.col("__quality"), seed=q_native.SEED, drop=["__quality"]).select(*docs.columns)
+    return mixing.mix_documents(docs, quality=mixing.text_quality("text"), seed=q_native.SEED)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,15 @@ def sampling_key(id_col: Column, quality: Column, seed: int) -> Column:
     return -F.log(u) / weight
 
 
+def text_quality(text_col: str) -> Column:
+    """A document's weight in the sample, from its text alone: a quarter if
+    the mean word length is outside 3 to 10 characters, half if it has fewer
+    than 50 words."""
+    words, chars = word_count(text_col), F.length(F.col(text_col))
+    mean = (chars - words) / F.greatest(words, F.lit(1))
+    return F.when(mean.between(3, 10), 1.0).otherwise(0.25) * F.when(words >= 50, 1.0).otherwise(0.5)
+
+
 def source_targets(sizes: DataFrame, cycle: Sequence[float], budget: float, max_epochs: int) -> DataFrame:
     """Of (source, source_size), one row per source: the target and how many
     complete epochs it holds.  Sources in code-point order (null last) get the
@@ -105,9 +114,8 @@ def mix_plan(docs: DataFrame, cycle: Sequence[float] = (5, 2, 1), budget: float
 
 def mix_documents(docs: DataFrame, cycle: Sequence[float] = (5, 2, 1), budget: float = 1.5, max_epochs: int = 2,
                   id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-                  quality: Column | None = None, seed: int = 17, drop: Sequence[str] = ()) -> DataFrame:
-    """The mixture itself: the rows of ``docs``, each as often as it is taken
-    (without the columns named in ``drop``, such as the quality).
+                  quality: Column | None = None, seed: int = 17) -> DataFrame:
+    """The mixture itself: the rows of ``docs``, each as often as it is taken.
 
     Only the last key taken in each source is needed for that, so the texts
     are not shuffled."""
@@ -128,4 +136,4 @@ def mix_documents(docs: DataFrame, cycle: Sequence[float] = (5, 2, 1), budget: f
     copies = F.least(F.col("__mix.epochs") + F.coalesce((F.col("__key") <= F.col("__mix.cut")).cast("long"), F.lit(0)),
                      F.lit(max_epochs).cast("long"))
     return (joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
-            .drop("__key", "__mix", "__copy", *drop).select(*[c for c in docs.columns if c not in set(drop)]))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

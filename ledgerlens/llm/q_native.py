@@ -8,16 +8,14 @@ from . import kdtree, mixing, url_rules
 from .common import table
 from .queries import register
 
-#: weights of a document in the sample by its label
-GOOD, UNKNOWN, POOR = 2.0, 1.0, 0.5
 SEED = 17
 
 OP1_SQL = rf"""
-WITH marks AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
-d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+WITH n AS (SELECT doc_id, source, coalesce(length(text), 0) AS chars, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+d AS (SELECT doc_id, source, size,
        -ln((CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)
-       / CASE WHEN q = 1 THEN {GOOD} WHEN q = 0 THEN {POOR} ELSE {UNKNOWN} END AS key
-  FROM documents LEFT JOIN marks USING (doc_id)),
+       / (CASE WHEN (chars - size) / greatest(size, 1) BETWEEN 3 AND 10 THEN 1.0 ELSE 0.25 END * CASE WHEN size >= 50 THEN 1.0 ELSE 0.5 END) AS key
+  FROM n),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight,
        2.0::DOUBLE * source_size AS lim, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
@@ -34,17 +32,10 @@ FROM r JOIN e ON r.source IS NOT DISTINCT FROM e.source
 """
 
 
-def with_quality(spark, sf_dir, docs):
-    """Documents plus ``__quality``: by label, where there is one."""
-    marks = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__label"))
-    weight = F.when(F.col("__label") == 1, GOOD).when(F.col("__label") == 0, POOR).otherwise(UNKNOWN)
-    return docs.join(marks, F.col("doc_id") == F.col("__id"), "left").withColumn("__quality", weight).drop("__id", "__label")
-
-
 @register("op1_mixing", OP1_SQL)
 def op1_mixing(spark, sf_dir):
-    docs = with_quality(spark, sf_dir, table(spark, sf_dir, "documents"))
-    return mixing.mix_plan(docs, quality=F.col("__quality"), seed=SEED).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix_plan(docs, quality=mixing.text_quality("text"), seed=SEED).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @register("op7_kd_shards")
