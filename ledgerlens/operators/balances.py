@@ -24,10 +24,6 @@ def month_label(col: str | Column) -> Column:
     return F.date_format(F.col(col) if isinstance(col, str) else col, "yyyy-MM")
 
 
-def parse_month(label: str) -> Column:
-    return F.to_date(F.lit(f"{label}-01"))
-
-
 def monthly_balances(ledger: DataFrame, months: list[str] | None = None, checkpoint: bool = False) -> DataFrame:
     """SUM(amount), COUNT(*) per account and month.
 

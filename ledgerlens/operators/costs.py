@@ -121,7 +121,7 @@ def cost_per_anomaly(summary: DataFrame, anomaly_counts: DataFrame) -> DataFrame
 
 
 def trailing_counts(df: DataFrame, key: str, ts: str, windows: dict[str, int],
-                    bucket_seconds: int = 86400) -> DataFrame:
+                    bucket_seconds: int = 14400) -> DataFrame:
     """For every row, the number of rows of the same key in the trailing
     ``[ts - seconds, ts]`` range (ends inclusive), one column per window.
 
@@ -137,11 +137,12 @@ def trailing_counts(df: DataFrame, key: str, ts: str, windows: dict[str, int],
         raise ValueError("bucket_seconds must be at least the widest window")
     us = epoch_us(ts)
     b_us = bucket_seconds * 1_000_000
-    base = df.withColumn("_us", us).withColumn("_bucket", F.floor(F.col("_us") / F.lit(b_us)))
-    ghosts = (base.filter(F.col("_us") >= (F.col("_bucket") + 1) * F.lit(b_us) - F.lit(widest * 1_000_000))
-              .withColumn("_bucket", F.col("_bucket") + 1)
-              .withColumn("_ghost", F.lit(True)))
-    u = base.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
+    base = df.withColumn("_us", us).withColumn("_b", F.floor(F.col("_us") / F.lit(b_us)))
+    late = F.col("_us") >= (F.col("_b") + 1) * F.lit(b_us) - F.lit(widest * 1_000_000)
+    own = F.struct(F.col("_b").alias("bucket"), F.lit(False).alias("ghost"))
+    nxt = F.struct((F.col("_b") + 1).alias("bucket"), F.lit(True).alias("ghost"))
+    u = base.withColumn("_to", F.explode(F.when(late, F.array(own, nxt)).otherwise(F.array(own))))   # one pass
+    u = u.withColumn("_bucket", F.col("_to.bucket")).withColumn("_ghost", F.col("_to.ghost")).drop("_to", "_b")
     w = Window.partitionBy(key, "_bucket").orderBy("_us")
     for name, seconds in windows.items():
         u = u.withColumn(name, F.count(F.lit(1)).over(w.rangeBetween(-seconds * 1_000_000, 0)))
@@ -168,22 +169,32 @@ def admit_calls(calls: DataFrame, key: str = "caller_id", ts: str = "ts", order_
     The decision depends on earlier decisions, so each key is a sequential
     scan.  Spark sorts each key's calls (external sort, spills) and the scan
     runs over the sorted stream batch by batch, keeping only the admitted
-    calls of the last hour (at most ``per_hour``) as state: a hot key is
-    streamed through one task, never collected.
+    calls of the last hour (at most ``per_hour``) as state.  After more than
+    an hour without calls that state is empty, so a key's calls are cut at
+    such gaps and the stretches go to different tasks; the gaps are found on
+    one row per key and hour.  A stretch without a gap is streamed through one
+    task, never collected.
     """
     tie = order_col or ts
     cols = calls.columns
     src = calls.withColumn("_us", epoch_us(ts))
-    sorted_ = src.repartition(key).sortWithinPartitions(key, "_us", tie)
-    out_schema = T.StructType(src.schema.fields + [T.StructField("admitted", T.BooleanType())])
     minute_us, hour_us = 60_000_000, 3_600_000_000
+    src = src.withColumn("_hour", F.floor(F.col("_us") / F.lit(hour_us)))
+    hours = src.groupBy(key, "_hour").agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
+    w = Window.partitionBy(key).orderBy("_hour")
+    gap = F.coalesce(F.col("_lo") - F.lag("_hi").over(w) > hour_us, F.lit(False)).cast("int")
+    cut = hours.withColumn("_gap", gap).withColumn("_stretch", F.sum("_gap").over(w)).select(
+        F.col(key).alias("_k"), F.col("_hour").alias("_h"), "_stretch")
+    src = src.join(cut, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_hour") == F.col("_h")), "left").drop("_k", "_h", "_hour")
+    sorted_ = src.repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", "_us", tie)
+    out_schema = T.StructType(src.schema.fields + [T.StructField("admitted", T.BooleanType())])
 
     def run(batches):
         cur_key = object()
         mins: deque = deque()
         hours: deque = deque()
         for pdf in batches:
-            keys = pdf[key].to_numpy()
+            keys = zip(pdf[key], pdf["_stretch"], strict=True)
             times = pdf["_us"].to_numpy()
             out = []
             for k, t in zip(keys, times):

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,28 +159,48 @@ def add_documents(chunks: DataFrame, new_docs: DataFrame, key: str = "account_id
 
 
 # --------------------------------------------------------------------------
-# Embedding (feature hashing, built-in expressions)
+# Embedding (feature hashing with inverse document frequencies)
 # --------------------------------------------------------------------------
 
 
-def embed_text(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = 256) -> DataFrame:
-    """Feature-hashing vectors of the lower-cased word tokens, L2
-    normalised, as ``array<float>``.  A local stand-in for a remote
-    embedding model: the same text gives the same vector on any executor.
-    All JVM-side (``pyspark.ml`` transformers, no Python per row)."""
-    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+",
-                         toLowercase=True, minTokenLength=1)
-    tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim)
-    norm = Normalizer(inputCol="_tf", outputCol="_vec", p=2.0)
-    out = norm.transform(tf.transform(tok.transform(df)))
-    return (out.withColumn(out_col, vector_to_array(F.col("_vec"), dtype="float32"))
-            .drop("_tokens", "_tf", "_vec"))
+def _token_counts(df: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
+    """(id, bucket, tf): the lower-cased word tokens of each text, hashed
+    into ``dim`` buckets by the first 32 bits of their md5, so the same text
+    gives the same buckets on any engine."""
+    tokens = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    bucket = F.pmod(F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    rows = df.select(F.col(id_col).alias("_id"), F.explode(tokens).alias("_t"))
+    return rows.groupBy("_id", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_tf"))
 
 
-def embed_chunks(chunks: DataFrame, dim: int = 256, text_col: str = "chunk_text") -> DataFrame:
-    return embed_text(chunks, text_col, "embedding", dim)
+def token_idf(df: DataFrame, id_col: str, text_col: str, dim: int = 256) -> DataFrame:
+    """(bucket, idf): ln((texts + 1) / (texts with the bucket + 1)); ``dim`` rows at most."""
+    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return (_token_counts(df, id_col, text_col, dim).groupBy(F.col("_b").alias("bucket"))
+            .agg(F.count(F.lit(1)).alias("_df")).select("bucket", F.log((n + 1.0) / (F.col("_df") + 1.0)).alias("idf")))
+
+
+def embed_text(df: DataFrame, id_col: str, text_col: str, idf: DataFrame, out_col: str = "embedding",
+               dim: int = 256) -> DataFrame:
+    """L2-normalised tf-idf vectors as ``array<double>``; ids must be unique.
+    A local stand-in for a remote embedding model, made of built-in
+    expressions.  A text without known tokens has the zero vector.  The table
+    of frequencies has ``dim`` rows at most, so it is broadcast."""
+    counts = _token_counts(df, id_col, text_col, dim).join(F.broadcast(idf), F.col("_b") == F.col("bucket"))
+    cells = counts.select("_id", F.struct("_b", (F.col("_tf") * F.col("idf")).alias("w")).alias("_c"))
+    maps = cells.groupBy("_id").agg(F.map_from_entries(F.collect_list("_c")).alias("_m"))     # dim entries at most
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
+    norm = F.sqrt(F.aggregate(F.map_values("_m"), F.lit(0.0), lambda acc, x: acc + x * x))
+    vectors = maps.withColumn("_n", norm).withColumn("_d", dense).select(
+        "_id", F.when(F.col("_n") > 0, F.transform("_d", lambda x: x / F.col("_n"))).alias("_v"))
+    zero = F.array_repeat(F.lit(0.0), dim)
+    return (df.join(vectors, F.col(id_col) == F.col("_id"), "left")
+            .withColumn(out_col, F.coalesce("_v", zero)).drop("_id", "_v"))
+
+
+def embed_chunks(chunks: DataFrame, dim: int = 256, id_col: str = "chunk_id", text_col: str = "chunk_text") -> DataFrame:
+    """Chunks with vectors, weighted by their own frequencies."""
+    return embed_text(chunks, id_col, text_col, token_idf(chunks, id_col, text_col, dim), dim=dim)
 
 
 # --------------------------------------------------------------------------
@@ -188,17 +208,15 @@ def embed_chunks(chunks: DataFrame, dim: int = 256, text_col: str = "chunk_text"
 # --------------------------------------------------------------------------
 
 
-def _blocks(df: DataFrame, id_col: str, key: str | None, block_size: int, tag: str) -> DataFrame:
-    """Group vectors into blocks of about ``block_size`` within each key.
-    The number of blocks of a key follows its size, so a hot key is spread
-    over many blocks (and tasks) instead of one."""
-    k = key or "_all"
-    d = df if key else df.withColumn("_all", F.lit(0))
-    counts = d.groupBy(k).agg(F.count(F.lit(1)).alias("_cnt"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(block_size))).cast("long")
-    d = d.join(counts, k).withColumn(f"_{tag}_block", F.pmod(F.xxhash64(F.col(id_col)), nb))
-    return (d.groupBy(k, f"_{tag}_block")
-            .agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col("embedding").alias("v"))).alias(f"_{tag}")))
+def _blocked(df: DataFrame, id_col: str, key: str | None, own: Column, other: Column, tag: str) -> DataFrame:
+    """Vectors in blocks by hash of their id, once for each block of the
+    other side that the block has to meet.  ``own`` and ``other`` are the
+    numbers of blocks of the two sides within the key."""
+    d = df.withColumn(f"_{tag}_block", F.pmod(F.xxhash64(F.col(id_col)), own))
+    groups = d.groupBy(*([key] if key else []), f"_{tag}_block", other.alias("_n")).agg(
+        F.collect_list(F.struct(F.col(id_col).alias("id"), F.col("embedding").alias("v"))).alias(f"_{tag}"))
+    met = "_c_block" if tag == "q" else "_q_block"
+    return groups.withColumn(met, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
 
 
 def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = RETRIEVAL_K,
@@ -208,19 +226,30 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = RETRIEVAL_K,
     restricted to the same ``key`` when given (filter before ranking).
 
     Plan: queries and corpus are cut into blocks per key; each (query
-    block, corpus block) pair meets once and a numpy matrix product yields
-    each query's best ``k`` in that block; a final top-k per query over its
-    block winners (``k`` x blocks rows) gives the exact answer.  No row per
-    pair is ever materialised, and no block grows with the key's size.
+    block, corpus block) pair meets once, under a shuffle key of its own, so
+    the pairs of a hot key spread over all tasks; a numpy matrix product
+    yields each query's best ``k`` in that block; a final top-k per query
+    over its block winners (``k`` x blocks rows) gives the exact answer.  No
+    row per pair is ever materialised, and no block grows with the key's size.
     Ties are broken by the smaller corpus id.  Output: query id, corpus id,
     rank (1 = nearest), similarity rounded to 6 decimals.
     """
-    q = _blocks(queries.select(F.col(query_id).alias("_qid"), "embedding", *([key] if key else [])),
-                "_qid", key, block_size, "q")
-    c = _blocks(corpus.select(F.col(corpus_id).alias("_cid"), "embedding", *([key] if key else [])),
-                "_cid", key, block_size, "c")
-    k_col = key or "_all"
-    pairs = q.join(c, k_col, "inner").select("_q", "_c")
+    q = queries.select(F.col(query_id).alias("_qid"), "embedding", *([key] if key else []))
+    c = corpus.select(F.col(corpus_id).alias("_cid"), "embedding", *([key] if key else []))
+
+    def n_blocks(count):
+        return F.greatest(F.lit(1), F.ceil(count / F.lit(block_size))).cast("long")
+
+    if key:
+        both = q.select(key, F.lit(1).alias("_q1"), F.lit(0).alias("_c1")).unionByName(
+            c.select(key, F.lit(0).alias("_q1"), F.lit(1).alias("_c1")))
+        sizes = both.groupBy(key).agg(n_blocks(F.sum("_q1")).alias("_nq"), n_blocks(F.sum("_c1")).alias("_nc"))
+        q, c = q.join(sizes, key), c.join(sizes, key)
+        nq, nc = F.col("_nq"), F.col("_nc")
+    else:
+        nq, nc = (n_blocks(F.lit(d.count())) for d in (q, c))     # two numbers
+    pair = [*([key] if key else []), "_q_block", "_c_block"]
+    pairs = _blocked(q, "_qid", key, nq, nc, "q").join(_blocked(c, "_cid", key, nc, nq, "c"), pair).select("_q", "_c")
     qid_t = queries.schema[query_id].dataType
     cid_t = corpus.schema[corpus_id].dataType
     out_schema = T.StructType([T.StructField("_qid", qid_t), T.StructField("_cid", cid_t),
@@ -278,7 +307,8 @@ def retrieval_queries(flags: DataFrame) -> DataFrame:
 
 def context_rollup(hits: DataFrame, chunks: DataFrame, query_id: str = "anomaly_id") -> DataFrame:
     """Per query: best chunk text, the next (at most two) chunks as a list
-    and the file names of all hits.  At most ``k`` rows per group."""
+    and the file name of each hit, in rank order (a file that gave several
+    hits is named as often).  At most ``k`` rows per group."""
     j = hits.join(chunks.select("chunk_id", "chunk_text", "source_file"), "chunk_id", "inner")
     g = j.groupBy(query_id).agg(F.sort_array(F.collect_list(
         F.struct("rank", "chunk_text", "source_file"))).alias("_h"))
@@ -286,7 +316,7 @@ def context_rollup(hits: DataFrame, chunks: DataFrame, query_id: str = "anomaly_
         query_id,
         F.coalesce(F.col("_h")[0]["chunk_text"], F.lit(NO_DOCUMENTATION)).alias("account_documentation"),
         F.transform(F.slice("_h", 2, 2), lambda x: x["chunk_text"]).alias("similar_cases"),
-        F.array_distinct(F.transform("_h", lambda x: x["source_file"])).alias("source_files"))
+        F.transform("_h", lambda x: x["source_file"]).alias("source_files"))
 
 
 def retrieve_context(flags: DataFrame, chunks: DataFrame, history_counts: DataFrame | None = None,
@@ -295,8 +325,9 @@ def retrieve_context(flags: DataFrame, chunks: DataFrame, history_counts: DataFr
     chunks of the same account, roll-up, capped history count.  Flags with
     no documentation get the default text."""
     f = flags.filter(F.col("severity") == "high") if only_high else flags
-    q = embed_text(retrieval_queries(f), "query_text", "embedding", dim)
-    c = chunks if "embedding" in chunks.columns else embed_chunks(chunks, dim)
+    idf = token_idf(chunks, "chunk_id", "chunk_text", dim)
+    q = embed_text(retrieval_queries(f), "anomaly_id", "query_text", idf, dim=dim)
+    c = chunks if "embedding" in chunks.columns else embed_text(chunks, "chunk_id", "chunk_text", idf, dim=dim)
     c = c.withColumnRenamed("account_id", "gl_account_id") if "account_id" in c.columns else c
     hits = topk_similar(q, c, k=k, key="gl_account_id", query_id="anomaly_id", corpus_id="chunk_id")
     ctx = context_rollup(hits, c)
@@ -318,8 +349,9 @@ def similar_past_anomalies(flags: DataFrame, chunks: DataFrame, k: int = SIMILAR
     """The ``k`` chunks nearest to each flagged row's query sentence, with
     the history prefix and no account filter (all accounts' chunks)."""
     q = retrieval_queries(flags).withColumn("query_text", F.concat(F.lit(HISTORY_QUERY_PREFIX), F.col("query_text")))
-    q = embed_text(q, "query_text", "embedding", dim)
-    c = chunks if "embedding" in chunks.columns else embed_chunks(chunks, dim)
+    idf = token_idf(chunks, "chunk_id", "chunk_text", dim)
+    q = embed_text(q, "anomaly_id", "query_text", idf, dim=dim)
+    c = chunks if "embedding" in chunks.columns else embed_text(chunks, "chunk_id", "chunk_text", idf, dim=dim)
     return topk_similar(q.select(F.col("anomaly_id").alias("query_id"), "embedding"),
                         c.select("chunk_id", "embedding"), k=k)
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import THRESHOLD_HIGH, THRESHOLD_MEDIUM
 from .history import anomaly_key
 
 
@@ -35,12 +34,13 @@ def signed_pct(c: Column) -> Column:
 
 
 EXPLANATION_COLS = ["anomaly_id", "gl_account_id", "month", "severity", "is_expected_variance", "confidence",
-                    "root_cause", "supporting_evidence", "recommendation", "requires_immediate_attention"]
+                    "chain_of_thought", "root_cause", "supporting_evidence", "recommendation",
+                    "requires_immediate_attention"]
 
 
 def explain_anomalies(flags: DataFrame, accounts: DataFrame) -> DataFrame:
     """Rule-based explanation per flagged row: expected or not, confidence,
-    root cause, evidence list, recommendation, urgency.  The flag columns
+    reasoning steps, root cause, evidence list, recommendation, urgency.  The flag columns
     are kept, so sections and reports read this one frame (no second
     evaluation of the flags to join back)."""
     acc = accounts.select(F.col("account_id").alias("gl_account_id"), "typical_min", "typical_max",
@@ -65,6 +65,17 @@ def explain_anomalies(flags: DataFrame, accounts: DataFrame) -> DataFrame:
         F.concat(F.lit("Typical range "), F.coalesce(F.col("typical_range"), F.lit("N/A"))),
         F.concat(F.lit("Z-score "), F.coalesce(fmt2(F.col("z_score")), F.lit("N/A"))),
     )
+    steps = F.concat_ws(
+        "\n",
+        F.concat(F.lit("1. The balance changed by "), signed_pct(F.col("variance_percent")), F.lit(" ("),
+                 signed_money(F.col("variance_amount")), F.lit(").")),
+        F.concat(F.lit("2. Typical range "), F.coalesce(F.col("typical_range"), F.lit("N/A")), F.lit(": the balance is "),
+                 F.when(in_range, F.lit("inside it.")).when(in_range.isNull(), F.lit("not comparable."))
+                 .otherwise(F.lit("outside it."))),
+        F.concat(F.lit("3. Z-score "), F.coalesce(fmt2(F.col("z_score")), F.lit("N/A")), F.lit(", past anomalies "),
+                 F.coalesce(F.col("past_anomaly_count"), F.lit(0)).cast("string"), F.lit(".")),
+        F.when(expected, F.lit("4. Conclusion: expected variance."))
+        .otherwise(F.lit("4. Conclusion: true anomaly, needs investigation.")))
     rec = (F.when(F.col("severity") == "high", F.lit("Review the transactions behind this change now."))
            .when(F.col("severity") == "medium", F.lit("Review within 48 hours."))
            .otherwise(F.lit("Monitor next month.")))
@@ -73,6 +84,7 @@ def explain_anomalies(flags: DataFrame, accounts: DataFrame) -> DataFrame:
         *[c for c in flags.columns],
         expected.alias("is_expected_variance"),
         confidence.alias("confidence"),
+        steps.alias("chain_of_thought"),
         root.alias("root_cause"),
         evidence.alias("supporting_evidence"),
         rec.alias("recommendation"),
@@ -144,6 +156,7 @@ def report_sections(explained: DataFrame) -> DataFrame:
         F.concat(F.lit("**Assessment:** "), F.when(F.col("is_expected_variance"), F.lit("expected variance"))
                  .otherwise(F.lit("anomalous")), F.lit(", confidence "), F.format_string("%.0f%%", F.col("confidence") * 100)),
         F.concat(F.lit("**Root cause:** "), F.col("root_cause")),
+        F.concat(F.lit("**Detailed reasoning:**\n"), F.col("chain_of_thought")),
         F.lit("**Evidence:**"),
         F.array_join(F.transform("supporting_evidence", lambda e: F.concat(F.lit("- "), e)), "\n"),
         F.concat(F.lit("**Recommendation:** "), F.col("recommendation")),
@@ -214,6 +227,3 @@ def report_summary(flags: DataFrame, accounts: DataFrame, month: str) -> DataFra
         F.count_if(F.col("severity") == "low").alias("low_severity_count"),
     ).withColumn("accounts_analyzed", n_acc).withColumn("target_month", F.lit(month))
 
-
-def thresholds_note(high: float = THRESHOLD_HIGH, medium: float = THRESHOLD_MEDIUM) -> str:
-    return f"high > {high:.0f}%, medium > {medium:.0f}%"

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def request_key(namespace: Column | str, *parts: Column) -> Column:
-    """``namespace_sha256(part1|part2|...)``: the same request gives the
-    same key on every executor and run (NULL parts are skipped)."""
+    """``namespace_sha256(json of the numbered parts)``: the same request
+    gives the same key on every executor and run.  Parts are quoted and NULL
+    ones are written out, so no two different requests share a text."""
     ns = F.lit(namespace) if isinstance(namespace, str) else namespace
-    return F.concat(ns, F.lit("_"), F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256))
+    named = F.struct(*[p.cast("string").alias(f"p{k}") for k, p in enumerate(parts)])
+    return F.concat(ns, F.lit("_"), F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256))
 
 
 def split_hits_misses(requests: DataFrame, stored: DataFrame, as_of: Column | str) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import (ACCOUNT_CATEGORIES, ACCOUNTS_REQUIRED_COLUMNS, DEFAULT_ACCOUNT_THRESHOLD,
                        DIRECTIONS, IDENTIFIER_PATTERN, LEDGER_REQUIRED_COLUMNS, MONEY,
-                       MONTH_PATTERN, SECRET_KEY_PATTERN, SEVERITIES)
+                       MONTH_PATTERN, NUMBER_PATTERN, SECRET_KEY_PATTERN, SEVERITIES)
 
 
 def check_required_columns(df: DataFrame, kind: str) -> None:
@@ -28,21 +28,29 @@ def _strict_date(c: Column) -> Column:
     return F.try_to_date(c, "yyyy-MM-dd")
 
 
+def strict_number(c: Column, kind: str = "decimal(20,4)") -> Column:
+    """The one conversion of number text, used by checks and projection: a
+    plain decimal number (sign, digits, point, exponent) that fits ``kind``;
+    NULL for anything else, such as ``12d``, ``NaN``, ``Infinity`` or ``1e17``."""
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast(kind))
+
+
 def ledger_rules(df: DataFrame) -> dict[str, Column]:
     """Rule name -> condition that is true when the row breaks the rule."""
-    amount_num = (F.col("amount")).try_cast("double")
+    amount_num = strict_number(F.col("amount"))
     return {
         "null_account": F.col("gl_account_id").isNull(),
         "null_amount": F.col("amount").isNull(),
         "non_numeric_amount": F.col("amount").isNotNull() & amount_num.isNull(),
         "bad_date": F.col("date").isNull() | _strict_date(F.col("date")).isNull(),
-        "zero_amount": amount_num == 0,
+        "zero_amount": F.round(amount_num, 2) == 0,
         "null_transaction_id": F.col("transaction_id").isNull(),
     }
 
 
 def account_rules(df: DataFrame) -> dict[str, Column]:
-    thr = (F.col("variance_threshold_pct")).try_cast("double")
+    thr = strict_number(F.col("variance_threshold_pct"), "double")
     return {
         "null_account_id": F.col("account_id").isNull(),
         "bad_category": ~F.coalesce(F.lower(F.col("category")).isin(ACCOUNT_CATEGORIES), F.lit(False)),
@@ -91,7 +99,7 @@ def project_ledger(raw: DataFrame, mode: str = "fail"):
             F.col("transaction_id"),
             F.col("gl_account_id"),
             _strict_date(F.col("date")).alias("transaction_date"),
-            F.round((F.col("amount")).try_cast("decimal(20,4)"), 2).cast(MONEY).alias("amount"),
+            F.round(strict_number(F.col("amount")), 2).cast(MONEY).alias("amount"),
             F.col("description"),
             *opt,
             src.alias("source_file"),

@@ -81,10 +81,96 @@ def raw_ledger_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "description", "department", "vendor", "source_file")
 
 
+def quoted_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense ledger with text that needs quoting in a CSV file: quotes,
+    commas and backslashes, also at the end of a value."""
+    led = ledger_by_nation(spark, sf_dir)
+    return led.withColumns({
+        "description": F.concat(F.lit('he said "'), F.col("description"), F.lit('", ok\\')),
+        "vendor": F.concat(F.lit('"'), F.col("vendor"), F.lit('\\", ')) })
+
+
+SQL_QUOTED_LEDGER = """
+quoted AS (SELECT * REPLACE ('he said "' || description || '", ok\\' AS description, trim('"' || vendor || '\\", ') AS vendor) FROM ledger)"""
+
+
+#: amounts as files get them wrong, and right in unusual ways, by order key modulo 40
+ODD_AMOUNTS = {0: "12d", 1: "3.5f", 2: "NaN", 3: "Infinity", 4: "1e17", 5: "0", 6: "-0.00", 7: "0.004", 8: "abc", 9: "",
+               10: " 12.50 ", 11: "+7", 12: "1.5E3", 13: ".5", 14: "7.", 15: "1,000", 16: "0x1F"}
+#: dates, by order key modulo 23
+ODD_DATES = {0: "1998-02-30", 1: "02/03/1998", 2: "1998-1-5", 3: ""}
+
+
+def dirty_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense ledger as file text, with faults derived from each row's
+    order key, and text that needs quoting in a file."""
+    raw = raw_ledger_by_nation(spark, sf_dir)
+    k = F.col("transaction_id").cast("long")
+    amount, date = F.col("amount"), F.col("date")
+    for i, v in ODD_AMOUNTS.items():
+        amount = F.when(k % 40 == i, F.lit(v)).otherwise(amount)
+    for i, v in ODD_DATES.items():
+        date = F.when(k % 23 == i, F.lit(v)).otherwise(date)
+    return raw.select(
+        F.when(k % 97 == 0, F.lit(None)).otherwise(F.col("transaction_id")).alias("transaction_id"),
+        F.when(k % 31 == 0, F.lit(None)).otherwise(F.col("gl_account_id")).alias("gl_account_id"),
+        F.when(k % 37 == 0, F.lit(None)).otherwise(date).alias("date"),
+        F.when(k % 41 == 0, F.lit(None)).otherwise(amount).alias("amount"),
+        "description", "department", "vendor", "source_file", k.alias("row_key"))
+
+
+def _cases(column: str, key: str, n: int, values: dict[int, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {key} % {n} = {i} THEN '{v}'" for i, v in values.items()) + f" ELSE {column} END"
+
+
+SQL_DIRTY_LEDGER = f"""
+dirty AS (SELECT CASE WHEN row_key % 97 = 0 THEN NULL ELSE transaction_id END AS transaction_id,
+  CASE WHEN row_key % 31 = 0 THEN NULL ELSE gl_account_id END AS gl_account_id,
+  CASE WHEN row_key % 37 = 0 THEN NULL ELSE {_cases("CAST(transaction_date AS VARCHAR)", "row_key", 23, ODD_DATES)} END AS date,
+  CASE WHEN row_key % 41 = 0 THEN NULL ELSE {_cases("CAST(amount AS VARCHAR)", "row_key", 40, ODD_AMOUNTS)} END AS amount,
+  description, department, vendor, source_file, row_key
+  FROM (SELECT *, CAST(transaction_id AS BIGINT) AS row_key FROM ledger)),
+judged AS (SELECT *, CASE WHEN regexp_full_match(trim(amount), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?')
+                           AND abs(CAST(trim(amount) AS DOUBLE)) < 1e16
+                     THEN CAST(CAST(trim(amount) AS DOUBLE) AS DECIMAL(20,4)) END AS number,
+  regexp_full_match(coalesce(date, ''), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_strptime(date, '%Y-%m-%d') IS NOT NULL AS good_date
+  FROM dirty),
+broken AS (SELECT *, gl_account_id IS NULL AS null_account, amount IS NULL AS null_amount,
+  amount IS NOT NULL AND number IS NULL AS non_numeric_amount, NOT good_date AS bad_date,
+  coalesce(round(number, 2) = 0, FALSE) AS zero_amount, transaction_id IS NULL AS null_transaction_id FROM judged)"""
+
+
 # --------------------------------------------------------------------------
 # Account masters
 # --------------------------------------------------------------------------
 
+def dirty_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer accounts as file text, with faults derived from the key."""
+    acc = accounts_from_customers(spark, sf_dir)
+    raw = acc.select(*[F.col(c).cast("string").alias(c) for c in acc.columns])
+    k = F.col("account_id").cast("long")
+    return raw.withColumns({
+        "row_key": k, "account_id": F.when(k % 29 == 0, F.lit(None)).otherwise(F.col("account_id")),
+        "category": F.when(k % 7 == 0, F.lit("misc")).when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, F.upper("category"))
+                     .otherwise(F.col("category")),
+        "variance_threshold_pct": F.when(k % 10 == 0, F.lit("140")).when(k % 10 == 1, F.lit("-1")).when(k % 10 == 2, F.lit("x"))
+                     .when(k % 10 == 3, F.lit(None)).when(k % 10 == 4, F.lit("100")).otherwise(F.col("variance_threshold_pct"))})
+
+
+SQL_DIRTY_ACCOUNTS = """
+dirty_acc AS (SELECT CAST(account_id AS BIGINT) AS row_key,
+  CASE WHEN CAST(account_id AS BIGINT) % 29 = 0 THEN NULL ELSE account_id END AS account_id,
+  CASE WHEN CAST(account_id AS BIGINT) % 7 = 0 THEN 'misc' WHEN CAST(account_id AS BIGINT) % 11 = 0 THEN NULL
+       WHEN CAST(account_id AS BIGINT) % 13 = 0 THEN upper(category) ELSE category END AS category,
+  CASE CAST(account_id AS BIGINT) % 10 WHEN 0 THEN '140' WHEN 1 THEN '-1' WHEN 2 THEN 'x' WHEN 3 THEN NULL WHEN 4 THEN '100'
+       ELSE CAST(variance_threshold_pct AS VARCHAR) END AS variance_threshold_pct
+  FROM accounts),
+broken_acc AS (SELECT row_key, account_id IS NULL AS null_account_id,
+  NOT coalesce(lower(category) IN ('expense', 'revenue', 'asset', 'liability'), FALSE) AS bad_category,
+  variance_threshold_pct IS NOT NULL AND NOT coalesce(try_cast(variance_threshold_pct AS DOUBLE) BETWEEN 0 AND 100, FALSE)
+    AS threshold_out_of_range FROM dirty_acc)"""
+
+
 def accounts_from_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")

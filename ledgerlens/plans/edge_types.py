@@ -33,12 +33,12 @@ DECIMAL_RESULT_COLUMNS = {
     'past_anomaly_count': ['current_balance', 'previous_balance', 'variance_amount'],
     'project_accounts': ['typical_min', 'typical_max'],
     'project_ledger': ['amount'],
+    'quarantine_ledger': ['amount'],
     'recent_history': ['variance_amount'],
     'refresh_balances': ['net_balance', 'prev_month_balance', 'variance_amount'],
     'reuse_stats': ['size_mb'],
     'scan_accounts': ['typical_min', 'typical_max'],
     'scan_accounts_csv': ['typical_min', 'typical_max'],
-    'scan_ledger': ['amount'],
     'seasonal_break': ['net_balance', 'year_ago_balance', 'yoy_amount'],
     'sink_ledger_csv': ['amount'],
     'sort_ledger': ['amount'],
@@ -92,7 +92,6 @@ DATE_RESULT_COLUMNS = {
     'retrieval_queries': ['month'],
     'rolling_avg': ['month'],
     'rolling_std': ['month'],
-    'scan_ledger': ['transaction_date'],
     'seasonal_break': ['month'],
     'sink_ledger_csv': ['transaction_date'],
     'sort_ledger': ['transaction_date'],

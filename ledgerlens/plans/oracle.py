@@ -8,7 +8,7 @@ windows there), so the check is not the same plan twice.
 
 from __future__ import annotations
 
-from .adapters import (SQL_ACCOUNTS_CUSTOMER, SQL_ACCOUNTS_NATION, SQL_ACCOUNTS_SUPPLIER,
+from .adapters import (SQL_DIRTY_ACCOUNTS, SQL_DIRTY_LEDGER, SQL_QUOTED_LEDGER, SQL_ACCOUNTS_CUSTOMER, SQL_ACCOUNTS_NATION, SQL_ACCOUNTS_SUPPLIER,
                        SQL_CALL_LOG, SQL_LEDGER_CUSTOMER, SQL_LEDGER_NATION,
                        SQL_LEDGER_SUPPLIER)
 

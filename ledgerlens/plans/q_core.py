@@ -12,18 +12,13 @@ from .catalog import register
 
 
 def nation_enriched(spark, sf):
-    return bal.enrich_balances(bal.monthly_balances(ad.ledger_by_nation(spark, sf)))
+    return bal.enrich_balances(bal.monthly_balances(ad.ledger_by_nation(spark, sf), checkpoint=True))
 
 
 def nation_flags(spark, sf, **kw):
     return det.detect_anomalies(nation_enriched(spark, sf), ad.accounts_from_nations(spark, sf), **kw)
 
 
-@register("scan_ledger", o.with_(o.SQL_LEDGER_NATION) + "SELECT * FROM ledger")
-def scan_ledger(spark, sf):
-    return ad.ledger_by_nation(spark, sf)
-
-
 @register("scan_accounts", o.with_(o.SQL_ACCOUNTS_NATION) + "SELECT * FROM accounts")
 def scan_accounts(spark, sf):
     return ad.accounts_from_nations(spark, sf)
@@ -50,7 +45,7 @@ SELECT b.gl_account_id, b.month, m.prev_observed_month,
        strftime(b.month - INTERVAL 1 MONTH, '%Y-%m') AS previous_month_label
 FROM balances b JOIN months m ON b.month = m.month""")
 def previous_observed_month(spark, sf):
-    b = bal.monthly_balances(ad.ledger_by_customer(spark, sf))
+    b = bal.monthly_balances(ad.ledger_by_customer(spark, sf), checkpoint=True)
     return b.join(bal.observed_months(b), "month").select(
         "gl_account_id", "month", "prev_observed_month",
         bal.month_label(F.add_months("month", -1)).alias("previous_month_label"))
@@ -63,12 +58,12 @@ _MOM_COLS = ("gl_account_id, month, net_balance, transaction_count, prev_month_b
 @register("mom_variance", o.DETECT_CUSTOMER + f"SELECT {_MOM_COLS} FROM enriched")
 def mom_variance(spark, sf):
     """The sparse-account ledger: the trap case for a per-account lag."""
-    return bal.mom_variance(bal.monthly_balances(ad.ledger_by_customer(spark, sf)))
+    return bal.mom_variance(bal.monthly_balances(ad.ledger_by_customer(spark, sf), checkpoint=True))
 
 
 @register("mom_variance_dense", o.DETECT_NATION + f"SELECT {_MOM_COLS} FROM enriched")
 def mom_variance_dense(spark, sf):
-    return bal.mom_variance(bal.monthly_balances(ad.ledger_by_nation(spark, sf)))
+    return bal.mom_variance(bal.monthly_balances(ad.ledger_by_nation(spark, sf), checkpoint=True))
 
 
 @register("rolling_avg", o.DETECT_NATION + "SELECT gl_account_id, month, rolling_3mo_avg FROM enriched")
@@ -78,7 +73,7 @@ def rolling_avg(spark, sf):
 
 @register("rolling_std", o.DETECT_SUPPLIER + "SELECT gl_account_id, month, rolling_6mo_std FROM enriched")
 def rolling_std(spark, sf):
-    return (bal.enrich_balances(bal.monthly_balances(ad.ledger_by_supplier(spark, sf)))
+    return (bal.enrich_balances(bal.monthly_balances(ad.ledger_by_supplier(spark, sf), checkpoint=True))
             .select("gl_account_id", "month", "rolling_6mo_std"))
 
 
@@ -98,14 +93,14 @@ def detect_anomalies(spark, sf):
 @register("detect_anomalies_sparse", o.DETECT_CUSTOMER + o.detect_select(o.GLOBAL_FLAG))
 def detect_anomalies_sparse(spark, sf):
     led = ad.ledger_by_customer(spark, sf)
-    return det.detect_anomalies(bal.enrich_balances(bal.monthly_balances(led)),
+    return det.detect_anomalies(bal.enrich_balances(bal.monthly_balances(led, checkpoint=True)),
                                 ad.accounts_from_customers(spark, sf))
 
 
 @register("detect_anomalies_lineitem", o.DETECT_SUPPLIER + o.detect_select(o.GLOBAL_FLAG))
 def detect_anomalies_lineitem(spark, sf):
     led = ad.ledger_by_supplier(spark, sf)
-    return det.detect_anomalies(bal.enrich_balances(bal.monthly_balances(led)),
+    return det.detect_anomalies(bal.enrich_balances(bal.monthly_balances(led, checkpoint=True)),
                                 ad.accounts_from_suppliers(spark, sf))
 
 
@@ -124,14 +119,14 @@ def filter_month(spark, sf):
 SELECT {_MOM_COLS} FROM enriched
 WHERE variance_percent IS NOT NULL AND abs(variance_percent) >= 40.0""")
 def filter_variance(spark, sf):
-    return det.filter_variance(bal.mom_variance(bal.monthly_balances(ad.ledger_by_nation(spark, sf))), 40.0)
+    return det.filter_variance(bal.mom_variance(bal.monthly_balances(ad.ledger_by_nation(spark, sf), checkpoint=True)), 40.0)
 
 
 @register("flag_material", o.DETECT_CUSTOMER + f"""
 SELECT {_MOM_COLS} FROM enriched
 WHERE abs(variance_percent) > 15.0 OR abs(variance_amount) > 10000""")
 def flag_material(spark, sf):
-    return det.flag_material(bal.mom_variance(bal.monthly_balances(ad.ledger_by_customer(spark, sf))))
+    return det.flag_material(bal.mom_variance(bal.monthly_balances(ad.ledger_by_customer(spark, sf), checkpoint=True)))
 
 
 @register("account_threshold_detect", o.DETECT_NATION + o.detect_select(
@@ -191,7 +186,7 @@ FROM r JOIN months m ON r.month = m.month
 LEFT JOIN r p ON p.level = r.level AND p.category IS NOT DISTINCT FROM r.category
              AND p.subcategory IS NOT DISTINCT FROM r.subcategory AND p.month = m.prev_observed_month""")
 def category_variance(spark, sf):
-    return bal.category_variance(bal.monthly_balances(ad.ledger_by_nation(spark, sf)),
+    return bal.category_variance(bal.monthly_balances(ad.ledger_by_nation(spark, sf), checkpoint=True),
                                  ad.accounts_from_nations(spark, sf))
 
 
@@ -202,7 +197,7 @@ SELECT c.gl_account_id, c.month, c.net_balance, p.net_balance AS year_ago_balanc
        CAST(c.net_balance - p.net_balance AS DOUBLE) / NULLIF(CAST(abs(p.net_balance) AS DOUBLE), 0) * 100.0 AS yoy_percent
 FROM cur c LEFT JOIN cur p ON p.gl_account_id = c.gl_account_id AND p.month = c.month - INTERVAL 12 MONTH""")
 def seasonal_break(spark, sf):
-    return bal.seasonal_break(bal.monthly_balances(ad.ledger_by_nation(spark, sf)),
+    return bal.seasonal_break(bal.monthly_balances(ad.ledger_by_nation(spark, sf), checkpoint=True),
                               ad.accounts_from_nations(spark, sf))
 
 
@@ -273,5 +268,5 @@ def detect_anomalies_hot_account(spark, sf):
     led = ad.ledger_by_supplier(spark, sf).withColumn(
         "gl_account_id",
         F.when(F.col("gl_account_id").cast("long") % 3 == 0, F.lit("1")).otherwise(F.col("gl_account_id")))
-    return det.detect_anomalies(bal.enrich_balances(bal.monthly_balances(led)),
+    return det.detect_anomalies(bal.enrich_balances(bal.monthly_balances(led, checkpoint=True)),
                                 ad.accounts_from_suppliers(spark, sf))

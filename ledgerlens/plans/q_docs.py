@@ -85,10 +85,33 @@ def chunk_docs_recursive(spark, sf):
     return dc.chunk_recursive(d)
 
 
-@register("embed_chunks")
+def vectors_sql(name: str, src: str, id_col: str, text_col: str, corpus: str | None = None) -> str:
+    """CTEs of tf-idf vectors ``{name}(id, v)`` of a source (256 hashed
+    buckets); ``corpus`` names the vectors whose frequencies are used."""
+    freq = corpus or name
+    own = "" if corpus else f""",
+{name}_idf AS (SELECT b, ln(((SELECT count(*) FROM {src}) + 1.0) / (count(*) + 1.0)) AS idf FROM {name}_tf GROUP BY b)"""
+    return f"""
+{name}_tok AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(tx), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS t
+  FROM (SELECT {id_col} AS id, {text_col} AS tx FROM {src})),
+{name}_tf AS (SELECT id, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 256 AS b, count(*) AS tf FROM {name}_tok GROUP BY ALL){own},
+{name}_w AS (SELECT id, f.b, tf * idf AS w FROM {name}_tf f JOIN {freq}_idf USING (b)),
+{name}_m AS (SELECT id, map_from_entries(list({{'k': b, 'v': w}})) AS m, sqrt(sum(w * w)) AS n FROM {name}_w GROUP BY id),
+{name} AS (SELECT s.{id_col} AS id, list_transform(range(256), lambda i: CASE WHEN n > 0 THEN coalesce(m[i], 0.0) / n ELSE 0.0 END) AS v
+  FROM {src} s LEFT JOIN {name}_m ON s.{id_col} = {name}_m.id)"""
+
+
+EMBED_SQL = "WITH c AS (" + CHUNK_SQL + "), ch AS (SELECT doc_id || ':' || chunk_no AS chunk_id, chunk_text FROM c)," + vectors_sql(
+    "vec", "ch", "chunk_id", "chunk_text") + """
+SELECT id AS chunk_id, list_transform(v, lambda x: round(x, 6) + 0.0) AS embedding FROM vec"""
+
+
+@register("embed_chunks", EMBED_SQL)
 def embed_chunks(spark, sf):
-    """Hashed embeddings of every chunk (no SQL twin: the hash is Spark's)."""
-    return dc.embed_chunks(dc.chunk_fixed(ad.table(spark, sf, "documents").select("doc_id", "text")))
+    """Tf-idf vectors of every chunk, rounded to 6 decimals."""
+    ch = dc.chunk_fixed(ad.table(spark, sf, "documents").select("doc_id", "text")).select(
+        F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), "chunk_text")
+    return dc.embed_chunks(ch).select("chunk_id", F.transform("embedding", lambda x: F.round(x, 6) + F.lit(0.0)).alias("embedding"))
 
 
 @register("dedupe_chunks", "WITH c AS (" + CHUNK_SQL + """),
@@ -148,7 +171,7 @@ j AS (SELECT h.query_id AS anomaly_id, h.rank, ch.chunk_text, ch.source_file FRO
 SELECT anomaly_id,
        coalesce(max(chunk_text) FILTER (WHERE rank = 1), 'No documentation found') AS account_documentation,
        list(chunk_text ORDER BY rank) FILTER (WHERE rank > 1) AS similar_cases,
-       list(DISTINCT source_file) AS source_files
+       list(source_file ORDER BY rank) AS source_files
 FROM j GROUP BY anomaly_id""")
 def context_rollup(spark, sf):
     e = ad.table(spark, sf, "embeddings")
@@ -177,13 +200,35 @@ def nation_chunks(spark, sf):
     return ch.withColumn("chunk_id", F.concat_ws(":", F.col("source_file"), F.col("chunk_no").cast("string")))
 
 
-@register("retrieve_context")
+_QUERY_TEXT = """printf('%s %s changed %.2f%% in %s (%s)', gl_account_id, account_name,
+  CAST(round(CAST(variance_percent AS DECIMAL(38,6)), 2) AS DOUBLE), current_month, direction)"""
+_NATION_CHUNKS = ACCOUNT_DOCS_SQL + """,
+ch AS (SELECT account_id, source_file, source_file || ':' || i AS chunk_id, substr(text, CAST(i * 180 + 1 AS BIGINT), 200) AS chunk_text
+  FROM (SELECT *, unnest(range(0, CASE WHEN length(text) <= 200 THEN 1 ELSE CAST(ceil((length(text) - 20) / 180.0) AS BIGINT) END)) AS i
+        FROM docs WHERE length(text) > 0))"""
+RETRIEVE_SQL = o.DETECT_NATION.rstrip() + "," + o.FLAGS + "," + _NATION_CHUNKS + """,
+qs AS (SELECT strftime(month, '%Y%m') || '-' || gl_account_id AS anomaly_id, gl_account_id, """ + _QUERY_TEXT + """ AS query_text FROM flags),""" \
+    + vectors_sql("cv", "ch", "chunk_id", "chunk_text") + "," + vectors_sql("qv", "qs", "anomaly_id", "query_text", corpus="cv") + """,
+near AS (SELECT qs.anomaly_id, ch.chunk_id, ch.chunk_text, ch.source_file, row_number() OVER (PARTITION BY qs.anomaly_id
+           ORDER BY round(list_cosine_similarity(qv.v, cv.v), 6) DESC, ch.chunk_id) AS rank
+  FROM qs JOIN qv ON qv.id = qs.anomaly_id JOIN ch ON ch.account_id = qs.gl_account_id JOIN cv ON cv.id = ch.chunk_id
+  WHERE NOT isnan(list_cosine_similarity(qv.v, cv.v))),
+ctx AS (SELECT anomaly_id, max(chunk_text) FILTER (WHERE rank = 1) AS doc, list(chunk_text ORDER BY rank) FILTER (WHERE rank IN (2, 3)) AS more,
+          list(source_file ORDER BY rank) AS files FROM near WHERE rank <= 3 GROUP BY anomaly_id),
+hist AS (SELECT gl_account_id, least(count(*), 3) AS n FROM flags GROUP BY gl_account_id)
+SELECT qs.anomaly_id, qs.gl_account_id, coalesce(doc, 'No documentation found') AS account_documentation,
+       coalesce(more, []) AS similar_cases, coalesce(files, []) AS source_files, coalesce(n, 0) AS past_anomaly_count
+FROM qs LEFT JOIN ctx USING (anomaly_id) LEFT JOIN hist USING (gl_account_id)"""
+
+
+@register("retrieve_context", RETRIEVE_SQL)
 def retrieve_context(spark, sf):
     """Context of every flagged account-month of the dense ledger: top-3
     chunks of its generated documentation + capped history count."""
     flags = nation_flags(spark, sf)
     inv = hi.investigations_from_flags(flags)
-    return dc.retrieve_context(flags, nation_chunks(spark, sf), history_counts=hi.history_count(inv))
+    return dc.retrieve_context(flags, nation_chunks(spark, sf), history_counts=hi.history_count(inv)).select(
+        "anomaly_id", "gl_account_id", "account_documentation", "similar_cases", "source_files", "past_anomaly_count")
 
 
 @register("attach_context", o.DETECT_NATION.rstrip() + "," + o.FLAGS + """
@@ -212,19 +257,30 @@ def sink_account_docs(spark, sf):
 
 @register("scan_docs", o.with_(o.SQL_ACCOUNTS_NATION, ACCOUNT_DOCS_SQL) + "SELECT account_id, text FROM docs")
 def scan_docs(spark, sf):
-    """The nation accounts' docs written one folder per account (a small
-    master), then scanned back as documentation files."""
+    """Documentation files scanned from a folder; the account is the file
+    stem up to the first ``_``.  Spark names the files it writes itself, so
+    each file's own name is given by its folder, and the stem rule is applied
+    to that name as the scan applies it to a real one."""
     from ..session import scratch_path
     from ..sources import files as fs
     path = scratch_path(spark, "docs_folder")
-    fs.sink_account_docs(dc.account_docs(ad.accounts_from_nations(spark, sf)), path, folder_per_account=True)
+    docs = dc.account_docs(ad.accounts_from_nations(spark, sf))
+    fs.sink_account_docs(docs, path, folder_per_account=True)
     back = fs.scan_docs(spark, path, account_from="folder")
-    return back.select("account_id", F.regexp_replace("text", r"\n$", "").alias("text"))
+    named = back.join(docs.select("account_id", F.col("source_file").alias("file_name")), "account_id")
+    return named.select(fs.account_of_file(F.col("file_name")).alias("account_id"),
+                        F.regexp_replace("text", r"\n$", "").alias("text"))
 
 
-@register("similar_past_anomalies_text")
+@register("similar_past_anomalies_text", o.DETECT_NATION.rstrip() + "," + o.FLAGS + "," + _NATION_CHUNKS + """,
+qs AS (SELECT strftime(month, '%Y%m') || '-' || gl_account_id AS anomaly_id, 'Historical anomaly: ' || """ + _QUERY_TEXT
+          + """ AS query_text FROM flags),""" + vectors_sql("cv", "ch", "chunk_id", "chunk_text") + ","
+          + vectors_sql("qv", "qs", "anomaly_id", "query_text", corpus="cv") + """
+SELECT query_id, chunk_id, CAST(rk AS INTEGER) AS rank, similarity FROM (
+  SELECT qv.id AS query_id, cv.id AS chunk_id, round(list_cosine_similarity(qv.v, cv.v), 6) AS similarity,
+         row_number() OVER (PARTITION BY qv.id ORDER BY round(list_cosine_similarity(qv.v, cv.v), 6) DESC, cv.id) AS rk
+  FROM qv JOIN cv ON TRUE WHERE NOT isnan(list_cosine_similarity(qv.v, cv.v))) WHERE rk <= 5""")
 def similar_past_anomalies_text(spark, sf):
     """5 nearest documentation chunks to each flagged row's query sentence
-    prefixed ``Historical anomaly: ``, across all accounts (rows-only: the
-    vectors come from Spark's feature hashing)."""
+    prefixed ``Historical anomaly: ``, across all accounts."""
     return dc.similar_past_anomalies(nation_flags(spark, sf), nation_chunks(spark, sf))

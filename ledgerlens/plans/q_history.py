@@ -59,7 +59,15 @@ def feedback_for(inv):
 
 @register("store_investigations", BASE + "SELECT * FROM inv")
 def store_investigations(spark, sf):
-    return investigations(spark, sf)
+    """Stored in three steps (the early months, everything, everything
+    again, as reruns do) and read back: no record twice, none lost."""
+    from ..session import scratch_path
+    from . import store as st
+    inv, path = investigations(spark, sf), scratch_path(spark, "investigations")
+    st.store_investigations(spark, inv.where(F.col("detected_month") < F.lit("1998-01-01").cast("date")), path)
+    for _ in range(2):
+        st.store_investigations(spark, inv, path)
+    return spark.read.parquet(path)
 
 
 @register("recent_history", BASE + """

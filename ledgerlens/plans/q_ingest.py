@@ -19,29 +19,35 @@ raw AS (SELECT transaction_id, gl_account_id, CAST(transaction_date AS VARCHAR)
                CAST(amount AS VARCHAR) AS amount, description, department, vendor, source_file FROM ledger)"""
 
 
-@register("quality_report", o.with_(RAW_LEDGER_SQL) + """
-SELECT count(*) AS rows,
-       count_if(gl_account_id IS NULL) AS null_account,
-       count_if(amount IS NULL) AS null_amount,
-       count_if(amount IS NOT NULL AND try_cast(amount AS DOUBLE) IS NULL) AS non_numeric_amount,
-       count_if(date IS NULL OR try_strptime(date, '%Y-%m-%d') IS NULL) AS bad_date,
-       count_if(coalesce(try_cast(amount AS DOUBLE) = 0, FALSE)) AS zero_amount,
-       count_if(transaction_id IS NULL) AS null_transaction_id
-FROM raw""")
+_DIRTY = o.with_(o.SQL_LEDGER_NATION, o.SQL_DIRTY_LEDGER)
+_DIRTY_ACC = o.with_(o.SQL_ACCOUNTS_CUSTOMER, o.SQL_DIRTY_ACCOUNTS)
+_RULES = ("null_account", "null_amount", "non_numeric_amount", "bad_date", "zero_amount", "null_transaction_id")
+
+
+@register("quality_report", _DIRTY + "SELECT count(*) AS rows, " + ", ".join(f"count_if({r}) AS {r}" for r in _RULES) + " FROM broken")
 def quality_report(spark, sf):
-    return va.quality_report(ad.raw_ledger_by_nation(spark, sf))
+    """Counts of each fault over the ledger with faults."""
+    return va.quality_report(ad.dirty_ledger(spark, sf))
 
 
-@register("quality_report_accounts", o.with_(o.SQL_ACCOUNTS_CUSTOMER) + """
-SELECT count(*) AS rows, count_if(account_id IS NULL) AS null_account_id,
-       count_if(NOT coalesce(lower(category) IN ('expense', 'revenue', 'asset', 'liability'), FALSE)) AS bad_category,
-       count_if(variance_threshold_pct IS NOT NULL AND NOT coalesce(variance_threshold_pct BETWEEN 0 AND 100, FALSE))
-         AS threshold_out_of_range
-FROM accounts""")
+@register("quality_report_accounts", _DIRTY_ACC + """
+SELECT count(*) AS rows, count_if(null_account_id) AS null_account_id, count_if(bad_category) AS bad_category,
+       count_if(threshold_out_of_range) AS threshold_out_of_range FROM broken_acc""")
 def quality_report_accounts(spark, sf):
-    acc = ad.accounts_from_customers(spark, sf)
-    raw = acc.select(*[F.col(c).cast("string").alias(c) for c in acc.columns])
-    return va.quality_report(raw, kind="accounts")
+    return va.quality_report(ad.dirty_accounts(spark, sf), kind="accounts")
+
+
+@register("quarantine_ledger", _DIRTY + """,
+listed AS (SELECT *, list_filter([""" + ", ".join(f"CASE WHEN {r} THEN '{r}' END" for r in _RULES) + """], lambda x: x IS NOT NULL) AS rules FROM broken)
+SELECT transaction_id, CASE WHEN len(rules) = 0 THEN CAST(round(number, 2) AS DECIMAL(18,2)) END AS amount,
+       array_to_string(rules, ',') AS broken_rules FROM listed""")
+def quarantine_ledger(spark, sf):
+    """Quarantine mode over the ledger with faults: the good rows typed, the
+    bad ones with the rules that they break."""
+    good, bad = va.project_ledger(ad.dirty_ledger(spark, sf), mode="quarantine")
+    return good.select("transaction_id", "amount", F.lit("").alias("broken_rules")).unionByName(
+        bad.select("transaction_id", F.lit(None).cast(good.schema["amount"].dataType).alias("amount"),
+                   F.array_join("broken_rules", ",").alias("broken_rules")))
 
 
 @register("project_ledger", o.with_(o.SQL_LEDGER_NATION) + "SELECT * FROM ledger")
@@ -56,23 +62,35 @@ def project_accounts(spark, sf):
     return va.project_accounts(raw, mode="fail")
 
 
-@register("check_flag_domain", o.DETECT_NATION.rstrip() + "," + o.FLAGS + """
-SELECT gl_account_id, month, lower(trim(direction)) AS direction, lower(trim(severity)) AS severity,
-       coalesce(lower(trim(direction)) IN ('increase', 'decrease') AND lower(trim(severity)) IN ('high', 'medium', 'low'), FALSE)
-         AS domain_ok
-FROM flags""")
+@register("check_flag_domain", o.DETECT_NATION.rstrip() + "," + o.FLAGS + """,
+dirty_flags AS (SELECT gl_account_id, month,
+  CASE month(month) % 4 WHEN 0 THEN ' ' || direction || '  ' WHEN 1 THEN upper(direction) WHEN 2 THEN 'sideways' ELSE direction END AS direction,
+  CASE CAST(gl_account_id AS INT) % 5 WHEN 0 THEN 'critical' WHEN 1 THEN upper(severity) || ' ' ELSE severity END AS severity,
+  CAST(CAST(gl_account_id AS INT) - 2 AS DOUBLE) / 20.0::DOUBLE AS confidence FROM flags)
+SELECT gl_account_id, month, lower(trim(direction)) AS direction, lower(trim(severity)) AS severity, confidence,
+       coalesce(lower(trim(direction)) IN ('increase', 'decrease') AND lower(trim(severity)) IN ('high', 'medium', 'low')
+                AND confidence BETWEEN 0 AND 1, FALSE) AS domain_ok
+FROM dirty_flags""")
 def check_flag_domain(spark, sf):
+    """Flags with padded, upper-cased and unknown values and confidences outside 0 to 1."""
     from .q_core import nation_flags
-    return va.check_flag_domain(nation_flags(spark, sf)).select(
-        "gl_account_id", "month", "direction", "severity", "domain_ok")
+    m, k = F.month("month") % 4, F.col("gl_account_id").cast("int")
+    d, sv = F.col("direction"), F.col("severity")
+    flags = nation_flags(spark, sf).select(
+        "gl_account_id", "month",
+        F.when(m == 0, F.concat(F.lit(" "), d, F.lit("  "))).when(m == 1, F.upper(d)).when(m == 2, F.lit("sideways")).otherwise(d).alias("direction"),
+        F.when(k % 5 == 0, F.lit("critical")).when(k % 5 == 1, F.concat(F.upper(sv), F.lit(" "))).otherwise(sv).alias("severity"),
+        ((k - 2).cast("double") / F.lit(20.0)).alias("confidence"))
+    return va.check_flag_domain(flags, confidence_col="confidence")
 
 
 @register("check_balance_domain", o.DETECT_CUSTOMER + """
-SELECT * FROM balances WHERE NOT regexp_matches(strftime(month, '%Y-%m'), '^\\d{4}-(0[1-9]|1[0-2])$')
-   OR transaction_count < 0""")
+SELECT gl_account_id, month, net_balance, transaction_count - 2 AS transaction_count FROM balances WHERE transaction_count - 2 < 0""")
 def check_balance_domain(spark, sf):
+    """Counts shifted by two, so accounts with a single transaction in a month are out of the domain."""
     from ..operators import balances as bal
-    return va.check_balance_domain(bal.monthly_balances(ad.ledger_by_customer(spark, sf)))
+    b = bal.monthly_balances(ad.ledger_by_customer(spark, sf))
+    return va.check_balance_domain(b.withColumn("transaction_count", F.col("transaction_count") - 2))
 
 
 @register("validate_month", """
@@ -136,14 +154,16 @@ def table_read(spark, sf):
                          since=datetime.date(1999, 1, 1), floor=1000000)
 
 
-@register("load_all_months", o.with_(o.SQL_LEDGER_NATION) +
-          "SELECT * EXCLUDE (source_file) FROM ledger")
+_QUOTED = o.with_(o.SQL_LEDGER_NATION, o.SQL_QUOTED_LEDGER)
+
+
+@register("load_all_months", _QUOTED + "SELECT * EXCLUDE (source_file) FROM quoted")
 def load_all_months(spark, sf):
     """Round trip: the ledger written as monthly CSV files (one folder per
     month, in the shared scratch folder), read back from the folder of
     files, validated and typed."""
     out = scratch_path(spark, "ledger_csv")
-    fs.sink_ledger_csv(ad.ledger_by_nation(spark, sf), out, combined=False)
+    fs.sink_ledger_csv(ad.quoted_ledger(spark, sf), out, combined=False)
     raw = fs.scan_ledger_months(spark, f"{out}/by_month", pattern="*/*.csv")
     return va.project_ledger(raw, mode="fail").drop("source_file")
 
@@ -168,7 +188,6 @@ def _rule_rows(raw, rules, id_col, names):
 
 
 _RAW = o.with_(RAW_LEDGER_SQL)
-_ACC_RAW = o.with_(o.SQL_ACCOUNTS_CUSTOMER)
 
 
 @register("check_required_columns", _RAW + """
@@ -181,70 +200,79 @@ def check_required_columns(spark, sf):
     return raw.select("transaction_id", "gl_account_id", "date", "amount", "description")
 
 
-@register("check_nulls", _RAW + """
-SELECT transaction_id, gl_account_id IS NULL AS null_account, amount IS NULL AS null_amount FROM raw""")
+def _ledger_rule(spark, sf, *names):
+    return _rule_rows(ad.dirty_ledger(spark, sf), va.ledger_rules, "row_key", list(names))
+
+
+def _account_rule(spark, sf, *names):
+    return _rule_rows(ad.dirty_accounts(spark, sf), va.account_rules, "row_key", list(names))
+
+
+@register("check_nulls", _DIRTY + "SELECT row_key, null_account, null_amount FROM broken")
 def check_nulls(spark, sf):
-    return _rule_rows(ad.raw_ledger_by_nation(spark, sf), va.ledger_rules, "transaction_id",
-                      ["null_account", "null_amount"])
+    return _ledger_rule(spark, sf, "null_account", "null_amount")
 
 
-@register("check_numeric", _RAW + """
-SELECT transaction_id, coalesce(amount IS NOT NULL AND try_cast(amount AS DOUBLE) IS NULL, FALSE) AS non_numeric_amount
-FROM raw""")
+@register("check_numeric", _DIRTY + "SELECT row_key, non_numeric_amount FROM broken")
 def check_numeric(spark, sf):
-    return _rule_rows(ad.raw_ledger_by_nation(spark, sf), va.ledger_rules, "transaction_id", ["non_numeric_amount"])
+    return _ledger_rule(spark, sf, "non_numeric_amount")
 
 
-@register("check_dates", _RAW + """
-SELECT transaction_id, coalesce(date IS NULL OR try_strptime(date, '%Y-%m-%d') IS NULL, FALSE) AS bad_date FROM raw""")
+@register("check_dates", _DIRTY + "SELECT row_key, bad_date FROM broken")
 def check_dates(spark, sf):
-    return _rule_rows(ad.raw_ledger_by_nation(spark, sf), va.ledger_rules, "transaction_id", ["bad_date"])
+    return _ledger_rule(spark, sf, "bad_date")
 
 
-@register("check_nonzero_amount", _RAW + """
-SELECT transaction_id, coalesce(try_cast(amount AS DOUBLE) = 0, FALSE) AS zero_amount FROM raw""")
+@register("check_nonzero_amount", _DIRTY + "SELECT row_key, zero_amount FROM broken")
 def check_nonzero_amount(spark, sf):
-    return _rule_rows(ad.raw_ledger_by_nation(spark, sf), va.ledger_rules, "transaction_id", ["zero_amount"])
-
-
-def _raw_accounts(spark, sf):
-    acc = ad.accounts_from_customers(spark, sf)
-    return acc.select(*[F.col(c).cast("string").alias(c) for c in acc.columns])
+    return _ledger_rule(spark, sf, "zero_amount")
 
 
-@register("check_category_domain", _ACC_RAW + """
-SELECT account_id, NOT coalesce(lower(category) IN ('expense', 'revenue', 'asset', 'liability'), FALSE) AS bad_category
-FROM accounts""")
+@register("check_category_domain", _DIRTY_ACC + "SELECT row_key, bad_category FROM broken_acc")
 def check_category_domain(spark, sf):
-    return _rule_rows(_raw_accounts(spark, sf), va.account_rules, "account_id", ["bad_category"])
+    return _account_rule(spark, sf, "bad_category")
 
 
-@register("check_threshold_range", _ACC_RAW + """
-SELECT account_id, coalesce(variance_threshold_pct IS NOT NULL
-                            AND NOT coalesce(variance_threshold_pct BETWEEN 0 AND 100, FALSE), FALSE) AS threshold_out_of_range
-FROM accounts""")
+@register("check_threshold_range", _DIRTY_ACC + "SELECT row_key, threshold_out_of_range FROM broken_acc")
 def check_threshold_range(spark, sf):
-    return _rule_rows(_raw_accounts(spark, sf), va.account_rules, "account_id", ["threshold_out_of_range"])
+    return _account_rule(spark, sf, "threshold_out_of_range")
 
 
 # ---------------------------------------------------------------------------
 # Ledger files: written per month, read back
 # ---------------------------------------------------------------------------
 
-@register("sink_ledger_csv", o.with_(o.SQL_LEDGER_NATION) + "SELECT * EXCLUDE (source_file) FROM ledger")
+@register("sink_ledger_csv", _QUOTED + "SELECT * EXCLUDE (source_file) FROM quoted")
 def sink_ledger_csv(spark, sf):
     """The ledger written as monthly CSV files plus one combined file; the
     combined copy read back and typed."""
     out = scratch_path(spark, "ledger_csv_sink")
-    fs.sink_ledger_csv(ad.ledger_by_nation(spark, sf), out, combined=True)
+    fs.sink_ledger_csv(ad.quoted_ledger(spark, sf), out, combined=True)
     return va.project_ledger(fs.scan_ledger(spark, f"{out}/all"), mode="fail").drop("source_file")
 
 
-@register("scan_ledger_months", _RAW + """
-SELECT transaction_id, gl_account_id, date, amount, description, department, vendor FROM raw""")
+@register("scan_ledger", _QUOTED + """
+SELECT transaction_id, gl_account_id, CAST(transaction_date AS VARCHAR) AS date, CAST(amount AS VARCHAR) AS amount,
+       description, department, '"' || l_vendor || '\\", ' AS vendor, TRUE AS has_file
+FROM quoted JOIN (SELECT transaction_id, vendor AS l_vendor FROM ledger) USING (transaction_id)""")
+def scan_ledger(spark, sf):
+    """Ledger files scanned as text columns, with the file of each row."""
+    out = scratch_path(spark, "ledger_scan")
+    fs.sink_ledger_csv(ad.quoted_ledger(spark, sf), out, combined=True)
+    raw = fs.scan_ledger(spark, f"{out}/all")
+    return raw.select("transaction_id", "gl_account_id", "date", "amount", "description", "department", "vendor",
+                      F.col("source_file").endswith(".csv").alias("has_file"))
+
+
+@register("scan_ledger_months", _QUOTED + """
+SELECT transaction_id, gl_account_id, CAST(transaction_date AS VARCHAR) AS date, CAST(amount AS VARCHAR) AS amount,
+       description, department, '"' || l_vendor || '\\", ' AS vendor, 'month=' || strftime(transaction_date, '%Y-%m') AS folder
+FROM quoted JOIN (SELECT transaction_id, vendor AS l_vendor FROM ledger) USING (transaction_id)""")
 def scan_ledger_months(spark, sf):
-    """Monthly ledger files scanned as text columns (one folder per month)."""
+    """Monthly ledger files scanned as text columns; the source file is its
+    path below the landing folder."""
     out = scratch_path(spark, "ledger_months")
-    fs.sink_ledger_csv(ad.ledger_by_nation(spark, sf), out, combined=False)
+    fs.sink_ledger_csv(ad.quoted_ledger(spark, sf), out, combined=False)
     raw = fs.scan_ledger_months(spark, f"{out}/by_month", pattern="*/*.csv")
-    return raw.select("transaction_id", "gl_account_id", "date", "amount", "description", "department", "vendor")
+    return raw.select("transaction_id", "gl_account_id", "date", "amount", "description", "department", "vendor",
+                      F.split("source_file", "/")[0].alias("folder"))

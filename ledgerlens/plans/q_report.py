@@ -35,6 +35,17 @@ ex AS (
          CAST(round(least(CAST(0.95 AS DECIMAL(12,5)),
                CAST(CAST(0.5 AS DECIMAL(12,5)) + CAST(abs(coalesce(f.z_score, 0.0)) AS DECIMAL(12,4)) / 10 AS DECIMAL(12,5))), 2)
               AS DOUBLE) AS confidence,
+         concat_ws(chr(10),
+           '1. The balance changed by ' || {sign('f.variance_percent')} || {fmt2('f.variance_percent')} || '% ('
+             || {sign('f.variance_amount')} || {money('f.variance_amount')} || ').',
+           '2. Typical range ' || coalesce(f.typical_range, 'N/A') || ': the balance is '
+             || CASE WHEN f.current_balance >= a.typical_min AND f.current_balance <= a.typical_max THEN 'inside it.'
+                     WHEN (f.current_balance >= a.typical_min AND f.current_balance <= a.typical_max) IS NULL THEN 'not comparable.'
+                     ELSE 'outside it.' END,
+           '3. Z-score ' || coalesce({fmt2('f.z_score')}, 'N/A') || ', past anomalies ' || CAST(coalesce(f.past_anomaly_count, 0) AS VARCHAR) || '.',
+           CASE WHEN coalesce(f.current_balance >= a.typical_min AND f.current_balance <= a.typical_max, FALSE)
+                     OR coalesce(a.is_seasonal, FALSE) THEN '4. Conclusion: expected variance.'
+                ELSE '4. Conclusion: true anomaly, needs investigation.' END) AS chain_of_thought,
          'Balance moved from ' || {money('f.previous_balance')} || ' to ' || {money('f.current_balance')} || ' ('
            || {sign('f.variance_percent')} || {fmt2('f.variance_percent')} || '%); '
            || CASE WHEN coalesce(f.current_balance >= a.typical_min AND f.current_balance <= a.typical_max, FALSE)
@@ -66,6 +77,7 @@ sec AS (
            '**Assessment:** ' || CASE WHEN x.is_expected_variance THEN 'expected variance' ELSE 'anomalous' END
              || ', confidence ' || printf('%.0f%%', x.confidence * 100),
            '**Root cause:** ' || x.root_cause,
+           '**Detailed reasoning:**' || chr(10) || x.chain_of_thought,
            '**Evidence:**',
            array_to_string(list_transform(x.supporting_evidence, lambda e: '- ' || e), chr(10)),
            '**Recommendation:** ' || x.recommendation,
@@ -161,16 +173,28 @@ def explanation_requests(spark, sf):
                                                               "history_text")
 
 
-@register("sink_report", "WITH lines AS (" + REPORT_SQL + """)
-SELECT string_agg(text || chr(10), '' ORDER BY section, line_no) AS report_text FROM lines""")
+@register("sink_report", "WITH lines AS (" + REPORT_SQL + """),
+flat AS (SELECT section, line_no, unnest(string_split(text, chr(10))) AS text,
+                unnest(range(len(string_split(text, chr(10))))) AS k FROM lines)
+SELECT row_number() OVER (ORDER BY section, line_no, k) AS line, text FROM flat""")
 def sink_report(spark, sf):
-    """The report written as one markdown file and read back whole."""
+    """The report written as ordered text parts and read back: every line
+    with its place in the whole report.  The window runs over one row per
+    part."""
+    from pyspark.sql import Window
+
     from ..session import scratch_path
     from ..sources import files as fs
     _, ex = flags_and_explanations(spark, sf)
     path = scratch_path(spark, "report")
     fs.sink_report(rp.report_lines(rp.report_sections(ex), REPORT_MONTH), path)
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("report_text"))
+    parts = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_name").alias("part"),
+        F.split(F.regexp_replace("value", r"\n$", ""), "\n").alias("lines"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("before", F.coalesce(F.sum(F.size("lines")).over(before), F.lit(0)))
+    return placed.select("before", F.posexplode("lines").alias("k", "text")).select(
+        (F.col("before") + F.col("k") + 1).alias("line"), "text")
 
 
 @register("parse_sections")

@@ -10,6 +10,7 @@ from . import oracle as o
 from . import store as st
 from .catalog import register
 from .q_core import nation_flags
+from .q_costs import PRICED, priced
 
 CUTOFF = "2000-01-01"
 
@@ -57,12 +58,17 @@ def upsert_accounts(spark, sf):
     v1 = region2.withColumn("account_name", F.lower("account_name")).withColumn(
         "description", F.lit("revised once")).withColumn("_seq", F.lit(1))
     v2 = v1.withColumn("description", F.lit("revised twice")).withColumn("_seq", F.lit(2))
-    return st.upsert_accounts(master, v2.unionByName(v1), order_col="_seq")
+    path = scratch_path(spark, "accounts")
+    st.store_accounts(master, path, seq=0)
+    for seq, version in ((2, v2), (1, v1), (2, v2)):          # out of order, and one twice
+        st.store_accounts(version.drop("_seq"), path, seq=seq)
+    return st.current_accounts(spark, path)
 
 
 _REFRESH_LEDGER = o.SQL_LEDGER_NATION.rstrip() + """,
-lall AS (SELECT * FROM ledger WHERE transaction_date < DATE '2001-02-01'),
-l1 AS (SELECT * FROM lall WHERE transaction_date < DATE '2001-01-01' AND vendor <> '5-LOW'),
+lall AS (SELECT * FROM ledger),
+late_month AS (SELECT CAST(date_trunc('month', max(transaction_date)) AS DATE) AS lm FROM ledger),
+l1 AS (SELECT * FROM lall WHERE transaction_date < (SELECT lm FROM late_month) AND vendor <> '5-LOW'),
 agg AS (
   SELECT gl_account_id, CAST(date_trunc('month', transaction_date) AS DATE) AS month,
          CAST(SUM(amount) AS DECIMAL(38,2)) AS net_balance, COUNT(*) AS transaction_count
@@ -70,18 +76,18 @@ agg AS (
   UNION ALL
   SELECT gl_account_id, CAST(date_trunc('month', transaction_date) AS DATE) AS month,
          CAST(SUM(amount) AS DECIMAL(38,2)) AS net_balance, COUNT(*) AS transaction_count
-  FROM lall WHERE transaction_date >= DATE '2001-01-01' GROUP BY ALL
+  FROM lall WHERE transaction_date >= (SELECT lm FROM late_month) GROUP BY ALL
 ),
 balances AS (SELECT * FROM agg)"""
 
 
 def _refresh_scenario(spark, sf):
-    led = _ledger(spark, sf)
-    lall = led.filter(F.col("transaction_date") < F.lit("2001-02-01").cast("date"))
-    l1 = lall.filter((F.col("transaction_date") < F.lit("2001-01-01").cast("date")) & (F.col("vendor") != "5-LOW"))
+    lall = _ledger(spark, sf)
+    last = lall.agg(F.date_format(F.max("transaction_date"), "yyyy-MM")).first()[0]      # one scalar
+    l1 = lall.filter((F.col("transaction_date") < F.lit(f"{last}-01").cast("date")) & (F.col("vendor") != "5-LOW"))
     path = scratch_path(spark, "balances")
     st.refresh_balances(spark, l1, path)
-    enriched = st.refresh_balances(spark, lall, path, target_month="2001-01")
+    enriched = st.refresh_balances(spark, lall, path, target_month=last)
     return lall, path, enriched
 
 
@@ -110,20 +116,23 @@ def late_rows(spark, sf):
     return st.late_rows(lall, spark.read.parquet(path))
 
 
-RUNS_SQL = o.DETECT_NATION.rstrip() + "," + o.FLAGS + """,
+RUNS_SQL = o.DETECT_NATION.rstrip() + "," + o.FLAGS + "," + o.CALL_LOG + "," + PRICED + """,
 runs AS (
   SELECT 'monthly' AS analysis_period, current_month AS target_month,
          (SELECT count(*) FROM accounts) AS total_accounts_analyzed,
          count(*) AS anomalies_detected, count_if(severity = 'high') AS high_severity_count,
          count_if(severity = 'medium') AS medium_severity_count, count(*) + 2 AS total_llm_calls,
-         CAST(NULL AS DOUBLE) AS total_cost_usd,
-         CAST(current_month || '-28 00:00:00' AS TIMESTAMP) AS created_at
+         (SELECT CAST(CAST(sum(cost_exact) AS DECIMAL(38,11)) AS DOUBLE) FROM priced2) AS total_cost_usd,
+         CAST(last_day(CAST(current_month || '-01' AS DATE)) AS TIMESTAMP) AS created_at
   FROM flags GROUP BY current_month
 )"""
 
 
 def _runs(spark, sf):
-    return st.run_rows(nation_flags(spark, sf), ad.accounts_from_nations(spark, sf))
+    """Run rows with the cost of the call log."""
+    from ..operators import costs as co
+    cost = priced(spark, sf).agg(F.sum("cost_exact").cast(co.COST).cast("double")).scalar()
+    return st.run_rows(nation_flags(spark, sf), ad.accounts_from_nations(spark, sf), cost_usd=cost)
 
 
 @register("store_run", RUNS_SQL + "SELECT * FROM runs")
@@ -202,13 +211,13 @@ def generate_month(spark, sf):
 
 @register("run_analysis")
 def run_analysis(spark, sf):
-    """The full chain on the dense ledger's newest month; returns the
-    report lines (rows-only: the chain includes hashed retrieval)."""
+    """The full chain on the dense ledger's newest month: ingest to
+    stored report; returns the report lines."""
     from .analysis import run_analysis as run
     raw = ad.raw_ledger_by_nation(spark, sf)
     acc = ad.accounts_from_nations(spark, sf)
     raw_acc = acc.select(*[F.col(c).cast("string").alias(c) for c in acc.columns])
-    return run(spark, raw, raw_acc, scratch_path(spark, "analysis")).report
+    return run(spark, raw, raw_acc, scratch_path(spark, "analysis"), calls=ad.call_log_from_events(spark, sf)).report
 
 
 # ---------------------------------------------------------------------------

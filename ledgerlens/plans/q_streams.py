@@ -11,20 +11,27 @@ from . import oracle as o
 from .catalog import register
 
 
-def _landing(spark, sf, twice: bool = False) -> str:
-    """The dense ledger written to a landing folder (twice when asked, the
-    second copy overlapping, as files that arrive again)."""
+def _landing(spark, sf, files: int = 3, twice: bool = False) -> str:
+    """The dense ledger landed as several files, each with rows of all dates
+    (so every file but the first brings late rows and corrects months that
+    were flagged already); with ``twice`` each file arrives once more."""
     path = scratch_path(spark, "landing")
-    led = ad.ledger_by_nation(spark, sf)
-    led.write.mode("append").parquet(path)
-    if twice:
-        led.filter(F.col("transaction_date") >= F.lit("1999-01-01").cast("date")).write.mode("append").parquet(path)
+    led = ad.ledger_by_nation(spark, sf).withColumn("_file", F.pmod(F.xxhash64("transaction_id"), F.lit(files)))
+    for k in range(files):
+        part = led.where(F.col("_file") == k).drop("_file").coalesce(1)
+        for _ in range(2 if twice else 1):
+            part.write.mode("append").parquet(path)
     return path
 
 
+def _stream(spark, path):
+    """One file per micro-batch."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @register("stream_monthly_balances", o.with_(o.SQL_LEDGER_NATION, o.BALANCES) + "SELECT * FROM balances")
 def stream_monthly_balances(spark, sf):
-    src = sm.stream_from_table(spark, _landing(spark, sf))
+    src = _stream(spark, _landing(spark, sf, files=6))
     agg = sm.monthly_balances_stream(src)
     out = sm.upsert_log(agg, scratch_path(spark, "stream_bal"), scratch_path(spark, "ckpt_bal"))
     res = sm.latest_rows(spark, out, ["gl_account_id", "month_ts"])
@@ -34,10 +41,9 @@ def stream_monthly_balances(spark, sf):
 
 @register("stream_dedupe", o.with_(o.SQL_LEDGER_NATION) + "SELECT * FROM ledger")
 def stream_dedupe(spark, sf):
-    src = sm.stream_from_table(spark, _landing(spark, sf, twice=True))
-    out = sm.write_stream(sm.dedupe_stream(src), scratch_path(spark, "stream_dedupe"),
-                          scratch_path(spark, "ckpt_dedupe"))
-    return spark.read.parquet(out)
+    src = _stream(spark, _landing(spark, sf, twice=True))
+    out = sm.dedupe_stream(spark, src, scratch_path(spark, "stream_dedupe"), scratch_path(spark, "ckpt_dedupe"))
+    return spark.read.parquet(out).drop("month")
 
 
 @register("stream_call_rates", o.with_(o.CALL_LOG) + """,
@@ -49,16 +55,16 @@ FROM w GROUP BY agent, ws""")
 def stream_call_rates(spark, sf):
     calls = ad.call_log_from_events(spark, sf).select("ts", "agent")
     path = scratch_path(spark, "calls_landing")
-    calls.write.parquet(path)
-    win = sm.call_rate_windows(sm.stream_from_table(spark, path))
+    calls.repartition(3, F.col("ts")).write.parquet(path)       # each file has calls of all times
+    win = sm.call_rate_windows(_stream(spark, path))
     out = sm.upsert_log(win, scratch_path(spark, "stream_rates"), scratch_path(spark, "ckpt_rates"))
     return sm.latest_rows(spark, out, ["agent", "window_start"])
 
 
 @register("stream_ledger", o.DETECT_NATION + o.detect_select(o.GLOBAL_FLAG))
 def stream_ledger(spark, sf):
-    """Ledger files streamed through append -> refresh -> detect."""
-    src = sm.stream_from_table(spark, _landing(spark, sf))
+    """Ledger files streamed through append -> refresh -> detect, out of date order."""
+    src = _stream(spark, _landing(spark, sf))
     base = scratch_path(spark, "stream_ledger")
     flags_path = sm.stream_ledger(spark, src, ad.accounts_from_nations(spark, sf), base,
                                   scratch_path(spark, "ckpt_ledger"))
@@ -66,8 +72,7 @@ def stream_ledger(spark, sf):
             "previous_balance", "variance_percent", "variance_amount", "transaction_count", "rolling_3mo_avg",
             "rolling_6mo_std", "z_score", "is_statistical_outlier", "typical_range", "severity", "direction",
             "past_anomaly_count"]
-    df = spark.read.parquet(flags_path).withColumn("current_month", F.col("current_month").cast("string"))
-    return df.select(*cols)
+    return sm.current_flags(spark, flags_path).select(*cols)
 
 
 def _limiter_sql():
@@ -77,15 +82,16 @@ def _limiter_sql():
 
 @register("stream_admit_calls", _limiter_sql())
 def stream_admit_calls(spark, sf):
-    """The limiter replay as a stateful stream over the call log landed one
-    file per day (a week per micro-batch); same result as the batch replay
-    and its recursive SQL twin."""
-    calls = ad.call_log_from_events(spark, sf).select("ts", "agent").withColumn("day", F.to_date("ts"))
-    path = scratch_path(spark, "calls_by_day")
-    calls.write.partitionBy("day").parquet(path)
-    schema = spark.read.parquet(path).schema
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 7).parquet(path)
-    out = sm.write_stream(sm.admit_calls_stream(src, per_minute=2, per_hour=4),
-                          scratch_path(spark, "stream_admit"), scratch_path(spark, "ckpt_admit"))
+    """The limiter replay as a stateful stream over the call log, landed in
+    several files a week and run week by week; same result as the batch
+    replay and its recursive SQL twin."""
+    calls = ad.call_log_from_events(spark, sf).select("ts", "agent").withColumn(
+        "week", F.date_format(F.date_trunc("week", F.col("ts").cast("timestamp")), "yyyy-MM-dd"))
+    path = scratch_path(spark, "calls_by_week")
+    calls.repartition(4, "ts").write.partitionBy("week").parquet(path)
+    # bounded by the calendar
+    weeks = sorted(r["w"] for r in spark.read.parquet(path).select(F.col("week").cast("string").alias("w")).distinct().collect())
+    out = sm.stream_periods(spark, path, weeks, "week", lambda src: sm.admit_calls_stream(src, per_minute=2, per_hour=4),
+                            scratch_path(spark, "stream_admit"), scratch_path(spark, "ckpt_admit"))
     return spark.read.parquet(out).select(F.col("key").alias("agent"), F.col("ts").cast("timestamp_ntz").alias("ts"),
                                           "admitted")

@@ -7,7 +7,8 @@ cluster: the shared folder).  Writes happen only here and in the sinks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import balances as bal
@@ -17,12 +18,32 @@ LEDGER_COLS = ["transaction_id", "gl_account_id", "transaction_date", "amount",
                "department", "vendor", "source_file"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+#: conditions under which there is no table: no folder, or a folder without any data file
+_NO_TABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a stored table is there.  Only a missing folder (or one in
+    which nothing was written yet) means no; every other fault, such as an
+    unreadable file or a missing permission, is raised, so that it is never
+    taken for an empty store."""
     try:
-        spark.read.parquet(path).limit(0).collect()
-        return True
-    except Exception:  # noqa: BLE001 - absent table
-        return False
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in _NO_TABLE:
+            return False
+        raise
+    return True
+
+
+def write_by(df: DataFrame, partition: str, path: str, mode: str = "append", dynamic: bool = False) -> None:
+    """Write partition folders with few files each: rows are first gathered
+    by the partition column; the rebalance lets AQE split a large partition
+    over tasks and put small ones together."""
+    w = df.hint("rebalance", partition).write.mode(mode).partitionBy(partition)
+    if dynamic:
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.parquet(path)
 
 
 def dedupe_first(batch: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -70,24 +91,36 @@ def new_transactions(batch: DataFrame, existing: DataFrame | None,
 def append_ledger(spark: SparkSession, batch: DataFrame, path: str, id_scope: str = "global") -> None:
     """Insert-or-ignore by transaction id into the ledger table (partitioned
     by month)."""
-    existing = spark.read.parquet(path) if _exists(spark, path) else None
+    existing = spark.read.parquet(path) if table_exists(spark, path) else None
     new = new_transactions(batch, existing, id_scope=id_scope).withColumn("month", bal.month_start("transaction_date"))
-    new.write.mode("append").partitionBy("month").parquet(path)
+    write_by(new, "month", path)
 
 
-def upsert_accounts(master: DataFrame, batch: DataFrame, order_col: str | None = None) -> DataFrame:
+def upsert_accounts(master: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
     """Replace by account id: a batch row beats the stored one, the last
-    batch row (by ``order_col``) beats earlier ones."""
+    batch row (by ``order_col``, a number; null first) beats earlier ones."""
     cols = master.columns
     old = master.select(*cols, F.lit(0).alias("_prio"), F.lit(0).cast("long").alias("_ord"))
     new = batch.select(*cols, F.lit(1).alias("_prio"),
-                       (F.col(order_col) if order_col else F.monotonically_increasing_id()).cast("long").alias("_ord"))
+                       F.col(order_col).cast("long").alias("_ord"))
     u = old.unionByName(new)
     rest = [c for c in cols if c != "account_id"]
     win = F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct("_prio", "_ord"))
     return u.groupBy("account_id").agg(win.alias("_w")).select("account_id", *[F.col(f"_w.{c}").alias(c) for c in rest])
 
 
+def store_accounts(batch: DataFrame, path: str, seq: int) -> None:
+    """Add a batch of the account master under the sequence number ``seq``
+    (higher replaces lower); storing the same batch again changes nothing."""
+    write_by(batch.withColumn("seq", F.lit(seq).cast("long")), "seq", path, mode="overwrite", dynamic=True)
+
+
+def current_accounts(spark: SparkSession, path: str) -> DataFrame:
+    """The stored master: of each account the row with the highest sequence number."""
+    rows = spark.read.parquet(path)
+    return upsert_accounts(rows.drop("seq").limit(0), rows, order_col="seq")
+
+
 def refresh_balances(spark: SparkSession, ledger: DataFrame, path: str,
                      target_month: str | list[str] | None = None, refresh: str = "target") -> DataFrame:
     """Write the monthly balance table and return it enriched with variance.
@@ -99,9 +132,9 @@ def refresh_balances(spark: SparkSession, ledger: DataFrame, path: str,
     (dynamic partition overwrite).
     """
     targets = [target_month] if isinstance(target_month, str) else list(target_month or [])
-    if not _exists(spark, path) or not targets:
+    if not table_exists(spark, path) or not targets:
         fresh = bal.monthly_balances(ledger)
-        fresh.write.mode("overwrite").partitionBy("month").parquet(path)
+        write_by(fresh, "month", path, mode="overwrite")
     else:
         if refresh == "affected":
             stored = spark.read.parquet(path)
@@ -112,8 +145,7 @@ def refresh_balances(spark: SparkSession, ledger: DataFrame, path: str,
             fresh = fresh.unionByName(bal.monthly_balances(ledger, months=targets)).distinct()
         else:
             fresh = bal.monthly_balances(ledger, months=targets)
-        (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("month").parquet(path))
+        write_by(fresh, "month", path, mode="overwrite", dynamic=True)
     return bal.enrich_balances(spark.read.parquet(path))
 
 
@@ -130,18 +162,24 @@ def late_rows(ledger: DataFrame, stored_balances: DataFrame) -> DataFrame:
                     | ~F.col("ledger_count").eqNullSafe(F.col("stored_count")))
 
 
-def run_rows(flags: DataFrame, accounts: DataFrame, period: str = "monthly") -> DataFrame:
-    """One analysis-run row per target month; the call count follows the
-    reference's estimate (anomalies + 2), cost left NULL until priced."""
+def run_rows(flags: DataFrame, accounts: DataFrame, period: str = "monthly", created_at: str | None = None,
+             cost_usd: Column | None = None) -> DataFrame:
+    """One analysis-run row per target month.  The call count is the
+    estimate of one call per anomaly and two for the report; ``cost_usd`` is
+    an expression over the counts (see ``costs.estimated_run_cost``), NULL if
+    not given.  ``created_at`` is the time of the run; without one, rows are
+    dated to the last day of their month."""
     c = det.severity_counts(flags, accounts)
+    made = (F.lit(created_at).cast("timestamp_ntz") if created_at is not None
+            else F.last_day(F.to_date(F.concat(F.col("current_month"), F.lit("-01")))).cast("timestamp_ntz"))
     return c.select(
         F.lit(period).alias("analysis_period"),
         F.col("current_month").alias("target_month"),
         F.col("accounts_analyzed").alias("total_accounts_analyzed"),
         "anomalies_detected", "high_severity_count", "medium_severity_count",
         (F.col("anomalies_detected") + 2).alias("total_llm_calls"),
-        F.lit(None).cast("double").alias("total_cost_usd"),
-        F.to_timestamp(F.concat(F.col("current_month"), F.lit("-28 00:00:00"))).cast("timestamp_ntz").alias("created_at"),
+        (F.lit(None).cast("double") if cost_usd is None else cost_usd.cast("double")).alias("total_cost_usd"),
+        made.alias("created_at"),
     )
 
 
@@ -151,7 +189,7 @@ def store_investigations(spark: SparkSession, investigations: DataFrame, path: s
     already are skipped.  ``dedupe=False`` appends blindly, like the
     reference's unkeyed inserts."""
     new = investigations
-    if dedupe and _exists(spark, path):
+    if dedupe and table_exists(spark, path):
         new = new.join(spark.read.parquet(path).select("anomaly_id", "run_id"), ["anomaly_id", "run_id"], "left_anti")
     new.write.mode("append").parquet(path)
 

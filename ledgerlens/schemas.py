@@ -131,6 +131,7 @@ RATE_PER_MINUTE = 60
 RATE_PER_HOUR = 1000
 MONTH_PATTERN = r"^\d{4}-(0[1-9]|1[0-2])$"
 IDENTIFIER_PATTERN = r"^[a-zA-Z0-9_]+$"
+NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 SECRET_KEY_PATTERN = r"^sk-[a-zA-Z0-9]{48,}$"
 NO_DOCUMENTATION = "No documentation found"
 HISTORY_QUERY_PREFIX = "Historical anomaly: "

@@ -3,39 +3,60 @@ reports and cost summaries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import ACCOUNTS_RAW, LEDGER_RAW
 
 
-def _csv(spark: SparkSession, schema, paths):
+#: quoting of all CSV files, the same for reading and writing: a quote within
+#: a quoted value is doubled, a backslash is an ordinary character, and blanks
+#: at the ends of a value belong to it
+_QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def _csv(spark: SparkSession, schema, paths, multi_line: bool):
     return (spark.read.schema(schema)
             .option("header", True)
-            .option("multiLine", True)       # descriptions may hold quoted newlines
-            .option("escape", '"')
+            .option("multiLine", multi_line)
+            .options(**_QUOTING)
             .option("mode", "PERMISSIVE")
             .csv(paths))
 
 
-def scan_ledger(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Ledger CSV(s) as text columns, with the source file name and an order
-    key (file name, position in the read) used for first-wins dedupe.
+def scan_ledger(spark: SparkSession, paths: str | list[str], multi_line: bool = False,
+                base: str | None = None) -> DataFrame:
+    """Ledger CSV(s) as text columns, with the source file and an order key
+    (file, position in the read) used for first-wins dedupe.
 
-    IDs stay text: reading them as numbers would drop leading zeros.
+    IDs stay text: reading them as numbers would drop leading zeros.  Files
+    are split over tasks; only where values hold line ends must a file be
+    read as a whole (``multi_line``).  ``source_file`` is the path below
+    ``base`` (the landing folder), so equal names in two folders stay apart;
+    without ``base`` it is the file name.
     """
-    df = _csv(spark, LEDGER_RAW, paths)
-    return (df.withColumn("source_file", F.col("_metadata.file_name"))
+    df = _csv(spark, LEDGER_RAW, paths, multi_line)
+    name = F.col("_metadata.file_name")
+    if base is not None:
+        folder = base.rstrip("/").rsplit("/", 1)[-1]
+        name = F.regexp_replace(F.col("_metadata.file_path"), rf"^.*/\Q{folder}\E/", "")
+    return (df.withColumn("source_file", name)
             .withColumn("file_order", F.monotonically_increasing_id()))
 
 
-def scan_ledger_months(spark: SparkSession, folder: str, pattern: str = "pl_*.csv") -> DataFrame:
-    """Every monthly ledger file of a folder."""
-    return scan_ledger(spark, f"{folder.rstrip('/')}/{pattern}")
+def scan_ledger_months(spark: SparkSession, folder: str, pattern: str = "pl_*.csv",
+                       multi_line: bool = False) -> DataFrame:
+    """Every monthly ledger file of a folder; ``source_file`` is its path in the folder."""
+    return scan_ledger(spark, f"{folder.rstrip('/')}/{pattern}", multi_line, base=folder)
+
 
+def scan_accounts(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
+    return _csv(spark, ACCOUNTS_RAW, paths, multi_line)
 
-def scan_accounts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return _csv(spark, ACCOUNTS_RAW, paths)
+
+def account_of_file(name: Column) -> Column:
+    """The account a documentation file belongs to: its stem up to the first ``_``."""
+    return F.split(F.regexp_replace(name, r"\.[^.]*$", ""), "_").getItem(0)
 
 
 def scan_docs(spark: SparkSession, folder: str, account_from: str = "file") -> DataFrame:
@@ -48,8 +69,7 @@ def scan_docs(spark: SparkSession, folder: str, account_from: str = "file") -> D
     """
     df = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     name = F.col("_metadata.file_name")
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    acc = (F.split(stem, "_").getItem(0) if account_from == "file"
+    acc = (account_of_file(name) if account_from == "file"
            else F.regexp_extract(F.col("_metadata.file_path"), r"account_id=([^/]+)/", 1))
     return (df.select(F.col("value").alias("text"), name.alias("source_file"), acc.alias("account_id"))
             .filter(name.endswith(".md") | name.endswith(".txt")))
@@ -63,24 +83,25 @@ def table_read(spark: SparkSession, sql: str, **params) -> DataFrame:
 def sink_ledger_csv(ledger: DataFrame, out_dir: str, combined: bool = True) -> None:
     """Ledger split per month (``month=YYYY-MM`` folders) plus, optionally,
     one combined copy.  Columns are written in file order: date, not
-    transaction_date."""
+    transaction_date.  Rows are gathered by month first, so a month has few
+    files however many tasks write."""
     cols = [F.col("transaction_id"), F.col("gl_account_id"),
             F.date_format("transaction_date", "yyyy-MM-dd").alias("date"),
             F.col("amount").cast("string").alias("amount"),
             "description", "department", "vendor"]
     out = ledger.select(*cols, F.date_format("transaction_date", "yyyy-MM").alias("month"))
-    out.write.mode("overwrite").option("header", True).partitionBy("month").csv(f"{out_dir}/by_month")
+    (out.hint("rebalance", "month").write.mode("overwrite").option("header", True).options(**_QUOTING)
+     .partitionBy("month").csv(f"{out_dir}/by_month"))
     if combined:
-        out.drop("month").write.mode("overwrite").option("header", True).csv(f"{out_dir}/all")
+        out.drop("month").write.mode("overwrite").option("header", True).options(**_QUOTING).csv(f"{out_dir}/all")
 
 
 def sink_report(lines: DataFrame, path: str) -> None:
-    """Report lines (``section``, ``line_no``, ``text``) as one text file.
-
-    The report holds one section per shown anomaly, so it is small by
-    definition; only it, never the data behind it, goes through one task.
-    """
-    (lines.repartition(1).sortWithinPartitions("section", "line_no")
+    """Report lines (``section``, ``line_no``, ``text``) as ordered text
+    parts: the files, read by name one after the other, are the report.
+    Lines are range-partitioned by their place, so no task holds them all; a
+    small report still ends up in one part (AQE merges small ranges)."""
+    (lines.repartitionByRange("section", "line_no").sortWithinPartitions("section", "line_no")
      .select("text").write.mode("overwrite").text(path))
 
 
@@ -99,7 +120,7 @@ def sink_cost_json(summary: DataFrame, path: str, calls: DataFrame | None = None
     _money_text(summary).write.mode("overwrite").json(f"{path}/summary")
     if calls is not None:
         (_money_text(calls.drop("cost_exact") if "cost_exact" in calls.columns else calls)
-         .write.mode("overwrite").partitionBy("run_id").json(f"{path}/calls"))
+         .hint("rebalance", "run_id").write.mode("overwrite").partitionBy("run_id").json(f"{path}/calls"))
 
 
 def sink_account_docs(docs: DataFrame, out_dir: str, folder_per_account: bool = False) -> None:

@@ -70,16 +70,18 @@ def generate_ledger(accounts: DataFrame, start: Column, end: Column, seed: int =
     hi = F.col("typical_max").cast("double")
     base = F.coalesce((lo + hi) / 2, F.lit(10000.0))
     spread = F.coalesce((hi - lo) / 2, base * 0.1)
-    rows = accounts.select("account_id", base.alias("_base"), spread.alias("_spread"),
-                           F.explode(F.sequence(start, end, F.expr("INTERVAL 1 MONTH"))).alias("month"))
     acc, month = F.col("account_id"), F.col("month")
+    # what depends on the account alone is made once per account, and the
+    # accounts are spread over the tasks before each becomes many rows
+    per_account = accounts.select(
+        "account_id", base.alias("_base"), spread.alias("_spread"),
+        (unit_noise(seed + 1, acc) < F.lit(anomaly_rate * 2 - 1)).alias("_pick"),
+        (F.lit(0.3) + (unit_noise(seed + 2, acc) + 1) * F.lit(1.35)).alias("_shock")).repartition("account_id")
+    rows = per_account.withColumn("month", F.explode(F.sequence(start, end, F.expr("INTERVAL 1 MONTH"))))
     noise = unit_noise(seed, acc, month)
-    is_last = month == end
-    pick = unit_noise(seed + 1, acc) < F.lit(anomaly_rate * 2 - 1)
-    shock = F.lit(0.3) + (unit_noise(seed + 2, acc) + 1) * F.lit(1.35)
-    anomalous = is_last & pick
+    anomalous = (month == end) & F.col("_pick")
     amount = (F.col("_base") + noise * F.col("_spread") * 0.1) * seasonal_factor(acc, month)
-    amount = F.when(anomalous, amount * shock).otherwise(amount)
+    amount = F.when(anomalous, amount * F.col("_shock")).otherwise(amount)
     label = F.date_format(month, "MMMM yyyy")
     return rows.select(
         F.concat(F.lit("TXN-"), acc, F.lit("-"), F.date_format(month, "yyyyMM")).alias("transaction_id"),

@@ -1,13 +1,18 @@
 """Structured Streaming versions of the monthly load.
 
-* ``stream_ledger``: new ledger files are picked up as they land; each
-  micro-batch runs append (first write wins) -> month refresh -> detection
-  in ``foreachBatch`` (the variance needs the global month list, so it is
-  computed on the stored table, not in streaming state).
-* ``stream_monthly_balances``: the roll-up as a stateful aggregate with a
-  watermark, so state for closed months is dropped.
-* ``stream_dedupe``: idempotent arrival with ``dropDuplicatesWithinWatermark``.
-* ``stream_call_rates``: sliding one-minute call counts.
+The exact forms give the same tables however the input is cut into
+micro-batches, also with files out of date order; no row is dropped as late:
+
+* ``stream_ledger``: each micro-batch runs append (first write wins) -> month
+  refresh -> detection in ``foreachBatch`` (the variance needs the global
+  month list, so it is computed on the stored table, not in streaming state).
+* ``monthly_balances_stream``: the roll-up as a stateful aggregate; its state
+  is the balance table itself (accounts x months), so nothing needs to expire.
+* ``dedupe_stream``: insert-or-ignore against the stored ids.
+* ``call_rate_windows``: sliding one-minute call counts.
+
+``*_within_lateness`` forms bound their state with a watermark and therefore
+ignore rows that are later than that.
 
 All sinks are files with a checkpoint folder under the shared checkpoint
 directory, so a restarted query resumes where it stopped.
@@ -15,13 +20,13 @@ directory, so a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import balances as bal
 from ..operators import detect as det
 from ..plans import store as st
-from ..schemas import MONEY_SUM
+from ..schemas import MONEY_SUM, ROLLING_AVG_MONTHS, ROLLING_STD_MONTHS
 
 
 def run_available(query_writer, checkpoint: str):
@@ -31,47 +36,81 @@ def run_available(query_writer, checkpoint: str):
     return q
 
 
-def monthly_balances_stream(ledger_stream: DataFrame, lateness: str = "31 days") -> DataFrame:
-    """Streaming roll-up per account and month.  The watermark is on the
-    month start itself, so a month's state is emitted and dropped once the
-    stream's event time passes the month plus ``lateness``."""
+def monthly_balances_stream(ledger_stream: DataFrame) -> DataFrame:
+    """Streaming roll-up per account and month, exact for rows in any order:
+    no watermark, the state has one row per account-month."""
     s = ledger_stream.withColumn("month_ts", F.date_trunc("month", F.col("transaction_date").cast("timestamp")))
-    return (s.withWatermark("month_ts", lateness)
-            .groupBy("gl_account_id", "month_ts")
+    return (s.groupBy("gl_account_id", "month_ts")
             .agg(F.sum("amount").cast(MONEY_SUM).alias("net_balance"),
                  F.count(F.lit(1)).alias("transaction_count")))
 
 
-def dedupe_stream(ledger_stream: DataFrame, lateness: str = "400 days") -> DataFrame:
-    """Drop repeated transaction ids arriving within ``lateness`` of each other."""
+def dedupe_stream(spark: SparkSession, ledger_stream: DataFrame, path: str, checkpoint: str,
+                  id_scope: str = "global") -> str:
+    """Each transaction id once, whenever its repeats arrive: every
+    micro-batch inserts the ids that the ledger at ``path`` does not hold.  A
+    batch replayed after a failure finds its rows stored and adds nothing."""
+    def each(batch: DataFrame, epoch: int) -> None:
+        st.append_ledger(spark, batch, path, id_scope=id_scope)
+    run_available(ledger_stream.writeStream.foreachBatch(each), checkpoint)
+    return path
+
+
+def dedupe_within_lateness(ledger_stream: DataFrame, lateness: str = "400 days") -> DataFrame:
+    """Drop repeated transaction ids that arrive within ``lateness`` of each
+    other.  State is bounded; rows later than that are ignored, so this is
+    not a substitute for ``dedupe_stream``."""
     s = ledger_stream.withColumn("event_ts", F.col("transaction_date").cast("timestamp"))
     return s.withWatermark("event_ts", lateness).dropDuplicatesWithinWatermark(["transaction_id"]).drop("event_ts")
 
 
 def call_rate_windows(calls: DataFrame, key: str = "agent", size: str = "60 seconds",
-                      slide: str = "10 seconds", lateness: str = "10 minutes") -> DataFrame:
+                      slide: str = "10 seconds", lateness: str | None = None) -> DataFrame:
     """Calls per key in sliding windows (approximate form of the per-call
-    trailing count; the exact one is ``operators.costs.call_rate_stats``)."""
+    trailing count; the exact one is ``operators.costs.call_rate_stats``).
+    With ``lateness``, windows older than that are closed: their state is
+    dropped and later calls in them are ignored."""
     c = calls.withColumn("event_ts", F.col("ts").cast("timestamp"))
-    return (c.withWatermark("event_ts", lateness)
-            .groupBy(key, F.window("event_ts", size, slide).alias("w"))
+    if lateness is not None:
+        c = c.withWatermark("event_ts", lateness)
+    return (c.groupBy(key, F.window("event_ts", size, slide).alias("w"))
             .agg(F.count(F.lit(1)).alias("calls"))
             .select(key, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "calls"))
 
 
+def _months_to_redo(balances: DataFrame, months: list[str], reach: int) -> list[str]:
+    """Months in which some flag can change when balances of ``months`` did:
+    those months, the month observed right after each, and every month whose
+    row has one of them among its account's ``reach`` rows before it (rolling
+    average and deviation)."""
+    dates = [F.to_date(F.lit(f"{m}-01")) for m in months]
+    om = bal.observed_months(balances)
+    near = om.where(F.col("month").isin(*dates) | F.col("prev_observed_month").isin(*dates)).select("month")
+    w = Window.partitionBy("gl_account_id").orderBy("month").rowsBetween(-reach, 0)
+    touched = F.max(F.col("month").isin(*dates).cast("int")).over(w) == 1
+    rolling = balances.select("month", touched.alias("touched")).where("touched").select("month")
+    # bounded by the calendar
+    return sorted(r["m"] for r in near.unionByName(rolling).distinct().select(
+        F.date_format("month", "yyyy-MM").alias("m")).collect())
+
+
 def stream_ledger(spark: SparkSession, ledger_stream: DataFrame, accounts: DataFrame, base: str,
                   checkpoint: str, id_scope: str = "global") -> str:
-    """Micro-batch pipeline: append -> refresh -> detect.  Each batch's
-    months are re-aggregated; detection output is rewritten for those
-    months and the month observed after each (dynamic partition overwrite),
-    so a replayed batch after a failure gives the same tables."""
+    """Micro-batch pipeline: append -> refresh -> detect.  Each batch's months
+    are rolled up again, and the flags of all months that they can change are
+    made anew and replace the earlier ones as a whole, so a flag that no
+    longer holds is gone, also where a month has none left.
+
+    Flags are kept by batch: ``flags`` holds each batch's flags, ``months``
+    which months a batch made; :func:`current_flags` reads the latest of each
+    month.  A replayed batch overwrites its own rows."""
     ledger_path, bal_path, flags_path = f"{base}/ledger", f"{base}/balances", f"{base}/flags"
 
     def each(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
         # Months the batch touches (a calendar-bounded list), taken before
         # the append: afterwards the anti-join would see the rows as stored.
+        batch = batch.persist()
         months = sorted(r["m"] for r in batch.select(
             F.date_format("transaction_date", "yyyy-MM").alias("m")).distinct().collect())
         st.append_ledger(spark, batch, ledger_path, id_scope=id_scope)
@@ -79,24 +118,25 @@ def stream_ledger(spark: SparkSession, ledger_stream: DataFrame, accounts: DataF
         if not months:
             return
         stored = spark.read.parquet(ledger_path)   # month partition column kept: refresh prunes
-        # The month list is bounded by the calendar; only those partitions
-        # of the balance table are rewritten.
-        enriched = st.refresh_balances(spark, stored, bal_path,
-                                       target_month=None if not st._exists(spark, bal_path) else months)
-        # Flags can change only in the batch's months and in the month
-        # observed right after each of them; only those partitions are
-        # rewritten (the month table is calendar-bounded, so broadcast).
-        touched = [F.to_date(F.lit(f"{m}-01")) for m in months]
-        om = bal.observed_months(spark.read.parquet(bal_path))
-        affected = om.filter(F.col("month").isin(*touched) | F.col("prev_observed_month").isin(*touched)).select("month")
-        flags = det.detect_anomalies(enriched, accounts).join(F.broadcast(affected), "month", "left_semi")
-        (flags.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("current_month").parquet(flags_path))
+        first = not st.table_exists(spark, bal_path)
+        enriched = st.refresh_balances(spark, stored, bal_path, target_month=None if first else months)
+        redo = _months_to_redo(spark.read.parquet(bal_path), months, max(ROLLING_AVG_MONTHS, ROLLING_STD_MONTHS))
+        flags = det.detect_anomalies(enriched, accounts).where(F.col("current_month").isin(redo))
+        made = spark.createDataFrame([(m,) for m in redo], "current_month string")
+        for df, path in ((flags, f"{flags_path}/flags"), (made, f"{flags_path}/months")):
+            st.write_by(df.withColumn("batch", F.lit(epoch)), "batch", path, mode="overwrite", dynamic=True)
 
     run_available(ledger_stream.writeStream.foreachBatch(each), checkpoint)
     return flags_path
 
 
+def current_flags(spark: SparkSession, flags_path: str) -> DataFrame:
+    """The flags of ``stream_ledger`` that hold now: of each month those of
+    the last batch that made it (the month table is calendar-bounded)."""
+    last = spark.read.parquet(f"{flags_path}/months").groupBy("current_month").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{flags_path}/flags").join(F.broadcast(last), ["current_month", "batch"]).drop("batch")
+
+
 def upsert_log(df: DataFrame, path: str, checkpoint: str) -> str:
     """Update-mode sink: every micro-batch's changed rows are appended with
     their batch id; ``latest_rows`` reads the current state back.  A batch
@@ -126,41 +166,64 @@ def stream_from_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def month_of(col: str):
-    return bal.month_start(col)
-
-
 def admit_calls_stream(calls: DataFrame, key: str = "agent", ts: str = "ts",
                        per_minute: int = 60, per_hour: int = 1000, timeout: str = "NoTimeout") -> DataFrame:
     """The rate-limiter replay as a stateful stream.
 
+    Whether a call is admitted depends on the calls before it, so calls must
+    arrive in time order across micro-batches (within one they may be in any
+    order): land one period per batch, in order, as
+    ``stream_periods`` does.  A call older than one that was already
+    decided can't be decided rightly any more, so it raises instead.
+
     State per key is the admitted call times of the last hour (at most
-    ``per_hour`` values), so it stays bounded however long the stream
-    runs.  Each micro-batch's calls of a key are sorted and replayed on top
-    of that state; calls are expected to arrive in time order across
-    batches (a file per period, ``maxFilesPerTrigger`` bounding a batch).
+    ``per_hour`` values) and the last time seen, so it stays bounded however
+    long the stream runs.
     """
+    import bisect
+
+    import numpy as np
     import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout  # noqa: F401
 
     minute_us, hour_us = 60_000_000, 3_600_000_000
     src = calls.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"),
                        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
 
     def replay(k, batches, state):
-        admitted = list(state.get[0]) if state.exists else []
-        frames = [pdf for pdf in batches]
-        pdf = pd.concat(frames, ignore_index=True).sort_values(["us"], kind="stable")
-        out = []
-        for t in pdf["us"].tolist():
-            admitted = [a for a in admitted if a >= t - hour_us]
-            last_min = sum(1 for a in admitted if a >= t - minute_us)
-            ok = last_min < per_minute and len(admitted) < per_hour
-            if ok:
+        admitted, seen = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
+        times = np.sort(np.concatenate([pdf["us"].to_numpy() for pdf in batches]))      # 8 bytes a call
+        if seen is not None and len(times) and times[0] < seen:
+            raise ValueError(f"calls of {k[0]!r} arrived out of order: land periods in order")
+        ok = np.zeros(len(times), bool)
+        first = 0                     # admitted[first:] are those of the last hour
+        for i, t in enumerate(times.tolist()):
+            while first < len(admitted) and admitted[first] < t - hour_us:
+                first += 1
+            last_min = len(admitted) - bisect.bisect_left(admitted, t - minute_us, first)
+            if last_min < per_minute and len(admitted) - first < per_hour:
                 admitted.append(t)
-            out.append(ok)
-        state.update((admitted,))
-        yield pd.DataFrame({"key": [k[0]] * len(out), "ts": pdf["ts"].tolist(), "admitted": out})
+                ok[i] = True
+        if len(times):
+            state.update((admitted[first:], int(times[-1])))
+        for lo in range(0, len(times), 100_000):
+            part = times[lo:lo + 100_000]
+            yield pd.DataFrame({"key": [k[0]] * len(part), "ts": pd.to_datetime(part, unit="us"),
+                                "admitted": ok[lo:lo + 100_000]})
 
     return src.groupBy("key").applyInPandasWithState(
-        replay, "key string, ts timestamp, admitted boolean", "admitted array<long>", "append", timeout)
+        replay, "key string, ts timestamp, admitted boolean", "admitted array<long>, seen long", "append", timeout)
+
+
+def stream_periods(spark: SparkSession, landing: str, periods: list[str], column: str, build, path: str,
+                   checkpoint: str) -> str:
+    """Run a stream over period folders (``column=value``) strictly one
+    period after the other: the source sees a growing folder of periods and
+    each run takes what is new, whatever the files' times and number.  One
+    checkpoint carries the state from period to period."""
+    schema = spark.read.parquet(landing).drop(column).schema
+    inbox = f"{checkpoint}-inbox"
+    for k, period in enumerate(periods):
+        spark.read.schema(schema).parquet(f"{landing}/{column}={period}").write.mode("overwrite").parquet(f"{inbox}/n={k}")
+        source = spark.readStream.schema(schema).parquet(f"{inbox}/n=*")
+        write_stream(build(source), path, checkpoint)
+    return path

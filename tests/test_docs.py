@@ -62,7 +62,7 @@ def test_context_rollup_default(spark):
                                    "chunk_id string, chunk_text string, source_file string")
     r = dc.context_rollup(hits, chunks).collect()[0]
     assert r["account_documentation"] == "best" and r["similar_cases"] == ["second", "third"]
-    assert sorted(r["source_files"]) == ["f1.md", "f2.md"]
+    assert r["source_files"] == ["f1.md", "f1.md", "f2.md"]      # as often as a file gave a hit
 
 
 def test_dedupe_keeps_first(spark):

@@ -100,7 +100,7 @@ def test_stream_ledger_two_batches(spark):
     ledger_rows(spark, second).write.mode("append").parquet(land)
     flags_path = sm.stream_ledger(spark, sm.stream_from_table(spark, land), acc, base, ck)
     got = sorted((r["gl_account_id"], str(r["current_month"]), round(r["variance_percent"], 2))
-                 for r in spark.read.parquet(flags_path).collect())
+                 for r in sm.current_flags(spark, flags_path).collect())
     # Batch 2 touched Feb (late row for B) and Mar: B Feb = 200 vs 100 -> +100 %.
     assert got == [("A", "2025-02", 100.0), ("A", "2025-03", 350.0), ("B", "2025-02", 100.0), ("B", "2025-03", -50.0)]
 
