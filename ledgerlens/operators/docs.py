@@ -174,10 +174,11 @@ def _token_counts(df: DataFrame, id_col: str, text_col: str, dim: int) -> DataFr
 
 
 def token_idf(df: DataFrame, id_col: str, text_col: str, dim: int = 256) -> DataFrame:
-    """(bucket, idf): ln((texts + 1) / (texts with the bucket + 1)); ``dim`` rows at most."""
+    """(bucket, idf): ln((texts + 1) / (texts with the bucket + 1)) + 1, so
+    that a bucket found in every text still counts; ``dim`` rows at most."""
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (_token_counts(df, id_col, text_col, dim).groupBy(F.col("_b").alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("_df")).select("bucket", F.log((n + 1.0) / (F.col("_df") + 1.0)).alias("idf")))
+            .agg(F.count(F.lit(1)).alias("_df")).select("bucket", (F.log((n + 1.0) / (F.col("_df") + 1.0)) + 1.0).alias("idf")))
 
 
 def embed_text(df: DataFrame, id_col: str, text_col: str, idf: DataFrame, out_col: str = "embedding",
@@ -283,7 +284,9 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = RETRIEVAL_K,
                         out_q.append(qids[i])
                         out_c.append(cids[j])
                         out_s.append(float(sims[i, j]))
-            yield pd.DataFrame({"_qid": out_q, "_cid": out_c, "similarity": out_s})
+            # typed columns also when no pair of the batch has a similarity
+            yield pd.DataFrame({"_qid": pd.Series(out_q, dtype=object), "_cid": pd.Series(out_c, dtype=object),
+                                "similarity": pd.Series(out_s, dtype=float)})
 
     cand = pairs.mapInPandas(run, out_schema)
     w = Window.partitionBy("_qid").orderBy(F.col("similarity").desc(), F.col("_cid"))

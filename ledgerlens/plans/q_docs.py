@@ -90,7 +90,7 @@ def vectors_sql(name: str, src: str, id_col: str, text_col: str, corpus: str | N
     buckets); ``corpus`` names the vectors whose frequencies are used."""
     freq = corpus or name
     own = "" if corpus else f""",
-{name}_idf AS (SELECT b, ln(((SELECT count(*) FROM {src}) + 1.0) / (count(*) + 1.0)) AS idf FROM {name}_tf GROUP BY b)"""
+{name}_idf AS (SELECT b, ln(((SELECT count(*) FROM {src}) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM {name}_tf GROUP BY b)"""
     return f"""
 {name}_tok AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(tx), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS t
   FROM (SELECT {id_col} AS id, {text_col} AS tx FROM {src})),

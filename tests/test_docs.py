@@ -99,6 +99,6 @@ def test_retrieve_context_filters_by_account_first(spark):
     ctx = {r["gl_account_id"]: r for r in dc.retrieve_context(flags, chunks, history_counts=hist).collect()}
     a, b = ctx["A"], ctx["B"]
     assert a["account_documentation"].startswith("rent changed text")
-    assert len(a["similar_cases"]) == 2 and a["source_files"] == ["A_rent.md"]   # only A's chunks, k = 3
+    assert len(a["similar_cases"]) == 2 and a["source_files"] == ["A_rent.md"] * 3   # only A's chunks, k = 3
     assert b["account_documentation"] == "No documentation found" and b["similar_cases"] == []
     assert a["past_anomaly_count"] == 7 and b["past_anomaly_count"] == 0
