@@ -1,8 +1,8 @@
 """Document fingerprints (operator 5): invertible Bloom lookup sketches.
 
 A text's units are its paragraphs (lines); a long one is also cut behind each
-word whose hash ends in three zero bits, so an edit changes the units that it
-touches and no others.  A unit's digest, together with how often it occurred
+word whose hash ends in two zero bits, and every ``LONGEST`` words where no
+such word comes, so an edit changes the units that it touches and no others.  A unit's digest, together with how often it occurred
 before in the text, is added to three cells of a small table: each cell holds
 a count, the sum of its digests and the sum of their checks.  Two tables are
 subtracted cell by cell and peeled: a cell that holds a single digest gives it
@@ -37,6 +37,7 @@ from .textnum import Texts, mix, span_hashes
 
 CELLS = 24          # of the fingerprint that is given out; a multiple of three
 GROUP_CHARS = 1_500_000
+LONGEST = 8         # words of a unit
 _CELL = np.dtype([("count", "<i4"), ("sum", "<u8"), ("check", "<u4")])
 
 
@@ -45,10 +46,12 @@ def unit_digests(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     s, e, owner = t.words()
     if not len(s):
         return np.zeros(0, np.uint64), owner
-    ends_unit = (span_hashes(t.buf, s, e, 3) & np.uint64(7)) == 0
+    ends_unit = (span_hashes(t.buf, s, e, 3) & np.uint64(3)) == 0
     line = np.cumsum(t.buf == 10)[s]
     first = np.ones(len(s), bool)
     first[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1]) | ends_unit[:-1]
+    at = np.arange(len(s))
+    first |= (at - np.maximum.accumulate(np.where(first, at, 0))) % LONGEST == 0
     begin = np.flatnonzero(first)
     last = np.append(begin[1:], len(s)) - 1
     h, own = span_hashes(t.buf, s[begin], e[last], 4), owner[begin]
