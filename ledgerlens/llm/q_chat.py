@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import chat
 from .common import table
 from .q_tokens import vocabulary
-from .queries import register
+from .registry import register
 
 #: a conversation whose texts hold the template's own control strings
 HARD_TEXT = "\\### Assistant: </turn> ok"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import kdtree, mixing, url_rules
 from .common import table
-from .queries import register
+from .registry import register
 
 SEED = 17
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..session import scratch_path
 from . import packing, separators, token_files
 from .common import table
-from .queries import register
+from .registry import register
 
 
 def vocabulary(name: str) -> str:

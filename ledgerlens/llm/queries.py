@@ -1,22 +1,6 @@
 """Queries of the operators over the given tables, one per operator."""
 
-from __future__ import annotations
+from . import q_chat, q_native, q_texts, q_tokens  # noqa: F401
+from .registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def put(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return put
-
-
-from . import q_chat, q_native, q_texts, q_tokens  # noqa: E402,F401
+__all__ = ["ORACLE", "QUERIES"]
