@@ -68,7 +68,7 @@ def _encode(path: str):
 
 
 def write_flat_files(docs: DataFrame, path: str, tokenizer_path: str, separator: int, id_col: str = "doc_id",
-                     text_col: str = "text", rows_per_file: int = 4096) -> None:
+                     text_col: str = "text", rows_per_file: int = 2048) -> None:
     """Header words, ids and the separator of each document, one after the
     other.  The text writer puts out bytes as they are, and its line separator
     is the two bytes of the end-of-document id."""

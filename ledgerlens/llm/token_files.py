@@ -34,7 +34,7 @@ MAX_BROADCAST = 1_000_000
 #: texts of one Arrow batch are encoded and sent on in groups of so many bytes
 GROUP = 2_000_000
 #: and of so many where they are encoded, as larger groups have fewer distinct pieces
-ENCODED = 4_000_000
+ENCODED = 3_000_000
 
 
 def groups(t: Texts, size: int = GROUP) -> Iterator[tuple[int, int, Texts]]:

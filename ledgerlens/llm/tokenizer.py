@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .textnum import Texts, mix, ranges, span_hashes
+from .textnum import Texts, mix, ranges, return_memory, span_hashes
 
 _SEPARATOR = "<|endoftext|>"
 #: a word of Latin letters, perhaps after a blank
@@ -34,7 +34,7 @@ _SMALL[65:91] += 32
 #: bytes that are, or may begin, white space
 _MAY_BE_BLANK = np.zeros(256, bool)
 _MAY_BE_BLANK[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
-STEP = 4_000_000
+STEP = 3_000_000
 
 
 def cut_points(t: Texts) -> np.ndarray:
@@ -98,13 +98,15 @@ class PieceEncoder:
     ``Tokenizer.encode(text, add_special_tokens=False)`` with the strings of
     special tokens taken as ordinary text.  None counts as empty."""
 
-    def __init__(self, path: str, max_pieces: int = 700_000, longest: int = 64):
+    def __init__(self, path: str, max_pieces: int = 400_000, longest: int = 64):
         from tokenizers import Tokenizer
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         self.model = self.plain.model
         self.max_pieces, self.longest = max_pieces, longest
+        #: ids of pieces: those used since the last change of generations, and those used in the one before
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.chars, self.lower = byte_characters(), False
         seen = [self._model_view(w) for w in (" Ab", " Éßñ")]
         self.lower = seen[0] == "ab"           # blanks dropped, lower case
@@ -132,16 +134,17 @@ class PieceEncoder:
         return self.one(text)
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        known = self.known
+        known, older = self.known, self.older
         got = [known.get(p) for p in pieces]
         if None in got:
-            if len(known) > self.max_pieces:
-                known.clear()
             for k, ids in enumerate(got):
                 if ids is None:
-                    got[k] = ids = self._learn(pieces[k])
-                    if len(pieces[k]) <= self.longest:
-                        known[pieces[k]] = ids
+                    piece = pieces[k]
+                    got[k] = ids = older.get(piece) or self._learn(piece)
+                    if len(piece) <= self.longest:
+                        known[piece] = ids
+            if 2 * len(known) > self.max_pieces:       # pieces that are not used for a while are forgotten
+                self.known, self.older = {}, known
         return got
 
     def _group(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +186,7 @@ class PieceEncoder:
             out.append(ids)
             counts.append(n)
             k = m
+        return_memory()
         per_text = np.bincount(t.owner(s), np.concatenate(counts), len(t)).astype(np.int64)
         return np.concatenate(out), per_text
 
