@@ -28,12 +28,29 @@ def _sql_fold(expr: str, rules) -> str:
     return expr
 
 
+#: endings given to documents by id modulo 6, so that every rule has work
+ENDINGS = [" 8,500.00isalsowellabovethetypicalmonthlyrangeof$ 100", " amountiswellbelowthe 15 %rangeof35, iswellwithin",
+           " was 35\n000.00 and 7\n 250\n00 in all", " key sk-" + "aB3" * 16 + " given", " Authorization: Bearer abc.def-9_x"]
+_ENDED = ("(SELECT * REPLACE (text || CASE doc_id % 6 " + " ".join(
+    f"WHEN {k} THEN {' || chr(10) || '.join(_sql_str(x) for x in e.split(chr(10)))}" for k, e in enumerate(ENDINGS))
+    + " ELSE '' END AS text) FROM documents)")
+
+
+def ended_documents(spark, sf):
+    """Documents with an ending that the masking and repair rules act on."""
+    d = ad.table(spark, sf, "documents")
+    ending = F.lit("")
+    for k, e in enumerate(ENDINGS):
+        ending = F.when(F.col("doc_id") % 6 == k, F.lit(e)).otherwise(ending)
+    return d.withColumn("text", F.concat("text", ending))
+
+
 _MASK_RULES = [(p, r) for _, p, r in tx.MASK_PATTERNS]
 
 
-@register("mask_sensitive", f"SELECT doc_id, lang, {_sql_fold('text', _MASK_RULES)} AS masked_text FROM documents")
+@register("mask_sensitive", f"SELECT doc_id, lang, {_sql_fold('text', _MASK_RULES)} AS masked_text FROM {_ENDED}")
 def mask_sensitive(spark, sf):
-    d = ad.table(spark, sf, "documents")
+    d = ended_documents(spark, sf)
     return d.select("doc_id", "lang", tx.mask_sensitive(F.col("text")).alias("masked_text"))
 
 
@@ -46,12 +63,12 @@ def _mask_stats_sql():
     sums = ", ".join(f"CAST(sum({n}_hits) AS BIGINT) AS {n}_hits" for n, _, _ in tx.MASK_PATTERNS)
     touched = " + ".join(f"{n}_hits" for n, _, _ in tx.MASK_PATTERNS)
     return (f"SELECT lang, count(*) AS documents, {sums}, count_if(({touched}) > 0) AS documents_touched "
-            f"FROM (SELECT lang, {inner} FROM documents) GROUP BY lang")
+            f"FROM (SELECT lang, {inner} FROM {_ENDED}) GROUP BY lang")
 
 
 @register("mask_stats", _mask_stats_sql())
 def mask_stats(spark, sf):
-    d = ad.table(spark, sf, "documents")
+    d = ended_documents(spark, sf)
     hits = tx.mask_hits(F.col("text"))
     per = d.select("lang", *[v.alias(f"{k}_hits") for k, v in hits.items()])
     touched = sum((F.col(f"{k}_hits") for k in hits), F.lit(0)) > 0
@@ -69,9 +86,9 @@ def normalize_spacing(spark, sf):
 
 
 @register("normalize_spacing_docs", "SELECT doc_id, trim(" +
-          _sql_fold(_sql_fold("text", tx.SPACING_PHRASES), tx.SPACING_RULES) + ") AS clean_text FROM documents")
+          _sql_fold(_sql_fold("text", tx.SPACING_PHRASES), tx.SPACING_RULES) + f") AS clean_text FROM {_ENDED}")
 def normalize_spacing_docs(spark, sf):
-    d = ad.table(spark, sf, "documents")
+    d = ended_documents(spark, sf)
     return d.select("doc_id", tx.normalize_spacing(F.col("text")).alias("clean_text"))
 
 
@@ -83,9 +100,9 @@ def escape_currency(spark, sf):
 
 
 @register("join_split_amounts", "SELECT doc_id, " + _sql_fold("text", tx.SPLIT_AMOUNT_RULES) +
-          " AS joined_text FROM documents")
+          f" AS joined_text FROM {_ENDED}")
 def join_split_amounts(spark, sf):
-    d = ad.table(spark, sf, "documents")
+    d = ended_documents(spark, sf)
     return d.select("doc_id", tx.join_split_amounts(F.col("text")).alias("joined_text"))
 
 
