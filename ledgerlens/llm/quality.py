@@ -119,12 +119,11 @@ def _share(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.least(F.col(a) / F.col(b), F.lit(1.0))).otherwise(F.lit(0.0))
 
 
-#: what each rule looks at, from 0 (never rejected) to 1
-RULES: dict[str, Column | None] = {"symbols": None, "capitals": None, "bangs": None, "dup_lines": None, "repeats": None}
+RULES = ("symbols", "capitals", "bangs", "dup_lines", "repeats")
 
 
 def rule_bins() -> dict[str, Column]:
-    """Each rule's value on the grid: 0 for none, else 1 to BINS."""
+    """What each rule looks at, a share, on the grid: 0 for none, else 1 to BINS."""
     values = {"symbols": _share("n_symbols", "word_chars"), "capitals": _share("n_upper", "n_letters"),
               "bangs": _share("n_bangs", "n_words"), "dup_lines": _share("n_dup_lines", "n_lines"),
               "repeats": _share("n_repeat_words", "n_words")}
@@ -190,7 +189,8 @@ def cutoffs(labelled: DataFrame, stratum: str = "lang", limit: float = 0.05, del
 def judge(features: DataFrame, cuts: DataFrame, stratum: str = "lang", few: int = 10_000) -> DataFrame:
     """``features`` plus base_failed and kept.  The cutoffs are broadcast only
     if there are at most ``few`` strata."""
-    wide = cuts.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == k, F.col("cutoff"))).alias(f"__cut_{k}") for k in RULES])
+    wide = cuts.groupBy("stratum").agg(*[
+        F.max(F.when(F.col("rule") == k, F.col("cutoff"))).alias(f"__cut_{k}") for k in RULES])
     wide = wide.withColumnRenamed("stratum", "__stratum")
     small = wide.limit(few + 1).count() <= few
     rows = features.join(F.broadcast(wide) if small else wide, F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
