@@ -39,16 +39,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .textnum import Texts, mix, shingle_hashes, span_hashes, stream
+from .textnum import Texts, mix, return_memory, shingle_hashes, span_hashes, stream
 from .token_files import groups
 
 COORDS = 40             # samples of each set
 DEEP = 16               # those from here on are for deeper levels
-BLOCK = 2048            # sets of one bucket that a task holds, twice at most
+BLOCK = 512             # sets of one bucket that a task holds, twice at most
 
 
 def runs_needed(threshold: float, recall: float) -> int:
@@ -136,7 +136,7 @@ def _full_sets(width: int):
 
 # --- buckets -------------------------------------------------------------------------------
 
-def _value(sig: str, coord) -> F.Column:
+def _value(sig: str, coord: int | str) -> Column:
     return F.expr(f"substring({sig}, 4 * ({coord}) + 1, 4)")
 
 
@@ -300,6 +300,8 @@ def _common(sets: list[np.ndarray], ok: np.ndarray) -> np.ndarray:
 def _compare(threshold: float, least: int):
     def run(batches):
         for leaf, one, two, task in _by_task(batches, 3):
+            if len(task) > BLOCK // 2:
+                return_memory()
             mine, n, sig, lists, keys, col = _prepare(task)
             ok = _candidates(leaf, one, two, mine, n, sig, lists, threshold, least)
             if not ok.any():
