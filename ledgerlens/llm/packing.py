@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .textnum import Texts
+from .textnum import Texts, return_memory
 from .token_files import ENCODED, groups, with_end
 from .tokenizer import encoder
 
@@ -141,6 +141,7 @@ def _pack(path: str, end_id: int, window: int, most: int, max_gap: int):
                 for d, a, b in zip(doc[k:m], (ends - n).tolist(), ends.tolist(), strict=True):
                     windows.place_document(d, raw[4 * a:4 * b])
                     yield from out.batch()
+            return_memory()
         windows.leave_open()
         yield from out.batch(0)
     return run

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textnum import Texts, ranges
+from .textnum import Texts, ranges, return_memory
 from .token_files import ENCODED, groups
 from .tokenizer import encoder
 
@@ -64,6 +64,7 @@ def _encode(path: str):
                 out[head] = _headers(batch.column(0).slice(k, m - k)).ravel()
                 yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_binary(), m - k, [
                     None, pa.py_buffer(np.append(0, ends * 2).astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())], ["raw"])
+            return_memory()
     return run
 
 

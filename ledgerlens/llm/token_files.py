@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textnum import Texts, ranges
+from .textnum import Texts, ranges, return_memory
 from .tokenizer import encoder
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
@@ -34,7 +34,7 @@ MAX_BROADCAST = 1_000_000
 #: texts of one Arrow batch are encoded and sent on in groups of so many bytes
 GROUP = 2_000_000
 #: and of so many where they are encoded, as larger groups have fewer distinct pieces
-ENCODED = 3_000_000
+ENCODED = 4_000_000
 
 
 def groups(t: Texts, size: int = GROUP) -> Iterator[tuple[int, int, Texts]]:
@@ -70,6 +70,7 @@ def _encode_parts(path: str, end_id: int):
                                                            pa.array(ids.view(np.int32)))],
                     ["doc_id", "part", "part_start", "n_tokens", "ids"])
                 start += int(ends[-1])
+            return_memory()
     return run
 
 

@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .textnum import Texts, mix, ranges, return_memory, span_hashes
+from .textnum import Texts, mix, ranges, span_hashes
 
 _SEPARATOR = "<|endoftext|>"
 #: a word of Latin letters, perhaps after a blank
@@ -34,7 +34,7 @@ _SMALL[65:91] += 32
 #: bytes that are, or may begin, white space
 _MAY_BE_BLANK = np.zeros(256, bool)
 _MAY_BE_BLANK[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
-STEP = 3_000_000
+STEP = 4_000_000
 
 
 def cut_points(t: Texts) -> np.ndarray:
@@ -98,7 +98,7 @@ class PieceEncoder:
     ``Tokenizer.encode(text, add_special_tokens=False)`` with the strings of
     special tokens taken as ordinary text.  None counts as empty."""
 
-    def __init__(self, path: str, max_pieces: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, max_pieces: int = 600_000, longest: int = 64):
         from tokenizers import Tokenizer
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
@@ -186,7 +186,6 @@ class PieceEncoder:
             out.append(ids)
             counts.append(n)
             k = m
-        return_memory()
         per_text = np.bincount(t.owner(s), np.concatenate(counts), len(t)).astype(np.int64)
         return np.concatenate(out), per_text
 
