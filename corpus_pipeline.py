@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import mixing, ngram_join, packing, q_native, q_texts, q_tokens
-from ledgerlens.llm.common import stored
+from ledgerlens.llm.common import stored, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs, quality=mixing.text_quality("text"), seed=q_native.SEED)
+    """Documents labelled good weigh 2, poor 0.5, those without a label 1."""
+    weights = mixing.label_weights(table(spark, sf_dir, "labels"))
+    return mixing.mix_documents(docs, weights=weights, seed=q_native.SEED)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,10 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import running_totals, word_count
+from .common import running_totals, stored, word_count
 
 #: up to so many sources their table is broadcast to the rows
 BROADCAST_SOURCES = 10_000
+#: up to so many ids that their weight moves past the last key are broadcast to the texts
+BROADCAST_IDS = 500_000
 
 
 def sampling_key(id_col: Column, quality: Column, seed: int) -> Column:
@@ -43,6 +45,14 @@ def sampling_key(id_col: Column, quality: Column, seed: int) -> Column:
     return -F.log(u) / weight
 
 
+def label_weights(labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> DataFrame:
+    """(doc_id, weight) of the labelled documents; an id with several labels
+    counts by the best.  Ids without one keep the weight 1."""
+    best = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("best"))
+    weight = F.when(F.col("best") == 1, good).when(F.col("best") == 0, poor)
+    return best.select("doc_id", weight.cast("double").alias("weight")).where(F.col("weight").isNotNull())
+
+
 def text_quality(text_col: str) -> Column:
     """A document's weight in the sample, from its text alone: a quarter if
     the mean word length is outside 3 to 10 characters, half if it has fewer
@@ -88,9 +98,18 @@ def _near(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(s) if few else s, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
 
 
-def _ranked(docs: DataFrame, id_col: str, source_col: str, text_col: str, quality: Column, seed: int) -> DataFrame:
+def _ranked(docs: DataFrame, id_col: str, source_col: str, text_col: str, quality: Column, seed: int,
+            weights: DataFrame | None) -> DataFrame:
+    """Narrow rows in the order of their keys, with the words before each.  The
+    weights are joined here, where the texts are already counted and left behind."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"),
-                       sampling_key(F.col(id_col), quality, seed).alias("key"), F.xxhash64(F.col(text_col)).alias("tie"))
+                       quality.cast("double").alias("quality"), F.xxhash64(F.col(text_col)).alias("tie"))
+    if weights is not None:
+        w = weights.select(F.col("doc_id").alias("__id"), F.col("weight").cast("double").alias("weight"))
+        rows = rows.join(w, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    else:
+        rows = rows.withColumn("weight", F.lit(None).cast("double"))
+    rows = rows.withColumn("key", sampling_key(F.col("doc_id"), F.coalesce("weight", "quality"), seed))
     return running_totals(rows, ["source"], [F.col("key"), F.col("doc_id"), F.col("tie")],
                           {"before": F.col("size")}, "mix_keys")
 
@@ -102,9 +121,11 @@ def _taken_once_more() -> Column:
 
 def mix_plan(docs: DataFrame, cycle: Sequence[float] = (5, 2, 1), budget: float = 1.5, max_epochs: int = 2,
              id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-             quality: Column | None = None, seed: int = 17) -> DataFrame:
-    """Per document: doc_id, size, source, source_size, target, copies, taken (words)."""
-    ranked = _ranked(docs, id_col, source_col, text_col, F.lit(1.0) if quality is None else quality, seed)
+             quality: Column | None = None, seed: int = 17, weights: DataFrame | None = None) -> DataFrame:
+    """Per document: doc_id, size, source, source_size, target, copies, taken (words).
+
+    ``weights`` (doc_id, weight; an id once) replaces ``quality`` for the ids in it."""
+    ranked = _ranked(docs, id_col, source_col, text_col, F.lit(1.0) if quality is None else quality, seed, weights)
     sizes = ranked.groupBy("source").agg(F.sum("size").alias("source_size"))
     rows = _near(ranked, source_targets(sizes, cycle, budget, max_epochs))
     copies = F.least(F.col("epochs") + _taken_once_more().cast("long"), F.lit(max_epochs).cast("long"))
@@ -112,15 +133,24 @@ def mix_plan(docs: DataFrame, cycle: Sequence[float] = (5, 2, 1), budget: float
         "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _within(key: Column, doc_id: Column, tie: Column, cut: str) -> Column:
+    """Whether a key is not behind the last one taken (none taken: false)."""
+    at = F.struct(key.alias("key"), doc_id.alias("doc_id"), tie.alias("tie"))
+    return F.coalesce(at <= F.col(cut), F.lit(False))
+
+
 def mix_documents(docs: DataFrame, cycle: Sequence[float] = (5, 2, 1), budget: float = 1.5, max_epochs: int = 2,
                   id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-                  quality: Column | None = None, seed: int = 17) -> DataFrame:
+                  quality: Column | None = None, seed: int = 17, weights: DataFrame | None = None) -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as often as it is taken.
 
     Only the last key taken in each source is needed for that, so the texts
-    are not shuffled."""
+    are not shuffled.  ``weights`` (see :func:`mix_plan`) do not move them
+    either: narrow rows tell which documents their weight puts on the other
+    side of the last key, and only those few ids are joined with the texts,
+    by broadcast up to ``BROADCAST_IDS``."""
     quality = F.lit(1.0) if quality is None else quality
-    ranked = _ranked(docs, id_col, source_col, text_col, quality, seed)
+    ranked = _ranked(docs, id_col, source_col, text_col, quality, seed, weights)
     sizes = ranked.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, cycle, budget, max_epochs)
     cuts = (_near(ranked, targets).where(_taken_once_more()).groupBy("source")
@@ -128,12 +158,24 @@ def mix_documents(docs: DataFrame, cycle: Sequence[float] = (5, 2, 1), budget: f
     plan = targets.withColumnRenamed("source", "__s").join(
         cuts, F.col("__s").eqNullSafe(F.col("source")), "left").select(
         F.struct(F.col("__s").alias("source"), "epochs", "cut").alias("__mix"))
+    if weights is not None:
+        plan = stored(plan, "mix_cuts")
     few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    keyed = docs.withColumn("__key", F.struct(sampling_key(F.col(id_col), quality, seed).alias("key"),
-                                              F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie")))
-    joined = keyed.join(F.broadcast(plan) if few else plan,
-                        F.col(source_col).eqNullSafe(F.col("__mix.source")), "left")
-    copies = F.least(F.col("__mix.epochs") + F.coalesce((F.col("__key") <= F.col("__mix.cut")).cast("long"), F.lit(0)),
-                     F.lit(max_epochs).cast("long"))
+    near = F.broadcast(plan) if few else plan
+    keyed = docs.withColumn("__key", sampling_key(F.col(id_col), quality, seed)).withColumn("__tie", F.xxhash64(F.col(text_col)))
+    joined = keyed.join(near, F.col(source_col).eqNullSafe(F.col("__mix.source")), "left")
+    again = _within(F.col("__key"), F.col(id_col), F.col("__tie"), "__mix.cut")
+    if weights is not None:
+        listed = ranked.where(F.col("weight").isNotNull()).join(near, F.col("source").eqNullSafe(F.col("__mix.source")), "left")
+        plain = sampling_key(F.col("doc_id"), F.col("quality"), seed)
+        other = stored(listed.where(
+            _within(plain, F.col("doc_id"), F.col("tie"), "__mix.cut") != _within(F.col("key"), F.col("doc_id"), F.col("tie"), "__mix.cut"))
+            .select(F.struct(F.col("doc_id").alias("id"), "source", "tie").alias("__other")).distinct(), "mix_other")
+        few = other.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        joined = joined.join(F.broadcast(other) if few else other,
+                             (F.col(id_col) == F.col("__other.id")) & (F.col("__tie") == F.col("__other.tie"))
+                             & F.col(source_col).eqNullSafe(F.col("__other.source")), "left")
+        again = again != F.col("__other").isNotNull()
+    copies = F.least(F.col("__mix.epochs") + again.cast("long"), F.lit(max_epochs).cast("long"))
     return (joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

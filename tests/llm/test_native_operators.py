@@ -83,6 +83,29 @@ def test_mixing_keeps_complete_epochs_and_the_same_documents(spark):
     assert mixing.mix_documents(documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("ids", [0, 1 << 20])
+def test_mixing_by_weights_gives_the_planned_copies(spark, monkeypatch, ids):
+    monkeypatch.setattr(mixing, "BROADCAST_IDS", ids)
+    rows = hard_rows() + [(200 + k, words(k, 60), "en", None if k % 3 else "a") for k in range(200)]
+    docs = documents(spark, rows)
+    marks = [(i, i % 2) for i in sorted({r[0] for r in rows if r[0] is not None}) if i % 5] + [(None, 1), (77_777, 0), (203, 0)]
+    weights = mixing.label_weights(spark.createDataFrame(marks, "doc_id long, quality int"))
+    best = {i: q for i, q in sorted(marks[:-3])}
+    assert {r.doc_id: r.weight for r in weights.collect()} == {i: 2.0 if q else 0.5 for i, q in {**best, 77_777: 0}.items()}
+    plan = defaultdict(int)
+    for r in mixing.mix_plan(docs, cycle=(2, 1), budget=0.5, weights=weights).collect():
+        plan[r.doc_id] += r.copies
+    mixed = defaultdict(int)
+    out = mixing.mix_documents(docs, cycle=(2, 1), budget=0.5, weights=weights)
+    assert out.columns == docs.columns
+    for r in out.where(F.length(F.trim("text")) > 3).collect():
+        mixed[r.doc_id] += 1
+    wordy = {i for i, t, *_ in rows if len((t or "").strip()) > 3}
+    assert {k: v for k, v in plan.items() if v and k in wordy} == dict(mixed)
+    plain = {r.doc_id: r.copies for r in mixing.mix_plan(docs, cycle=(2, 1), budget=0.5).collect()}
+    assert sum(plain[k] != plan[k] for k in best) > 20 and mixing.mix_documents(docs.limit(0), weights=weights).collect() == []
+
+
 @pytest.mark.parametrize("n", [1, 3, 8])
 def test_kd_shards(spark, n):
     rows = hard_rows() + [(1000 + k, words(9, 70), "en", "hot") for k in range(200)]      # copies, a third of all rows

@@ -61,3 +61,14 @@ def test_stages_take_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, str(tmp_path)).collect() == []
+
+
+def test_mixing_takes_good_documents_before_poor_ones_of_the_same_kind(spark, tmp_path):
+    """Alike texts of 70 words; only the label tells them apart."""
+    full = [(k, words(k, 70, 100_000), "en", f"s{k % 3}", 0) for k in range(1500)]
+    docs = spark.createDataFrame(full, SCHEMA).repartition(4)
+    marks = [(k, k // 3 % 2, 0) for k in range(1500) if k % 5]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    copies, label = Counter(r.doc_id for r in cp.mix(spark, docs, str(tmp_path)).collect()), {k: q for k, q, _ in marks}
+    mean = {q: sum(copies[k] for k in range(1500) if label.get(k) == q) / sum(label.get(k) == q for k in range(1500)) for q in (0, None, 1)}
+    assert mean[0] + 0.05 < mean[None] < mean[1] - 0.05
