@@ -1,11 +1,10 @@
 """Token counts (operator 8): separator scan over flat token files.
 
 A flat file is nothing but 16-bit little-endian ids; the end-of-document id
-parts the documents and there is no index.  The scan reads files block by
-block, finds all separators of a block at once, and gives one row per block:
-its separators and what begins behind each.  A prefix scan over the blocks of
-a file (last separator so far, separators so far) joins documents that reach
-over block borders.
+parts the documents and there is no index.  Spark's text reader, with the two
+bytes of that id as its line separator, lets each task read a byte range of a
+file.  Prefix sums over the pieces of a file give their places and number
+the documents; they run over ranges, so one file may hold any share of all.
 
 :func:`write_flat_files` makes such files from texts.  So that counts can be
 led back to documents, it puts the document id in front of each document as
@@ -14,17 +13,17 @@ led back to documents, it puts the document id in front of each document as
 Defined results: a null text has no ids; a null id is kept as such; repeated
 rows are documents of their own; ids behind the last separator of a file
 count as a document; an empty file or table has none; other columns are not
-read.  Files must be small enough to be read at once (``rows_per_file``).
+read.  Files may have any length; one document must fit in memory.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .common import running_totals
 from .textnum import Texts, ranges, return_memory
 from .token_files import ENCODED, groups
 from .tokenizer import encoder
@@ -41,14 +40,6 @@ def _headers(ids: pa.Array) -> np.ndarray:
     return words
 
 
-def _ids_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document ids of rows of HEADER words, and which are null."""
-    value = np.zeros(len(words), np.uint64)
-    for k in range(HEADER):
-        value = (value << np.uint64(13)) | (words[:, k].astype(np.uint64) & np.uint64(0x1FFF))
-    return value.view(np.int64), words[:, 0] == _NULL
-
-
 def _encode(path: str):
     def run(batches):
         enc = encoder(path)
@@ -79,48 +70,58 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer_path: str, separator:
      .option("maxRecordsPerFile", rows_per_file).text(path))
 
 
-def _scan(separator: int, header: int, block: int):
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = np.frombuffer(content.as_buffer(), "<u2")
-                for number, lo in enumerate(range(0, len(words), block)):
-                    some = words[lo:lo + block]
-                    ends = np.flatnonzero(some == separator) + lo
-                    if lo + block >= len(words) and words[-1] != separator:
-                        ends = np.append(ends, len(words))          # the file ends without a separator
-                    begins = np.append(0, ends + 1) if not lo else ends + 1
-                    there = begins + header <= len(words)
-                    at = begins[there][:, None] + np.arange(header)
-                    ids, null = _ids_of(words[at]) if header else (np.zeros(0, np.int64), np.zeros(0, bool))
-                    doc = np.zeros(len(begins), np.int64)
-                    mask = np.ones(len(begins), bool)
-                    if header:
-                        doc[there], mask[there] = ids, null
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([name]), pa.array([number], pa.int32()), pa.array([ends.tolist()], pa.list_(pa.int64())),
-                        pa.array([pa.array(doc, pa.int64(), mask=mask).to_pylist()], pa.list_(pa.int64()))],
-                        ["file", "block", "ends", "begun"])
-    return run
+def _pieces(spark: SparkSession, path: str, separator: int, header: int) -> DataFrame:
+    """Per piece of a file between separator bytes: file, size, split, row
+    (order within the split), len and head, all in bytes.  The text reader
+    gives each task a byte range, so a file may have any length."""
+    sep = _line_bytes(separator)
+    lines = (spark.read.option("lineSep", sep.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+             .select("value", "_metadata.file_path", "_metadata.file_size", "_metadata.file_block_start"))
+    raw = F.col("value").cast("binary")
+    return lines.select(F.col("file_path").alias("file"), F.col("file_size").alias("size"), F.col("file_block_start").alias("split"),
+                        F.monotonically_increasing_id().alias("row"), F.octet_length(raw).cast("long").alias("len"),
+                        F.substring(raw, 1, 2 * header).alias("head"))
+
+
+def _line_bytes(separator: int) -> bytes:
+    """What parts pieces: both bytes of the separator, or one if they are
+    equal, since a run of equal bytes could be cut in two ways."""
+    sep = separator.to_bytes(2, "little")
+    return sep[:1] if sep[0] == sep[1] else sep
+
+
+def _word(head: Column, k: int) -> Column:
+    low, high = (F.conv(F.hex(F.substring(head, 2 * k + j, 1)), 16, 10).cast("long") for j in (1, 2))
+    return low + high * 256
 
 
 def count_documents(spark: SparkSession, path: str, separator: int, header: int = HEADER, block: int = 1 << 20) -> DataFrame:
     """Per document of the files in ``path``: file, ordinal, doc_id (null
     without header), start (word where it begins) and n_tokens (without
-    header and separator)."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    blocks = files.mapInArrow(_scan(separator, header, block), "file string, block int, ends array<long>, begun array<long>")
-    # "begun" of the first block starts with the document at the file's beginning, the others with what follows a separator
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    has = F.size("ends") > 0
-    stitched = blocks.select(
-        "file", "ends",
-        F.when(F.col("block") == 0, F.col("begun")).otherwise(
-            F.concat(F.array(F.last(F.when(F.size("begun") > 0, F.struct(F.element_at("begun", -1).alias("id"))),
-                                    ignorenulls=True).over(before)["id"]), F.col("begun"))).alias("begun"),
-        F.coalesce(F.last(F.when(has, F.element_at("ends", -1)), ignorenulls=True).over(before), F.lit(-1)).alias("last_end"),
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("n_before"))
-    docs = stitched.select("file", "begun", "last_end", "ends", "n_before", F.posexplode("ends").alias("k", "end"))
-    start = F.when(F.col("k") == 0, F.col("last_end")).otherwise(F.element_at("ends", F.greatest("k", F.lit(1)))) + 1
-    return docs.select("file", (F.col("n_before") + F.col("k")).alias("ordinal"), F.element_at("begun", F.col("k") + 1).alias("doc_id"),
-                       start.alias("start"), (F.col("end") - start - header).alias("n_tokens"))
+    header and separator).  The session's split size decides how much of a
+    file a task reads; ``block`` has no effect and is kept for callers."""
+    sep = _line_bytes(separator)
+    order = [F.col("split"), F.col("row")]
+    placed = running_totals(_pieces(spark, path, separator, header), ["file"], order, {"pos": F.col("len") + len(sep)}, "flat_pieces")
+    # the two bytes also occur across two ids: only those at an even place part documents
+    if len(sep) == 2:
+        last = (F.col("pos") + F.col("len") < F.col("size")) & ((F.col("pos") + F.col("len")) % 2 == 0)
+        end = F.col("pos") + F.col("len")
+    else:
+        last, end = (F.col("len") == 0) & (F.col("pos") % 2 == 1), F.col("pos") - 1
+    placed = placed.withColumn("end", F.when(last, end))
+    numbered = running_totals(placed, ["file"], order, {"ordinal": F.col("end").isNotNull().cast("long")}, "flat_documents")
+    docs = numbered.groupBy("file", "ordinal").agg(
+        F.min("pos").alias("begin"), F.coalesce(F.max("end"), F.max("size")).alias("end"),
+        F.array_sort(F.collect_list(F.struct("pos", "head"))).alias("heads"))
+    head = F.substring(F.aggregate(F.slice("heads", 1, 2 * header + 1), F.lit(b""), lambda a, x: F.concat(a, x["head"], F.lit(sep))), 1, 2 * header)
+    docs = docs.select("file", "ordinal", "begin", "end", head.alias("head"))
+    doc_id = F.lit(None).cast("long")
+    if header:
+        value = F.lit(0).cast("long")
+        for k in range(header):
+            value = F.shiftleft(value, 13).bitwiseOR(_word(F.col("head"), k).bitwiseAND(F.lit(0x1FFF)))
+        there = (F.col("end") - F.col("begin") >= 2 * header) & (_word(F.col("head"), 0) != _NULL)
+        doc_id = F.when(there, value)
+    return docs.select("file", "ordinal", doc_id.alias("doc_id"), F.floor(F.col("begin") / 2).alias("start"),
+                       (F.floor((F.col("end") - F.col("begin")) / 2) - header).alias("n_tokens"))

@@ -147,3 +147,23 @@ def test_separator_counts_without_header_and_with_an_open_end(spark, tmp_path):
     path = scratch_path(spark, "t_flat")
     separators.write_flat_files(documents(spark, []), path, vocabulary(NAMES[1]), 49407)
     assert separators.count_documents(spark, path, 49407).collect() == []
+
+
+@pytest.mark.parametrize("separator", [49407, 9, 0x0909])
+def test_separator_counts_read_one_file_in_many_tasks(spark, tmp_path, separator):
+    """One file of many splits; bytes that look like a separator across two ids."""
+    r, low, high = random.Random(4), separator & 255, separator >> 8
+    odd = [low << 8 | 1, 0x0100 | high, low << 8 | high if low != high else 1, 7, separator]
+    ids = [r.choice(odd) for _ in range(6000)] + [3]
+    (tmp_path / "one.bin").write_bytes(b"".join(i.to_bytes(2, "little") for i in ids))
+    ends = [k for k, i in enumerate(ids) if i == separator] + [len(ids)]
+    want = [(k, b + 1, e - b - 1) for k, (b, e) in enumerate(zip([-1, *ends], ends))]
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1001")
+    try:
+        pieces = separators._pieces(spark, str(tmp_path), separator, 0)
+        assert pieces.select("split").distinct().count() > 8
+        got = separators.count_documents(spark, str(tmp_path), separator, header=0).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert sorted((d.ordinal, d.start, d.n_tokens) for d in got) == want
