@@ -37,10 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import running_totals, stored
+from .licenses import ascii_lower
 from .textnum import return_memory
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: what stands between terms
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UNIT, PRIOR = 1_000_000_000, 5
 #: columns and rows of the part of a matrix that one task holds, and of a leaf
 STRIP, BAND = 2048, 128
@@ -73,7 +74,7 @@ def term_counts(docs: DataFrame, stratum: str = "lang", group: str = "source", t
     in each group.  Each text is parsed once; it hands on its terms once for
     every occurrence and once for the document, and these are summed before
     they are shuffled."""
-    words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER), F.lit(TERM), F.lit(0))
+    words = F.array_remove(F.split(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), BETWEEN), "")
     rows = docs.select(_name(stratum).alias("lang"), _name(group).alias("source"), words.alias("ws"))
     kinds = F.array(F.struct(F.lit(1).alias("n"), F.lit(0).alias("docs"), F.col("ws").alias("terms")),
                     F.struct(F.lit(0).alias("n"), F.lit(1).alias("docs"), F.array_distinct("ws").alias("terms")))

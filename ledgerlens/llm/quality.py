@@ -29,15 +29,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import Texts, mix, ranges, span_hashes
+from .textnum import Texts, mix, ranges, return_memory, span_hashes
 from .token_files import groups
 
 BINS = 200
+#: texts are counted in groups of so many bytes, as a group needs some 50 times its size
+COUNTED = 512_000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _BLANK = np.zeros(256, bool)
@@ -46,9 +47,11 @@ _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def _inside(mask: np.ndarray, t: Texts) -> np.ndarray:
-    """True bytes of each text."""
-    c = np.append(0, np.cumsum(mask, dtype=np.int64))
-    return c[t.ends] - c[t.starts]
+    """True bytes of each text (texts follow each other without gaps)."""
+    out, full = np.zeros(len(t), np.int64), t.ends > t.starts
+    if full.any():
+        out[full] = np.add.reduceat(mask.view(np.uint8), t.starts[full], dtype=np.int64)
+    return out
 
 
 def _distinct(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
@@ -66,8 +69,8 @@ def counts(t: Texts) -> dict[str, np.ndarray]:
     n_words = np.bincount(owner, minlength=n)
     # lines with a word
     ls, le, lo = t.lines()
-    filled = np.append(0, np.cumsum(~blank, dtype=np.int64))
-    has = filled[le] > filled[ls]
+    has = np.zeros(len(ls), bool)
+    has[np.searchsorted(ls, s, "right") - 1] = True
     ls, le, lo = ls[has], le[has], lo[has]
     n_lines = np.bincount(lo, minlength=n)
     # words in windows of three that occur again
@@ -96,12 +99,13 @@ def counts(t: Texts) -> dict[str, np.ndarray]:
 
 def _features(batches):
     for batch in batches:
-        for k, m, t in groups(Texts.of(batch.column(batch.num_columns - 1))):
+        for k, m, t in groups(Texts.of(batch.column(batch.num_columns - 1)), COUNTED):
             c = counts(t)
             some = batch.slice(k, m - k)
             yield pa.RecordBatch.from_arrays(
                 [*some.columns[:-1], *[pa.array(c[x].astype(np.int64)) for x in _NAMES]],
                 [*batch.schema.names[:-1], *_NAMES])
+        return_memory()
 
 
 def text_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), text_col: str = "text") -> DataFrame:
@@ -174,16 +178,25 @@ def cutoffs(labelled: DataFrame, stratum: str = "lang", limit: float = 0.05, del
     strata = max(1, labelled.select(stratum).distinct().count())
     share, error = limit / len(bins), delta / (strata * len(bins))
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        good, poor = np.zeros(BINS + 1, np.int64), np.zeros(BINS + 1, np.int64)
-        np.add.at(good, pdf["bin"].to_numpy(), pdf["good"].to_numpy())
-        np.add.at(poor, pdf["bin"].to_numpy(), pdf["poor"].to_numpy())
-        cut = best_cutoff(good, poor, share, error, good_weight)
-        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "rule": [pdf["rule"].iloc[0]],
-                             "cutoff": pd.array([cut], dtype="Int32")})
-
     kind = labelled.schema[stratum].dataType.simpleString()
-    return seen.groupBy("stratum", "rule").applyInPandas(choose, f"stratum {kind}, rule string, cutoff int")
+    # at most BINS + 1 entries for each stratum and rule
+    bounded = seen.groupBy("stratum", "rule").agg(F.collect_list(F.struct("bin", "good", "poor")).alias("bins"))
+    return bounded.mapInArrow(_choose(share, error, good_weight), f"stratum {kind}, rule string, cutoff int")
+
+
+def _choose(share: float, error: float, good_weight: float):
+    def cutoff(bins: list[dict]) -> int | None:
+        good, poor = np.zeros(BINS + 1, np.int64), np.zeros(BINS + 1, np.int64)
+        for x in bins:
+            good[x["bin"]] += x["good"]
+            poor[x["bin"]] += x["poor"]
+        return best_cutoff(good, poor, share, error, good_weight)
+
+    def run(batches):
+        for batch in batches:
+            cuts = pa.array([cutoff(x) for x in batch.column(2).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cuts], ["stratum", "rule", "cutoff"])
+    return run
 
 
 def judge(features: DataFrame, cuts: DataFrame, stratum: str = "lang", few: int = 10_000) -> DataFrame:

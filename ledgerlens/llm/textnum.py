@@ -17,7 +17,7 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-STEP = 2_000_000        # bytes hashed at a time
+STEP = 500_000          # bytes hashed at a time
 
 
 def mix(x: np.ndarray) -> np.ndarray:
