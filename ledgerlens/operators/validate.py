@@ -3,7 +3,8 @@
 Checks are column expressions evaluated in the same pass as the projection.
 ``mode="fail"`` aborts the job at the first bad row with ``raise_error``
 (no extra pass over the data); ``mode="quarantine"`` returns the good rows and
-the bad rows with the list of rules each one broke.
+the bad rows with the list of rules each one broke.  :func:`classify` gives
+both in one frame, to be written once and read back apart.
 """
 
 from __future__ import annotations
@@ -11,15 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import (ACCOUNT_CATEGORIES, ACCOUNTS_REQUIRED_COLUMNS, DEFAULT_ACCOUNT_THRESHOLD,
-                       DIRECTIONS, IDENTIFIER_PATTERN, LEDGER_REQUIRED_COLUMNS, MONEY,
-                       MONTH_PATTERN, NUMBER_PATTERN, SECRET_KEY_PATTERN, SEVERITIES)
+from ..schemas import (ACCOUNT_CATEGORIES, BAD_LINE, DEFAULT_ACCOUNT_THRESHOLD, DIRECTIONS, IDENTIFIER_PATTERN,
+                       MONEY, MONTH_PATTERN, NUMBER_PATTERN, SECRET_KEY_PATTERN, SEVERITIES, missing_columns)
 
 
 def check_required_columns(df: DataFrame, kind: str) -> None:
     """Raise when required columns are missing (schema only, no job)."""
-    required = {"ledger": LEDGER_REQUIRED_COLUMNS, "accounts": ACCOUNTS_REQUIRED_COLUMNS}[kind]
-    missing = [c for c in required if c not in df.columns]
+    missing = missing_columns(df.columns, kind)
     if missing:
         raise ValueError(f"Missing required columns in {kind} data: {missing}")
 
@@ -36,10 +35,15 @@ def strict_number(c: Column, kind: str = "decimal(20,4)") -> Column:
     return F.when(text.rlike(NUMBER_PATTERN), text.try_cast(kind))
 
 
+def _line_rule(df: DataFrame) -> dict[str, Column]:
+    """Rows read from a file: a line must have the fields of its header."""
+    return {"malformed_line": F.col(BAD_LINE).isNotNull()} if BAD_LINE in df.columns else {}
+
+
 def ledger_rules(df: DataFrame) -> dict[str, Column]:
     """Rule name -> condition that is true when the row breaks the rule."""
     amount_num = strict_number(F.col("amount"))
-    return {
+    return _line_rule(df) | {
         "null_account": F.col("gl_account_id").isNull(),
         "null_amount": F.col("amount").isNull(),
         "non_numeric_amount": F.col("amount").isNotNull() & amount_num.isNull(),
@@ -50,13 +54,14 @@ def ledger_rules(df: DataFrame) -> dict[str, Column]:
 
 
 def account_rules(df: DataFrame) -> dict[str, Column]:
-    thr = strict_number(F.col("variance_threshold_pct"), "double")
-    return {
+    rules = _line_rule(df) | {
         "null_account_id": F.col("account_id").isNull(),
         "bad_category": ~F.coalesce(F.lower(F.col("category")).isin(ACCOUNT_CATEGORIES), F.lit(False)),
-        "threshold_out_of_range": F.col("variance_threshold_pct").isNotNull()
-        & ~F.coalesce(thr.between(0, 100), F.lit(False)),
     }
+    if "variance_threshold_pct" in df.columns:
+        thr = strict_number(F.col("variance_threshold_pct"), "double")
+        rules["threshold_out_of_range"] = F.col("variance_threshold_pct").isNotNull() & ~F.coalesce(thr.between(0, 100), F.lit(False))
+    return rules
 
 
 def quality_report(df: DataFrame, kind: str = "ledger") -> DataFrame:
@@ -71,62 +76,71 @@ def _broken(rules: dict[str, Column]) -> Column:
                     lambda x: x.isNotNull())
 
 
-def _apply(df: DataFrame, rules: dict[str, Column], id_col: str, typed: DataFrame, mode: str):
+def _optional(df: DataFrame, c: str, kind: str = "string") -> Column:
+    """An optional column: NULL where it is absent or empty."""
+    return F.nullif(F.trim(F.col(c)), F.lit("")).try_cast(kind) if c in df.columns else F.lit(None).cast(kind)
+
+
+def _ledger_columns(df: DataFrame) -> list[Column]:
+    src = F.col("source_file") if "source_file" in df.columns else F.lit(None).cast("string")
+    return [F.col("transaction_id"), F.col("gl_account_id"), _strict_date(F.col("date")).alias("transaction_date"),
+            F.round(strict_number(F.col("amount")), 2).cast(MONEY).alias("amount"), F.col("description"),
+            _optional(df, "department").alias("department"), _optional(df, "vendor").alias("vendor"), src.alias("source_file")]
+
+
+def _account_columns(df: DataFrame) -> list[Column]:
+    seasonal = F.lower(_optional(df, "is_seasonal")).isin("true", "1", "yes")
+    return [F.col("account_id"), F.col("account_name"), F.lower(F.trim(F.col("category"))).alias("category"),
+            _optional(df, "subcategory").alias("subcategory"),
+            _optional(df, "typical_min", "decimal(18,2)").alias("typical_min"),
+            _optional(df, "typical_max", "decimal(18,2)").alias("typical_max"),
+            F.coalesce(_optional(df, "variance_threshold_pct", "double"), F.lit(DEFAULT_ACCOUNT_THRESHOLD)).alias("variance_threshold_pct"),
+            F.coalesce(seasonal, F.lit(False)).alias("is_seasonal"),
+            _optional(df, "seasonal_pattern").alias("seasonal_pattern"),
+            _optional(df, "description").alias("description")]
+
+
+#: by kind of file: rules, typed columns, the column that names a row
+_KINDS = {"ledger": (ledger_rules, _ledger_columns, "transaction_id"), "accounts": (account_rules, _account_columns, "account_id")}
+
+
+def classify(raw: DataFrame, kind: str = "ledger") -> DataFrame:
+    """Every row with ``broken_rules`` (empty for a good one), its typed
+    columns as ``good`` (null for a bad one) and its text columns as ``raw``:
+    one pass, from which good and bad rows are told apart later."""
+    check_required_columns(raw, kind)
+    rules, columns, _ = _KINDS[kind]
+    flagged = raw.withColumn("broken_rules", _broken(rules(raw)))
+    ok = F.size("broken_rules") == 0
+    return flagged.select("broken_rules", F.when(ok, F.struct(*columns(raw))).alias("good"),
+                          F.when(~ok, F.struct(*[F.col(c) for c in raw.columns])).alias("raw"))
+
+
+def _apply(raw: DataFrame, kind: str, mode: str):
+    check_required_columns(raw, kind)
+    rules, columns, id_col = _KINDS[kind]
     if mode == "fail":
-        broken = _broken(rules)
+        broken = _broken(rules(raw))
         guard = F.when(F.size(broken) > 0, F.raise_error(F.concat(
             F.lit("Data quality check failed for row "), F.coalesce(F.col(id_col), F.lit("<null>")),
             F.lit(": "), F.array_join(broken, ", "))))
-        return typed(df.withColumn("_guard", guard).filter(F.col("_guard").isNull()).drop("_guard"))
+        return raw.withColumn("_guard", guard).filter(F.col("_guard").isNull()).drop("_guard").select(*columns(raw))
     if mode == "quarantine":
-        flagged = df.withColumn("_broken", _broken(rules))
-        good = typed(flagged.filter(F.size("_broken") == 0).drop("_broken"))
-        bad = flagged.filter(F.size("_broken") > 0).withColumnRenamed("_broken", "broken_rules")
-        return good, bad
+        both = classify(raw, kind)
+        return both.where(F.size("broken_rules") == 0).select("good.*"), both.where(F.size("broken_rules") > 0).select("raw.*", "broken_rules")
     raise ValueError(f"mode must be 'fail' or 'quarantine': {mode}")
 
 
 def project_ledger(raw: DataFrame, mode: str = "fail"):
     """Rename ``date`` to ``transaction_date``, type every column, round the
     amount to cents.  Empty optional text stays NULL."""
-    check_required_columns(raw, "ledger")
-
-    def typed(df: DataFrame) -> DataFrame:
-        opt = [F.nullif(F.trim(F.col(c)), F.lit("")).alias(c) if c in df.columns else F.lit(None).cast("string").alias(c)
-               for c in ("department", "vendor")]
-        src = F.col("source_file") if "source_file" in df.columns else F.lit(None).cast("string")
-        return df.select(
-            F.col("transaction_id"),
-            F.col("gl_account_id"),
-            _strict_date(F.col("date")).alias("transaction_date"),
-            F.round(strict_number(F.col("amount")), 2).cast(MONEY).alias("amount"),
-            F.col("description"),
-            *opt,
-            src.alias("source_file"),
-        )
-    return _apply(raw, ledger_rules(raw), "transaction_id", typed, mode)
+    return _apply(raw, "ledger", mode)
 
 
 def project_accounts(raw: DataFrame, mode: str = "fail"):
     """Type the account master.  Threshold defaults to 15 and ``is_seasonal``
     to false when the column is absent or empty."""
-    check_required_columns(raw, "accounts")
-
-    def typed(df: DataFrame) -> DataFrame:
-        def opt(c, t="string"):
-            return F.nullif(F.trim(F.col(c)), F.lit("")).try_cast(t) if c in df.columns else F.lit(None).cast(t)
-        seasonal = F.lower(opt("is_seasonal")).isin("true", "1", "yes")
-        return df.select(
-            F.col("account_id"), F.col("account_name"), F.lower(F.trim(F.col("category"))).alias("category"),
-            opt("subcategory").alias("subcategory"),
-            opt("typical_min", "decimal(18,2)").alias("typical_min"),
-            opt("typical_max", "decimal(18,2)").alias("typical_max"),
-            F.coalesce(opt("variance_threshold_pct", "double"), F.lit(DEFAULT_ACCOUNT_THRESHOLD)).alias("variance_threshold_pct"),
-            F.coalesce(seasonal, F.lit(False)).alias("is_seasonal"),
-            opt("seasonal_pattern").alias("seasonal_pattern"),
-            opt("description").alias("description"),
-        )
-    return _apply(raw, account_rules(raw), "account_id", typed, mode)
+    return _apply(raw, "accounts", mode)
 
 
 def check_balance_domain(balances: DataFrame) -> DataFrame:

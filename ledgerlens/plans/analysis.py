@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +36,8 @@ class AnalysisResult:
     explanations: DataFrame
     report: DataFrame
     run: DataFrame
+    #: by kind of file: rows read, bad rows and rows that break each rule (quarantine mode)
+    rejected: dict[str, dict[str, int]] = field(default_factory=dict)
 
 
 def run_analysis(spark: SparkSession, raw_ledger: DataFrame, raw_accounts: DataFrame, base: str,
@@ -45,12 +47,23 @@ def run_analysis(spark: SparkSession, raw_ledger: DataFrame, raw_accounts: DataF
                  created_at: dt.datetime | None = None) -> AnalysisResult:
     """``calls`` is the run's model-call log; its priced total goes into the
     run row.  Each run has an id of its own, also a second one of the same
-    month; a retry of the same run passes the same ``run_id``."""
+    month; a retry of the same run passes the same ``run_id``.
+
+    ``mode="quarantine"`` keeps all rows of the batch under ``base``/ingest,
+    the bad ones with the rules they break (``store.stored_rows``), and
+    counts them in ``rejected``; ``mode="fail"`` ends at the first bad row."""
     created_at = created_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    ledger = va.project_ledger(raw_ledger, mode=mode)
-    batch = va.project_accounts(raw_accounts, mode=mode)
+    rejected = {}
     if mode == "quarantine":
-        ledger, batch = ledger[0], batch[0]
+        # every row is stored once, good and bad apart; the run goes on with the good ones
+        ingest_id = run_id or f"ingest-{uuid.uuid4().hex[:12]}"
+        good = {}
+        for kind, raw in (("ledger", raw_ledger), ("accounts", raw_accounts)):
+            rejected[kind] = st.store_classified(raw, f"{base}/ingest/{kind}", ingest_id, kind)
+            good[kind] = st.stored_rows(spark, f"{base}/ingest/{kind}", "good", ingest_id)
+        ledger, batch = good["ledger"], good["accounts"]
+    else:
+        ledger, batch = va.project_ledger(raw_ledger, mode=mode), va.project_accounts(raw_accounts, mode=mode)
     st.store_accounts(batch, f"{base}/accounts", seq=int(created_at.timestamp() * 1_000_000))
     accounts = st.current_accounts(spark, f"{base}/accounts")
     ledger_path, bal_path, inv_path = f"{base}/ledger", f"{base}/balances", f"{base}/investigations"
@@ -86,4 +99,4 @@ def run_analysis(spark: SparkSession, raw_ledger: DataFrame, raw_accounts: DataF
         cost = co.price_calls(calls, co.price_list(spark)).agg(F.sum("cost_exact").cast(co.COST).cast("double")).scalar()
     run = st.run_rows(flags, accounts, created_at=created_at.isoformat(sep=" "), cost_usd=cost)
     st.store_run(run, f"{base}/runs")
-    return AnalysisResult(run_id, target_month, flags, context, explanations, report, run)
+    return AnalysisResult(run_id, target_month, flags, context, explanations, report, run, rejected)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import validate as va
@@ -12,6 +13,7 @@ from ..session import scratch_path
 from ..sources import files as fs
 from . import adapters as ad
 from . import oracle as o
+from . import store as st
 from .catalog import register
 
 RAW_LEDGER_SQL = o.SQL_LEDGER_NATION.rstrip() + """,
@@ -42,14 +44,27 @@ listed AS (SELECT *, list_filter([""" + ", ".join(f"CASE WHEN {r} THEN '{r}' END
 SELECT transaction_id, CASE WHEN len(rules) = 0 THEN CAST(round(number, 2) AS DECIMAL(18,2)) END AS amount,
        array_to_string(rules, ',') AS broken_rules FROM listed""")
 def quarantine_ledger(spark, sf):
-    """Quarantine mode over the ledger with faults: the good rows typed, the
-    bad ones with the rules that they break."""
-    good, bad = va.project_ledger(ad.dirty_ledger(spark, sf), mode="quarantine")
+    """Quarantine mode over the ledger with faults, stored in one pass: the
+    good rows typed, the bad ones with the rules that they break."""
+    path = scratch_path(spark, "quarantine")
+    st.store_classified(ad.dirty_ledger(spark, sf), path, "batch")
+    good, bad = st.stored_rows(spark, path, "good", "batch"), st.stored_rows(spark, path, "bad", "batch")
     return good.select("transaction_id", "amount", F.lit("").alias("broken_rules")).unionByName(
         bad.select("transaction_id", F.lit(None).cast(good.schema["amount"].dataType).alias("amount"),
                    F.array_join("broken_rules", ",").alias("broken_rules")))
 
 
+@register("quarantine_counts", _DIRTY + """
+SELECT 'rows' AS name, count(*) AS n FROM broken
+UNION ALL SELECT 'bad_rows', count_if(""" + " OR ".join(f"coalesce({r}, FALSE)" for r in _RULES) + ") FROM broken " + " ".join(
+    f"UNION ALL SELECT '{r}', count_if({r}) FROM broken" for r in _RULES))
+def quarantine_counts(spark, sf):
+    """What the one pass of quarantine mode counted while it wrote."""
+    path = scratch_path(spark, "quarantine_counts")
+    st.store_classified(ad.dirty_ledger(spark, sf), path, "batch")
+    return spark.read.parquet(f"{path}/counts").select("name", "n")
+
+
 @register("project_ledger", o.with_(o.SQL_LEDGER_NATION) + "SELECT * FROM ledger")
 def project_ledger(spark, sf):
     return va.project_ledger(ad.raw_ledger_by_nation(spark, sf), mode="fail")
@@ -174,7 +189,7 @@ def scan_accounts_csv(spark, sf):
     with the explicit text schema and typed."""
     acc = ad.accounts_from_customers(spark, sf)
     out = scratch_path(spark, "accounts_csv")
-    acc.write.option("header", True).csv(out)
+    acc.write.option("header", True).options(**fs.CSV_QUOTING).csv(out)
     return va.project_accounts(fs.scan_accounts(spark, out), mode="fail")
 
 
@@ -276,3 +291,97 @@ def scan_ledger_months(spark, sf):
     raw = fs.scan_ledger_months(spark, f"{out}/by_month", pattern="*/*.csv")
     return raw.select("transaction_id", "gl_account_id", "date", "amount", "description", "department", "vendor",
                       F.split("source_file", "/")[0].alias("folder"))
+
+
+# ---------------------------------------------------------------------------
+# A landing folder of files with headers of their own
+# ---------------------------------------------------------------------------
+
+#: by month of the year modulo 4: the columns of its files
+_LAYOUTS = {
+    0: ["transaction_id", "gl_account_id", "date", "amount", "description", "department", "vendor"],
+    1: ["vendor", "date", "description", "transaction_id", "amount", "gl_account_id", "department"],       # other order
+    2: ["date", "transaction_id", "gl_account_id", "amount", "description"],                               # without the optional ones
+    3: ["transaction_id", "cost_center", "gl_account_id", "date", "amount", "description", "vendor"],      # one column in excess
+}
+
+
+def _land_mixed(spark, sf, out):
+    """The ledger as CSV files of four layouts; of every 97th transaction the
+    last field is missing, of every 89th there is a field too many."""
+    led = ad.ledger_by_nation(spark, sf).select(
+        "transaction_id", "gl_account_id", F.date_format("transaction_date", "yyyy-MM-dd").alias("date"),
+        F.col("amount").cast("string").alias("amount"), F.concat(F.lit('a "b", '), F.coalesce("description", F.lit(""))).alias("description"),
+        F.coalesce("department", F.lit("")).alias("department"), F.coalesce("vendor", F.lit("")).alias("vendor"),
+        F.lit("c1").alias("cost_center"))
+    key = F.col("transaction_id").cast("long")
+    for k, names in _LAYOUTS.items():
+        quoted = [F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in names]
+        line = (F.when(key % 97 == 0, F.concat_ws(",", *quoted[:-1])).when(key % 89 == 0, F.concat_ws(",", *quoted, F.lit("more")))
+                .otherwise(F.concat_ws(",", *quoted)))
+        # a header of its own stands at the head of each file
+        (led.where(F.month("date") % 4 == k).select(line.alias("l")).mapInArrow(_with_header(",".join(names)), "l string")
+         .write.text(f"{out}/layout={k}"))
+
+
+def _with_header(header):
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([header])], ["l"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["l"])
+    return run
+
+
+@register("header_report", o.with_(o.SQL_LEDGER_NATION) + """
+SELECT k AS layout, CASE WHEN k = 9 THEN 'amount,date' ELSE '' END AS missing, CASE k WHEN 3 THEN 'cost_center' WHEN 9 THEN 'total' ELSE '' END AS surplus
+FROM (SELECT DISTINCT month(transaction_date) % 4 AS k FROM ledger UNION ALL SELECT 9)""")
+def header_report(spark, sf):
+    """What the headers of a landing folder lack and have in excess, by layout."""
+    out = scratch_path(spark, "landing_headers")
+    _land_mixed(spark, sf, out)
+    ad.ledger_by_nation(spark, sf).select("transaction_id", "gl_account_id", "description", F.col("amount").alias("total")).write.option(
+        "header", True).csv(f"{out}/layout=9")
+    files = fs.header_report(spark, f"{out}/*/*")
+    layout = F.regexp_extract("file_path", r"layout=(\d)", 1).cast("long").alias("layout")
+    paths = fs.header_lines(spark, f"{out}/*/*").select(layout, F.element_at(F.split("file_path", "/"), -1).alias("source_file"))
+    return files.join(paths, "source_file").select(
+        "layout", F.array_join("missing", ",").alias("missing"), F.array_join("surplus", ",").alias("surplus")).distinct()
+
+
+@register("scan_mixed_headers", o.with_(o.SQL_LEDGER_NATION) + """
+SELECT transaction_id, gl_account_id, CAST(transaction_date AS VARCHAR) AS date, CAST(amount AS VARCHAR) AS amount, 'a "b", ' || coalesce(description, '') AS description,
+       CASE WHEN month(transaction_date) % 4 IN (0, 1) THEN nullif(department, '') END AS department,
+       CASE WHEN month(transaction_date) % 4 <> 2 THEN nullif(vendor, '') END AS vendor
+FROM ledger WHERE CAST(transaction_id AS BIGINT) % 97 <> 0 AND CAST(transaction_id AS BIGINT) % 89 <> 0""")
+def scan_mixed_headers(spark, sf):
+    """A landing folder of files with other column orders, missing and surplus
+    columns and broken lines: the good rows, found by name."""
+    out = scratch_path(spark, "landing_mixed")
+    _land_mixed(spark, sf, out)
+    raw = fs.scan_ledger(spark, f"{out}/*/*")
+    return raw.where("bad_line IS NULL").select("transaction_id", "gl_account_id", "date", "amount", "description",
+                                                 F.nullif("department", F.lit("")).alias("department"), F.nullif("vendor", F.lit("")).alias("vendor"))
+
+
+def _line_sql():
+    """The lines of :func:`_land_mixed` that do not fit their header."""
+    col = {c: f"coalesce({c}, '')" for c in ("department", "vendor", "transaction_id", "gl_account_id")} | {
+        "date": "CAST(transaction_date AS VARCHAR)", "amount": "CAST(amount AS VARCHAR)", "description": "'a \"b\", ' || coalesce(description, '')",
+        "cost_center": "'c1'"}
+    lists = " ".join(f"WHEN {k} THEN [{', '.join(col[c] for c in names)}]" for k, names in _LAYOUTS.items())
+    return o.with_(o.SQL_LEDGER_NATION) + f"""
+, parts AS (SELECT CAST(transaction_id AS BIGINT) AS n, list_transform(CASE month(transaction_date) % 4 {lists} END,
+    lambda x: '"' || replace(x, '"', '""') || '"') AS fields FROM ledger)
+SELECT array_to_string(CASE WHEN n % 97 = 0 THEN fields[:-2] ELSE list_append(fields, 'more') END, ',') AS bad_line
+FROM parts WHERE n % 97 = 0 OR n % 89 = 0"""
+
+
+@register("scan_bad_lines", _line_sql())
+def scan_bad_lines(spark, sf):
+    """The lines of the same folder that have too few or too many fields, as
+    quarantine mode stores them."""
+    out = scratch_path(spark, "landing_bad")
+    _land_mixed(spark, sf, out)
+    path = scratch_path(spark, "landing_quarantine")
+    st.store_classified(fs.scan_ledger(spark, f"{out}/*/*"), path, "batch")
+    return st.stored_rows(spark, path, "bad").where(F.array_contains("broken_rules", "malformed_line")).select("bad_line")

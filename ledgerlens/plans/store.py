@@ -8,11 +8,12 @@ cluster: the shared folder).  Writes happen only here and in the sinks.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import balances as bal
 from ..operators import detect as det
+from ..operators import validate as va
 
 LEDGER_COLS = ["transaction_id", "gl_account_id", "transaction_date", "amount", "description",
                "department", "vendor", "source_file"]
@@ -46,6 +47,38 @@ def write_by(df: DataFrame, partition: str, path: str, mode: str = "append", dyn
     w.parquet(path)
 
 
+def store_classified(raw: DataFrame, path: str, ingest_id: str, kind: str = "ledger") -> dict[str, int]:
+    """Validate a batch and store all of its rows, good and bad apart, in one
+    pass over the source: one write, partitioned by ingest and status, that
+    also counts (``observe``) the rows and those that break each rule.  A
+    retry with the same id replaces what it wrote before.
+
+    Returns the counts, which are kept as a row of ``{path}/counts`` too.
+    The counts of a stage that ran twice because an executor was lost can be
+    too high; the stored rows are exact."""
+    rules = list((va.ledger_rules if kind == "ledger" else va.account_rules)(raw))
+    seen = Observation()
+    rows = va.classify(raw, kind).withColumn("ingest_id", F.lit(ingest_id)).withColumn(
+        "status", F.when(F.size("broken_rules") > 0, "bad").otherwise("good"))
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.size("broken_rules") > 0).alias("bad_rows"),
+                        *[F.count_if(F.array_contains("broken_rules", r)).alias(r) for r in rules])
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest_id", "status").parquet(f"{path}/rows"))
+    counts = {k: int(v or 0) for k, v in seen.get.items()}
+    spark = raw.sparkSession
+    (spark.createDataFrame([(ingest_id, k, v) for k, v in counts.items()], "ingest_id string, name string, n long")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest_id").parquet(f"{path}/counts"))
+    return counts
+
+
+def stored_rows(spark: SparkSession, path: str, status: str, ingest_id: str | None = None) -> DataFrame:
+    """Good rows of an ingest as typed columns, or bad rows (of one ingest or
+    of all) as text columns with ``broken_rules``."""
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("status") == status)
+    if ingest_id is not None:
+        rows = rows.where(F.col("ingest_id") == ingest_id)
+    return rows.select("good.*") if status == "good" else rows.select("ingest_id", "raw.*", "broken_rules")
+
+
 def dedupe_first(batch: DataFrame, key: str, order: list[str]) -> DataFrame:
     """First row per key by ``order`` (file name, position...).  An
     aggregate with map-side partial merge, so a key repeated a third of the

@@ -135,3 +135,12 @@ NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 SECRET_KEY_PATTERN = r"^sk-[a-zA-Z0-9]{48,}$"
 NO_DOCUMENTATION = "No documentation found"
 HISTORY_QUERY_PREFIX = "Historical anomaly: "
+
+#: raw column with a file's line that does not have the fields of its header
+BAD_LINE = "bad_line"
+
+
+def missing_columns(names, kind: str) -> list[str]:
+    """The required columns of a ledger or account file that are not among ``names``."""
+    required = {"ledger": LEDGER_REQUIRED_COLUMNS, "accounts": ACCOUNTS_REQUIRED_COLUMNS}[kind]
+    return [c for c in required if c not in names]

@@ -3,55 +3,135 @@ reports and cost summaries."""
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Sequence
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schemas import ACCOUNTS_RAW, LEDGER_RAW
+from ..schemas import ACCOUNTS_RAW, BAD_LINE, LEDGER_RAW, missing_columns
 
 
 #: quoting of all CSV files, the same for reading and writing: a quote within
 #: a quoted value is doubled, a backslash is an ordinary character, and blanks
 #: at the ends of a value belong to it
-_QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV_QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+#: a folder with more different headers than this is not one table
+MAX_HEADERS = 1000
+
+
+def header_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file_path, header): the first line with anything in it of every file.
+
+    A pass over the text, without parsing it; of each file only the lines of
+    its first split are looked at."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file_path"),
+                                          F.col("_metadata.file_block_start").alias("block"))
+    first = lines.where((F.col("block") == 0) & (F.trim("value") != "")).withColumn("line", F.monotonically_increasing_id())
+    return first.groupBy("file_path").agg(F.min_by("value", "line").alias("header"))
+
+
+def _names(header: str) -> tuple[str, ...]:
+    return tuple(n.strip() for n in next(csv.reader([header.removeprefix("\ufeff")])))
+
 
+def header_report(spark: SparkSession, paths: str | list[str], kind: str = "ledger") -> DataFrame:
+    """What each file's header lacks and has in excess: source_file, missing
+    (required columns), surplus (unknown ones)."""
+    known = (LEDGER_RAW if kind == "ledger" else ACCOUNTS_RAW).fieldNames()
+    names = F.transform(F.split("header", ","), lambda x: F.trim(F.regexp_replace(x, '["\ufeff]', "")))
+    required = F.array(*[F.lit(c) for c in missing_columns([], kind)])
+    return header_lines(spark, paths).select(
+        F.element_at(F.split("file_path", "/"), -1).alias("source_file"), F.array_sort(F.array_except(required, names)).alias("missing"),
+        F.array_sort(F.array_except(names, F.array(*[F.lit(c) for c in known]))).alias("surplus"))
 
-def _csv(spark: SparkSession, schema, paths, multi_line: bool):
-    return (spark.read.schema(schema)
-            .option("header", True)
-            .option("multiLine", multi_line)
-            .options(**_QUOTING)
-            .option("mode", "PERMISSIVE")
-            .csv(paths))
+
+def _file(path: str) -> str:
+    """A listed file as a path to read: decoded, and not taken for a pattern."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in unquote(path))
+
+
+def _csv(spark: SparkSession, names: Sequence[str], paths, multi_line: bool) -> DataFrame:
+    """Files that share one header.  Spark compares it with every file's
+    header; a line with more or fewer fields than the header is kept as it
+    stands in BAD_LINE."""
+    schema = T.StructType([T.StructField(n or f"_c{k}", T.StringType()) for k, n in enumerate(names)] + [T.StructField(BAD_LINE, T.StringType())])
+    return (spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("multiLine", multi_line)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE).option("columnPruning", False)
+            .options(**CSV_QUOTING).csv(paths))
+
+
+def _by_name(spark: SparkSession, kind: str, paths, multi_line: bool, header: Sequence[str] | None, name: Column) -> DataFrame:
+    """The known columns of files, found by the header of each file.
+
+    Files with the same header are one read; the reads are put together by
+    column name.  A file without a required column raises ValueError,
+    optional columns that a file lacks are null, unknown ones are left out."""
+    known = (LEDGER_RAW if kind == "ledger" else ACCOUNTS_RAW).fieldNames()
+    if header is not None:
+        groups = [(tuple(header), paths)]
+    else:
+        rows = (header_lines(spark, paths).groupBy("header").agg(F.array_sort(F.collect_list("file_path")).alias("files"))
+                .orderBy("files").limit(MAX_HEADERS + 1).collect())
+        if len(rows) > MAX_HEADERS:
+            raise ValueError(f"more than {MAX_HEADERS} different headers in {paths}")
+        groups = [(_names(r.header), [_file(f) for f in r.files] if len(rows) > 1 else paths) for r in rows]
+    parts = []
+    for names, files in groups:
+        lacking = missing_columns(names, kind)
+        if lacking:
+            where = files if isinstance(files, str) else ", ".join(files[:3])
+            raise ValueError(f"Missing required columns in {kind} data: {lacking} ({where})")
+        if len(set(names)) < len(names):
+            raise ValueError(f"Repeated columns in {kind} data: {list(names)}")
+        df = _csv(spark, names, files, multi_line)
+        parts.append(df.select(*[(F.col(c) if c in names else F.lit(None).cast("string")).alias(c) for c in known], BAD_LINE,
+                               name.alias("source_file")))
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in [*known, BAD_LINE, "source_file"]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def scan_ledger(spark: SparkSession, paths: str | list[str], multi_line: bool = False,
-                base: str | None = None) -> DataFrame:
-    """Ledger CSV(s) as text columns, with the source file and an order key
-    (file, position in the read) used for first-wins dedupe.
+                base: str | None = None, header: Sequence[str] | None = None) -> DataFrame:
+    """Ledger CSV(s) as text columns, found by the names in each file's own
+    header, with the source file and an order key (file, position in the
+    read) used for first-wins dedupe.  ``bad_line`` holds a line whose number
+    of fields is not that of the header, as it stands in the file; else null.
 
     IDs stay text: reading them as numbers would drop leading zeros.  Files
     are split over tasks; only where values hold line ends must a file be
     read as a whole (``multi_line``).  ``source_file`` is the path below
     ``base`` (the landing folder), so equal names in two folders stay apart;
     without ``base`` it is the file name.
+
+    Headers are found in a pass over the text of the files.  Where all files
+    are known to share one, give it as ``header`` and that pass is saved; a
+    file with another header then fails the read.
     """
-    df = _csv(spark, LEDGER_RAW, paths, multi_line)
     name = F.col("_metadata.file_name")
     if base is not None:
         folder = base.rstrip("/").rsplit("/", 1)[-1]
         name = F.regexp_replace(F.col("_metadata.file_path"), rf"^.*/\Q{folder}\E/", "")
-    return (df.withColumn("source_file", name)
-            .withColumn("file_order", F.monotonically_increasing_id()))
+    return _by_name(spark, "ledger", paths, multi_line, header, name).withColumn("file_order", F.monotonically_increasing_id())
 
 
 def scan_ledger_months(spark: SparkSession, folder: str, pattern: str = "pl_*.csv",
-                       multi_line: bool = False) -> DataFrame:
+                       multi_line: bool = False, header: Sequence[str] | None = None) -> DataFrame:
     """Every monthly ledger file of a folder; ``source_file`` is its path in the folder."""
-    return scan_ledger(spark, f"{folder.rstrip('/')}/{pattern}", multi_line, base=folder)
+    return scan_ledger(spark, f"{folder.rstrip('/')}/{pattern}", multi_line, base=folder, header=header)
 
 
-def scan_accounts(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
-    return _csv(spark, ACCOUNTS_RAW, paths, multi_line)
+def scan_accounts(spark: SparkSession, paths: str | list[str], multi_line: bool = False,
+                  header: Sequence[str] | None = None) -> DataFrame:
+    """Account master file(s) as text columns, found by name; only the required ones must be there."""
+    return _by_name(spark, "accounts", paths, multi_line, header, F.col("_metadata.file_name")).drop("source_file")
 
 
 def account_of_file(name: Column) -> Column:
@@ -90,10 +170,10 @@ def sink_ledger_csv(ledger: DataFrame, out_dir: str, combined: bool = True) -> N
             F.col("amount").cast("string").alias("amount"),
             "description", "department", "vendor"]
     out = ledger.select(*cols, F.date_format("transaction_date", "yyyy-MM").alias("month"))
-    (out.hint("rebalance", "month").write.mode("overwrite").option("header", True).options(**_QUOTING)
+    (out.hint("rebalance", "month").write.mode("overwrite").option("header", True).options(**CSV_QUOTING)
      .partitionBy("month").csv(f"{out_dir}/by_month"))
     if combined:
-        out.drop("month").write.mode("overwrite").option("header", True).options(**_QUOTING).csv(f"{out_dir}/all")
+        out.drop("month").write.mode("overwrite").option("header", True).options(**CSV_QUOTING).csv(f"{out_dir}/all")
 
 
 def sink_report(lines: DataFrame, path: str) -> None:
