@@ -4,8 +4,9 @@ reports and cost summaries."""
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,12 +55,12 @@ def _file(path: str) -> str:
     return "".join("\\" + c if c in "*?[]{}\\" else c for c in unquote(path))
 
 
-def _csv(spark: SparkSession, names: Sequence[str], paths, multi_line: bool) -> DataFrame:
-    """Files that share one header.  Spark compares it with every file's
-    header; a line with more or fewer fields than the header is kept as it
-    stands in BAD_LINE."""
+def _csv(spark: SparkSession, names: Sequence[str], paths, multi_line: bool, compare: bool) -> DataFrame:
+    """Files that share one header.  With ``compare`` Spark compares it with
+    the header of every file.  A line with more or fewer fields than the
+    header is kept as it stands in BAD_LINE."""
     schema = T.StructType([T.StructField(n or f"_c{k}", T.StringType()) for k, n in enumerate(names)] + [T.StructField(BAD_LINE, T.StringType())])
-    return (spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("multiLine", multi_line)
+    return (spark.read.schema(schema).option("header", True).option("enforceSchema", not compare).option("multiLine", multi_line)
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE).option("columnPruning", False)
             .options(**CSV_QUOTING).csv(paths))
 
@@ -87,7 +88,7 @@ def _by_name(spark: SparkSession, kind: str, paths, multi_line: bool, header: Se
             raise ValueError(f"Missing required columns in {kind} data: {lacking} ({where})")
         if len(set(names)) < len(names):
             raise ValueError(f"Repeated columns in {kind} data: {list(names)}")
-        df = _csv(spark, names, files, multi_line)
+        df = _csv(spark, names, files, multi_line, compare=header is not None)
         parts.append(df.select(*[(F.col(c) if c in names else F.lit(None).cast("string")).alias(c) for c in known], BAD_LINE,
                                name.alias("source_file")))
     if not parts:
@@ -117,7 +118,8 @@ def scan_ledger(spark: SparkSession, paths: str | list[str], multi_line: bool =
     """
     name = F.col("_metadata.file_name")
     if base is not None:
-        folder = base.rstrip("/").rsplit("/", 1)[-1]
+        # the folder's name as it stands in a listed path
+        folder = quote(re.sub(r"\\(.)", r"\1", base.rstrip("/").rsplit("/", 1)[-1]), safe="!$&'()*+,;=:@")
         name = F.regexp_replace(F.col("_metadata.file_path"), rf"^.*/\Q{folder}\E/", "")
     return _by_name(spark, "ledger", paths, multi_line, header, name).withColumn("file_order", F.monotonically_increasing_id())
 
