@@ -1,11 +1,17 @@
-"""Account documentation: generation, chunking, embedding, exact top-k
-similarity search and retrieval context for flagged anomalies."""
+"""Account documentation: generation, chunking, embedding, exact and indexed
+top-k similarity search, and retrieval context for flagged anomalies."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,45 +169,90 @@ def add_documents(chunks: DataFrame, new_docs: DataFrame, key: str = "account_id
 # --------------------------------------------------------------------------
 
 
-def _token_counts(df: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
-    """(id, bucket, tf): the lower-cased word tokens of each text, hashed
-    into ``dim`` buckets by the first 32 bits of their md5, so the same text
-    gives the same buckets on any engine."""
-    tokens = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    bucket = F.pmod(F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    rows = df.select(F.col(id_col).alias("_id"), F.explode(tokens).alias("_t"))
-    return rows.groupBy("_id", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_tf"))
+def _buckets(text_col: str, dim: int) -> Column:
+    """The lower-cased word tokens of a text, each hashed into one of ``dim``
+    buckets by the first 32 bits of its md5, so the same text gives the same
+    buckets on any engine (null: none)."""
+    tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
 
 
-def token_idf(df: DataFrame, id_col: str, text_col: str, dim: int = 256) -> DataFrame:
+def token_idf(df: DataFrame, text_col: str, dim: int = 256) -> DataFrame:
     """(bucket, idf): ln((texts + 1) / (texts with the bucket + 1)) + 1, so
-    that a bucket found in every text still counts; ``dim`` rows at most."""
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (_token_counts(df, id_col, text_col, dim).groupBy(F.col("_b").alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("_df")).select("bucket", (F.log((n + 1.0) / (F.col("_df") + 1.0)) + 1.0).alias("idf")))
-
-
-def embed_text(df: DataFrame, id_col: str, text_col: str, idf: DataFrame, out_col: str = "embedding",
-               dim: int = 256) -> DataFrame:
-    """L2-normalised tf-idf vectors as ``array<double>``; ids must be unique.
-    A local stand-in for a remote embedding model, made of built-in
-    expressions.  A text without known tokens has the zero vector.  The table
-    of frequencies has ``dim`` rows at most, so it is broadcast."""
-    counts = _token_counts(df, id_col, text_col, dim).join(F.broadcast(idf), F.col("_b") == F.col("bucket"))
-    cells = counts.select("_id", F.struct("_b", (F.col("_tf") * F.col("idf")).alias("w")).alias("_c"))
-    maps = cells.groupBy("_id").agg(F.map_from_entries(F.collect_list("_c")).alias("_m"))     # dim entries at most
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-    norm = F.sqrt(F.aggregate(F.map_values("_m"), F.lit(0.0), lambda acc, x: acc + x * x))
-    vectors = maps.withColumn("_n", norm).withColumn("_d", dense).select(
-        "_id", F.when(F.col("_n") > 0, F.transform("_d", lambda x: x / F.col("_n"))).alias("_v"))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return (df.join(vectors, F.col(id_col) == F.col("_id"), "left")
-            .withColumn(out_col, F.coalesce("_v", zero)).drop("_id", "_v"))
-
-
-def embed_chunks(chunks: DataFrame, dim: int = 256, id_col: str = "chunk_id", text_col: str = "chunk_text") -> DataFrame:
+    that a bucket found in every text still counts; ``dim`` rows at most.
+    Only counts per bucket are shuffled."""
+    held = df.select(F.explode(F.array_append(F.array_distinct(_buckets(text_col, dim)), F.lit(-1))).alias("bucket"))
+    counts = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("_df"))
+    n = F.max(F.when(F.col("bucket") == -1, F.col("_df"))).over(Window.partitionBy(F.lit(0)))     # dim + 1 rows
+    return (counts.withColumn("_n", n).where(F.col("bucket") >= 0)
+            .select("bucket", (F.log((F.col("_n") + 1.0) / (F.col("_df") + 1.0)) + 1.0).alias("idf")))
+
+
+def embed_text(df: DataFrame, text_col: str, idf: DataFrame, out_col: str = "embedding", dim: int = 256) -> DataFrame:
+    """L2-normalised tf-idf vectors as ``array<double>``, one per row.  A
+    local stand-in for a remote embedding model.  A text without known tokens
+    has the zero vector.
+
+    Each row is embedded where it lies: its buckets are counted in one Arrow
+    pass, no token is shuffled.  ``idf`` has ``dim`` rows at most, which go to
+    the tasks with the plan."""
+    weights = np.zeros(dim)
+    for r in idf.limit(dim).collect():
+        weights[r.bucket] = r.idf
+    out = T.StructType([f for f in df.schema.fields if f.name != out_col] + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+    rows = df.select(*[F.col(f"`{f.name}`") for f in out.fields[:-1]], _buckets(text_col, dim).alias(out_col))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                lists = part.column(part.num_columns - 1)
+                sizes = np.diff(lists.offsets.to_numpy())
+                cell = np.repeat(np.arange(len(lists)), sizes) * dim + lists.flatten().to_numpy()
+                v = np.bincount(cell, minlength=len(lists) * dim).reshape(len(lists), dim) * weights
+                norm = np.sqrt((v * v).sum(1, keepdims=True))
+                v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _as_lists(v)], part.schema.names)
+
+    return rows.mapInArrow(run, out)
+
+
+def _as_lists(m: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as an Arrow list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+
+
+def embed_chunks(chunks: DataFrame, dim: int = 256, text_col: str = "chunk_text") -> DataFrame:
     """Chunks with vectors, weighted by their own frequencies."""
-    return embed_text(chunks, id_col, text_col, token_idf(chunks, id_col, text_col, dim), dim=dim)
+    return embed_text(chunks, text_col, token_idf(chunks, text_col, dim), dim=dim)
+
+
+def embed_with(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], dim: int,
+               out_col: str = "embedding", batch: int = 256) -> DataFrame:
+    """Vectors from a model of the caller's: ``load()`` sets it up once in
+    each Python worker task and returns a function from a list of at most
+    ``batch`` texts to as many vectors of ``dim`` numbers.
+
+    A null text has a null vector and is not given to the model.  A model that
+    returns another number of vectors, or a vector of another length or with a
+    number that is not finite, fails the job and the message tells which."""
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in parts:
+            out: list = [None] * len(texts)
+            given = [i for i, t in enumerate(texts) if t is not None]
+            for k in range(0, len(given), batch):
+                some = given[k:k + batch]
+                made = [np.asarray(v, dtype=float) for v in model([texts.iloc[i] for i in some])]
+                if len(made) != len(some):
+                    raise ValueError(f"the embedding function returned {len(made)} vectors for {len(some)} texts")
+                for i, v in zip(some, made, strict=True):
+                    if v.shape != (dim,) or not np.isfinite(v).all():
+                        raise ValueError(f"the embedding function returned a vector of shape {v.shape}, not of {dim} finite numbers, for {texts.iloc[i][:40]!r}")
+                    out[i] = v
+            yield pd.Series(out, index=texts.index, dtype=object)
+    return df.withColumn(out_col, embed(F.col(text_col)))
 
 
 # --------------------------------------------------------------------------
@@ -220,9 +271,48 @@ def _blocked(df: DataFrame, id_col: str, key: str | None, own: Column, other: Co
     return groups.withColumn(met, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
 
 
+def _ids_and_matrix(block: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+    """Ids in ascending order and their vectors, from the values buffer."""
+    order = pc.sort_indices(block.field(0))
+    ids, v = block.field(0).take(order), block.field(1).take(order)
+    sizes = np.diff(v.offsets.to_numpy())
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors of one search must have the same length")
+    return ids, v.flatten().to_numpy().reshape(len(ids), -1)
+
+
+def _best_pairs(k: int, exclude_self: bool):
+    """Of each pair of a query block and a corpus block: every query's ``k``
+    nearest corpus vectors (ties by the smaller id)."""
+    def pair(qs: pa.StructArray, cs: pa.StructArray) -> pa.RecordBatch:
+        (qids, qm), (cids, cm) = _ids_and_matrix(qs), _ids_and_matrix(cs)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            sims = np.round((qm @ cm.T) / np.outer(np.linalg.norm(qm, axis=1), np.linalg.norm(cm, axis=1)), 6)
+        valid = np.isfinite(sims)
+        if exclude_self:
+            code = pa.concat_arrays([qids, cids]).dictionary_encode().indices.to_numpy()
+            valid &= code[:len(qids), None] != code[None, len(qids):]
+        sims[~valid] = -np.inf
+        n = min(k, sims.shape[1])
+        least = np.partition(sims, sims.shape[1] - n, axis=1)[:, -n]
+        i, j = np.nonzero((sims >= least[:, None]) & valid)
+        order = np.lexsort((j, -sims[i, j], i))
+        i, j = i[order], j[order]
+        first = np.searchsorted(i, np.arange(len(qids)))
+        keep = np.arange(len(i)) - first[i] < k
+        i, j = i[keep], j[keep]
+        return pa.RecordBatch.from_arrays([qids.take(pa.array(i)), cids.take(pa.array(j)), pa.array(sims[i, j])], ["_qid", "_cid", "similarity"])
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                yield pair(batch.column(0)[r].values, batch.column(1)[r].values)
+    return run
+
+
 def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = RETRIEVAL_K,
                  key: str | None = None, query_id: str = "query_id", corpus_id: str = "chunk_id",
-                 exclude_self: bool = False, block_size: int = 512) -> DataFrame:
+                 exclude_self: bool = False, block_size: int = 4096) -> DataFrame:
     """Exact k nearest corpus vectors by cosine similarity for every query,
     restricted to the same ``key`` when given (filter before ranking).
 
@@ -231,12 +321,17 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = RETRIEVAL_K,
     the pairs of a hot key spread over all tasks; a numpy matrix product
     yields each query's best ``k`` in that block; a final top-k per query
     over its block winners (``k`` x blocks rows) gives the exact answer.  No
-    row per pair is ever materialised, and no block grows with the key's size.
-    Ties are broken by the smaller corpus id.  Output: query id, corpus id,
-    rank (1 = nearest), similarity rounded to 6 decimals.
+    row per pair is ever materialised, and no block grows with the key's
+    size; a block of vectors is shuffled once for each block it meets, so
+    larger blocks move less.  An id that the corpus has several times (one
+    vector in several cells of an index) counts once.  Null vectors take no
+    part.  Ties are broken by the smaller corpus id.  Output: query id, corpus
+    id, rank (1 = nearest), similarity rounded to 6 decimals.
     """
-    q = queries.select(F.col(query_id).alias("_qid"), "embedding", *([key] if key else []))
-    c = corpus.select(F.col(corpus_id).alias("_cid"), "embedding", *([key] if key else []))
+    def side(df: DataFrame, id_col: str, name: str) -> DataFrame:
+        return df.where(F.col("embedding").isNotNull()).select(
+            F.col(id_col).alias(name), F.col("embedding").cast("array<double>").alias("embedding"), *([key] if key else []))
+    q, c = side(queries, query_id, "_qid"), side(corpus, corpus_id, "_cid")
 
     def n_blocks(count):
         return F.greatest(F.lit(1), F.ceil(count / F.lit(block_size))).cast("long")
@@ -251,49 +346,71 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = RETRIEVAL_K,
         nq, nc = (n_blocks(F.lit(d.count())) for d in (q, c))     # two numbers
     pair = [*([key] if key else []), "_q_block", "_c_block"]
     pairs = _blocked(q, "_qid", key, nq, nc, "q").join(_blocked(c, "_cid", key, nc, nq, "c"), pair).select("_q", "_c")
-    qid_t = queries.schema[query_id].dataType
-    cid_t = corpus.schema[corpus_id].dataType
-    out_schema = T.StructType([T.StructField("_qid", qid_t), T.StructField("_cid", cid_t),
+    out_schema = T.StructType([T.StructField("_qid", queries.schema[query_id].dataType),
+                               T.StructField("_cid", corpus.schema[corpus_id].dataType),
                                T.StructField("similarity", T.DoubleType())])
-
-    def run(batches):
-        for pdf in batches:
-            out_q, out_c, out_s = [], [], []
-            for qs, cs in zip(pdf["_q"], pdf["_c"]):
-                # corpus block in id order, so a stable sort on -similarity
-                # breaks ties by the smaller id
-                cs = sorted(cs, key=lambda r: r["id"])
-                qids = np.array([r["id"] for r in qs], dtype=object)
-                cids = np.array([r["id"] for r in cs], dtype=object)
-                qm = np.array([np.asarray(r["v"], dtype=np.float64) for r in qs])
-                cm = np.array([np.asarray(r["v"], dtype=np.float64) for r in cs])
-                qn = np.linalg.norm(qm, axis=1)
-                cn = np.linalg.norm(cm, axis=1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    sims = np.round((qm @ cm.T) / np.outer(qn, cn), 6)
-                valid = np.isfinite(sims)
-                if exclude_self:
-                    valid &= qids[:, None] != cids[None, :]
-                keyed = np.where(valid, -sims, np.inf)
-                kk = min(k, keyed.shape[1])
-                order = np.argsort(keyed, axis=1, kind="stable")[:, :kk]
-                for i in range(len(qids)):
-                    for j in order[i]:
-                        if not valid[i, j]:
-                            break
-                        out_q.append(qids[i])
-                        out_c.append(cids[j])
-                        out_s.append(float(sims[i, j]))
-            # typed columns also when no pair of the batch has a similarity
-            yield pd.DataFrame({"_qid": pd.Series(out_q, dtype=object), "_cid": pd.Series(out_c, dtype=object),
-                                "similarity": pd.Series(out_s, dtype=float)})
-
-    cand = pairs.mapInPandas(run, out_schema)
+    found = pairs.mapInArrow(_best_pairs(k, exclude_self), out_schema).distinct()
     w = Window.partitionBy("_qid").orderBy(F.col("similarity").desc(), F.col("_cid"))
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(F.col("_qid").alias(query_id), F.col("_cid").alias(corpus_id), "rank", "similarity"))
 
 
+# --------------------------------------------------------------------------
+# Approximate search: an index of random projections
+# --------------------------------------------------------------------------
+
+
+def _cells(df: DataFrame, model: BucketedRandomProjectionLSHModel, tables: int) -> DataFrame:
+    """Each row once per hash table, with ``table`` and ``cell``: the table's
+    share of the model's projections, each rounded to a bucket, as one key."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    unit = F.when(norm > 0, F.transform("embedding", lambda x: x / norm)).otherwise(F.col("embedding"))
+    hashed = model.transform(df.withColumn("_unit", array_to_vector(unit)))
+    per = model.getNumHashTables() // tables
+    keys = [F.struct(F.lit(t).alias("table"), F.xxhash64(F.lit(t), *[
+        vector_to_array(F.col("_hashes")[i])[0] for i in range(t * per, (t + 1) * per)]).alias("cell")) for t in range(tables)]
+    return hashed.withColumn("_at", F.explode(F.array(*keys))).select(*df.columns, "_at.table", "_at.cell")
+
+
+def build_lsh_index(corpus: DataFrame, path: str, corpus_id: str = "chunk_id", key: str | None = None, tables: int = 16,
+                    projections: int = 2, bucket: float = 1.5, seed: int = 7) -> None:
+    """Store an index of every corpus vector under ``path``: the model, and a
+    table of cells partitioned by hash table.
+
+    A table hashes the direction of a vector by ``projections`` random
+    projections cut into buckets of length ``bucket``; near vectors fall into
+    the same cell of some table.  More tables find more, more projections or
+    shorter buckets search fewer vectors.  A vector is stored once a table."""
+    rows = corpus.where(F.col("embedding").isNotNull()).select(
+        F.col(corpus_id).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), *([F.col(key).alias("key")] if key else []))
+    lsh = BucketedRandomProjectionLSH(inputCol="_unit", outputCol="_hashes", bucketLength=bucket, numHashTables=tables * projections, seed=seed)
+    # the projections depend on the seed and the number of dimensions alone
+    model = lsh.fit(rows.limit(1).withColumn("_unit", array_to_vector("embedding")))
+    model.write().overwrite().save(f"{path}/model")
+    _cells(rows, model, tables).write.mode("overwrite").partitionBy("table").parquet(f"{path}/cells")
+
+
+def topk_docs_lsh(spark: SparkSession, queries: DataFrame, path: str, k: int = RETRIEVAL_K, query_id: str = "query_id",
+                  corpus_id: str = "chunk_id", key: str | None = None, exclude_self: bool = False) -> DataFrame:
+    """The ``k`` nearest vectors of an index among those that share a cell
+    (and the ``key``) with the query in any table.  All of these are compared
+    exactly, block by block as in :func:`topk_similar`: a crowded cell is cut
+    into blocks, and no candidate is left out.  Same columns as there; a
+    query without enough neighbours in its cells gets fewer rows."""
+    model = BucketedRandomProjectionLSHModel.load(f"{path}/model")
+    index = spark.read.parquet(f"{path}/cells")
+    tables = index.agg(F.max("table")).first()[0]
+    if tables is None:
+        tables = 0      # an empty index finds nothing
+    q = queries.where(F.col("embedding").isNotNull()).select(
+        F.col(query_id).alias("_query"), F.col("embedding").cast("array<double>").alias("embedding"), *([F.col(key).alias("key")] if key else []))
+    where = F.struct(*(["key"] if key else []), "table", "cell")
+    c = index.select(F.col("id").alias("_id"), "embedding", where.alias("_place"))
+    found = topk_similar(_cells(q, model, tables + 1).select("_query", "embedding", where.alias("_place")), c, k=k, key="_place",
+                         query_id="_query", corpus_id="_id", exclude_self=exclude_self)
+    return found.withColumnsRenamed({"_query": query_id, "_id": corpus_id})
+
+
 # --------------------------------------------------------------------------
 # Retrieval context for flagged anomalies
 # --------------------------------------------------------------------------
@@ -322,15 +439,29 @@ def context_rollup(hits: DataFrame, chunks: DataFrame, query_id: str = "anomaly_
         F.transform("_h", lambda x: x["source_file"]).alias("source_files"))
 
 
+#: turns (rows, text column) into rows with a column ``embedding``
+Embedder = Callable[[DataFrame, str], DataFrame]
+
+
+def _embedded(queries: DataFrame, chunks: DataFrame, dim: int, embed: Embedder | None) -> tuple[DataFrame, DataFrame]:
+    """Queries and chunks with vectors: by ``embed`` if given, else tf-idf
+    with the frequencies of the chunks.  Chunks that have vectors keep them."""
+    if embed is None:
+        idf = token_idf(chunks, "chunk_text", dim)
+
+        def embed(df, text_col):
+            return embed_text(df, text_col, idf, dim=dim)
+    return embed(queries, "query_text"), chunks if "embedding" in chunks.columns else embed(chunks, "chunk_text")
+
+
 def retrieve_context(flags: DataFrame, chunks: DataFrame, history_counts: DataFrame | None = None,
-                     k: int = RETRIEVAL_K, dim: int = 256, only_high: bool = False) -> DataFrame:
+                     k: int = RETRIEVAL_K, dim: int = 256, only_high: bool = False, embed: Embedder | None = None) -> DataFrame:
     """Context for every flagged row in one plan: query sentence, top-k
     chunks of the same account, roll-up, capped history count.  Flags with
-    no documentation get the default text."""
+    no documentation get the default text.  ``embed`` makes the vectors, for
+    instance with :func:`embed_with`."""
     f = flags.filter(F.col("severity") == "high") if only_high else flags
-    idf = token_idf(chunks, "chunk_id", "chunk_text", dim)
-    q = embed_text(retrieval_queries(f), "anomaly_id", "query_text", idf, dim=dim)
-    c = chunks if "embedding" in chunks.columns else embed_text(chunks, "chunk_id", "chunk_text", idf, dim=dim)
+    q, c = _embedded(retrieval_queries(f), chunks, dim, embed)
     c = c.withColumnRenamed("account_id", "gl_account_id") if "account_id" in c.columns else c
     hits = topk_similar(q, c, k=k, key="gl_account_id", query_id="anomaly_id", corpus_id="chunk_id")
     ctx = context_rollup(hits, c)
@@ -348,13 +479,11 @@ def retrieve_context(flags: DataFrame, chunks: DataFrame, history_counts: DataFr
 
 
 def similar_past_anomalies(flags: DataFrame, chunks: DataFrame, k: int = SIMILAR_CASES_K,
-                           dim: int = 256) -> DataFrame:
+                           dim: int = 256, embed: Embedder | None = None) -> DataFrame:
     """The ``k`` chunks nearest to each flagged row's query sentence, with
     the history prefix and no account filter (all accounts' chunks)."""
     q = retrieval_queries(flags).withColumn("query_text", F.concat(F.lit(HISTORY_QUERY_PREFIX), F.col("query_text")))
-    idf = token_idf(chunks, "chunk_id", "chunk_text", dim)
-    q = embed_text(q, "anomaly_id", "query_text", idf, dim=dim)
-    c = chunks if "embedding" in chunks.columns else embed_text(chunks, "chunk_id", "chunk_text", idf, dim=dim)
+    q, c = _embedded(q, chunks, dim, embed)
     return topk_similar(q.select(F.col("anomaly_id").alias("query_id"), "embedding"),
                         c.select("chunk_id", "embedding"), k=k)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import docs as dc
 from ..operators import history as hi
+from ..session import scratch_path
 from . import adapters as ad
 from . import oracle as o
 from .catalog import register
@@ -284,3 +285,72 @@ def similar_past_anomalies_text(spark, sf):
     """5 nearest documentation chunks to each flagged row's query sentence
     prefixed ``Historical anomaly: ``, across all accounts."""
     return dc.similar_past_anomalies(nation_flags(spark, sf), nation_chunks(spark, sf))
+
+
+def _labelled(spark, sf):
+    e = ad.table(spark, sf, "embeddings")
+    return (e.select(F.col("vec_id").alias("query_id"), "embedding", "label"),
+            e.select(F.col("vec_id").alias("chunk_id"), "embedding", "label"))
+
+
+def _indexed(spark, sf):
+    q, c = _labelled(spark, sf)
+    path = scratch_path(spark, "lsh_index")
+    dc.build_lsh_index(c, path, key="label")
+    return dc.topk_docs_lsh(spark, q, path, k=3, key="label", exclude_self=True)
+
+
+@register("topk_docs_lsh")
+def topk_docs_lsh(spark, sf):
+    """3 nearest vectors of the same label by the stored index."""
+    return _indexed(spark, sf)
+
+
+@register("topk_docs_lsh_recall", """
+SELECT label, sum(least(n - 1, 3)) * 1.0 AS wanted, TRUE AS recall_at_least_90, TRUE AS similarities_exact
+FROM (SELECT label, count(*) OVER (PARTITION BY label) AS n FROM embeddings) GROUP BY label""")
+def topk_docs_lsh_recall(spark, sf):
+    """Per label: how many neighbours the exact search finds, whether the
+    index finds nine of ten of them, and whether all it finds are as near as
+    it says."""
+    q, c = _labelled(spark, sf)
+    exact = dc.topk_similar(q, c, k=3, key="label", exclude_self=True)
+    found = _indexed(spark, sf).select("query_id", "chunk_id", F.col("similarity").alias("found"))
+    both = exact.join(found, ["query_id", "chunk_id"], "left").join(q.select("query_id", "label"), "query_id")
+    return both.groupBy("label").agg(
+        F.count(F.lit(1)).cast("double").alias("wanted"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recall_at_least_90"),
+        F.min(F.coalesce(F.col("found") == F.col("similarity"), F.lit(True))).alias("similarities_exact"))
+
+
+def letter_counts():
+    """A model for :func:`operators.docs.embed_with`: how often a text has each letter from a to p."""
+    def embed(texts):
+        return [[t.count(chr(97 + i)) for i in range(16)] for t in texts]
+    return embed
+
+
+_LETTERS = "list_transform(range(16), lambda i: CAST(length({0}) - length(replace({0}, chr(CAST(97 + i AS INT)), '')) AS DOUBLE))"
+
+
+@register("embed_with", f"""
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN {_LETTERS.format('text')} END AS embedding FROM documents""")
+def embed_with(spark, sf):
+    """Vectors of all documents from a model that each worker sets up itself."""
+    d = ad.table(spark, sf, "documents").select("doc_id", "text")
+    return dc.embed_with(d, "text", letter_counts, dim=16).select("doc_id", "embedding")
+
+
+@register("retrieve_context_model", o.DETECT_NATION.rstrip() + "," + o.FLAGS + "," + _NATION_CHUNKS + """,
+qs AS (SELECT strftime(month, '%Y%m') || '-' || gl_account_id AS anomaly_id, gl_account_id, """ + _QUERY_TEXT + f""" AS query_text FROM flags),
+near AS (SELECT qs.anomaly_id, ch.chunk_id, ch.source_file, ch.chunk_text, row_number() OVER (PARTITION BY qs.anomaly_id
+           ORDER BY round(list_cosine_similarity({_LETTERS.format('query_text')}, {_LETTERS.format('chunk_text')}), 6) DESC, ch.chunk_id) AS rank
+  FROM qs JOIN ch ON ch.account_id = qs.gl_account_id)
+SELECT anomaly_id, max(chunk_text) FILTER (WHERE rank = 1) AS account_documentation,
+       coalesce(list(chunk_text ORDER BY rank) FILTER (WHERE rank IN (2, 3)), []) AS similar_cases
+FROM near WHERE rank <= 3 GROUP BY anomaly_id""")
+def retrieve_context_model(spark, sf):
+    """Retrieval context by vectors from a model given by the caller."""
+    def embed(df, text_col):
+        return dc.embed_with(df, text_col, letter_counts, dim=16)
+    return dc.retrieve_context(nation_flags(spark, sf), nation_chunks(spark, sf), embed=embed).select(
+        "anomaly_id", "account_documentation", "similar_cases")
