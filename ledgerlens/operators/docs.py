@@ -84,65 +84,87 @@ def chunk_fixed(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OV
             .withColumn("chunk_start", F.col("_start")).drop("_start", text_col))
 
 
-_SEPARATORS = ["\n\n", "\n", " ", ""]
-
-
-def _split_recursive(text: str, size: int, overlap: int, seps=None) -> list[str]:
-    """Separator-aware splitting: split on the first separator present,
-    merge neighbouring pieces up to ``size`` characters with about
-    ``overlap`` characters carried over, and split again any piece that is
-    still too long with the next separator."""
-    seps = _SEPARATORS if seps is None else seps
-    sep, rest = "", []
-    for i, s in enumerate(seps):
-        if s == "" or s in text:
-            sep, rest = s, seps[i + 1:]
-            break
-    pieces = list(text) if sep == "" else [p for p in text.split(sep) if p]
-    out: list[str] = []
-    cur: list[str] = []
-    cur_len = 0
-    for p in pieces:
-        if len(p) > size:
-            if cur:
-                out.append(sep.join(cur))
-                cur, cur_len = [], 0
-            out.extend(_split_recursive(p, size, overlap, rest) if rest else [p])
-            continue
-        add = len(p) + (len(sep) if cur else 0)
-        if cur and cur_len + add > size:
-            out.append(sep.join(cur))
-            while cur and (cur_len > overlap or cur_len + len(p) + len(sep) > size):
-                cur_len -= len(cur[0]) + (len(sep) if len(cur) > 1 else 0)
-                cur.pop(0)
-            add = len(p) + (len(sep) if cur else 0)
-        cur.append(p)
-        cur_len += add
-    if cur:
-        out.append(sep.join(cur))
-    return [c.strip() for c in out if c.strip()]
+#: fixed values: where texts are split, in this order; what is left is cut by characters
+SEPARATORS = ("\n\n", "\n", " ")
+
+
+def _pieces(text: Column, size: int, level: int, run: Column) -> Column:
+    """A text as neighbouring pieces (length, run): cut before each separator
+    of this level; pieces of ``size`` characters or more are cut again at the
+    next one.  Pieces of one run come from the same cut; characters of a word
+    that no separator cuts are one piece with a run that ends in ``c``."""
+    if level == len(SEPARATORS):
+        return F.array(F.struct(F.length(text).cast("int").alias("n"), F.concat(run, F.lit("c")).alias("run")))
+    sep = SEPARATORS[level]
+    parts = F.split(text, sep)        # no separator is special in a pattern
+    cut = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(sep), p)))
+
+    def piece(p: Column, i: Column) -> Column:
+        whole = F.array(F.struct(F.length(p).cast("int").alias("n"), run.alias("run")))
+        return F.when(F.length(p) < size, whole).otherwise(
+            _pieces(p, size, level + 1, F.concat(run, F.lit("."), i.cast("string"))))
+    return F.filter(F.flatten(F.transform(cut, piece)), lambda x: x["n"] > 0)
+
+
+def _spans(pieces: Column, size: int, overlap: int) -> Column:
+    """Chunks as (start, end): neighbouring pieces of a run put together up to
+    ``size`` characters; the next chunk begins with the pieces of the last
+    ``overlap`` characters.  ``recent`` holds where the pieces of the open
+    chunk begin, as far as an overlap can reach back."""
+    span = "array<struct<s:int,e:int>>"
+
+    def chars(begin: Column, end: Column) -> Column:
+        starts = F.sequence(begin, F.greatest(end - overlap - 1, begin), F.lit(size - overlap))
+        return F.transform(starts, lambda x: F.struct(x.alias("s"), F.least(x + size, end).alias("e"))).cast(span)
+
+    def closed(acc: Column) -> Column:
+        """The chunks so far with the open one."""
+        one = F.when(acc["run"].endswith("c"), chars(acc["start"], acc["pos"])).otherwise(
+            F.array(F.struct(acc["start"].alias("s"), acc["pos"].alias("e"))).cast(span))
+        return F.when(acc["pos"] > acc["start"], F.concat(acc["out"], one)).otherwise(acc["out"])
+
+    def add(acc: Column, p: Column) -> Column:
+        end = acc["pos"] + p["n"]
+        own = F.array(acc["pos"])
+        other = ~acc["run"].eqNullSafe(p["run"])
+        full = (end - acc["start"] > size) & (acc["pos"] > acc["start"])
+        least = F.greatest(acc["pos"] - overlap, end - size)
+        back = F.filter(F.concat(acc["recent"], own), lambda x: x >= least)
+        fresh = F.struct(end.alias("pos"), acc["pos"].alias("start"), p["run"].alias("run"), own.alias("recent"), closed(acc).alias("out"))
+        moved = F.struct(end.alias("pos"), F.coalesce(F.array_min(back), acc["pos"]).alias("start"), p["run"].alias("run"), back.alias("recent"),
+                         closed(acc).alias("out"))
+        more = F.struct(end.alias("pos"), acc["start"].alias("start"), p["run"].alias("run"),
+                        F.filter(F.concat(acc["recent"], own), lambda x: x >= end - overlap).alias("recent"), acc["out"].alias("out"))
+        return F.when(other, fresh).when(full, moved).otherwise(more)
+    begin = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("start"), F.lit(None).cast("string").alias("run"),
+                     F.array().cast("array<int>").alias("recent"), F.array().cast(span).alias("out"))
+    return F.aggregate(pieces, begin, add, closed)
+
+
+#: white space at either end
+_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def chunk_recursive(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                     text_col: str = "text") -> DataFrame:
-    """Separator-aware chunks (paragraph, line, word, character) via
-    ``mapInPandas``: each document is split where it lies, no shuffle."""
-    keep = [f for f in docs.schema.fields if f.name != text_col]
-    schema = T.StructType(keep + [T.StructField("chunk_no", T.IntegerType()),
-                                  T.StructField("chunk_text", T.StringType())])
-    names = [f.name for f in keep]
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for rec in pdf.itertuples(index=False):
-                rec = rec._asdict()
-                text = rec.get(text_col) or ""
-                for i, c in enumerate(_split_recursive(text, size, overlap)):
-                    rows.append([rec[n] for n in names] + [i, c])
-            yield pd.DataFrame(rows, columns=names + ["chunk_no", "chunk_text"])
-
-    return docs.mapInPandas(run, schema)
+    """Separator-aware chunks of at most ``size`` characters: texts are cut
+    before paragraphs, lines and blanks (and by characters where none is
+    left), the shortest cut that does, and neighbouring pieces are put
+    together again with about ``overlap`` characters of the chunk before.
+
+    Separators stay with the piece that follows them, so chunks are parts of
+    the text, without the white space at their ends; chunks of white space
+    alone, and null or empty texts, give no row.  A fold over the pieces of
+    each text, in array functions: nothing is shuffled, no Python runs."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and less than size")
+    text = F.col(f"`{text_col}`")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    pieces = _pieces(text, size, 0, F.lit(""))
+    spans = _spans(pieces, size, overlap)
+    chunks = F.filter(F.transform(spans, lambda x: F.regexp_replace(F.substr(text, x["s"] + 1, x["e"] - x["s"]), F.lit(_ENDS), F.lit(""))),
+                      lambda c: c != "")
+    return docs.where(F.length(text) > 0).select(*rest, F.posexplode(chunks).alias("chunk_no", "chunk_text"))
 
 
 def dedupe_chunks(chunks: DataFrame, key: str = "account_id",
@@ -158,9 +180,10 @@ def dedupe_chunks(chunks: DataFrame, key: str = "account_id",
 
 
 def add_documents(chunks: DataFrame, new_docs: DataFrame, key: str = "account_id",
-                  order: tuple[str, ...] = ("doc_id", "chunk_no"), **kw) -> DataFrame:
-    """Chunk new documents and append them to a chunk table, without repeats."""
-    new = chunk_fixed(new_docs, **kw)
+                  order: tuple[str, ...] = ("doc_id", "chunk_no"), chunk: Callable[..., DataFrame] | None = None, **kw) -> DataFrame:
+    """Chunk new documents (by separators, or with ``chunk``) and append them
+    to a chunk table, without repeats."""
+    new = (chunk or chunk_recursive)(new_docs, **kw)
     return dedupe_chunks(chunks.unionByName(new, allowMissingColumns=True), key, order)
 
 

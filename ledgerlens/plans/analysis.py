@@ -80,7 +80,7 @@ def run_analysis(spark: SparkSession, raw_ledger: DataFrame, raw_accounts: DataF
     det.detect_anomalies(enriched, accounts, target_month=target_month, threshold=threshold,
                          history=history).write.mode("overwrite").parquet(flags_path)
     flags = spark.read.parquet(flags_path)
-    chunks = dc.chunk_fixed(docs if docs is not None else dc.account_docs(accounts))
+    chunks = dc.chunk_recursive(docs if docs is not None else dc.account_docs(accounts))
     chunks = chunks.withColumn("chunk_id", F.concat_ws(":", "source_file", F.col("chunk_no").cast("string")))
     hist_counts = hi.history_count(history) if history is not None else None
     context = dc.retrieve_context(flags, chunks, history_counts=hist_counts)

@@ -78,10 +78,53 @@ def chunk_docs(spark, sf):
     return dc.chunk_fixed(ad.table(spark, sf, "documents"))
 
 
-@register("chunk_docs_recursive")
+def recursive_chunks_sql(name: str, src: str, id_col: str, size: int = 500, overlap: int = 50) -> str:
+    """CTEs of separator-aware chunks ``{name}(id, chunk_no, chunk_text)`` of
+    ``src`` (ids unique, column ``text``); for WITH RECURSIVE.  Pieces get
+    their places by running sums, each piece is told by ASOF joins where a
+    chunk that begins there ends and where the next one begins, and a walk
+    follows these."""
+    def cut(level: int, sep: str, below: str, rest: str) -> str:
+        return f"""
+{name}_{level} AS (SELECT {rest}, CASE WHEN k = 1 THEN p ELSE {sep} || p END AS p, k AS i{level} FROM (
+  SELECT {rest}, unnest(string_split(p, {sep})) AS p, generate_subscripts(string_split(p, {sep}), 1) AS k FROM ({below})))"""
+    nl = "chr(10)"
+    return f"""
+{name}_0 AS (SELECT {id_col} AS id, text AS p FROM {src} WHERE length(text) > 0),""" + cut(1, f"{nl} || {nl}", f"SELECT * FROM {name}_0", "id") + "," \
+        + cut(2, nl, f"SELECT id, i1, p FROM {name}_1 WHERE length(p) >= {size}", "id, i1") + "," \
+        + cut(3, "' '", f"SELECT id, i1, i2, p FROM {name}_2 WHERE length(p) >= {size}", "id, i1, i2") + f""",
+{name}_atoms AS (
+  SELECT id, i1, 0 AS i2, 0 AS i3, length(p) AS n, 'a' AS run FROM {name}_1 WHERE length(p) BETWEEN 1 AND {size - 1}
+  UNION ALL SELECT id, i1, i2, 0, length(p), 'b' || i1 FROM {name}_2 WHERE length(p) BETWEEN 1 AND {size - 1}
+  UNION ALL SELECT id, i1, i2, i3, length(p), CASE WHEN length(p) < {size} THEN 'c' || i1 || ':' || i2 ELSE 'd' || i1 || ':' || i2 || ':' || i3 END
+  FROM {name}_3 WHERE length(p) > 0),
+{name}_placed AS (SELECT *, sum(n) OVER w - n AS s, sum(n) OVER w AS e, run IS DISTINCT FROM lag(run) OVER w AS fresh
+  FROM {name}_atoms WINDOW w AS (PARTITION BY id ORDER BY i1, i2, i3)),
+{name}_island AS MATERIALIZED (SELECT id, s, e, run[1] = 'd' AS chars, sum(fresh::INT) OVER (PARTITION BY id ORDER BY s) AS island FROM {name}_placed),
+{name}_stop AS (SELECT j.id, j.island, j.s, a.s AS stop, greatest(a.s - {overlap}, a.e - {size}) AS least_
+  FROM {name}_island j ASOF LEFT JOIN {name}_island a ON j.id = a.id AND j.island = a.island AND j.s + {size} < a.e WHERE NOT j.chars),
+{name}_next AS MATERIALIZED (SELECT j.*, b.s AS next FROM {name}_stop j ASOF LEFT JOIN {name}_island b ON j.id = b.id AND j.island = b.island AND j.least_ <= b.s),
+{name}_walk AS (SELECT id, island, min(s) AS s FROM {name}_island WHERE NOT chars GROUP BY ALL
+  UNION ALL SELECT w.id, w.island, x.next FROM {name}_walk w JOIN {name}_next x ON x.id = w.id AND x.island = w.island AND x.s = w.s WHERE x.stop IS NOT NULL),
+{name}_ends AS (SELECT id, island, max(e) AS e FROM {name}_island GROUP BY ALL),
+{name}_spans AS (
+  SELECT w.id, w.s, coalesce(x.stop, z.e) AS e FROM {name}_walk w JOIN {name}_next x ON x.id = w.id AND x.island = w.island AND x.s = w.s
+    JOIN {name}_ends z ON z.id = w.id AND z.island = w.island
+  UNION ALL SELECT id, s + k * {size - overlap}, least(e, s + k * {size - overlap} + {size}) FROM (
+    SELECT id, s, e, unnest(range(0, greatest(1, CAST(ceil((e - s - {overlap}) / {size - overlap}.0) AS BIGINT)))) AS k FROM {name}_island WHERE chars)),
+{name}_texts AS (SELECT c.id, c.s, regexp_replace(substr(d.p, CAST(c.s + 1 AS BIGINT), CAST(c.e - c.s AS BIGINT)),
+    '^[\\s\\pZ\\x{{85}}\\x1c-\\x1f]+|[\\s\\pZ\\x{{85}}\\x1c-\\x1f]+$', '', 'g') AS chunk_text FROM {name}_spans c JOIN {name}_0 d ON c.id = d.id),
+{name} AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS INTEGER) AS chunk_no, chunk_text FROM {name}_texts WHERE chunk_text <> '')"""
+
+
+def recursive(sql: str) -> str:
+    return "WITH RECURSIVE" + sql.strip()[len("WITH"):]
+
+
+@register("chunk_docs_recursive", "WITH RECURSIVE" + recursive_chunks_sql("ch", "documents", "doc_id") + """
+SELECT doc_id, lang, chunk_no, chunk_text FROM ch JOIN documents ON id = doc_id""")
 def chunk_docs_recursive(spark, sf):
-    """Separator-aware chunks of every document (no SQL twin; unit tests
-    check the boundaries)."""
+    """Separator-aware chunks of every document."""
     d = ad.table(spark, sf, "documents").select("doc_id", "lang", "text")
     return dc.chunk_recursive(d)
 
@@ -125,13 +168,13 @@ def dedupe_chunks(spark, sf):
     return d.select("source", "content_hash", F.col("doc_id").alias("doc_id_first"), "copies")
 
 
-@register("add_documents", "WITH c AS (" + CHUNK_SQL + """),
-h AS (SELECT *, sha256(chunk_text) AS content_hash FROM c)
+@register("add_documents", "WITH RECURSIVE" + recursive_chunks_sql("ch", "documents", "doc_id") + """,
+h AS (SELECT lang, sha256(chunk_text) AS content_hash FROM ch JOIN documents ON id = doc_id)
 SELECT lang, content_hash, count(*) AS copies FROM h GROUP BY lang, content_hash""")
 def add_documents(spark, sf):
     """Chunks of the en/fr documents, then the de/es documents added."""
-    docs = ad.table(spark, sf, "documents")
-    base = dc.chunk_fixed(docs.filter(F.col("lang").isin("en", "fr")))
+    docs = ad.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    base = dc.chunk_recursive(docs.filter(F.col("lang").isin("en", "fr")))
     out = dc.add_documents(base, docs.filter(~F.col("lang").isin("en", "fr")), key="lang")
     return out.select("lang", "content_hash", "copies")
 
@@ -197,17 +240,15 @@ def retrieval_queries(spark, sf):
 
 def nation_chunks(spark, sf):
     docs = dc.account_docs(ad.accounts_from_nations(spark, sf))
-    ch = dc.chunk_fixed(docs, size=200, overlap=20)
+    ch = dc.chunk_recursive(docs, size=200, overlap=20)
     return ch.withColumn("chunk_id", F.concat_ws(":", F.col("source_file"), F.col("chunk_no").cast("string")))
 
 
 _QUERY_TEXT = """printf('%s %s changed %.2f%% in %s (%s)', gl_account_id, account_name,
   CAST(round(CAST(variance_percent AS DECIMAL(38,6)), 2) AS DOUBLE), current_month, direction)"""
-_NATION_CHUNKS = ACCOUNT_DOCS_SQL + """,
-ch AS (SELECT account_id, source_file, source_file || ':' || i AS chunk_id, substr(text, CAST(i * 180 + 1 AS BIGINT), 200) AS chunk_text
-  FROM (SELECT *, unnest(range(0, CASE WHEN length(text) <= 200 THEN 1 ELSE CAST(ceil((length(text) - 20) / 180.0) AS BIGINT) END)) AS i
-        FROM docs WHERE length(text) > 0))"""
-RETRIEVE_SQL = o.DETECT_NATION.rstrip() + "," + o.FLAGS + "," + _NATION_CHUNKS + """,
+_NATION_CHUNKS = ACCOUNT_DOCS_SQL + "," + recursive_chunks_sql("rc", "docs", "source_file", 200, 20) + """,
+ch AS (SELECT account_id, source_file, source_file || ':' || chunk_no AS chunk_id, chunk_text FROM rc JOIN docs ON id = source_file)"""
+RETRIEVE_SQL = recursive(o.DETECT_NATION) + "," + o.FLAGS + "," + _NATION_CHUNKS + """,
 qs AS (SELECT strftime(month, '%Y%m') || '-' || gl_account_id AS anomaly_id, gl_account_id, """ + _QUERY_TEXT + """ AS query_text FROM flags),""" \
     + vectors_sql("cv", "ch", "chunk_id", "chunk_text") + "," + vectors_sql("qv", "qs", "anomaly_id", "query_text", corpus="cv") + """,
 near AS (SELECT qs.anomaly_id, ch.chunk_id, ch.chunk_text, ch.source_file, row_number() OVER (PARTITION BY qs.anomaly_id
@@ -273,7 +314,7 @@ def scan_docs(spark, sf):
                         F.regexp_replace("text", r"\n$", "").alias("text"))
 
 
-@register("similar_past_anomalies_text", o.DETECT_NATION.rstrip() + "," + o.FLAGS + "," + _NATION_CHUNKS + """,
+@register("similar_past_anomalies_text", recursive(o.DETECT_NATION) + "," + o.FLAGS + "," + _NATION_CHUNKS + """,
 qs AS (SELECT strftime(month, '%Y%m') || '-' || gl_account_id AS anomaly_id, 'Historical anomaly: ' || """ + _QUERY_TEXT
           + """ AS query_text FROM flags),""" + vectors_sql("cv", "ch", "chunk_id", "chunk_text") + ","
           + vectors_sql("qv", "qs", "anomaly_id", "query_text", corpus="cv") + """
@@ -340,7 +381,7 @@ def embed_with(spark, sf):
     return dc.embed_with(d, "text", letter_counts, dim=16).select("doc_id", "embedding")
 
 
-@register("retrieve_context_model", o.DETECT_NATION.rstrip() + "," + o.FLAGS + "," + _NATION_CHUNKS + """,
+@register("retrieve_context_model", recursive(o.DETECT_NATION) + "," + o.FLAGS + "," + _NATION_CHUNKS + """,
 qs AS (SELECT strftime(month, '%Y%m') || '-' || gl_account_id AS anomaly_id, gl_account_id, """ + _QUERY_TEXT + f""" AS query_text FROM flags),
 near AS (SELECT qs.anomaly_id, ch.chunk_id, ch.source_file, ch.chunk_text, row_number() OVER (PARTITION BY qs.anomaly_id
            ORDER BY round(list_cosine_similarity({_LETTERS.format('query_text')}, {_LETTERS.format('chunk_text')}), 6) DESC, ch.chunk_id) AS rank
