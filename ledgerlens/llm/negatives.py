@@ -115,45 +115,54 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row["vectors"], kind).reshape(n, row["dims"]), np.frombuffer(row["orders"], np.int32).reshape(row["dims"], n)
 
 
+def exact_kind(top: int, dims: int) -> type:
+    """The cheapest number in which sums of ``dims`` products of integers up to ``top`` are exact."""
+    bound = top * top * max(dims, 1)
+    return np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
+
+
 def threshold_search(anchor: np.ndarray, vectors: np.ndarray, orders: np.ndarray, ok: np.ndarray, windows: np.ndarray, k: int,
                      ids: np.ndarray, step: int = 16) -> tuple[list[np.ndarray], list[np.ndarray], int]:
     """For every window (low, high) the first k rows of ``ok`` by (score
     descending, id) with low <= score <= high: their numbers, their scores;
-    and how many rows were scored."""
+    and how many rows were scored.  ``anchor`` and ``vectors`` hold integers
+    in a type in which scores are exact."""
     n = len(vectors)
-    dims = np.flatnonzero(anchor)
-    a = anchor[dims]
-    # lists in the order of falling products with the anchor
-    lists = [orders[d][::-1] if x > 0 else orders[d] for d, x in zip(dims, a, strict=True)]
-    seen, found, scores, depth = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    best_rows: list[np.ndarray] = [found] * len(windows)
-    best_scores: list[np.ndarray] = [scores] * len(windows)
-    if not len(dims):                                        # every score is 0
-        found = np.flatnonzero(ok)
-        scores, depth = np.zeros(len(found), np.int64), n
-        seen[:] = True
+    up, down = np.flatnonzero(anchor > 0), np.flatnonzero(anchor < 0)
+    seen = np.zeros(n, bool)
+    none = np.zeros(0, np.int64)
+    best_rows, best_scores = [none] * len(windows), [none] * len(windows)
+    kth = np.empty(len(windows), np.int64)
+    at = 0
     while True:
-        if depth < n:
-            new = np.unique(np.concatenate([x[depth:depth + step] for x in lists]))
-            new = new[~seen[new]]
-            seen[new] = True
-            found = new[ok[new]].astype(np.int64)
-            scores = vectors[found].astype(np.int64) @ anchor
-            depth, step = min(n, depth + step), step * 2
-        kth = np.empty(len(windows), np.int64)
+        depth = min(n, at + step) if len(up) + len(down) else n
+        # sorted access: each list from the end where its products with the anchor are greatest
+        met = np.zeros(n, bool)
+        if len(up) + len(down):
+            met[orders[up, n - depth:n - at]] = True
+            met[orders[down, at:depth]] = True
+        else:
+            met[:] = True                                     # every score is 0
+        new = np.flatnonzero(met & ~seen)
+        seen |= met
+        # random access: whole scores of the rows met for the first time
+        found = new[ok[new]]
+        scores = (vectors[found] @ anchor).astype(np.int64)
         for w, (low, high) in enumerate(windows):
-            inside = (scores >= low) & (scores <= high)
-            r = np.concatenate([best_rows[w], found[inside]])
-            s = np.concatenate([best_scores[w], scores[inside]])
+            # rows below the k-th found so far can't come before it
+            inside = (scores >= (low if len(best_rows[w]) < k else max(low, kth[w]))) & (scores <= high)
+            r, s = np.concatenate([best_rows[w], found[inside]]), np.concatenate([best_scores[w], scores[inside]])
             if len(r) > k:
                 order = np.lexsort((ids[r], -s))[:k]
                 r, s = r[order], s[order]
             best_rows[w], best_scores[w] = r, s
             kth[w] = -(NONE + 1) if low > high else s.min() if len(r) == k else low     # nothing lies in an empty window
-        if depth >= n or seen.all():
+        at, step = depth, step * 4
+        if at >= n or seen.all():
             break
-        bound = sum(int(x) * int(vectors[order[depth - 1], d]) for d, x, order in zip(dims, a, lists, strict=True))
-        if (bound < kth).all():
+        edge = (vectors[orders[up, n - at], up] * anchor[up]).astype(np.int64).sum() + (
+            vectors[orders[down, at - 1], down] * anchor[down]).astype(np.int64).sum()
+        if (edge < kth).all():
             break
     return best_rows, best_scores, int(seen.sum())
 
@@ -165,6 +174,9 @@ def _search(k: int, same_label: bool):
 
     def pair(row: dict) -> pa.RecordBatch:
         vectors, orders = _unpack(row)
+        top = max(abs(int(vectors.min())), abs(int(vectors.max()))) if vectors.size else 0
+        kind = exact_kind(max([top, *(abs(x) for a in row["anchors"] for x in a["v"])]), row["dims"])
+        vectors = vectors.astype(kind)
         first = row["first"]
         labels = np.array(row["labels"], np.int64)
         missing = np.array([x is None for x in row["ids"]], bool)
@@ -184,7 +196,7 @@ def _search(k: int, same_label: bool):
                     ok[a["row"] - first] = False
             else:
                 ok = ~ok
-            vector = np.zeros(row["dims"], np.int64)
+            vector = np.zeros(row["dims"], kind)
             vector[:len(a["v"])] = a["v"]
             if not ok.any() or not len(windows):
                 continue
