@@ -19,6 +19,7 @@ empty one; other columns do not matter.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +31,23 @@ BINS = 1024
 HASH_BINS = 8192
 
 
-def text_code(c: Column) -> Column:
-    """A text's place in byte order: its first six bytes as a number."""
-    raw = F.hex(F.encode(F.substring(c, 1, 6), "UTF-8"))
-    return F.coalesce(F.conv(F.substring(F.rpad(raw, 12, "0"), 1, 12), 16, 10).cast("double"), F.lit(-1.0))
+#: a table of distinct values is broadcast to the rows up to so many
+BROADCAST_VALUES = 10_000
 
 
 def document_dimensions() -> dict[str, Column]:
-    """Dimensions of the table of documents: id, size (log), language, source."""
-    return {"id": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)), "bytes": F.log2(F.col("size").cast("double") + 1),
-            "lang": text_code(F.col("lang")), "source": text_code(F.col("source"))}
+    """Dimensions of the table of documents that are numbers: id, size (log)."""
+    return {"id": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)), "bytes": F.log2(F.col("size").cast("double") + 1)}
+
+
+def with_rank(rows: DataFrame, col: str) -> DataFrame:
+    """``rows`` with the text column ``col`` replaced by the place of its
+    value among all distinct values in byte order (null first)."""
+    values = running_totals(rows.select(F.col(col).alias("value")).distinct(), [], [F.col("value").asc_nulls_first()],
+                            {"place": F.lit(1)}, "kd_values")
+    near = F.broadcast(values) if values.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES else values
+    return (rows.join(near, F.col(col).eqNullSafe(F.col("value")))
+            .withColumn(col, F.col("place").cast("double")).drop("value", "place"))
 
 
 def _cuts(rows: DataFrame, bins: str, goal: str, before: str) -> DataFrame:
@@ -54,17 +62,24 @@ def _cuts(rows: DataFrame, bins: str, goal: str, before: str) -> DataFrame:
 
 
 def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None,
-              dimensions: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text",
-              overhead: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, shard (0 to n-1), slot (gapless from 0 in its shard)."""
-    dims = dimensions or document_dimensions()
-    names = [f"d{k}" for k in range(len(dims))]
+              dimensions: dict[str, Column] | None = None, text_dimensions: Sequence[str] = ("lang", "source"), id_col: str = "doc_id",
+              text_col: str = "text", overhead: int = 16) -> DataFrame:
+    """doc_id, size, text_crc32, shard (0 to n-1), slot (gapless from 0 in its
+    shard).  Dimensions are numbers (``dimensions``; ``size`` may be used) and
+    text columns (``text_dimensions``), which count by their place among the
+    distinct values."""
+    dims = document_dimensions() if dimensions is None else dimensions
+    names = [f"d{k}" for k in range(len(dims) + len(text_dimensions))]
     sized = docs.withColumn("size", text_bytes(text_col) + overhead)
     crc = F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
     rows = stored(sized.select(
         F.col(id_col).alias("doc_id"), "size", crc.alias("text_crc32"),
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40)).alias("u"),
-        *[c.cast("double").alias(n) for n, c in zip(names, dims.values(), strict=True)]), "kd_rows")
+        *[c.cast("double").alias(n) for n, c in zip(names, dims.values(), strict=False)],
+        *[F.col(c).cast("string").alias(n) for n, c in zip(names[len(dims):], text_dimensions, strict=True)]), "kd_texts")
+    for name in names[len(dims):]:
+        rows = with_rank(rows, name)
+    rows = stored(rows.select("doc_id", "size", "text_crc32", "u", *names), "kd_rows")
     ends = rows.agg(F.sum("size").alias("size"), *[F.min(n).alias(f"lo_{n}") for n in names],
                     *[F.max(n).alias(f"hi_{n}") for n in names]).first()
     if n_shards is None:

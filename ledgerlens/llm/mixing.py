@@ -18,7 +18,8 @@ Defined results: a null text has no words; null is a source of its own, last
 in order; a null or non-positive quality counts as 1e-6, so such documents
 come last; a document without words is never counted against a budget;
 rows that agree in id and text share one key and lie next to each other; an
-empty table gives an empty one; other columns do not matter.
+empty table gives an empty one; other columns, whatever their names, are
+carried along as they are.
 """
 
 from __future__ import annotations
@@ -53,15 +54,6 @@ def label_weights(labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> Da
     return best.select("doc_id", weight.cast("double").alias("weight")).where(F.col("weight").isNotNull())
 
 
-def text_quality(text_col: str) -> Column:
-    """A document's weight in the sample, from its text alone: a quarter if
-    the mean word length is outside 3 to 10 characters, half if it has fewer
-    than 50 words."""
-    words, chars = word_count(text_col), F.length(F.col(text_col))
-    mean = (chars - words) / F.greatest(words, F.lit(1))
-    return F.when(mean.between(3, 10), 1.0).otherwise(0.25) * F.when(words >= 50, 1.0).otherwise(0.5)
-
-
 def source_targets(sizes: DataFrame, cycle: Sequence[float], budget: float, max_epochs: int) -> DataFrame:
     """Of (source, source_size), one row per source: the target and how many
     complete epochs it holds.  Sources in code-point order (null last) get the
@@ -157,25 +149,26 @@ def mix_documents(docs: DataFrame, cycle: Sequence[float] = (5, 2, 1), budget: f
             .agg(F.max(F.struct("key", "doc_id", "tie")).alias("cut")))
     plan = targets.withColumnRenamed("source", "__s").join(
         cuts, F.col("__s").eqNullSafe(F.col("source")), "left").select(
-        F.struct(F.col("__s").alias("source"), "epochs", "cut").alias("__mix"))
+        F.struct(F.col("__s").alias("source"), "epochs", "cut").alias("mix"))
     if weights is not None:
         plan = stored(plan, "mix_cuts")
     few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     near = F.broadcast(plan) if few else plan
-    keyed = docs.withColumn("__key", sampling_key(F.col(id_col), quality, seed)).withColumn("__tie", F.xxhash64(F.col(text_col)))
-    joined = keyed.join(near, F.col(source_col).eqNullSafe(F.col("__mix.source")), "left")
-    again = _within(F.col("__key"), F.col(id_col), F.col("__tie"), "__mix.cut")
+    # the row is carried as one value, so its column names can't clash
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
+                        F.col(source_col).alias("source"), sampling_key(F.col(id_col), quality, seed).alias("key"), F.xxhash64(F.col(text_col)).alias("tie"))
+    joined = keyed.join(near, F.col("source").eqNullSafe(F.col("mix.source")), "left")
+    again = _within(F.col("key"), F.col("id"), F.col("tie"), "mix.cut")
     if weights is not None:
-        listed = ranked.where(F.col("weight").isNotNull()).join(near, F.col("source").eqNullSafe(F.col("__mix.source")), "left")
+        listed = ranked.where(F.col("weight").isNotNull()).join(near, F.col("source").eqNullSafe(F.col("mix.source")), "left")
         plain = sampling_key(F.col("doc_id"), F.col("quality"), seed)
         other = stored(listed.where(
-            _within(plain, F.col("doc_id"), F.col("tie"), "__mix.cut") != _within(F.col("key"), F.col("doc_id"), F.col("tie"), "__mix.cut"))
-            .select(F.struct(F.col("doc_id").alias("id"), "source", "tie").alias("__other")).distinct(), "mix_other")
+            _within(plain, F.col("doc_id"), F.col("tie"), "mix.cut") != _within(F.col("key"), F.col("doc_id"), F.col("tie"), "mix.cut"))
+            .select(F.struct(F.col("doc_id").alias("id"), "source", "tie").alias("other")).distinct(), "mix_other")
         few = other.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         joined = joined.join(F.broadcast(other) if few else other,
-                             (F.col(id_col) == F.col("__other.id")) & (F.col("__tie") == F.col("__other.tie"))
-                             & F.col(source_col).eqNullSafe(F.col("__other.source")), "left")
-        again = again != F.col("__other").isNotNull()
-    copies = F.least(F.col("__mix.epochs") + again.cast("long"), F.lit(max_epochs).cast("long"))
-    return (joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+                             (F.col("id") == F.col("other.id")) & (F.col("tie") == F.col("other.tie"))
+                             & F.col("source").eqNullSafe(F.col("other.source")), "left")
+        again = again != F.col("other").isNotNull()
+    copies = F.least(F.col("mix.epochs") + again.cast("long"), F.lit(max_epochs).cast("long"))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("row.*")

@@ -11,11 +11,12 @@ from .registry import register
 SEED = 17
 
 OP1_SQL = rf"""
-WITH n AS (SELECT doc_id, source, coalesce(length(text), 0) AS chars, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+WITH n AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+marks AS (SELECT doc_id, CASE max(quality) WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 END AS weight FROM labels GROUP BY doc_id),
 d AS (SELECT doc_id, source, size,
        -ln((CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)
-       / (CASE WHEN (chars - size) / greatest(size, 1) BETWEEN 3 AND 10 THEN 1.0 ELSE 0.25 END * CASE WHEN size >= 50 THEN 1.0 ELSE 0.5 END) AS key
-  FROM n),
+       / coalesce(weight, 1.0) AS key
+  FROM n LEFT JOIN marks USING (doc_id)),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight,
        2.0::DOUBLE * source_size AS lim, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
@@ -34,8 +35,9 @@ FROM r JOIN e ON r.source IS NOT DISTINCT FROM e.source
 
 @register("op1_mixing", OP1_SQL)
 def op1_mixing(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return mixing.mix_plan(docs, quality=mixing.text_quality("text"), seed=SEED).select("doc_id", "size", "source_size", "target", "taken")
+    """Documents labelled good weigh 2, poor 0.5, those without a label 1."""
+    weights = mixing.label_weights(table(spark, sf_dir, "labels"))
+    return mixing.mix_plan(table(spark, sf_dir, "documents"), weights=weights, seed=SEED).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @register("op7_kd_shards")

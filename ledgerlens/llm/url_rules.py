@@ -36,9 +36,14 @@ def _host_part(url: Column) -> Column:
     return F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0)
 
 
+def _lower(text: Column | str) -> Column:
+    """A-Z lower-cased, for the hosts of urls and rules alike."""
+    return F.translate(text, _UPPER, _UPPER.lower())
+
+
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to / ? # or the end, A-Z lower-cased."""
-    return F.coalesce(F.translate(_host_part(url), _UPPER, _UPPER.lower()), F.lit(""))
+    return F.coalesce(_lower(_host_part(url)), F.lit(""))
 
 
 def url_path(url: Column) -> Column:
@@ -53,7 +58,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: S
     """``keep`` columns plus host, path, rule (host and path joined; null if
     none fits) and verdict.  ``rules`` has host, path, verdict."""
     known = rules.where(F.col("verdict").isNotNull()).select(
-        F.coalesce(F.lower("host"), F.lit("")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), "verdict")
+        F.coalesce(_lower("host"), F.lit("")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), "verdict")
     known = known.groupBy("r_host", "r_path").agg(F.max("verdict").alias("verdict"))
     known = known.withColumn("r_digest", F.sha2(F.concat("r_host", "r_path"), 256)).withColumn(
         "r_prefix", F.substring("r_digest", 1, hash_chars))
@@ -77,6 +82,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: S
     best = hits.groupBy("host", "path").agg(F.max(F.struct(
         (F.length("r_host") + F.length("r_path")).alias("size"), F.length("r_host").alias("host_size"), "verdict",
         F.concat("r_host", "r_path").alias("rule"))).alias("best"))
-    return rows.join(best, ["host", "path"], "left").select(
+    # rows without a host fit no rule; spread out, they share no key (no host holds a /)
+    alone = F.concat(F.lit("/"), F.pmod(F.xxhash64(*[f"k_{i}" for i in range(len(keep))]), F.lit(1 << 20)).cast("string"))
+    rows = rows.withColumn("at", F.when(F.col("host") != "", F.col("host")).otherwise(alone))
+    best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best")
+    return rows.join(best, (F.col("at") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left").select(
         *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -135,12 +135,66 @@ def test_kd_shards_are_even_and_stop_at_the_target(spark):
     assert kdtree.kd_shards(documents(spark, []), n_shards=4).collect() == []
 
 
+@pytest.mark.parametrize("n", [5, 16])
+def test_kd_cuts_follow_the_widest_dimension(spark, n):
+    """Every node, told by its range of shards, is cut along the dimension
+    that is widest in it, at the weighted median; sources share ten bytes."""
+    rows = [(k * 37 % 1000, words(k, 5 + k * k % 90), ("en", "fr", None)[k % 3], f"https://xy/{k % 23:03d}") for k in range(1500)]
+    size = {i: len(t) + 16 for i, t, *_ in rows}
+    assert len(size) < len(rows)
+    rows = list({r[0]: r for r in rows}.values())
+    size = {i: len(t) + 16 for i, t, *_ in rows}
+    place = {v: k for k, v in enumerate(sorted({s for *_, s in rows}))}
+    langs = {None: 0.0, "en": 1.0, "fr": 2.0}
+    dims = {i: (float(i), math.log2(size[i] + 1), langs[la], float(place[s])) for i, _, la, s in rows}
+    got = {r.doc_id: r.shard for r in kdtree.kd_shards(documents(spark, rows), n_shards=n).collect()}
+    whole = [max(d[a] for d in dims.values()) - min(d[a] for d in dims.values()) for a in range(4)]
+    cut_axes = set()
+
+    def node(first, k):
+        if k == 1:
+            return
+        mine = [i for i in got if first <= got[i] < first + k]
+        width = [(max(dims[i][a] for i in mine) - min(dims[i][a] for i in mine)) / whole[a] for a in range(4)]
+        axis = max(range(4), key=lambda a: (width[a], -a))
+        cut_axes.add(axis)
+        left, right = ([i for i in mine if (got[i] < first + k // 2) == side] for side in (True, False))
+        low, step = min(dims[i][axis] for i in mine), (max(dims[i][axis] for i in mine) - min(dims[i][axis] for i in mine)) / kdtree.BINS
+        assert max(math.floor((dims[i][axis] - low) / step) for i in left) <= min(math.floor((dims[i][axis] - low) / step) for i in right)
+        goal = sum(size[i] for i in mine) * (k // 2) / k
+        assert abs(sum(size[i] for i in left) - goal) <= max(size.values())
+        node(first, k // 2)
+        node(first + k // 2, k - k // 2)
+    node(0, n)
+    assert 3 in cut_axes or n < 16
+
+
+def test_mixing_prefers_good_documents(spark):
+    rows = [(k, words(k, 60), "en", "a") for k in range(600)]
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(0, 600, 3)] + [(None, 1), (9999, 0), (3, None)], "doc_id long, quality int")
+    plan = mixing.mix_plan(documents(spark, rows), budget=0.5, weights=mixing.label_weights(labels)).collect()
+    assert len(plan) == 600
+    kept = {r.doc_id for r in plan if r.copies}
+    good, poor = [k for k in range(0, 600, 6)], [k for k in range(3, 600, 6)]
+    assert sum(k in kept for k in good) > 1.5 * sum(k in kept for k in poor)
+
+
+def test_mixing_carries_columns_of_any_name(spark):
+    names = ["__key", "__tie", "__mix", "__other", "__copy", "row", "key", "tie", "mix", "id"]
+    rows = [(k, words(k, 60), "a", *[100 * k + j for j in range(len(names))]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in names))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    got = mixing.mix_documents(docs, weights=mixing.label_weights(labels)).collect()
+    assert got and set(map(tuple, got)) <= set(rows)
+
+
 def brute_url(url, rules):
     at = (url or "").find("://")
     rest = url[at + 3:] if at >= 0 else ""
     host = re.match(r"[^/?#]*", rest)[0]
     path = re.match(r"[^?#]*", rest[len(host):])[0]
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    rules = [("".join(c.lower() if "A" <= c <= "Z" else c for c in h), p, v) for h, p, v in rules]
     fits = [(len(h + p), len(h), v, h + p) for h, p, v in rules
             if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fits) if fits else (0, 0, "allow", None)
@@ -148,11 +202,11 @@ def brute_url(url, rules):
 
 
 def test_url_rules(spark):
-    rules = [*q_native.RULES, ("a.b.net", "/x", "allow"), ("b.net", "/xyz", "allow"), ("b.net", "/xyz", "block"), ("c.d", "", "block")]
+    rules = [*q_native.RULES, ("a.b.net", "/x", "allow"), ("b.net", "/xyz", "allow"), ("b.net", "/xyz", "block"), ("c.d", "", "block"), ("ÉX.Org", "/q", "block")]
     urls = [None, "", "no scheme", "http://", "http://a.net", "http://a.net/", "http://net/", "http://xnet/", "HTTP://EXAMPLE.NET/en/a?b#c",
             "http://example.net/en", "http://www.example.net/en/", "http://example.com/de/1", "http://Éxample.ORG/fr/", "http://org/fr/x",
             "http://z.a.b.net/xyz/1", "http://a.b.net/x", "http://b.net/xyzz", "x://c.d", "x://c.d?q", "x://e.c.d/#f", "http://a.net:80/",
-            "http://..net/", "http://a.net/://b.org/fr/", "http://example.org/fr/" + "y/" * 3000, "a://b://example.com/de/", "http://a.net/\n/x"] * 2
+            "http://..net/", "http://a.net/://b.org/fr/", "http://example.org/fr/" + "y/" * 3000, "a://b://example.com/de/", "http://a.net/\n/x", "http://ÉX.org/q", "http://éx.org/q"] * 2
     pages = spark.createDataFrame([(k, u, "h", "x", "y") for k, u in enumerate(urls)],
                                   "page_id long, url string, host string, rule string, prefix string").repartition(3)
     known = spark.createDataFrame(rules, "host string, path string, verdict string")
