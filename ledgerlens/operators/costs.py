@@ -173,7 +173,8 @@ def admit_calls(calls: DataFrame, key: str = "caller_id", ts: str = "ts", order_
     an hour without calls that state is empty, so a key's calls are cut at
     such gaps and the stretches go to different tasks; the gaps are found on
     one row per key and hour.  A stretch without a gap is streamed through one
-    task, never collected.
+    task, never collected.  Calls without a key are the calls of one key; a
+    call without a time is not admitted and counts for none.
     """
     tie = order_col or ts
     cols = calls.columns
@@ -190,17 +191,19 @@ def admit_calls(calls: DataFrame, key: str = "caller_id", ts: str = "ts", order_
     out_schema = T.StructType(src.schema.fields + [T.StructField("admitted", T.BooleanType())])
 
     def run(batches):
-        cur_key = object()
-        mins: deque = deque()
-        hours: deque = deque()
+        current, mins, hours = None, deque(), deque()
         for pdf in batches:
-            keys = zip(pdf[key], pdf["_stretch"], strict=True)
-            times = pdf["_us"].to_numpy()
+            # a null key or stretch is told from every other, and equal to itself
+            places = zip(pdf[key], pdf[key].isna(), pdf["_stretch"], pdf["_stretch"].isna(), strict=True)
             out = []
-            for k, t in zip(keys, times):
+            for (k, no_key, stretch, no_stretch), t, no_time in zip(places, pdf["_us"].to_numpy(), pdf["_us"].isna(), strict=True):
+                if no_time:
+                    out.append(False)
+                    continue
                 t = int(t)
-                if k != cur_key:
-                    cur_key, mins, hours = k, deque(), deque()
+                place = (None if no_key else k, no_key, None if no_stretch else stretch)
+                if place != current:
+                    current, mins, hours = place, deque(), deque()
                 while mins and mins[0] < t - minute_us:
                     mins.popleft()
                 while hours and hours[0] < t - hour_us:

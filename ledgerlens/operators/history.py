@@ -81,18 +81,22 @@ def apply_feedback(history: DataFrame, feedback: DataFrame) -> DataFrame:
             .drop("_verdict", "_notes", "_by", "_at", "_has"))
 
 
+def moved_thresholds(history: DataFrame, feedback: DataFrame, factor: float = 1.1) -> DataFrame:
+    """(account_id, threshold, moved_at, anomaly_id): each false positive with
+    ``adjust_threshold`` moves its account's threshold to
+    ``abs(variance_percent) * factor``, which may exceed 100 (no clamp)."""
+    return (latest_feedback(feedback).filter(F.col("adjust_threshold") & ~F.col("is_true_anomaly"))
+            .join(history.select("anomaly_id", "gl_account_id", "variance_percent"), "anomaly_id", "inner")
+            .select(F.col("gl_account_id").alias("account_id"), (F.abs(F.col("variance_percent")) * F.lit(factor)).alias("threshold"),
+                    F.col("feedback_ts").alias("moved_at"), "anomaly_id"))
+
+
 def adjust_thresholds(accounts: DataFrame, history: DataFrame, feedback: DataFrame,
                       factor: float = 1.1) -> DataFrame:
-    """False positives with ``adjust_threshold`` raise the account's
-    threshold to ``abs(variance_percent) * factor``; the latest such feedback
-    per account wins.  The result may exceed 100 (no clamp)."""
-    fp = (latest_feedback(feedback)
-          .filter(F.col("adjust_threshold") & ~F.col("is_true_anomaly"))
-          .join(history.select("anomaly_id", "gl_account_id", "variance_percent"), "anomaly_id", "inner"))
-    new = (fp.groupBy("gl_account_id")
-           .agg(F.max_by(F.abs(F.col("variance_percent")) * F.lit(factor),
-                         F.struct(F.col("feedback_ts"), F.col("anomaly_id"))).alias("_new_thr"))
-           .withColumnRenamed("gl_account_id", "account_id"))
+    """Accounts with the thresholds that feedback moves; the latest such
+    feedback per account wins."""
+    new = moved_thresholds(history, feedback, factor).groupBy("account_id").agg(
+        F.max_by("threshold", F.struct("moved_at", "anomaly_id")).alias("_new_thr"))
     return (accounts.join(new, "account_id", "left")
             .withColumn("variance_threshold_pct", F.coalesce("_new_thr", "variance_threshold_pct"))
             .drop("_new_thr"))

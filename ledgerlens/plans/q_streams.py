@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..streaming import ordered as so
 from ..streaming import streams as sm
 from . import adapters as ad
 from . import oracle as o
@@ -80,8 +81,8 @@ def _limiter_sql():
     return "WITH RECURSIVE" + limiter_sql(2, 4)[len("WITH"):]
 
 
-@register("stream_admit_calls", _limiter_sql())
-def stream_admit_calls(spark, sf):
+@register("stream_admit_calls_by_week", _limiter_sql())
+def stream_admit_calls_by_week(spark, sf):
     """The limiter replay as a stateful stream over the call log, landed in
     several files a week and run week by week; same result as the batch
     replay and its recursive SQL twin."""
@@ -95,3 +96,42 @@ def stream_admit_calls(spark, sf):
                             scratch_path(spark, "stream_admit"), scratch_path(spark, "ckpt_admit"))
     return spark.read.parquet(out).select(F.col("key").alias("agent"), F.col("ts").cast("timestamp_ntz").alias("ts"),
                                           "admitted")
+
+
+def _shuffled_calls(spark, sf, batches: int = 3) -> str:
+    """The call log landed as folders, each with calls of all times, and a
+    last one whose only call, of no agent, lets event time pass all others."""
+    calls = ad.call_log_from_events(spark, sf).select("ts", "agent").withColumn("n", F.pmod(F.xxhash64("ts", "agent"), F.lit(batches)))
+    path = scratch_path(spark, "calls_shuffled")
+    calls.write.partitionBy("n").parquet(path)
+    calls.agg((F.max("ts") + F.expr("interval 400 days")).alias("ts")).select(
+        "ts", F.lit(None).cast("string").alias("agent"), F.lit(batches).alias("n")).write.mode("append").partitionBy("n").parquet(path)
+    return path
+
+
+def _run_in_order(spark, path, build, name, batches: int = 3):
+    """One run of the stream after each folder has landed."""
+    schema = spark.read.parquet(path).drop("n").schema
+    inbox, out, checkpoint = (scratch_path(spark, f"{name}_{x}") for x in ("inbox", "out", "ckpt"))
+    with so.rocksdb_state(spark):
+        for k in range(batches + 1):
+            spark.read.schema(schema).parquet(f"{path}/n={k}").write.parquet(f"{inbox}/n={k}")
+            sm.write_stream(build(spark.readStream.schema(schema).parquet(f"{inbox}/n=*")), out, checkpoint)
+    return spark.read.parquet(out).where(F.col("key").isNotNull()).withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumnRenamed("key", "agent")
+
+
+@register("stream_admit_calls", _limiter_sql())
+def stream_admit_calls(spark, sf):
+    """The limiter over calls that arrive in any order, held in state until
+    event time has passed them; same result as the batch replay."""
+    return _run_in_order(spark, _shuffled_calls(spark, sf), lambda src: so.admit_calls_in_order(
+        src, per_minute=2, per_hour=4, lateness="399 days"), "admit")
+
+
+@register("stream_call_rate_stats", o.with_(o.CALL_LOG) + """
+SELECT agent, ts, count(*) OVER (PARTITION BY agent ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS calls_last_minute,
+       count(*) OVER (PARTITION BY agent ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS calls_last_hour
+FROM call_log""")
+def stream_call_rate_stats(spark, sf):
+    """The exact trailing counts at each call, from the same stream."""
+    return _run_in_order(spark, _shuffled_calls(spark, sf), lambda src: so.call_rates_in_order(src, lateness="399 days"), "rates")

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..operators import balances as bal
 from ..operators import detect as det
+from ..operators import history as hi
 from ..operators import validate as va
+from ..schemas import MONEY_SUM
 
 LEDGER_COLS = ["transaction_id", "gl_account_id", "transaction_date", "amount", "description",
                "department", "vendor", "source_file"]
@@ -129,6 +131,113 @@ def append_ledger(spark: SparkSession, batch: DataFrame, path: str, id_scope: st
     write_by(new, "month", path)
 
 
+# --------------------------------------------------------------------------
+# A ledger by batches: appends and balance changes that follow the batch
+# --------------------------------------------------------------------------
+
+
+def _overwrite_parts(df: DataFrame, path: str, *parts: str) -> None:
+    (df.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
+
+
+def append_batch(spark: SparkSession, rows: DataFrame, path: str, batch: int) -> None:
+    """Store the rows of one batch in a ledger partitioned by batch and month.
+    The rows must be new already (ids deduplicated, see
+    ``streams.dedupe_in_state``), so nothing stored is read; a batch that is
+    written again replaces itself."""
+    new = rows.select(*[c for c in LEDGER_COLS if c in rows.columns], bal.month_start("transaction_date").alias("month"))
+    _overwrite_parts(new.withColumn("batch", F.lit(batch).cast("long")), path, "batch", "month")
+
+
+def store_deltas(spark: SparkSession, ledger_path: str, path: str, batch: int) -> list[str]:
+    """What one stored batch changes in the monthly balances, as rows
+    (account, month, amount, count) of a table of changes: only that batch of
+    the ledger is read.  A batch stored again replaces its changes.  Returns
+    the months that it touches."""
+    rows = spark.read.parquet(ledger_path).where(F.col("batch") == batch)
+    changes = rows.groupBy("gl_account_id", "month").agg(F.sum("amount").cast(MONEY_SUM).alias("amount"), F.count(F.lit(1)).alias("n"))
+    _overwrite_parts(changes.withColumn("batch", F.lit(batch).cast("long")).withColumn("folded", F.lit(False)), path, "folded", "batch")
+    made = spark.read.parquet(path).where(~F.col("folded") & (F.col("batch") == batch))
+    # bounded by the calendar
+    return sorted(r["m"] for r in made.select(F.date_format("month", "yyyy-MM").alias("m")).distinct().collect())
+
+
+def reverse_deltas(spark: SparkSession, rows: DataFrame, path: str, batch: int) -> None:
+    """Take rows back out of the balances (withdrawn or corrected ones): the
+    same changes with the opposite sign, under a batch number of their own."""
+    changes = rows.groupBy("gl_account_id", bal.month_start("transaction_date").alias("month")).agg(
+        (-F.sum("amount")).cast(MONEY_SUM).alias("amount"), (-F.count(F.lit(1))).alias("n"))
+    _overwrite_parts(changes.withColumn("batch", F.lit(batch).cast("long")).withColumn("folded", F.lit(False)), path, "folded", "batch")
+
+
+def _open_deltas(spark: SparkSession, path: str) -> DataFrame:
+    """The last fold and the changes of later batches."""
+    rows = spark.read.parquet(path)
+    last = rows.where("folded").agg(F.max("batch")).first()[0]
+    if last is None:
+        return rows.where(~F.col("folded"))
+    return rows.where((F.col("folded") & (F.col("batch") == last)) | (~F.col("folded") & (F.col("batch") > last)))
+
+
+def balances_from_deltas(spark: SparkSession, path: str) -> DataFrame:
+    """The monthly balances: all changes since the last fold added up.  An
+    account-month whose rows were all taken back is gone."""
+    sums = _open_deltas(spark, path).groupBy("gl_account_id", "month").agg(
+        F.sum("amount").cast(MONEY_SUM).alias("net_balance"), F.sum("n").alias("transaction_count"))
+    return sums.where(F.col("transaction_count") > 0)
+
+
+def fold_deltas(spark: SparkSession, path: str, upto: int) -> None:
+    """Put the changes of all batches up to ``upto`` into one fold, so that
+    reads do not grow with the number of batches."""
+    rows = _open_deltas(spark, path).where(F.col("batch") <= upto)
+    whole = rows.groupBy("gl_account_id", "month").agg(F.sum("amount").cast(MONEY_SUM).alias("amount"), F.sum("n").alias("n"))
+    _overwrite_parts(whole.withColumn("batch", F.lit(upto).cast("long")).withColumn("folded", F.lit(True)), path, "folded", "batch")
+
+
+# --------------------------------------------------------------------------
+# Stored feedback
+# --------------------------------------------------------------------------
+
+
+def store_feedback(spark: SparkSession, feedback: DataFrame, base: str) -> None:
+    """Store verdicts on anomalies (``base``/feedback) and the thresholds that
+    they move (``base``/thresholds): a false positive with
+    ``adjust_threshold`` raises its account's threshold.  Verdicts are kept as
+    given, and reads take the latest of each anomaly, so storing the same
+    feedback again changes nothing."""
+    feedback.write.mode("append").parquet(f"{base}/feedback")
+    moved = hi.moved_thresholds(spark.read.parquet(f"{base}/investigations"), feedback)
+    moved.write.mode("append").parquet(f"{base}/thresholds")
+
+
+def judged_investigations(spark: SparkSession, base: str) -> DataFrame:
+    """The stored investigations with the latest verdict on each."""
+    inv = spark.read.parquet(f"{base}/investigations")
+    if not table_exists(spark, f"{base}/feedback"):
+        return inv
+    return hi.apply_feedback(inv, spark.read.parquet(f"{base}/feedback"))
+
+
+def adjusted_accounts(spark: SparkSession, base: str, survive_reload: bool = True) -> DataFrame:
+    """The stored account master with the thresholds that feedback has moved.
+    A later load of the master leaves them in force; with
+    ``survive_reload=False`` it sets them back, as a plain update would."""
+    rows = spark.read.parquet(f"{base}/accounts")
+    accounts = current_accounts(spark, f"{base}/accounts")
+    if not table_exists(spark, f"{base}/thresholds"):
+        return accounts
+    moved = spark.read.parquet(f"{base}/thresholds").groupBy("account_id").agg(
+        F.max_by(F.struct("threshold", "moved_at"), F.struct("moved_at", "anomaly_id")).alias("last"))
+    loaded = rows.groupBy("account_id").agg(F.max("seq").alias("seq"))
+    both = accounts.join(loaded, "account_id").join(moved, "account_id", "left")
+    holds = F.col("last").isNotNull()
+    if not survive_reload:
+        holds = holds & (F.unix_micros(F.col("last.moved_at").cast("timestamp")) > F.col("seq"))
+    return both.withColumn("variance_threshold_pct", F.when(holds, F.col("last.threshold")).otherwise(F.col("variance_threshold_pct"))).select(
+        *accounts.columns)
+
+
 def upsert_accounts(master: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
     """Replace by account id: a batch row beats the stored one, the last
     batch row (by ``order_col``, a number; null first) beats earlier ones."""
