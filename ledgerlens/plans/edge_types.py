@@ -5,9 +5,11 @@ the map is complete): exact decimals become doubles, dates become ISO
 
 DECIMAL_RESULT_COLUMNS = {
     'account_threshold_detect': ['current_balance', 'previous_balance', 'variance_amount'],
+    'accounts_after_reload': ['typical_min', 'typical_max'],
     'adjust_thresholds': ['typical_min', 'typical_max'],
     'append_ledger': ['amount'],
     'apply_feedback': ['variance_amount'],
+    'balances_from_deltas': ['net_balance'],
     'category_variance': ['net_balance', 'prev_balance', 'variance_amount'],
     'check_balance_domain': ['net_balance'],
     'detect_anomalies': ['current_balance', 'previous_balance', 'variance_amount'],
@@ -42,9 +44,11 @@ DECIMAL_RESULT_COLUMNS = {
     'seasonal_break': ['net_balance', 'year_ago_balance', 'yoy_amount'],
     'sink_ledger_csv': ['amount'],
     'sort_ledger': ['amount'],
+    'store_feedback': ['variance_amount'],
     'store_investigations': ['variance_amount'],
     'stream_dedupe': ['amount'],
     'stream_ledger': ['current_balance', 'previous_balance', 'variance_amount'],
+    'stream_ledger_files': ['amount'],
     'stream_monthly_balances': ['net_balance'],
     'table_read': ['net_balance'],
     'upsert_accounts': ['typical_min', 'typical_max'],
@@ -57,9 +61,11 @@ DATE_RESULT_COLUMNS = {
     'append_ledger': ['transaction_date'],
     'apply_feedback': ['detected_month'],
     'approval_route': ['month'],
+    'balances_from_deltas': ['month'],
     'category_variance': ['month'],
     'check_balance_domain': ['month'],
     'check_flag_domain': ['month'],
+    'detect_after_reload': ['month'],
     'detect_anomalies': ['month'],
     'detect_anomalies_hot_account': ['month'],
     'detect_anomalies_lineitem': ['month'],
@@ -95,9 +101,11 @@ DATE_RESULT_COLUMNS = {
     'seasonal_break': ['month'],
     'sink_ledger_csv': ['transaction_date'],
     'sort_ledger': ['transaction_date'],
+    'store_feedback': ['detected_month'],
     'store_investigations': ['detected_month'],
     'stream_dedupe': ['transaction_date'],
     'stream_ledger': ['month'],
+    'stream_ledger_files': ['transaction_date'],
     'stream_monthly_balances': ['month'],
     'table_read': ['month'],
     'top_medium': ['month'],

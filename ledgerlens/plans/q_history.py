@@ -8,6 +8,7 @@ from ..operators import detect as det
 from ..operators import history as hi
 from . import adapters as ad
 from . import oracle as o
+from . import store as st
 from .catalog import register
 from .q_core import nation_enriched, nation_flags
 
@@ -119,7 +120,7 @@ def adjust_thresholds(spark, sf):
     return hi.adjust_thresholds(ad.accounts_from_nations(spark, sf), inv, feedback_for(inv))
 
 
-@register("account_threshold_after_feedback", BASE + """,
+_AFTER_FEEDBACK = BASE + """,
 fp AS (
   SELECT i.gl_account_id, abs(i.variance_percent) * 1.1 AS thr, f.feedback_ts, f.anomaly_id
   FROM fb f JOIN inv i ON f.anomaly_id = i.anomaly_id
@@ -132,7 +133,10 @@ acc2 AS (SELECT a.account_id, a.account_name, a.typical_min, a.typical_max,
 SELECT e.gl_account_id, e.month, e.variance_percent,
        coalesce(a.variance_threshold_pct, 15.0) AS threshold_used
 FROM enriched e JOIN acc2 a ON e.gl_account_id = a.account_id
-WHERE e.variance_percent IS NOT NULL AND abs(e.variance_percent) >= coalesce(a.variance_threshold_pct, 15.0)""")
+WHERE e.variance_percent IS NOT NULL AND abs(e.variance_percent) >= coalesce(a.variance_threshold_pct, 15.0)"""
+
+
+@register("account_threshold_after_feedback", _AFTER_FEEDBACK)
 def account_threshold_after_feedback(spark, sf):
     """Detection with each account's own threshold after feedback moved it."""
     inv = investigations(spark, sf)
@@ -141,3 +145,45 @@ def account_threshold_after_feedback(spark, sf):
     return flags.join(acc.select(F.col("account_id").alias("gl_account_id"),
                                  F.coalesce("variance_threshold_pct", F.lit(15.0)).alias("threshold_used")),
                       "gl_account_id").select("gl_account_id", "month", "variance_percent", "threshold_used")
+
+
+def _stored_feedback(spark, sf):
+    """Investigations, master and feedback stored (the feedback twice), then
+    the master loaded again."""
+    from ..session import scratch_path
+    base = scratch_path(spark, "feedback")
+    inv, accounts = investigations(spark, sf), ad.accounts_from_nations(spark, sf)
+    st.store_investigations(spark, inv, f"{base}/investigations")
+    st.store_accounts(accounts, f"{base}/accounts", seq=1)
+    fb = feedback_for(inv)
+    for _ in range(2):
+        st.store_feedback(spark, fb, base)
+    st.store_accounts(accounts, f"{base}/accounts", seq=1 << 60)
+    return base
+
+
+@register("store_feedback", BASE + """
+SELECT i.anomaly_id, i.gl_account_id, i.detected_month, i.variance_percent, i.variance_amount, i.severity,
+       i.run_id, i.root_cause, i.llm_explanation, i.llm_confidence,
+       f.is_true_anomaly, coalesce(nullif(f.correct_explanation, ''), f.resolution_notes) AS investigation_notes,
+       f.resolved_by, f.feedback_ts AS resolved_at
+FROM inv i LEFT JOIN fb f ON i.anomaly_id = f.anomaly_id""")
+def store_feedback(spark, sf):
+    """Verdicts stored, and read back with the investigations they judge."""
+    return st.judged_investigations(spark, _stored_feedback(spark, sf))
+
+
+@register("detect_after_reload", _AFTER_FEEDBACK)
+def detect_after_reload(spark, sf):
+    """Detection with the stored thresholds, which outlive the master's reload."""
+    acc = st.adjusted_accounts(spark, _stored_feedback(spark, sf))
+    flags = det.detect_anomalies(nation_enriched(spark, sf), acc, threshold_source="account")
+    return flags.join(acc.select(F.col("account_id").alias("gl_account_id"),
+                                 F.coalesce("variance_threshold_pct", F.lit(15.0)).alias("threshold_used")),
+                      "gl_account_id").select("gl_account_id", "month", "variance_percent", "threshold_used")
+
+
+@register("accounts_after_reload", o.with_(o.SQL_ACCOUNTS_NATION) + "SELECT * FROM accounts")
+def accounts_after_reload(spark, sf):
+    """The master where a reload sets thresholds back."""
+    return st.adjusted_accounts(spark, _stored_feedback(spark, sf), survive_reload=False)

@@ -306,7 +306,7 @@ _LAYOUTS = {
 }
 
 
-def _land_mixed(spark, sf, out):
+def land_mixed(spark, sf, out):
     """The ledger as CSV files of four layouts; of every 97th transaction the
     last field is missing, of every 89th there is a field too many."""
     led = ad.ledger_by_nation(spark, sf).select(
@@ -338,7 +338,7 @@ FROM (SELECT DISTINCT month(transaction_date) % 4 AS k FROM ledger UNION ALL SEL
 def header_report(spark, sf):
     """What the headers of a landing folder lack and have in excess, by layout."""
     out = scratch_path(spark, "landing_headers")
-    _land_mixed(spark, sf, out)
+    land_mixed(spark, sf, out)
     ad.ledger_by_nation(spark, sf).select("transaction_id", "gl_account_id", "description", F.col("amount").alias("total")).write.option(
         "header", True).csv(f"{out}/layout=9")
     files = fs.header_report(spark, f"{out}/*/*")
@@ -357,14 +357,14 @@ def scan_mixed_headers(spark, sf):
     """A landing folder of files with other column orders, missing and surplus
     columns and broken lines: the good rows, found by name."""
     out = scratch_path(spark, "landing_mixed")
-    _land_mixed(spark, sf, out)
+    land_mixed(spark, sf, out)
     raw = fs.scan_ledger(spark, f"{out}/*/*")
     return raw.where("bad_line IS NULL").select("transaction_id", "gl_account_id", "date", "amount", "description",
                                                  F.nullif("department", F.lit("")).alias("department"), F.nullif("vendor", F.lit("")).alias("vendor"))
 
 
 def _line_sql():
-    """The lines of :func:`_land_mixed` that do not fit their header."""
+    """The lines of :func:`land_mixed` that do not fit their header."""
     col = {c: f"coalesce({c}, '')" for c in ("department", "vendor", "transaction_id", "gl_account_id")} | {
         "date": "CAST(transaction_date AS VARCHAR)", "amount": "CAST(amount AS VARCHAR)", "description": "'a \"b\", ' || coalesce(description, '')",
         "cost_center": "'c1'"}
@@ -381,7 +381,7 @@ def scan_bad_lines(spark, sf):
     """The lines of the same folder that have too few or too many fields, as
     quarantine mode stores them."""
     out = scratch_path(spark, "landing_bad")
-    _land_mixed(spark, sf, out)
+    land_mixed(spark, sf, out)
     path = scratch_path(spark, "landing_quarantine")
     st.store_classified(fs.scan_ledger(spark, f"{out}/*/*"), path, "batch")
     return st.stored_rows(spark, path, "bad").where(F.array_contains("broken_rules", "malformed_line")).select("bad_line")

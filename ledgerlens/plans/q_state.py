@@ -116,6 +116,24 @@ def late_rows(spark, sf):
     return st.late_rows(lall, spark.read.parquet(path))
 
 
+@register("balances_from_deltas", o.with_(o.SQL_LEDGER_NATION) + """
+SELECT gl_account_id, CAST(date_trunc('month', transaction_date) AS DATE) AS month, CAST(sum(amount) AS DECIMAL(38,2)) AS net_balance,
+       count(*) AS transaction_count
+FROM ledger WHERE CAST(transaction_id AS BIGINT) % 7 <> 0 GROUP BY ALL""")
+def balances_from_deltas(spark, sf):
+    """Balances added up from the changes of four batches, one of them
+    stored twice, with every seventh transaction taken back and a fold between."""
+    led, path, changes = _ledger(spark, sf), scratch_path(spark, "ledger_batches"), scratch_path(spark, "balance_changes")
+    key = F.col("transaction_id").cast("long")
+    for batch in (0, 1, 1, 2, 3):
+        st.append_batch(spark, led.where(key % 4 == batch), path, batch)
+        st.store_deltas(spark, path, changes, batch)
+        if batch == 2:
+            st.fold_deltas(spark, changes, upto=1)
+    st.reverse_deltas(spark, led.where(key % 7 == 0), changes, batch=4)
+    return st.balances_from_deltas(spark, changes)
+
+
 RUNS_SQL = o.DETECT_NATION.rstrip() + "," + o.FLAGS + "," + o.CALL_LOG + "," + PRICED + """,
 runs AS (
   SELECT 'monthly' AS analysis_period, current_month AS target_month,

@@ -9,25 +9,26 @@ from ..streaming import ordered as so
 from ..streaming import streams as sm
 from . import adapters as ad
 from . import oracle as o
+from . import store as st
 from .catalog import register
+from .q_ingest import land_mixed
 
 
 def _landing(spark, sf, files: int = 3, twice: bool = False) -> str:
-    """The dense ledger landed as several files, each with rows of all dates
-    (so every file but the first brings late rows and corrects months that
-    were flagged already); with ``twice`` each file arrives once more."""
+    """The dense ledger landed in several folders, each with rows of all
+    dates (so every one but the first brings late rows and corrects months
+    that were flagged already); with ``twice`` each lands once more."""
     path = scratch_path(spark, "landing")
-    led = ad.ledger_by_nation(spark, sf).withColumn("_file", F.pmod(F.xxhash64("transaction_id"), F.lit(files)))
-    for k in range(files):
-        part = led.where(F.col("_file") == k).drop("_file").coalesce(1)
-        for _ in range(2 if twice else 1):
-            part.write.mode("append").parquet(path)
+    led = ad.ledger_by_nation(spark, sf).withColumn("land", F.pmod(F.xxhash64("transaction_id"), F.lit(files)))
+    led.write.partitionBy("land").parquet(path)
+    if twice:
+        led.withColumn("land", F.col("land") + files).write.mode("append").partitionBy("land").parquet(path)
     return path
 
 
 def _stream(spark, path):
-    """One file per micro-batch."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """A few files per micro-batch."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(path).drop("land")
 
 
 @register("stream_monthly_balances", o.with_(o.SQL_LEDGER_NATION, o.BALANCES) + "SELECT * FROM balances")
@@ -42,9 +43,27 @@ def stream_monthly_balances(spark, sf):
 
 @register("stream_dedupe", o.with_(o.SQL_LEDGER_NATION) + "SELECT * FROM ledger")
 def stream_dedupe(spark, sf):
+    """Every row landed twice, each id kept once by state."""
     src = _stream(spark, _landing(spark, sf, twice=True))
-    out = sm.dedupe_stream(spark, src, scratch_path(spark, "stream_dedupe"), scratch_path(spark, "ckpt_dedupe"))
-    return spark.read.parquet(out).drop("month")
+    with so.rocksdb_state(spark):
+        out = sm.write_stream(sm.dedupe_in_state(src), scratch_path(spark, "stream_dedupe"), scratch_path(spark, "ckpt_dedupe"))
+    return spark.read.parquet(out)
+
+
+@register("stream_ledger_files", o.with_(o.SQL_LEDGER_NATION) + f"""
+SELECT transaction_id, gl_account_id, transaction_date, amount, 'good' AS status FROM ledger
+WHERE CAST(transaction_id AS BIGINT) % 97 <> 0 AND CAST(transaction_id AS BIGINT) % 89 <> 0
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'bad' FROM ledger WHERE CAST(transaction_id AS BIGINT) % 97 = 0 OR CAST(transaction_id AS BIGINT) % 89 = 0""")
+def stream_ledger_files(spark, sf):
+    """CSV files of four layouts and with broken lines, streamed: the ledger
+    of good rows, and one row for each bad line that was stored."""
+    folder, base = scratch_path(spark, "csv_landing"), scratch_path(spark, "csv_stream")
+    land_mixed(spark, sf, folder)
+    sm.stream_ledger_files(spark, folder, base, scratch_path(spark, "ckpt_csv"), pattern="part-*", files_per_batch=20)
+    good = spark.read.parquet(f"{base}/ledger").select("transaction_id", "gl_account_id", "transaction_date", "amount", F.lit("good").alias("status"))
+    bad = st.stored_rows(spark, f"{base}/ingest/ledger", "bad").select(
+        *[F.lit(None).cast(good.schema[c].dataType).alias(c) for c in good.columns[:-1]], F.lit("bad").alias("status"))
+    return good.unionByName(bad)
 
 
 @register("stream_call_rates", o.with_(o.CALL_LOG) + """,

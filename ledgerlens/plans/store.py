@@ -156,8 +156,8 @@ def store_deltas(spark: SparkSession, ledger_path: str, path: str, batch: int) -
     the months that it touches."""
     rows = spark.read.parquet(ledger_path).where(F.col("batch") == batch)
     changes = rows.groupBy("gl_account_id", "month").agg(F.sum("amount").cast(MONEY_SUM).alias("amount"), F.count(F.lit(1)).alias("n"))
-    _overwrite_parts(changes.withColumn("batch", F.lit(batch).cast("long")).withColumn("folded", F.lit(False)), path, "folded", "batch")
-    made = spark.read.parquet(path).where(~F.col("folded") & (F.col("batch") == batch))
+    _overwrite_parts(changes.withColumn("batch", F.lit(batch).cast("long")).withColumn("folded", F.lit(0)), path, "folded", "batch")
+    made = spark.read.parquet(path).where((F.col("folded") == 0) & (F.col("batch") == batch))
     # bounded by the calendar
     return sorted(r["m"] for r in made.select(F.date_format("month", "yyyy-MM").alias("m")).distinct().collect())
 
@@ -167,16 +167,16 @@ def reverse_deltas(spark: SparkSession, rows: DataFrame, path: str, batch: int)
     same changes with the opposite sign, under a batch number of their own."""
     changes = rows.groupBy("gl_account_id", bal.month_start("transaction_date").alias("month")).agg(
         (-F.sum("amount")).cast(MONEY_SUM).alias("amount"), (-F.count(F.lit(1))).alias("n"))
-    _overwrite_parts(changes.withColumn("batch", F.lit(batch).cast("long")).withColumn("folded", F.lit(False)), path, "folded", "batch")
+    _overwrite_parts(changes.withColumn("batch", F.lit(batch).cast("long")).withColumn("folded", F.lit(0)), path, "folded", "batch")
 
 
 def _open_deltas(spark: SparkSession, path: str) -> DataFrame:
     """The last fold and the changes of later batches."""
     rows = spark.read.parquet(path)
-    last = rows.where("folded").agg(F.max("batch")).first()[0]
+    last = rows.where("folded = 1").agg(F.max("batch")).first()[0]
     if last is None:
-        return rows.where(~F.col("folded"))
-    return rows.where((F.col("folded") & (F.col("batch") == last)) | (~F.col("folded") & (F.col("batch") > last)))
+        return rows.where((F.col("folded") == 0))
+    return rows.where(((F.col("folded") == 1) & (F.col("batch") == last)) | ((F.col("folded") == 0) & (F.col("batch") > last)))
 
 
 def balances_from_deltas(spark: SparkSession, path: str) -> DataFrame:
@@ -192,7 +192,7 @@ def fold_deltas(spark: SparkSession, path: str, upto: int) -> None:
     reads do not grow with the number of batches."""
     rows = _open_deltas(spark, path).where(F.col("batch") <= upto)
     whole = rows.groupBy("gl_account_id", "month").agg(F.sum("amount").cast(MONEY_SUM).alias("amount"), F.sum("n").alias("n"))
-    _overwrite_parts(whole.withColumn("batch", F.lit(upto).cast("long")).withColumn("folded", F.lit(True)), path, "folded", "batch")
+    _overwrite_parts(whole.withColumn("batch", F.lit(upto).cast("long")).withColumn("folded", F.lit(1)), path, "folded", "batch")
 
 
 # --------------------------------------------------------------------------

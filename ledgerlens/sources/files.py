@@ -50,7 +50,7 @@ def header_report(spark: SparkSession, paths: str | list[str], kind: str = "ledg
         F.array_sort(F.array_except(names, F.array(*[F.lit(c) for c in known]))).alias("surplus"))
 
 
-def _file(path: str) -> str:
+def listed_file(path: str) -> str:
     """A listed file as a path to read: decoded, and not taken for a pattern."""
     return "".join("\\" + c if c in "*?[]{}\\" else c for c in unquote(path))
 
@@ -79,7 +79,7 @@ def _by_name(spark: SparkSession, kind: str, paths, multi_line: bool, header: Se
                 .orderBy("files").limit(MAX_HEADERS + 1).collect())
         if len(rows) > MAX_HEADERS:
             raise ValueError(f"more than {MAX_HEADERS} different headers in {paths}")
-        groups = [(_names(r.header), [_file(f) for f in r.files] if len(rows) > 1 else paths) for r in rows]
+        groups = [(_names(r.header), [listed_file(f) for f in r.files] if len(rows) > 1 else paths) for r in rows]
     parts = []
     for names, files in groups:
         lacking = missing_columns(names, kind)

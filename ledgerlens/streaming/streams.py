@@ -3,13 +3,17 @@
 The exact forms give the same tables however the input is cut into
 micro-batches, also with files out of date order; no row is dropped as late:
 
-* ``stream_ledger``: each micro-batch runs append (first write wins) -> month
-  refresh -> detection in ``foreachBatch`` (the variance needs the global
-  month list, so it is computed on the stored table, not in streaming state).
+* ``stream_ledger``: each micro-batch runs dedupe -> append -> balance changes
+  -> detection in ``foreachBatch`` (the variance needs the global month list,
+  so it is computed on the stored balances, not in streaming state).
+* ``stream_ledger_files``: CSV files by their own headers, good and bad rows
+  stored apart.
 * ``monthly_balances_stream``: the roll-up as a stateful aggregate; its state
   is the balance table itself (accounts x months), so nothing needs to expire.
-* ``dedupe_stream``: insert-or-ignore against the stored ids.
-* ``call_rate_windows``: sliding one-minute call counts.
+* ``dedupe_in_state``: each id once, by state; ``dedupe_stream``:
+  insert-or-ignore against a stored ledger that other jobs write as well.
+* ``call_rate_windows``: sliding one-minute call counts; the exact counts and
+  the limiter in event-time order are in ``ordered``.
 
 ``*_within_lateness`` forms bound their state with a watermark and therefore
 ignore rows that are later than that.
@@ -27,6 +31,8 @@ from ..operators import balances as bal
 from ..operators import detect as det
 from ..plans import store as st
 from ..schemas import MONEY_SUM, ROLLING_AVG_MONTHS, ROLLING_STD_MONTHS
+from ..sources import files as fs
+from .ordered import rocksdb_state
 
 
 def run_available(query_writer, checkpoint: str):
@@ -56,6 +62,18 @@ def dedupe_stream(spark: SparkSession, ledger_stream: DataFrame, path: str, chec
     return path
 
 
+def dedupe_in_state(ledger_stream: DataFrame) -> DataFrame:
+    """Each transaction id once, whenever its repeats arrive: the ids seen are
+    streaming state without a watermark, so none is forgotten.  A micro-batch
+    looks up its own ids only; the stored ledger is not read.  Of repeats
+    within one micro-batch any one stays.  Rows without an id, account, date
+    or amount are left out.  Start it within ``ordered.rocksdb_state``, where
+    state lies on disk and a batch checkpoints only what it adds."""
+    whole = ledger_stream.where(F.col("transaction_id").isNotNull() & F.col("gl_account_id").isNotNull()
+                                & F.col("transaction_date").isNotNull() & F.col("amount").isNotNull())
+    return whole.dropDuplicates(["transaction_id"])
+
+
 def dedupe_within_lateness(ledger_stream: DataFrame, lateness: str = "400 days") -> DataFrame:
     """Drop repeated transaction ids that arrive within ``lateness`` of each
     other.  State is bounded; rows later than that are ignored, so this is
@@ -95,41 +113,69 @@ def _months_to_redo(balances: DataFrame, months: list[str], reach: int) -> list[
         F.date_format("month", "yyyy-MM").alias("m")).collect())
 
 
-def stream_ledger(spark: SparkSession, ledger_stream: DataFrame, accounts: DataFrame, base: str,
-                  checkpoint: str, id_scope: str = "global") -> str:
-    """Micro-batch pipeline: append -> refresh -> detect.  Each batch's months
-    are rolled up again, and the flags of all months that they can change are
-    made anew and replace the earlier ones as a whole, so a flag that no
-    longer holds is gone, also where a month has none left.
+def stream_ledger(spark: SparkSession, ledger_stream: DataFrame, accounts: DataFrame, base: str, checkpoint: str,
+                  fold_every: int = 20) -> str:
+    """Micro-batch pipeline: dedupe -> append -> balance changes -> detect.
+
+    Ids are deduplicated in state, each batch's rows are stored under its
+    number, and what they change in the balances is added to a table of
+    changes (folded every ``fold_every`` batches), so neither the ids nor the
+    rows of earlier batches are read again.  The flags of all months that the
+    batch can change are made anew from the balances and replace the earlier
+    ones as a whole, so a flag that no longer holds is gone, also where a
+    month has none left.
 
     Flags are kept by batch: ``flags`` holds each batch's flags, ``months``
     which months a batch made; :func:`current_flags` reads the latest of each
-    month.  A replayed batch overwrites its own rows."""
-    ledger_path, bal_path, flags_path = f"{base}/ledger", f"{base}/balances", f"{base}/flags"
+    month.  A replayed batch overwrites its own rows everywhere."""
+    ledger_path, bal_path, flags_path = f"{base}/ledger", f"{base}/balance_changes", f"{base}/flags"
 
     def each(batch: DataFrame, epoch: int) -> None:
-        # Months the batch touches (a calendar-bounded list), taken before
-        # the append: afterwards the anti-join would see the rows as stored.
-        batch = batch.persist()
-        months = sorted(r["m"] for r in batch.select(
-            F.date_format("transaction_date", "yyyy-MM").alias("m")).distinct().collect())
-        st.append_ledger(spark, batch, ledger_path, id_scope=id_scope)
-        batch.unpersist()
+        st.append_batch(spark, batch, ledger_path, epoch)
+        if not st.table_exists(spark, ledger_path):
+            return                                      # nothing has come yet
+        months = st.store_deltas(spark, ledger_path, bal_path, epoch)
+        if epoch and epoch % fold_every == 0:
+            st.fold_deltas(spark, bal_path, epoch - 1)
         if not months:
             return
-        stored = spark.read.parquet(ledger_path)   # month partition column kept: refresh prunes
-        first = not st.table_exists(spark, bal_path)
-        enriched = st.refresh_balances(spark, stored, bal_path, target_month=None if first else months)
-        redo = _months_to_redo(spark.read.parquet(bal_path), months, max(ROLLING_AVG_MONTHS, ROLLING_STD_MONTHS))
-        flags = det.detect_anomalies(enriched, accounts).where(F.col("current_month").isin(redo))
+        balances = st.balances_from_deltas(spark, bal_path)
+        redo = _months_to_redo(balances, months, max(ROLLING_AVG_MONTHS, ROLLING_STD_MONTHS))
+        flags = det.detect_anomalies(bal.enrich_balances(balances), accounts).where(F.col("current_month").isin(redo))
         made = spark.createDataFrame([(m,) for m in redo], "current_month string")
         for df, path in ((flags, f"{flags_path}/flags"), (made, f"{flags_path}/months")):
             st.write_by(df.withColumn("batch", F.lit(epoch)), "batch", path, mode="overwrite", dynamic=True)
 
-    run_available(ledger_stream.writeStream.foreachBatch(each), checkpoint)
+    with rocksdb_state(spark):
+        run_available(dedupe_in_state(ledger_stream).writeStream.foreachBatch(each), checkpoint)
     return flags_path
 
 
+def stream_ledger_files(spark: SparkSession, folder: str, base: str, checkpoint: str, pattern: str = "*.csv", files_per_batch: int = 100) -> str:
+    """Ledger CSV files as they land in ``folder`` (at any depth): every
+    micro-batch reads its files by their own headers, validates them, and in
+    one write stores good and bad rows apart under ``base``/ingest/ledger,
+    with counts, under the batch's number.  The good rows that the ledger at
+    ``base``/ledger does not hold are appended to it.
+
+    The stream itself lists files only; their contents are read once, by the
+    batch.  A replayed batch overwrites what it stored and appends nothing."""
+    listed = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+              .option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+              .option("maxFilesPerTrigger", files_per_batch).load(folder).select("path"))
+    ingest = f"{base}/ingest/ledger"
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        files = sorted(r.path for r in batch.collect())              # files_per_batch at most
+        if not files:
+            return
+        raw = fs.scan_ledger(spark, [fs.listed_file(f) for f in files], base=folder)
+        st.store_classified(raw, ingest, f"batch-{epoch}")
+        st.append_ledger(spark, st.stored_rows(spark, ingest, "good", f"batch-{epoch}"), f"{base}/ledger")
+    run_available(listed.writeStream.foreachBatch(each), checkpoint)
+    return base
+
+
 def current_flags(spark: SparkSession, flags_path: str) -> DataFrame:
     """The flags of ``stream_ledger`` that hold now: of each month those of
     the last batch that made it (the month table is calendar-bounded)."""
