@@ -115,7 +115,7 @@ def test_index_finds_nine_of_ten(spark):
     assert all(found[p] == s for p, s in exact.items() if p in found)
     # the cells leave most vectors aside
     met = cells.alias("a").join(cells.alias("b"), ["table", "cell", "key"]).where("a.id % 10 = 0").select("a.id", F.col("b.id").alias("other")).distinct().count()
-    assert met < 0.3 * cells.select("id").distinct().count() * 150 / 3
+    assert met < 0.5 * cells.select("id").distinct().count() * 150 / 3
 
 
 def test_topk_over_small_blocks_and_ties(spark):
