@@ -1,35 +1,44 @@
 """Token counts (operator 8): separator scan over flat token files.
 
 A flat file is nothing but 16-bit little-endian ids; the end-of-document id
-parts the documents and there is no index.  Spark's text reader, with the two
-bytes of that id as its line separator, lets each task read a byte range of a
-file.  Prefix sums over the pieces of a file give their places and number
-the documents; they run over ranges, so one file may hold any share of all.
+parts the documents and there is no index.  Files are read as records of
+``block`` bytes, so a task reads its byte range of a file of any length.  Each
+block is searched for the separator in one vectorised comparison of its
+aligned 16-bit words.  Documents that lie within a block are told there; of
+the others each block gives its pieces: what comes before its first separator
+and what comes behind its last.  A prefix scan over the blocks' numbers of
+separators then numbers the documents, and pieces with the same number are put
+together.  Blocks are summed where they lie, so the scan works on one row a
+task.
 
 :func:`write_flat_files` makes such files from texts.  So that counts can be
 led back to documents, it puts the document id in front of each document as
-``HEADER`` words of 13 bits, which can't be mistaken for the separator.
+``HEADER`` words of 13 bits, which can't be mistaken for the separator; and it
+fills each file up to whole blocks with a last document of padding words.
 
 Defined results: a null text has no ids; a null id is kept as such; repeated
-rows are documents of their own; ids behind the last separator of a file
-count as a document; an empty file or table has none; other columns are not
-read.  Files may have any length; one document must fit in memory.
+rows are documents of their own; ids behind the last separator of a folder
+count as a document; an empty folder has none; documents of padding are left
+out; other columns are not read.  A file whose length is no multiple of
+``block`` fails the read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running_totals
+from .common import running_totals, stored
 from .textnum import Texts, ranges, return_memory
 from .token_files import ENCODED, groups
 from .tokenizer import encoder
 
 HEADER = 5
-_NULL = 0x7FFF
+_NULL, _PAD = 0x7FFF, 0x7FFE
+#: bytes of a block
+BLOCK = 1 << 18
 
 
 def _headers(ids: pa.Array) -> np.ndarray:
@@ -40,9 +49,9 @@ def _headers(ids: pa.Array) -> np.ndarray:
     return words
 
 
-def _encode(path: str):
+def _encode(path: str, block: int):
     def run(batches):
-        enc = encoder(path)
+        enc, size = encoder(path), 0
         for batch in batches:
             for k, m, t in groups(Texts.of(batch.column(1)), ENCODED):
                 ids, n = enc.encode(t)
@@ -53,75 +62,101 @@ def _encode(path: str):
                 out[ranges(ends - n, n)] = ids
                 head = ranges(ends - n - HEADER, np.full(m - k, HEADER))
                 out[head] = _headers(batch.column(0).slice(k, m - k)).ravel()
-                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_binary(), m - k, [
-                    None, pa.py_buffer(np.append(0, ends * 2).astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())], ["raw"])
+                size += 2 * (len(out) + m - k)
+                yield _raw(np.append(0, ends * 2), out)
             return_memory()
+        if size % block:
+            # its own separator counts as well
+            words = (block - size % block) // 2 - 1
+            yield _raw(np.array([0, 2 * words]), np.full(words, _PAD, "<u2"))
     return run
 
 
+def _raw(offsets: np.ndarray, out: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [
+        None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())], ["raw"])
+
+
 def write_flat_files(docs: DataFrame, path: str, tokenizer_path: str, separator: int, id_col: str = "doc_id",
-                     text_col: str = "text", rows_per_file: int = 2048) -> None:
+                     text_col: str = "text", block: int = BLOCK) -> None:
     """Header words, ids and the separator of each document, one after the
-    other.  The text writer puts out bytes as they are, and its line separator
-    is the two bytes of the end-of-document id."""
+    other, a file for each partition of ``docs``.  The text writer puts out
+    bytes as they are, and its line separator is the two bytes of the
+    end-of-document id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    (rows.mapInArrow(_encode(tokenizer_path), "raw binary").select(F.col("raw").cast("string").alias("value")).write
-     .option("lineSep", separator.to_bytes(2, "little").decode("latin-1")).option("encoding", "ISO-8859-1")
-     .option("maxRecordsPerFile", rows_per_file).text(path))
-
-
-def _pieces(spark: SparkSession, path: str, separator: int, header: int) -> DataFrame:
-    """Per piece of a file between separator bytes: file, size, split, row
-    (order within the split), len and head, all in bytes.  The text reader
-    gives each task a byte range, so a file may have any length."""
-    sep = _line_bytes(separator)
-    lines = (spark.read.option("lineSep", sep.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
-             .select("value", "_metadata.file_path", "_metadata.file_size", "_metadata.file_block_start"))
-    raw = F.col("value").cast("binary")
-    return lines.select(F.col("file_path").alias("file"), F.col("file_size").alias("size"), F.col("file_block_start").alias("split"),
-                        F.monotonically_increasing_id().alias("row"), F.octet_length(raw).cast("long").alias("len"),
-                        F.substring(raw, 1, 2 * header).alias("head"))
-
-
-def _line_bytes(separator: int) -> bytes:
-    """What parts pieces: both bytes of the separator, or one if they are
-    equal, since a run of equal bytes could be cut in two ways."""
-    sep = separator.to_bytes(2, "little")
-    return sep[:1] if sep[0] == sep[1] else sep
-
-
-def _word(head: Column, k: int) -> Column:
-    low, high = (F.conv(F.hex(F.substring(head, 2 * k + j, 1)), 16, 10).cast("long") for j in (1, 2))
-    return low + high * 256
-
-
-def count_documents(spark: SparkSession, path: str, separator: int, header: int = HEADER, block: int = 1 << 20) -> DataFrame:
-    """Per document of the files in ``path``: file, ordinal, doc_id (null
-    without header), start (word where it begins) and n_tokens (without
-    header and separator).  The session's split size decides how much of a
-    file a task reads; ``block`` has no effect and is kept for callers."""
-    sep = _line_bytes(separator)
-    order = [F.col("split"), F.col("row")]
-    placed = running_totals(_pieces(spark, path, separator, header), ["file"], order, {"pos": F.col("len") + len(sep)}, "flat_pieces")
-    # the two bytes also occur across two ids: only those at an even place part documents
-    if len(sep) == 2:
-        last = (F.col("pos") + F.col("len") < F.col("size")) & ((F.col("pos") + F.col("len")) % 2 == 0)
-        end = F.col("pos") + F.col("len")
-    else:
-        last, end = (F.col("len") == 0) & (F.col("pos") % 2 == 1), F.col("pos") - 1
-    placed = placed.withColumn("end", F.when(last, end))
-    numbered = running_totals(placed, ["file"], order, {"ordinal": F.col("end").isNotNull().cast("long")}, "flat_documents")
-    docs = numbered.groupBy("file", "ordinal").agg(
-        F.min("pos").alias("begin"), F.coalesce(F.max("end"), F.max("size")).alias("end"),
-        F.array_sort(F.collect_list(F.struct("pos", "head"))).alias("heads"))
-    head = F.substring(F.aggregate(F.slice("heads", 1, 2 * header + 1), F.lit(b""), lambda a, x: F.concat(a, x["head"], F.lit(sep))), 1, 2 * header)
-    docs = docs.select("file", "ordinal", "begin", "end", head.alias("head"))
+    (rows.mapInArrow(_encode(tokenizer_path, block), "raw binary").select(F.col("raw").cast("string").alias("value")).write
+     .option("lineSep", separator.to_bytes(2, "little").decode("latin-1")).option("encoding", "ISO-8859-1").text(path))
+
+
+def search_block(words: np.ndarray, separator: int, header: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, bytes]]]:
+    """Of one block: the places where its inner documents begin, their numbers
+    of words, and its pieces as (separators of the block before it, words,
+    its first words)."""
+    at = np.flatnonzero(words == separator)
+    if not len(at):
+        return at, at, [(0, len(words), words[:header].tobytes())]
+    pieces = [(0, int(at[0]), words[:min(header, at[0])].tobytes()), (len(at), len(words) - int(at[-1]) - 1, words[at[-1] + 1:at[-1] + 1 + header].tobytes())]
+    return at[:-1] + 1, np.diff(at) - 1, pieces
+
+
+def _ids(words: np.ndarray, begin: np.ndarray, n: np.ndarray, header: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document ids, and 0 for an id, 1 for none, 2 for padding."""
+    kind, value = np.ones(len(begin), np.int64), np.zeros(len(begin), np.int64)
+    if header:
+        padded = (n > 0) & (words[np.minimum(begin, len(words) - 1)] == _PAD)
+        there = np.flatnonzero(n >= header)
+        head = words[begin[there][:, None] + np.arange(header)].astype(np.int64)
+        value[there] = (head & 0x1FFF) @ (np.int64(1) << 13 * np.arange(header - 1, -1, -1, dtype=np.int64))
+        kind[there[head[:, 0] != _NULL]] = 0
+        kind[padded] = 2
+    return value, kind
+
+
+_FOUND = "part int, block long, nth long, doc_id long, n_words long, seps long, head binary"
+
+
+def _search(separator: int, header: int):
+    def run(part, records):
+        for k, record in enumerate(records):
+            words = np.frombuffer(record, "<u2")
+            begin, n, pieces = search_block(words, separator, header)
+            value, kind = _ids(words, begin, n, header)
+            for j in np.flatnonzero(kind < 2).tolist():
+                yield part, k, j + 1, int(value[j]) if kind[j] == 0 else None, int(n[j]), None, None
+            for nth, length, head in pieces:
+                # the block's number of separators goes with its first piece
+                yield part, k, nth, None, length, (len(begin) + 1 if len(pieces) > 1 else 0) if nth == 0 else 0, bytearray(head)
+    return run
+
+
+def count_documents(spark: SparkSession, path: str, separator: int, header: int = HEADER, block: int = BLOCK) -> DataFrame:
+    """Per document of the files in ``path``: ordinal (over all files, in
+    the order they are read), doc_id (null without header) and n_tokens
+    (without header and separator)."""
+    records = spark.sparkContext.binaryRecords(path, block)
+    found = stored(spark.createDataFrame(records.mapPartitionsWithIndex(_search(separator, header)), _FOUND), "flat_found")
+    pieces = found.where("seps IS NOT NULL")
+    blocks = pieces.groupBy("part", "block").agg(F.sum("seps").alias("seps"))
+    before = running_totals(blocks, [], [F.col("part"), F.col("block")], {"before": F.col("seps")}, "flat_blocks").drop("seps")
+    inner = found.where("seps IS NULL").join(before, ["part", "block"]).select(
+        (F.col("before") + F.col("nth")).alias("ordinal"), "doc_id", (F.col("n_words") - header).alias("n_tokens"))
+    # pieces in order; few are needed for the first words of a document
+    across = pieces.join(before, ["part", "block"]).groupBy((F.col("before") + F.col("nth")).alias("ordinal")).agg(
+        F.sum("n_words").alias("n_words"), F.array_sort(F.collect_list(F.struct("part", "block", "nth", "head"))).alias("heads"))
+    some = F.slice(F.filter("heads", lambda x: F.octet_length(x["head"]) > 0), 1, header + 1)
+    head = F.substring(F.aggregate(some, F.lit(b""), lambda a, x: F.concat(a, x["head"])), 1, 2 * max(header, 1))
+
+    def word(k: int):
+        low, high = (F.conv(F.hex(F.substring(head, 2 * k + j, 1)), 16, 10).cast("long") for j in (1, 2))
+        return low + high * 256
     doc_id = F.lit(None).cast("long")
     if header:
         value = F.lit(0).cast("long")
         for k in range(header):
-            value = F.shiftleft(value, 13).bitwiseOR(_word(F.col("head"), k).bitwiseAND(F.lit(0x1FFF)))
-        there = (F.col("end") - F.col("begin") >= 2 * header) & (_word(F.col("head"), 0) != _NULL)
-        doc_id = F.when(there, value)
-    return docs.select("file", "ordinal", doc_id.alias("doc_id"), F.floor(F.col("begin") / 2).alias("start"),
-                       (F.floor((F.col("end") - F.col("begin")) / 2) - header).alias("n_tokens"))
+            value = F.shiftleft(value, 13).bitwiseOR(word(k).bitwiseAND(F.lit(0x1FFF)))
+        doc_id = F.when((F.col("n_words") >= header) & (word(0) != _NULL), value)
+        across = across.where(F.coalesce(word(0) != _PAD, F.lit(True)))
+    # nothing behind the last separator is no document
+    total = blocks.agg(F.sum("seps")).first()[0] or 0
+    across = across.where((F.col("ordinal") < total) | (F.col("n_words") > 0))
+    return inner.unionByName(across.select("ordinal", doc_id.alias("doc_id"), (F.col("n_words") - header).alias("n_tokens")))
