@@ -12,9 +12,10 @@ backslash after their first character, and a backslash is doubled.  The loss
 mask is the prefix sum of +1 at the first text id of a turn that is learnt
 and -1 behind its END.
 
-Rows are sorted by conversation and turn within hash partitions and streamed;
-a conversation with many turns is given out in parts of about
-``part_tokens`` ids, so none has to fit in memory.
+Turns are escaped and encoded where they lie.  Their ids are then sorted by
+conversation and turn within hash partitions and streamed; a conversation with
+many turns is given out in parts of about ``part_tokens`` ids, so none has to
+fit in memory.
 
 Defined results: a null text or role is an empty one; null turns come first;
 turns with equal numbers are kept, ordered by role and text; rows with a null
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import Texts, ranges
+from .textnum import ranges, return_memory
 from .tokenizer import encoder
 
 #: what the reserved ids stand for in the rendered form
@@ -55,58 +56,68 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def _assemble(path: str, first_reserved: int, learnt: frozenset, part_tokens: int):
+_TURN = "conv_id long, turn long, role string, text string, ids array<int>, learnt int"
+
+
+def _encode_turns(path: str, first_reserved: int, learnt: frozenset):
+    """The ids of each turn by itself, and where its learnt ids begin (-1: nowhere)."""
     turn, sep, end = first_reserved, first_reserved + 1, first_reserved + 2
 
-    def rows(conv, role, text):
-        """Ids and loss mask of some turns, flat, and the number of ids of each."""
+    def run(batches):
         enc = encoder(path)
-        role_ids, role_n = enc.encode([escape(r or "") for r in role])
-        text_ids, text_n = enc.encode([escape(t or "") for t in text])
-        total = role_n + text_n + 3
-        stop = np.cumsum(total)
-        begin = stop - total
-        ids = np.empty(int(stop[-1]), np.int32)
-        ids[begin], ids[begin + 1 + role_n], ids[stop - 1] = turn, sep, end
-        ids[ranges(begin + 1, role_n)] = role_ids
-        ids[ranges(begin + 2 + role_n, text_n)] = text_ids
-        wanted = np.array([r in learnt for r in role])
-        step = np.zeros(len(ids) + 1, np.int32)
-        np.add.at(step, (begin + 2 + role_n)[wanted], 1)
-        np.add.at(step, stop[wanted], -1)
-        return ids, np.cumsum(step[:-1]).astype(np.int8), total
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                some = batch.slice(lo, 512)
+                role = some.column(2).to_pylist()
+                role_ids, role_n = enc.encode([escape(r or "") for r in role])
+                text_ids, text_n = enc.encode([escape(t or "") for t in some.column(3).to_pylist()])
+                stop = np.cumsum(role_n + text_n + 3)
+                begin = stop - (role_n + text_n + 3)
+                ids = np.empty(int(stop[-1]), np.int32)
+                ids[begin], ids[begin + 1 + role_n], ids[stop - 1] = turn, sep, end
+                ids[ranges(begin + 1, role_n)] = role_ids
+                ids[ranges(begin + 2 + role_n, text_n)] = text_ids
+                first = np.where(np.array([r in learnt for r in role]), 2 + role_n, -1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns, pa.ListArray.from_arrays(pa.array(np.append(0, stop).astype(np.int32)), pa.array(ids)), pa.array(first)],
+                    [*some.schema.names, "ids", "learnt"])
+            return_memory()
+    return run
 
-    def run(batches):
-        pending: list[tuple] = []       # (ids, mask) of turns of the conversation that is open
-        current, part, size = None, 0, 0
 
-        def flush(out):
-            out.append((current, part, len(pending), np.concatenate([p[0] for p in pending]),
-                        np.concatenate([p[1] for p in pending])))
+def _join_turns(part_tokens: int):
+    """Turns in order to conversations, or parts of them."""
+    def run(batches):
+        pending: list[np.ndarray] = []       # ids of turns of the conversation that is open
+        firsts: list[int] = []
+        current, part, size, started = None, 0, 0, False
+
+        def row():
+            ids, n = np.concatenate(pending), np.array([len(p) for p in pending])
+            stop, first = np.cumsum(n), np.array(firsts)
+            step, wanted = np.zeros(len(ids) + 1, np.int32), first >= 0
+            np.add.at(step, (stop - n + first)[wanted], 1)
+            np.add.at(step, stop[wanted], -1)
+            return current, part, len(pending), ids, np.cumsum(step[:-1]).astype(np.int8)
 
-        started = False
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                some = batch.slice(lo, 512)
-                conv, role, text = (some.column(k).to_pylist() for k in range(3))
-                ids, mask, total = rows(conv, role, text)
-                out: list[tuple] = []
-                at = 0
-                for c, n in zip(conv, total.tolist(), strict=True):
-                    if started and (c != current or size >= part_tokens):
-                        flush(out)
-                        part = part + 1 if c == current else 0
-                        pending, size = [], 0
-                    current, started = c, True
-                    pending.append((ids[at:at + n], mask[at:at + n]))
-                    size += n
-                    at += n
-                if out:
-                    yield _batch(out)
+            out: list[tuple] = []
+            lists = batch.column(1)
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for k, (c, first) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if started and (c != current or size >= part_tokens):
+                    out.append(row())
+                    part = part + 1 if c == current else 0
+                    pending, firsts, size = [], [], 0
+                current, started = c, True
+                # a part may outlive its batch
+                pending.append(flat[at[k]:at[k + 1]].copy())
+                firsts.append(first)
+                size += len(pending[-1])
+            if out:
+                yield _batch(out)
         if pending:
-            out = []
-            flush(out)
-            yield _batch(out)
+            yield _batch([row()])
     return run
 
 
@@ -125,11 +136,12 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, first_reserved:
     """conv_id, part, n_turns, ids, loss_mask.  A conversation's parts lie in
     one partition, one after the other.  ``first_reserved`` is the first of
     three ids that the vocabulary does not use."""
-    rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(role_col).cast("string").alias("role"),
-                        F.col(text_col).cast("string").alias("text"), F.col(turn_col).alias("turn"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(
-        _assemble(tokenizer_path, first_reserved, frozenset(learnt_roles), part_tokens), SCHEMA)
+    rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
+                        F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    # turns are encoded where they lie, so a conversation of any length is not one task's work
+    encoded = rows.mapInArrow(_encode_turns(tokenizer_path, first_reserved, frozenset(learnt_roles)), _TURN)
+    ordered = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ordered.select("conv_id", "ids", "learnt").mapInArrow(_join_turns(part_tokens), SCHEMA)
 
 
 class _Digest:
