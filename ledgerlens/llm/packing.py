@@ -132,7 +132,7 @@ def _pack(path: str, end_id: int, window: int, most: int, max_gap: int):
     def run(batches):
         out = _Out(window, TaskContext.get().partitionId() << 32)
         windows = _Windows(out, window, most, max_gap)
-        enc = encoder(path)
+        enc = encoder(path, special=True)
         for batch in batches:
             doc = batch.column(0).to_pylist()
             for k, m, t in groups(Texts.of(batch.column(1)), ENCODED):

@@ -58,7 +58,7 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
 def _encode_parts(path: str, end_id: int):
     def run(batches):
         part, start = TaskContext.get().partitionId(), 0
-        enc = encoder(path)
+        enc = encoder(path, special=True)
         for batch in batches:
             doc = batch.column(0)
             for k, m, t in groups(Texts.of(batch.column(1)), ENCODED):

@@ -95,13 +95,20 @@ def words16(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
 class PieceEncoder:
     """``encode(texts)`` gives the ids of all texts in one uint32 array and
     the number of ids of each text; equal to
-    ``Tokenizer.encode(text, add_special_tokens=False)`` with the strings of
-    special tokens taken as ordinary text.  None counts as empty."""
+    ``Tokenizer.encode(text, add_special_tokens=False)``.  None counts as
+    empty.  With ``special`` the strings of the vocabulary's special tokens
+    give their ids, as in a tokenizer that is used as it is loaded; without,
+    they are ordinary text."""
 
-    def __init__(self, path: str, max_pieces: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, special: bool = False, max_pieces: int = 600_000, longest: int = 64):
         from tokenizers import Tokenizer
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
+        self.path, self._loaded = path, None
+        added = self.plain.get_added_tokens_decoder().values() if special else []
+        if any(x.normalized for x in added):
+            raise ValueError("special tokens that are looked for in normalised text are not supported")
+        self.marks = [x.content.encode() for x in added]
         self.model = self.plain.model
         self.max_pieces, self.longest = max_pieces, longest
         #: ids of pieces: those used since the last change of generations, and those used in the one before
@@ -171,6 +178,44 @@ class PieceEncoder:
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         t = texts if isinstance(texts, Texts) else Texts.of(texts)
+        marked = self._marked(t)
+        if not len(marked):
+            return self._encode(t)
+        # texts with a special token's string are left to the tokenizer itself
+        out, counts = [], []
+        for k, m in zip(np.append(0, marked + 1).tolist(), np.append(marked, len(t)).tolist(), strict=True):
+            if m > k:
+                lo, hi = int(t.starts[k]), int(t.ends[m - 1])
+                ids, n = self._encode(Texts(t.buf[lo:hi], t.starts[k:m] - lo, t.ends[k:m] - lo))
+                out.append(ids)
+                counts.append(n)
+            if m < len(t):
+                text = t.buf[int(t.starts[m]):int(t.ends[m])].tobytes().decode()
+                ids = np.asarray(self.loaded().encode(text, add_special_tokens=False).ids, "<u4")
+                out.append(ids)
+                counts.append(np.array([len(ids)], np.int64))
+        return np.concatenate(out), np.concatenate(counts)
+
+    def loaded(self):
+        """The tokenizer as its file has it; few texts need it."""
+        if self._loaded is None:
+            from tokenizers import Tokenizer
+            self._loaded = Tokenizer.from_file(self.path)
+        return self._loaded
+
+    def _marked(self, t: Texts) -> np.ndarray:
+        """Numbers of the texts that hold the string of a special token."""
+        raw, found = t.buf.tobytes() if self.marks else b"", []
+        for mark in self.marks:
+            at = raw.find(mark)
+            while at >= 0:
+                k = int(t.owner(np.array([at]))[0])
+                if at + len(mark) <= t.ends[k]:          # not across two texts
+                    found.append(k)
+                at = raw.find(mark, at + 1)
+        return np.unique(np.array(found, np.int64))
+
+    def _encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         if self.lower:
             t = Texts(_SMALL[t.buf], t.starts, t.ends)
         s = cut_points(t)
@@ -191,6 +236,6 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> PieceEncoder:
-    """One encoder per Python worker and vocabulary file."""
-    return PieceEncoder(path)
+def encoder(path: str, special: bool = False) -> PieceEncoder:
+    """One encoder per Python worker, vocabulary file and treatment of special tokens."""
+    return PieceEncoder(path, special)

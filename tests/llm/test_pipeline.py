@@ -50,7 +50,7 @@ def test_stages(spark, tmp_path):
     assert abs(total - 1.5 * sum(sizes.values())) < 200 * len(sizes)
     pieces = cp.pack(spark, mixed, str(tmp_path)).collect()
     from ledgerlens.llm.tokenizer import PieceEncoder
-    enc = PieceEncoder(vocabulary("byte_bpe_50k.json"))
+    enc = PieceEncoder(vocabulary("byte_bpe_50k.json"), special=True)
     want_ids = sum(len(enc.encode([r.text])[0]) + 1 for r in mixed.collect())
     assert sum(p.length for p in pieces) == want_ids
     assert sum(p.length for p in cp.run(spark, str(tmp_path)).collect()) == want_ids
