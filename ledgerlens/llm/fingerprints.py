@@ -7,9 +7,16 @@ before in the text, is added to three cells of a small table: each cell holds
 a count, the sum of its digests and the sum of their checks.  Two tables are
 subtracted cell by cell and peeled: a cell that holds a single digest gives it
 away, it is taken out of its other cells, and so on, until the digests that
-differ are all known.  Where peeling gets stuck, both tables are made anew,
-four times as large, from the digests.  The likeness of two texts is the
-number of common digests over the number of all.
+differ are all known.  The likeness of two texts is the number of common
+digests over the number of all.
+
+Each third of a table has a power of two of cells, so a table can be folded to
+any smaller size: two fingerprints are compared at the size of the smaller
+one.  A text's table is as large as it takes to peel it by itself (it is made
+twice as large until it does), so where a difference is too large for the
+common size, its digests are read out of the fingerprint and the comparison is
+made again in a larger table.  So any two stored fingerprints can be compared,
+whatever their texts' sizes.
 
 Rows are dealt into ranges of the document id, whose bounds are ids that
 occur; the first rows of a range are also sent to the range before it, so
@@ -35,7 +42,8 @@ from pyspark.sql import functions as F
 
 from .textnum import Texts, mix, span_hashes
 
-CELLS = 24          # of the fingerprint that is given out; a multiple of three
+CELLS = 24          # the least number of a table; three times a power of two
+LOAD = 1.5          # cells for a digest, to begin with
 GROUP_CHARS = 1_500_000
 LONGEST = 8         # words of a unit
 _CELL = np.dtype([("count", "<i4"), ("sum", "<u8"), ("check", "<u4")])
@@ -69,16 +77,23 @@ def _check(keys: np.ndarray) -> np.ndarray:
     return mix(keys + np.uint64(0xA5A5A5A5)).astype(np.uint32)
 
 
-def _places(keys: np.ndarray, cells: int, seed: int) -> list[np.ndarray]:
+def _places(keys: np.ndarray, cells: int) -> list[np.ndarray]:
+    """One cell in each third; a smaller table's cell has the low bits of it."""
     third = cells // 3
-    return [j * third + (mix(keys ^ np.uint64(1000 * seed + j + 1)) % np.uint64(third)).astype(np.int64) for j in range(3)]
+    return [j * third + (mix(keys ^ np.uint64(j + 1)) & np.uint64(third - 1)).astype(np.int64) for j in range(3)]
+
+
+def cells_for(n: np.ndarray) -> np.ndarray:
+    """Cells of the first table that is tried for n digests."""
+    third = np.maximum(CELLS // 3, np.ceil((LOAD * np.asarray(n) + 12) / 3)).astype(np.int64)
+    return 3 * (1 << np.ceil(np.log2(third)).astype(np.int64))
 
 
 class Tables:
     """Tables of several texts side by side."""
 
-    def __init__(self, n: int, cells: int, seed: int):
-        self.n, self.cells, self.seed = n, cells, seed
+    def __init__(self, n: int, cells: int):
+        self.n, self.cells = n, cells
         self.count = np.zeros(n * cells, np.int64)
         self.sum = np.zeros(n * cells, np.uint64)
         self.check = np.zeros(n * cells, np.uint32)
@@ -86,7 +101,7 @@ class Tables:
     def add(self, owner: np.ndarray, keys: np.ndarray, sign: np.ndarray | int = 1) -> None:
         sign = np.broadcast_to(np.asarray(sign, np.int64), keys.shape)
         s, c = keys * sign.astype(np.uint64), _check(keys) * sign.astype(np.uint32)
-        for p in _places(keys, self.cells, self.seed):
+        for p in _places(keys, self.cells):
             at = owner * self.cells + p
             np.add.at(self.count, at, sign)
             np.add.at(self.sum, at, s)
@@ -109,7 +124,7 @@ class Tables:
                 break
             self.add(owner, keys, -sign)
             found.append((owner, keys, sign))
-            touched = np.unique(np.concatenate([owner * self.cells + p for p in _places(keys, self.cells, self.seed)]))
+            touched = np.unique(np.concatenate([owner * self.cells + p for p in _places(keys, self.cells)]))
             at = touched[np.abs(self.count[touched]) == 1]
         stuck = ((self.count != 0) | (self.sum != 0) | (self.check != 0)).reshape(self.n, self.cells).any(axis=1)
         empty = np.zeros(0, np.int64)
@@ -123,22 +138,49 @@ class Tables:
         raw, step = cells.tobytes(), self.cells * _CELL.itemsize
         return [base64.b64encode(struct.pack("<I", int(k)) + raw[i * step:(i + 1) * step]).decode() for i, k in enumerate(sizes)]
 
-
-def compare(a: str, b: str) -> tuple[float, list[int], list[int]] | None:
+    @classmethod
+    def of_text(cls, text: str) -> tuple[Tables, int]:
+        """A single table, and the number of its digests."""
+        raw = base64.b64decode(text)
+        cells = np.frombuffer(raw[4:], _CELL)
+        t = cls(1, len(cells))
+        t.count[:], t.sum[:], t.check[:] = cells["count"], cells["sum"], cells["check"]
+        return t, struct.unpack("<I", raw[:4])[0]
+
+    def folded(self, cells: int) -> Tables:
+        """A single table at a smaller size."""
+        t = Tables(1, cells)
+        for name in ("count", "sum", "check"):
+            getattr(t, name)[:] = getattr(self, name).reshape(3, -1, cells // 3).sum(1, dtype=getattr(t, name).dtype).ravel()
+        return t
+
+    def digests(self) -> np.ndarray:
+        """All digests of a single table that peels by itself."""
+        copy = self.folded(self.cells)
+        return copy.peel()[1]
+
+
+def compare(a: str, b: str) -> tuple[float, list[int], list[int]]:
     """Likeness of two fingerprints, and the digests only in the first and
-    only in the second; None if the tables are too small to tell."""
-    raw = [base64.b64decode(x) for x in (a, b)]
-    sizes = [struct.unpack("<I", x[:4])[0] for x in raw]
-    one, two = (np.frombuffer(x[4:], _CELL) for x in raw)
-    t = Tables(1, len(one), 0)
-    t.count[:], t.sum[:] = one["count"].astype(np.int64) - two["count"], one["sum"] - two["sum"]
-    t.check[:] = one["check"] - two["check"]
-    _, keys, sign, done = t.peel()
-    if not done[0]:
-        return None
+    only in the second."""
+    (one, n_one), (two, n_two) = Tables.of_text(a), Tables.of_text(b)
+    cells = min(one.cells, two.cells)
+    x, y = one.folded(cells), two.folded(cells)
+    x.count -= y.count
+    x.sum -= y.sum
+    x.check -= y.check
+    _, keys, sign, done = x.peel()
+    while not done[0]:
+        # larger tables, made of the digests that the fingerprints give away
+        cells *= 2
+        x = Tables(1, cells)
+        for t, side in ((one, 1), (two, -1)):
+            own = t.digests()
+            x.add(np.zeros(len(own), np.int64), own, side)
+        _, keys, sign, done = x.peel()
     more, less = keys[sign > 0].tolist(), keys[sign < 0].tolist()
-    total = sizes[0] + len(less)
-    return (sizes[0] - len(more)) / total if total else 1.0, more, less
+    total = n_one + len(less)
+    return (n_one - len(more)) / total if total else 1.0, more, less
 
 
 def _csr(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,31 +188,63 @@ def _csr(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return keys, np.append(0, np.cumsum(size))
 
 
-def likenesses(a: tuple, b: tuple, pairs: np.ndarray) -> np.ndarray:
+def _filled(some: np.ndarray, cells: int, sides: list[tuple[tuple, np.ndarray, int]]) -> Tables:
+    """Tables of ``cells`` cells with the digests of each side's texts."""
+    t = Tables(len(some), cells)
+    for (keys, off), who, sign in sides:
+        n = off[who + 1] - off[who]
+        at = np.repeat(off[who] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        t.add(np.repeat(np.arange(len(some)), n), keys[at], sign)
+    return t
+
+
+def _by_size(sizes: np.ndarray, todo: np.ndarray):
+    """Rows of equal size, a bounded number of cells at a time."""
+    for cells in np.unique(sizes[todo]).tolist():
+        same = todo[sizes[todo] == cells]
+        step = max(1, 500_000 // cells)
+        for lo in range(0, len(same), step):
+            yield cells, same[lo:lo + step]
+
+
+def fingerprints_of(texts: tuple[np.ndarray, np.ndarray], n: int) -> tuple[list[str], np.ndarray]:
+    """Fingerprints of the first n texts of (digests, offsets), and their cells."""
+    count = np.diff(texts[1])[:n]
+    sizes, out, todo = cells_for(count), [""] * n, np.arange(n)
+    while len(todo):
+        stuck = []
+        for cells, some in _by_size(sizes, todo):
+            t = _filled(some, cells, [(texts, some, 1)])
+            prints = t.as_text(count[some])
+            done = t.peel()[3]
+            for k in np.flatnonzero(done).tolist():
+                out[some[k]] = prints[k]
+            stuck.append(some[~done])
+        todo = np.concatenate(stuck)
+        sizes[todo] *= 2
+    return out, sizes
+
+
+def likenesses(a: tuple, b: tuple, pairs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Likeness of text pairs[:, 0] of ``a`` to pairs[:, 1] of ``b``, each a
-    (digests, offsets).  Starts with tables of CELLS cells; pairs that get
-    stuck are tried again with four times as many."""
-    out = np.ones(len(pairs))
-    todo, cells, seed = np.arange(len(pairs)), CELLS, 0
+    (digests, offsets): that of their fingerprints, which have ``sizes`` in
+    common.  The difference of two tables is the table of the difference, so
+    it is filled from the digests; pairs that get stuck are tried again in
+    tables twice as large."""
+    out, todo, sizes = np.ones(len(pairs)), np.arange(len(pairs)), sizes.copy()
     while len(todo):
-        later = []
-        for lo in range(0, len(todo), max(1, 2_000_000 // cells)):
-            some = todo[lo:lo + max(1, 2_000_000 // cells)]
-            t = Tables(len(some), cells, seed)
-            sizes = []
-            for (keys, off), sign, side in ((a, 1, 0), (b, -1, 1)):
-                who = pairs[some, side]
-                n = off[who + 1] - off[who]
-                at = np.repeat(off[who] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                t.add(np.repeat(np.arange(len(some)), n), keys[at], sign)
-                sizes.append(n)
-            owner, _, sign, done = t.peel()
+        stuck = []
+        for cells, some in _by_size(sizes, todo):
+            who = pairs[some]
+            owner, _, sign, done = _filled(some, cells, [(a, who[:, 0], 1), (b, who[:, 1], -1)]).peel()
             more = np.bincount(owner[sign > 0], minlength=len(some))
             less = np.bincount(owner[sign < 0], minlength=len(some))
-            total = sizes[0] + less
-            out[some[done]] = np.where(total > 0, (sizes[0] - more) / np.maximum(total, 1), 1.0)[done]
-            later.append(some[~done])
-        todo, cells, seed = np.concatenate(later), cells * 4, seed + 1
+            own = a[1][who[:, 0] + 1] - a[1][who[:, 0]]
+            total = own + less
+            out[some[done]] = np.where(total > 0, (own - more) / np.maximum(total, 1), 1.0)[done]
+            stuck.append(some[~done])
+        todo = np.concatenate(stuck)
+        sizes[todo] *= 2
     return out
 
 
@@ -181,17 +255,14 @@ def _fingerprint_group(ids: list, texts: list[str]) -> pa.RecordBatch:
     edited = [t[:len(t) - h] + after[:h] for t, after, h in zip(texts[:n], texts[1:], half, strict=True)]
     own = _csr(*unit_digests(Texts.of(texts)), n + 1)
     new = _csr(*unit_digests(Texts.of(edited)), n)
-    prints = []
-    for keys, off in (own, new):
-        t = Tables(n, CELLS, 0)
-        size = np.diff(off)[:n]
-        t.add(np.repeat(np.arange(n), size), keys[:off[n]])
-        prints.append(t.as_text(size))
+    prints, sizes = fingerprints_of(own, n + 1)
+    new_prints, new_sizes = fingerprints_of(new, n)
     k = np.arange(n)
     return pa.RecordBatch.from_arrays([
         pa.array(ids, pa.int64()), pa.array([len(t) for t in texts[:n]], pa.int64()),
-        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array(prints[0]), pa.array(prints[1]),
-        pa.array(likenesses(own, new, np.stack([k, k], 1))), pa.array(likenesses(own, own, np.stack([k, k + 1], 1)))],
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array(prints[:n]), pa.array(new_prints),
+        pa.array(likenesses(own, new, np.stack([k, k], 1), np.minimum(sizes[:n], new_sizes))),
+        pa.array(likenesses(own, own, np.stack([k, k + 1], 1), np.minimum(sizes[:-1], sizes[1:])))],
         ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 

@@ -126,20 +126,28 @@ def test_fingerprints_of_tiny_tables(spark):
     assert len(repeated) == 4 and all(r.near_next == 1.0 for r in repeated)
 
 
-def test_differing_digests_are_recovered():
-    texts = [words(7, 300), words(7, 290) + " " + words(8, 20)]
-    keys, owner = fingerprints.unit_digests(Texts.of(texts))
-    t = fingerprints.Tables(2, fingerprints.CELLS, 0)
-    t.add(owner, keys)
-    a, b = t.as_text(np.bincount(owner))
+@pytest.mark.parametrize("texts", [
+    (words(7, 300), words(7, 290) + " " + words(8, 20)), (words(1, 2000), words(2, 2000)), (words(1, 5), words(2, 9000)), ("", words(3, 700)), ("", ""),
+    ("a b c", "a b c")])
+def test_differing_digests_are_recovered(texts):
+    """From the fingerprints alone, whatever the sizes of the texts."""
+    keys, owner = fingerprints.unit_digests(Texts.of(list(texts)))
+    (a, b), sizes = fingerprints.fingerprints_of(fingerprints._csr(keys, owner, 2), 2)
     near, more, less = fingerprints.compare(a, b)
     one, two = set(keys[owner == 0].tolist()), set(keys[owner == 1].tolist())
     assert (set(more), set(less)) == (one - two, two - one)
-    assert math.isclose(near, len(one & two) / len(one | two))
-    far = fingerprints.Tables(2, fingerprints.CELLS, 0)
-    k2, o2 = fingerprints.unit_digests(Texts.of([words(1, 2000), words(2, 2000)]))
-    far.add(o2, k2)
-    assert fingerprints.compare(*far.as_text(np.bincount(o2))) is None          # too small a table to tell
+    assert math.isclose(near, len(one & two) / len(one | two) if one | two else 1.0)
+    for text, own in ((a, one), (b, two)):
+        assert set(fingerprints.Tables.of_text(text)[0].digests().tolist()) == own
+
+
+def test_given_fingerprints_have_the_given_likeness(spark):
+    """All documents of a table, each compared by what the query returns."""
+    rows = fingerprints.fingerprint_edits(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).orderBy("doc_id").collect()
+    assert len(rows) == 200
+    for r, after in zip(rows, [*rows[1:], rows[0]], strict=True):
+        assert math.isclose(fingerprints.compare(r.fingerprint, r.edited_fingerprint)[0], r.near_edited)
+        assert math.isclose(fingerprints.compare(r.fingerprint, after.fingerprint)[0], r.near_next)
 
 
 def digests(turns):
