@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from .history import anomaly_key
 
 
@@ -140,6 +141,19 @@ def explanation_requests(flags: DataFrame, history: DataFrame | None = None, con
 SEVERITY_MARK = {"high": "[HIGH]", "medium": "[MEDIUM]", "low": "[LOW]"}
 
 
+#: stands where an explanation gives no evidence
+NO_EVIDENCE = "Analysis based on variance data and GL documentation"
+
+
+def _evidence() -> Column:
+    """Evidence items with their amounts repaired: ``$`` escaped for markdown,
+    amounts broken over lines or list items put together again, thousands
+    grouped; a stand-in if there is none."""
+    items = F.filter(F.col("supporting_evidence"), lambda e: e.isNotNull())
+    repaired = tx.merge_split_evidence(F.transform(items, lambda e: tx.escape_currency(tx.join_split_amounts(e))))
+    return F.when(F.size(items) > 0, repaired).otherwise(F.array(F.lit(NO_EVIDENCE)))
+
+
 def report_sections(explained: DataFrame) -> DataFrame:
     """One markdown section per anomaly (as a single text column), from the
     output of ``explain_anomalies``."""
@@ -158,7 +172,7 @@ def report_sections(explained: DataFrame) -> DataFrame:
         F.concat(F.lit("**Root cause:** "), F.col("root_cause")),
         F.concat(F.lit("**Detailed reasoning:**\n"), F.col("chain_of_thought")),
         F.lit("**Evidence:**"),
-        F.array_join(F.transform("supporting_evidence", lambda e: F.concat(F.lit("- "), e)), "\n"),
+        F.array_join(F.transform(_evidence(), lambda e: F.concat(F.lit("- "), e)), "\n"),
         F.concat(F.lit("**Recommendation:** "), F.col("recommendation")),
         F.when(F.col("requires_immediate_attention"), F.lit("**Needs immediate attention**")),
     )

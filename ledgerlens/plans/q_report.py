@@ -79,7 +79,7 @@ sec AS (
            '**Root cause:** ' || x.root_cause,
            '**Detailed reasoning:**' || chr(10) || x.chain_of_thought,
            '**Evidence:**',
-           array_to_string(list_transform(x.supporting_evidence, lambda e: '- ' || e), chr(10)),
+           array_to_string(list_transform(x.supporting_evidence, lambda e: '- ' || replace(e, '$', '\\$')), chr(10)),
            '**Recommendation:** ' || x.recommendation,
            CASE WHEN x.requires_immediate_attention THEN '**Needs immediate attention**' END) AS section_text
   FROM flags f JOIN ex x ON strftime(f.month, '%Y%m') || '-' || f.gl_account_id = x.anomaly_id

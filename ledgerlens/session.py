@@ -72,8 +72,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Write ``df`` to the shared checkpoint folder and continue from the
-    written copy: the lineage is cut (a lost executor does not recompute
-    the upstream scan) and several readers share one computation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and continue
+    from the written copy: the lineage is cut (a lost executor does not
+    recompute the upstream scan), several readers share one computation, and
+    readers keep column pruning, pushed filters and statistics."""
+    path = scratch_path(df.sparkSession, "materialized")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -72,11 +72,13 @@ def generate_ledger(accounts: DataFrame, start: Column, end: Column, seed: int =
     spread = F.coalesce((hi - lo) / 2, base * 0.1)
     acc, month = F.col("account_id"), F.col("month")
     # what depends on the account alone is made once per account, and the
-    # accounts are spread over the tasks before each becomes many rows
+    # accounts are spread over the tasks before each becomes many rows; the
+    # number is given, since a small master would else be put together again
+    parts = int(accounts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per_account = accounts.select(
         "account_id", base.alias("_base"), spread.alias("_spread"),
         (unit_noise(seed + 1, acc) < F.lit(anomaly_rate * 2 - 1)).alias("_pick"),
-        (F.lit(0.3) + (unit_noise(seed + 2, acc) + 1) * F.lit(1.35)).alias("_shock")).repartition("account_id")
+        (F.lit(0.3) + (unit_noise(seed + 2, acc) + 1) * F.lit(1.35)).alias("_shock")).repartition(parts, "account_id")
     rows = per_account.withColumn("month", F.explode(F.sequence(start, end, F.expr("INTERVAL 1 MONTH"))))
     noise = unit_noise(seed, acc, month)
     anomalous = (month == end) & F.col("_pick")

@@ -74,3 +74,18 @@ def test_slug_preview_tokens(spark):
                   tx.preview(F.col("t")).alias("p"), tx.token_estimate(F.col("t")).alias("k")).collect()[0]
     assert r["s"] == "travel_and_entertainment" and r["s2"] == "travel_&_entertainment"
     assert len(r["p"]) == 100 and r["k"] == 62
+
+
+def test_report_sections_repair_their_evidence(spark):
+    from ledgerlens.operators import report as rp
+    schema = ("anomaly_id string, gl_account_id string, account_name string, month date, severity string, direction string, variance_percent double, "
+              "variance_amount double, previous_balance double, current_balance double, is_expected_variance boolean, confidence double, "
+              "root_cause string, chain_of_thought string, supporting_evidence array<string>, recommendation string, requires_immediate_attention boolean")
+
+    def section(evidence):
+        row = ("a", "1", "Rent", None, "high", "increase", 40.0, 10.0, 1.0, 2.0, False, 0.5, "r", "c", evidence, "x", False)
+        text = rp.report_sections(spark.createDataFrame([row], schema)).first().section_text
+        return text.split("**Evidence:**\n")[1].split("\n**Recommendation")[0].split("\n")
+    assert section(["paid $", "15000.00", "was $500"]) == ["- paid \\$15,000.00", "- was \\$500"]
+    assert section(["balance $1234567.50", None]) == ["- balance \\$1,234,567.50"]
+    assert section([]) == section(None) == ["- Analysis based on variance data and GL documentation"]
