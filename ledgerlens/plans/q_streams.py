@@ -35,7 +35,7 @@ def _stream(spark, path):
 def stream_monthly_balances(spark, sf):
     src = _stream(spark, _landing(spark, sf, files=6))
     agg = sm.monthly_balances_stream(src)
-    out = sm.upsert_log(agg, scratch_path(spark, "stream_bal"), scratch_path(spark, "ckpt_bal"))
+    out = sm.upsert_log(agg, scratch_path(spark, "stream_bal"), scratch_path(spark, "ckpt_bal"), keys=["gl_account_id", "month_ts"], fold_every=2)
     res = sm.latest_rows(spark, out, ["gl_account_id", "month_ts"])
     return res.select("gl_account_id", F.col("month_ts").cast("date").alias("month"), "net_balance",
                       "transaction_count")
@@ -77,7 +77,7 @@ def stream_call_rates(spark, sf):
     path = scratch_path(spark, "calls_landing")
     calls.repartition(3, F.col("ts")).write.parquet(path)       # each file has calls of all times
     win = sm.call_rate_windows(_stream(spark, path))
-    out = sm.upsert_log(win, scratch_path(spark, "stream_rates"), scratch_path(spark, "ckpt_rates"))
+    out = sm.upsert_log(win, scratch_path(spark, "stream_rates"), scratch_path(spark, "ckpt_rates"), keys=["agent", "window_start"])
     return sm.latest_rows(spark, out, ["agent", "window_start"])
 
 

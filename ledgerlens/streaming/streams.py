@@ -183,19 +183,36 @@ def current_flags(spark: SparkSession, flags_path: str) -> DataFrame:
     return spark.read.parquet(f"{flags_path}/flags").join(F.broadcast(last), ["current_month", "batch"]).drop("batch")
 
 
-def upsert_log(df: DataFrame, path: str, checkpoint: str) -> str:
-    """Update-mode sink: every micro-batch's changed rows are appended with
-    their batch id; ``latest_rows`` reads the current state back.  A batch
-    replayed after a failure appends identical rows, so reads stay exact."""
+def upsert_log(df: DataFrame, path: str, checkpoint: str, keys: list[str] | None = None, fold_every: int = 20) -> str:
+    """Update-mode sink: every micro-batch's changed rows are stored under
+    its number; ``latest_rows`` reads the current state back.  A batch replayed
+    after a failure replaces its own rows.
+
+    With ``keys`` the log is folded every ``fold_every`` batches: the latest
+    row of each key becomes a snapshot, and reads take the last snapshot and
+    the batches behind it, so they do not grow with the number of batches."""
     def each(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("_batch", F.lit(epoch)).write.mode("append").parquet(path)
+        st.write_by(batch.withColumn("_batch", F.lit(epoch)), "_batch", f"{path}/log", mode="overwrite", dynamic=True)
+        if keys and epoch and epoch % fold_every == 0:
+            whole = latest_rows(batch.sparkSession, path, keys)
+            st.write_by(whole.withColumn("_batch", F.lit(epoch)), "_batch", f"{path}/snapshots", mode="overwrite", dynamic=True)
     run_available(df.writeStream.outputMode("update").foreachBatch(each), checkpoint)
     return path
 
 
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    """The last snapshot of an upsert log, and the batches behind it."""
+    log = spark.read.parquet(f"{path}/log")
+    if not st.table_exists(spark, f"{path}/snapshots"):
+        return log
+    snapshots = spark.read.parquet(f"{path}/snapshots")
+    last = snapshots.agg(F.max("_batch")).first()[0]
+    return snapshots.where(F.col("_batch") == last).unionByName(log.where(F.col("_batch") > last))
+
+
 def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Latest version of every key in an upsert log (aggregate, skew-safe)."""
-    log = spark.read.parquet(path)
+    log = _versions(spark, path)
     rest = [c for c in log.columns if c not in keys and c != "_batch"]
     return (log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("_batch")).alias("_r"))
             .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]))

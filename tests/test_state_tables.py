@@ -142,3 +142,17 @@ def test_csv_stream_keeps_bad_rows(spark, tmp_path):
     assert {r.transaction_id: str(r.amount) for r in spark.read.parquet(f"{base}/ledger").collect()} == {"1": "5.00", "4": "7.00"}
     bad = {r.transaction_id: r.broken_rules for r in st.stored_rows(spark, f"{base}/ingest/ledger", "bad").collect()}
     assert bad == {"2": ["non_numeric_amount"], "3": ["malformed_line", "null_amount"]}
+
+
+def test_upsert_log_is_folded(spark):
+    land, out, ck = (scratch_path(spark, f"t_fold_{x}") for x in ("land", "out", "ck"))
+    rows = []
+    for k in range(5):
+        part = [(f"{k}-{j}", "AB"[j % 2], f"2025-0{1 + (j + k) % 3}-10", 10 * k + j) for j in range(6)]
+        rows += part
+        ledger_rows(spark, part).write.mode("append").parquet(land)
+        sm.upsert_log(sm.monthly_balances_stream(sm.stream_from_table(spark, land)), out, ck, keys=["gl_account_id", "month_ts"], fold_every=2)
+    got = {(r.gl_account_id, r.month_ts.date()): str(r.net_balance) for r in sm.latest_rows(spark, out, ["gl_account_id", "month_ts"]).collect()}
+    assert got == {(r.gl_account_id, r.month): str(r.net_balance) for r in bal.monthly_balances(ledger_rows(spark, rows)).collect()}
+    assert {r["_batch"] for r in spark.read.parquet(f"{out}/snapshots").select("_batch").distinct().collect()} == {2, 4}
+    assert sm._versions(spark, out).where("_batch < 4").count() == 0        # earlier batches are not read any more
