@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.text import slug
 from ..schemas import (CHUNK_OVERLAP, CHUNK_SIZE, HISTORY_QUERY_PREFIX, NO_DOCUMENTATION, RETRIEVAL_K,
                        SIMILAR_CASES_K)
+from ..session import materialize
 from .detect import real_text
 
 # --------------------------------------------------------------------------
@@ -378,6 +379,89 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = RETRIEVAL_K,
             .select(F.col("_qid").alias(query_id), F.col("_cid").alias(corpus_id), "rank", "similarity"))
 
 
+def _angles(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Angles between vectors (zero ones: nan) and centres of length one."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.arccos(np.clip(unit @ centres.T, -1.0, 1.0))
+
+
+def _matrix_of(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy().reshape(len(lists), -1)
+
+
+def _in_cells(centres: np.ndarray):
+    """(id, embedding) to (id, embedding, cell, angle): the nearest centre; zero vectors are left out."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a = _angles(_matrix_of(batch.column(1)), centres)
+            some = pa.array(np.flatnonzero(~np.isnan(a[:, 0])))
+            a = a[some.to_numpy()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(a.argmin(1).astype(np.int32)), pa.array(a.min(1))],
+                                             ["id", "embedding", "cell", "angle"])
+    return run
+
+
+def _open_cells(centres: np.ndarray, radius: np.ndarray):
+    """(id, embedding, cell, kth) to a row for each other cell that may hold a
+    vector at least as near as the k-th one found so far."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a = _angles(_matrix_of(batch.column(1)), centres)
+            # no vector of a cell is nearer than the angle to its centre less its radius
+            nearest = np.cos(np.maximum(a - radius[None, :] - 1e-7, 0.0))
+            kth = batch.column(3).fill_null(-2.0).to_numpy()
+            may = (nearest + 1e-6 >= kth[:, None]) & (radius >= 0)[None, :]
+            may[np.arange(len(may)), batch.column(2).to_numpy()] = False
+            i, j = np.nonzero(may)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(j.astype(np.int32))],
+                                             ["id", "embedding", "cell"])
+    return run
+
+
+def topk_pruned(queries: DataFrame, corpus: DataFrame, k: int = SIMILAR_CASES_K, query_id: str = "query_id", corpus_id: str = "chunk_id",
+                exclude_self: bool = False, cells: int = 256, block_size: int = 4096) -> DataFrame:
+    """Exact k nearest vectors as :func:`topk_similar` finds them without a
+    key, but a query meets only cells that can hold one of them.
+
+    Every vector belongs to the nearest of ``cells`` centres (corpus vectors
+    chosen by hash), and a cell has the radius of its farthest member.  A query
+    is searched in its own cell first; the k-th similarity found there rules
+    out every cell whose radius can't reach nearer.  Queries are shuffled to
+    the cells that are left.  Where vectors have no neighbourhoods nothing is
+    ruled out, and the work is that of :func:`topk_similar`."""
+    def side(df: DataFrame, id_col: str) -> DataFrame:
+        return df.where(F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    q, c = side(queries, query_id), side(corpus, corpus_id)
+    some = c.where(F.exists("embedding", lambda x: x != 0)).orderBy(F.xxhash64("id", "embedding")).limit(cells)     # cells x length numbers
+    centres = np.array([r.embedding for r in some.select("embedding").collect()], float)
+    if not len(centres):
+        return topk_similar(queries, corpus, k, None, query_id, corpus_id, exclude_self, block_size)
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    placed = f"id {c.schema['id'].dataType.simpleString()}, embedding array<double>, cell int, angle double"
+    c = materialize(c.mapInArrow(_in_cells(centres), placed))
+    q = materialize(q.mapInArrow(_in_cells(centres), placed.replace(placed.split(",")[0], f"id {q.schema['id'].dataType.simpleString()}", 1)))
+    radius = np.full(len(centres), -1.0)
+    for r in c.groupBy("cell").agg(F.max("angle").alias("far")).collect():         # cells rows
+        radius[r.cell] = r.far
+    c = c.select(F.col("id").alias("_c"), "embedding", "cell")
+
+    def search(rows: DataFrame) -> DataFrame:
+        return topk_similar(rows.select(F.col("id").alias("_q"), "embedding", "cell"), c, k, "cell", "_q", "_c", exclude_self, block_size)
+    own = materialize(search(q))
+    kth = own.where(F.col("rank") == k).select(F.col("_q").alias("id"), F.col("similarity").alias("kth"))
+    others = q.join(kth, "id", "left").select("id", "embedding", "cell", "kth").mapInArrow(
+        _open_cells(centres, radius), f"id {q.schema['id'].dataType.simpleString()}, embedding array<double>, cell int")
+    found = own.unionByName(search(others)).select("_q", "_c", "similarity").distinct()
+    w = Window.partitionBy("_q").orderBy(F.col("similarity").desc(), F.col("_c"))
+    return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select(F.col("_q").alias(query_id), F.col("_c").alias(corpus_id), "rank", "similarity"))
+
+
 # --------------------------------------------------------------------------
 # Approximate search: an index of random projections
 # --------------------------------------------------------------------------
@@ -507,8 +591,7 @@ def similar_past_anomalies(flags: DataFrame, chunks: DataFrame, k: int = SIMILAR
     the history prefix and no account filter (all accounts' chunks)."""
     q = retrieval_queries(flags).withColumn("query_text", F.concat(F.lit(HISTORY_QUERY_PREFIX), F.col("query_text")))
     q, c = _embedded(q, chunks, dim, embed)
-    return topk_similar(q.select(F.col("anomaly_id").alias("query_id"), "embedding"),
-                        c.select("chunk_id", "embedding"), k=k)
+    return topk_pruned(q.select(F.col("anomaly_id").alias("query_id"), "embedding"), c.select("chunk_id", "embedding"), k=k)
 
 
 def attach_context(flags: DataFrame, context: DataFrame) -> tuple[DataFrame, DataFrame]:

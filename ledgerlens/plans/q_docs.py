@@ -201,11 +201,9 @@ def topk_docs(spark, sf):
 
 @register("similar_past_anomalies", TOPK_SQL.format(on="TRUE", k=5))
 def similar_past_anomalies(spark, sf):
-    """5 nearest vectors with no key filter."""
-    e = ad.table(spark, sf, "embeddings")
-    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
-    c = e.select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return dc.topk_similar(q, c, k=5, exclude_self=True, block_size=128)
+    """5 nearest vectors with no key filter, in the cells that can hold them."""
+    q, c = (x.drop("label") for x in _labelled(spark, sf))
+    return dc.topk_pruned(q, c, k=5, exclude_self=True, cells=40)
 
 
 @register("context_rollup", "WITH hits AS (" + TOPK_SQL.format(on="q.label = c.label", k=3) + """),

@@ -125,3 +125,27 @@ def test_topk_over_small_blocks_and_ties(spark):
     small = sorted(map(tuple, dc.topk_similar(q, c, k=4, key="key", exclude_self=True, block_size=7).collect()))
     assert small == sorted(map(tuple, dc.topk_similar(q, c, k=4, key="key", exclude_self=True).collect()))
     assert [x[1] for x in small if x[0] == 0] == [4, 8, 12, 16] and not [x for x in small if x[0] == 100]
+
+
+@pytest.mark.parametrize("cells", [1, 7, 40])
+def test_pruned_search_is_exact(spark, cells):
+    rows = clustered(900, 16, 2) + [(5000 + k, [1.0] * 16, 0) for k in range(30)]          # ties
+    c = spark.createDataFrame([*rows, (9000, [0.0] * 16, 0), (9001, None, 1)], "chunk_id long, embedding array<double>, label int").repartition(4)
+    q = c.where("chunk_id % 7 = 0 OR chunk_id >= 5000").withColumnRenamed("chunk_id", "query_id")
+    got = sorted(map(tuple, dc.topk_pruned(q, c, k=4, exclude_self=True, cells=cells, block_size=50).collect()))
+    assert got == sorted(map(tuple, dc.topk_similar(q, c, k=4, exclude_self=True).collect()))
+    few = c.limit(2)
+    assert sorted(map(tuple, dc.topk_pruned(q, few, k=4).collect())) == sorted(map(tuple, dc.topk_similar(q, few, k=4).collect()))
+    assert dc.topk_pruned(q, c.limit(0), k=4).count() == 0
+
+
+def test_cells_are_ruled_out():
+    r = np.random.default_rng(3)
+    centres = np.eye(8)
+    radius = np.full(8, 0.2)
+    q = centres[2] + 0.01 * r.normal(size=8)
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([list(q)]), pa.array([2], pa.int32()), pa.array([0.9])], ["id", "embedding", "cell", "kth"])
+    assert next(dc._open_cells(centres, radius)([batch])).num_rows == 0
+    unknown = batch.set_column(3, "kth", pa.array([None], pa.float64()))
+    assert next(dc._open_cells(centres, radius)([unknown])).num_rows == 7
