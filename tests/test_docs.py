@@ -15,14 +15,15 @@ def test_fixed_chunks_boundaries(spark):
     assert [r["chunk_start"] for r in last] == [0, 450, 900] and len(last[-1]["chunk_text"]) == 51
 
 
-def test_recursive_splitter():
-    text = ("Para one. " * 30).strip() + "\n\n" + ("Second para words " * 40).strip()
-    chunks = dc._split_recursive(text, 500, 50)
-    assert all(len(c) <= 500 for c in chunks) and len(chunks) >= 2
-    assert dc._split_recursive("", 500, 50) == []
-    assert dc._split_recursive("short", 500, 50) == ["short"]
-    long_word = "x" * 1200
-    assert [len(c) for c in dc._split_recursive(long_word, 500, 50)][0] == 500
+def test_recursive_splitter(spark):
+    texts = [("Para one. " * 30).strip() + "\n\n" + ("Second para words " * 40).strip(), "", "short", "x" * 1200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for r in dc.chunk_recursive(df).orderBy("doc_id", "chunk_no").collect():
+        got.setdefault(r.doc_id, []).append(r.chunk_text)
+    assert all(len(c) <= 500 for c in got[0]) and len(got[0]) >= 2
+    assert 1 not in got and got[2] == ["short"]
+    assert [len(c) for c in got[3]] == [500, 500, 300]
 
 
 def test_scan_docs_account_id(spark, tmp_path):

@@ -112,26 +112,29 @@ def test_distributed_row_numbers_match_window(spark, rows, parts):
     assert got == exp
 
 
-@settings(max_examples=40, deadline=None)
-@given(st_.lists(st_.tuples(st_.text(alphabet="abcdefghij", min_size=1, max_size=30),
-                            st_.sampled_from([" ", " ", " ", "\n", "\n\n"])), min_size=0, max_size=200),
+@settings(max_examples=6, deadline=None)
+@given(st_.lists(st_.lists(st_.tuples(st_.text(alphabet="abcdefghij", min_size=1, max_size=30),
+                                      st_.sampled_from([" ", " ", " ", "\n", "\n\n"])), min_size=0, max_size=200), min_size=1, max_size=20),
        st_.sampled_from([(100, 10), (500, 50), (60, 0)]))
-def test_recursive_chunks_cover_text_in_order(parts, sizes):
-    from ledgerlens.operators.docs import _split_recursive
+def test_recursive_chunks_cover_text_in_order(spark, docs, sizes):
+    from ledgerlens.operators.docs import chunk_recursive
     size, overlap = sizes
-    text = "".join(w + sep for w, sep in parts)
-    chunks = _split_recursive(text, size, overlap)
-    assert all(0 < len(c) <= size for c in chunks)
-    words = text.split()
-    # every word is inside some chunk (a word longer than size is split by characters)
-    joined = " ".join(chunks)
-    assert all(w in joined for w in words if len(w) <= size)
-    # chunks follow the text: each chunk's first word occurs at or after the previous chunk's
-    pos = 0
-    for c in chunks:
-        i = text.find(c.split()[0], pos if pos < len(text) else 0)
-        assert i >= 0
-        pos = i
+    texts = ["".join(w + sep for w, sep in parts) for parts in docs]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {k: [] for k in range(len(texts))}
+    for r in chunk_recursive(df, size, overlap).orderBy("doc_id", "chunk_no").collect():
+        got[r.doc_id].append(r.chunk_text)
+    for k, text in enumerate(texts):
+        chunks = got[k]
+        assert all(0 < len(c) <= size for c in chunks)
+        joined = " ".join(chunks)
+        assert all(w in joined for w in text.split() if len(w) <= size)
+        # chunks follow the text: each chunk's first word occurs at or after the previous chunk's
+        pos = 0
+        for c in chunks:
+            i = text.find(c.split()[0], pos if pos < len(text) else 0)
+            assert i >= 0
+            pos = i
 
 
 def test_checkpointed_rollup_same_result(spark):
