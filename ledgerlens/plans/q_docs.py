@@ -346,7 +346,7 @@ def topk_docs_lsh(spark, sf):
 
 
 @register("topk_docs_lsh_recall", """
-SELECT label, sum(least(n - 1, 3)) * 1.0 AS wanted, TRUE AS recall_at_least_90, TRUE AS similarities_exact
+SELECT label, CAST(sum(least(n - 1, 3)) AS DOUBLE) AS wanted, TRUE AS recall_at_least_90, TRUE AS similarities_exact
 FROM (SELECT label, count(*) OVER (PARTITION BY label) AS n FROM embeddings) GROUP BY label""")
 def topk_docs_lsh_recall(spark, sf):
     """Per label: how many neighbours the exact search finds, whether the
