@@ -10,9 +10,9 @@ away, it is taken out of its other cells, and so on, until the digests that
 differ are all known.  The likeness of two texts is the number of common
 digests over the number of all.
 
-Each third of a table has a power of two of cells, so a table can be folded to
-any smaller size: two fingerprints are compared at the size of the smaller
-one.  A text's table is as large as it takes to peel it by itself (it is made
+Each third of a table has a power of two of cells, or three times one, so a
+table can be folded to smaller ones: two fingerprints are compared at the
+largest size that both fold to.  A text's table is as large as it takes to peel it by itself (it is made
 twice as large until it does), so where a difference is too large for the
 common size, its digests are read out of the fingerprint and the comparison is
 made again in a larger table.  So any two stored fingerprints can be compared,
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import struct
 
 import numpy as np
@@ -42,11 +43,11 @@ from pyspark.sql import functions as F
 
 from .textnum import Texts, mix, span_hashes
 
-CELLS = 24          # the least number of a table; three times a power of two
+CELLS = 24          # the least number of a table
 LOAD = 1.5          # cells for a digest, to begin with
 GROUP_CHARS = 1_500_000
 LONGEST = 8         # words of a unit
-_CELL = np.dtype([("count", "<i4"), ("sum", "<u8"), ("check", "<u4")])
+_CELL = np.dtype([("count", "i1"), ("sum", "<u8"), ("check", "<u2")])
 
 
 def unit_digests(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -74,19 +75,20 @@ def unit_digests(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _check(keys: np.ndarray) -> np.ndarray:
-    return mix(keys + np.uint64(0xA5A5A5A5)).astype(np.uint32)
+    return mix(keys + np.uint64(0xA5A5A5A5)).astype(np.uint16)
 
 
 def _places(keys: np.ndarray, cells: int) -> list[np.ndarray]:
-    """One cell in each third; a smaller table's cell has the low bits of it."""
+    """One cell in each third: a remainder, so that of a table it folds to follows from it."""
     third = cells // 3
-    return [j * third + (mix(keys ^ np.uint64(j + 1)) & np.uint64(third - 1)).astype(np.int64) for j in range(3)]
+    return [j * third + (mix(keys ^ np.uint64(j + 1)) % np.uint64(third)).astype(np.int64) for j in range(3)]
 
 
 def cells_for(n: np.ndarray) -> np.ndarray:
     """Cells of the first table that is tried for n digests."""
     third = np.maximum(CELLS // 3, np.ceil((LOAD * np.asarray(n) + 12) / 3)).astype(np.int64)
-    return 3 * (1 << np.ceil(np.log2(third)).astype(np.int64))
+    power = 1 << np.ceil(np.log2(third)).astype(np.int64)
+    return 3 * np.where(third <= power // 4 * 3, power // 4 * 3, power)
 
 
 class Tables:
@@ -96,11 +98,11 @@ class Tables:
         self.n, self.cells = n, cells
         self.count = np.zeros(n * cells, np.int64)
         self.sum = np.zeros(n * cells, np.uint64)
-        self.check = np.zeros(n * cells, np.uint32)
+        self.check = np.zeros(n * cells, np.uint16)
 
     def add(self, owner: np.ndarray, keys: np.ndarray, sign: np.ndarray | int = 1) -> None:
         sign = np.broadcast_to(np.asarray(sign, np.int64), keys.shape)
-        s, c = keys * sign.astype(np.uint64), _check(keys) * sign.astype(np.uint32)
+        s, c = keys * sign.astype(np.uint64), _check(keys) * sign.astype(np.uint16)
         for p in _places(keys, self.cells):
             at = owner * self.cells + p
             np.add.at(self.count, at, sign)
@@ -115,7 +117,7 @@ class Tables:
         while len(at):
             sign = self.count[at]
             keys = self.sum[at] * sign.astype(np.uint64)
-            single = (np.abs(sign) == 1) & (_check(keys) * sign.astype(np.uint32) == self.check[at])
+            single = (np.abs(sign) == 1) & (_check(keys) * sign.astype(np.uint16) == self.check[at])
             at, sign, keys = at[single], sign[single], keys[single]
             owner = at // self.cells
             _, first = np.unique(mix(keys) + owner.astype(np.uint64), return_index=True)
@@ -164,7 +166,7 @@ def compare(a: str, b: str) -> tuple[float, list[int], list[int]]:
     """Likeness of two fingerprints, and the digests only in the first and
     only in the second."""
     (one, n_one), (two, n_two) = Tables.of_text(a), Tables.of_text(b)
-    cells = min(one.cells, two.cells)
+    cells = math.gcd(one.cells, two.cells)
     x, y = one.folded(cells), two.folded(cells)
     x.count -= y.count
     x.sum -= y.sum
@@ -216,7 +218,8 @@ def fingerprints_of(texts: tuple[np.ndarray, np.ndarray], n: int) -> tuple[list[
         for cells, some in _by_size(sizes, todo):
             t = _filled(some, cells, [(texts, some, 1)])
             prints = t.as_text(count[some])
-            done = t.peel()[3]
+            fits = (np.abs(t.count) < 128).reshape(len(some), cells).all(1)
+            done = t.peel()[3] & fits
             for k in np.flatnonzero(done).tolist():
                 out[some[k]] = prints[k]
             stuck.append(some[~done])
@@ -261,8 +264,8 @@ def _fingerprint_group(ids: list, texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array(ids, pa.int64()), pa.array([len(t) for t in texts[:n]], pa.int64()),
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array(prints[:n]), pa.array(new_prints),
-        pa.array(likenesses(own, new, np.stack([k, k], 1), np.minimum(sizes[:n], new_sizes))),
-        pa.array(likenesses(own, own, np.stack([k, k + 1], 1), np.minimum(sizes[:-1], sizes[1:])))],
+        pa.array(likenesses(own, new, np.stack([k, k], 1), np.gcd(sizes[:n], new_sizes))),
+        pa.array(likenesses(own, own, np.stack([k, k + 1], 1), np.gcd(sizes[:-1], sizes[1:])))],
         ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
