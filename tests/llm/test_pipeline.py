@@ -72,3 +72,16 @@ def test_mixing_takes_good_documents_before_poor_ones_of_the_same_kind(spark, tm
     copies, label = Counter(r.doc_id for r in cp.mix(spark, docs, str(tmp_path)).collect()), {k: q for k, q, _ in marks}
     mean = {q: sum(copies[k] for k in range(1500) if label.get(k) == q) / sum(label.get(k) == q for k in range(1500)) for q in (0, None, 1)}
     assert mean[0] + 0.05 < mean[None] < mean[1] - 0.05
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """Also two rows that differ in their language alone are judged apart."""
+    from pyspark.sql import functions as F
+    sf = "/root/testdata/sf0.001"
+    names = ["__tie", "__id", "row", "id", "tie", "stratum", "r_id", "k_id"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).select("*", *[(F.col("doc_id") * 10 + k).alias(n) for k, n in enumerate(names)])
+    for stage in (cp.keep_good, cp.one_of_each_group):
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all([r[n] for n in names] == [r.doc_id * 10 + k for k, n in enumerate(names)] for r in rows)
