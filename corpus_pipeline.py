@@ -22,14 +22,20 @@ from ledgerlens.llm import mixing, ngram_join, packing, q_native, q_texts, q_tok
 from ledgerlens.llm.common import stored, table
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each document as one value, so its column names can't clash, beside what it is found again by."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"),
+                       F.xxhash64("text").alias("tie"), F.col("lang").alias("stratum"))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Only the documents to be dropped are joined with the texts by id; a
-    document is found again by its id and the hash of its text."""
-    tied = docs.withColumn("__tie", F.xxhash64("text"))
-    rejected = q_texts.judged(spark, sf_dir, tied, ("doc_id", "lang", "__tie")).where(~F.col("kept")).select(
-        F.col("doc_id").alias("__id"), F.col("__tie").alias("__other")).distinct()
-    return tied.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__other")),
-                     "left_anti").select(*docs.columns)
+    document is found again by its id, its language and the hash of its text."""
+    narrow = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("tie"))
+    rejected = q_texts.judged(spark, sf_dir, narrow, ("doc_id", "lang", "tie")).where(~F.col("kept")).select(
+        F.col("doc_id").alias("r_id"), F.col("tie").alias("r_tie"), F.col("lang").alias("r_stratum")).distinct()
+    return _rows(docs).join(rejected, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("tie") == F.col("r_tie"))
+                            & F.col("stratum").eqNullSafe(F.col("r_stratum")), "left_anti").select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +44,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     alone = F.col("set_id").isNull()
     keep = groups.groupBy("set_id", F.when(alone, F.col("doc_id")), F.when(alone, F.col("tie"))).agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first"))
-    keep = keep.select(F.col("first.doc_id").alias("__id"), F.col("first.tie").alias("__other"))
-    tied = docs.withColumn("__tie", F.xxhash64("text"))
-    kept = tied.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__other")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__tie"]).select(*docs.columns)
+    keep = keep.select(F.col("first.doc_id").alias("k_id"), F.col("first.tie").alias("k_tie"))
+    kept = _rows(docs).join(keep, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie")), "left_semi")
+    return kept.dropDuplicates(["id", "tie"]).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
