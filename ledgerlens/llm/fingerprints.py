@@ -47,7 +47,9 @@ CELLS = 24          # the least number of a table
 LOAD = 1.5          # cells for a digest, to begin with
 GROUP_CHARS = 1_500_000
 LONGEST = 8         # words of a unit
-_CELL = np.dtype([("count", "i1"), ("sum", "<u8"), ("check", "<u2")])
+_CELL = np.dtype([("count", "i1"), ("sum", "<u8"), ("check", "<u4")])
+#: rounds of peeling; few tables need fifty, but a cell taken for a single one by mistake could go on for ever
+ROUNDS = 1000
 
 
 def unit_digests(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +77,7 @@ def unit_digests(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _check(keys: np.ndarray) -> np.ndarray:
-    return mix(keys + np.uint64(0xA5A5A5A5)).astype(np.uint16)
+    return mix(keys + np.uint64(0xA5A5A5A5)).astype(np.uint32)
 
 
 def _places(keys: np.ndarray, cells: int) -> list[np.ndarray]:
@@ -98,11 +100,11 @@ class Tables:
         self.n, self.cells = n, cells
         self.count = np.zeros(n * cells, np.int64)
         self.sum = np.zeros(n * cells, np.uint64)
-        self.check = np.zeros(n * cells, np.uint16)
+        self.check = np.zeros(n * cells, np.uint32)
 
     def add(self, owner: np.ndarray, keys: np.ndarray, sign: np.ndarray | int = 1) -> None:
         sign = np.broadcast_to(np.asarray(sign, np.int64), keys.shape)
-        s, c = keys * sign.astype(np.uint64), _check(keys) * sign.astype(np.uint16)
+        s, c = keys * sign.astype(np.uint64), _check(keys) * sign.astype(np.uint32)
         for p in _places(keys, self.cells):
             at = owner * self.cells + p
             np.add.at(self.count, at, sign)
@@ -114,10 +116,12 @@ class Tables:
         +1 or -1, and which tables are empty then."""
         found: list[tuple] = []
         at = np.flatnonzero(np.abs(self.count) == 1)
-        while len(at):
+        for _ in range(ROUNDS):
+            if not len(at):
+                break
             sign = self.count[at]
             keys = self.sum[at] * sign.astype(np.uint64)
-            single = (np.abs(sign) == 1) & (_check(keys) * sign.astype(np.uint16) == self.check[at])
+            single = (np.abs(sign) == 1) & (_check(keys) * sign.astype(np.uint32) == self.check[at])
             at, sign, keys = at[single], sign[single], keys[single]
             owner = at // self.cells
             _, first = np.unique(mix(keys) + owner.astype(np.uint64), return_index=True)
