@@ -4,6 +4,7 @@ top-k similarity search, and retrieval context for flagged anomalies."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -295,6 +296,24 @@ def _blocked(df: DataFrame, id_col: str, key: str | None, own: Column, other: Co
     return groups.withColumn(met, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
 
 
+#: fixed values: a key's vectors are cut for at most so many pairs of blocks, and into blocks of at most so many vectors
+MOST_PAIRS, MOST_VECTORS = 64, 32768
+
+
+def _n_blocks(nq: Column, nc: Column, block_size: int) -> tuple[Column, Column]:
+    """Into how many blocks the ``nq`` queries and ``nc`` corpus vectors of a
+    key are cut.  Pairs of ``block_size`` vectors each, but not more than
+    ``MOST_PAIRS``, with the larger side cut into more blocks: a vector is
+    copied once for each block of the other side, so copies grow with the
+    vectors, not with their square.  No block exceeds ``MOST_VECTORS``."""
+    def cut(n: Column, size: int) -> Column:
+        return F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("long")
+    pairs = F.least(cut(nq, block_size) * cut(nc, block_size), F.lit(MOST_PAIRS))
+    wanted = F.round(F.sqrt(pairs * nq / F.greatest(nc, F.lit(1)))).cast("long")
+    q = F.greatest(cut(nq, MOST_VECTORS), F.least(pairs, F.greatest(wanted, F.lit(1))))
+    return q, F.greatest(cut(nc, MOST_VECTORS), F.floor(pairs / q).cast("long"))
+
+
 def _ids_and_matrix(block: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
     """Ids in ascending order and their vectors, from the values buffer."""
     order = pc.sort_indices(block.field(0))
@@ -302,35 +321,82 @@ def _ids_and_matrix(block: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
     sizes = np.diff(v.offsets.to_numpy())
     if len(sizes) and (sizes != sizes[0]).any():
         raise ValueError("vectors of one search must have the same length")
-    return ids, v.flatten().to_numpy().reshape(len(ids), -1)
+    return ids, v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+
+
+#: fixed values: so many queries and corpus vectors are compared at a time, and so many of the latter at first
+TILE, FIRST = (512, 2048), 256
+
+
+def _nearest(qm: np.ndarray, cm: np.ndarray, k: int, qcode: np.ndarray | None = None,
+             ccode: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, corpus, similarity): every query's ``k`` nearest corpus rows by
+    cosine rounded to 6 decimals, ties by the smaller row; pairs of one code
+    and vectors without a direction are left out.
+
+    Tile by tile: a product of unit vectors in single precision, whose error is
+    less than ``slack``, tells which pairs can beat the k-th one found so far,
+    and only those are worked out in double precision."""
+    qn, cn = np.linalg.norm(qm, axis=1), np.linalg.norm(cm, axis=1)
+    qrow, crow = (np.flatnonzero(np.isfinite(n) & (n > 0)) for n in (qn, cn))
+    qu, cu = ((m[r] / n[r, None]).astype(np.float32) for m, n, r in ((qm, qn, qrow), (cm, cn, crow)))
+    slack = (qm.shape[1] + 8) * 2.0 ** -23 + 1e-6
+    own = 0 if ccode is None or not len(ccode) else int(np.bincount(ccode).max())       # so many of a query's nearest can be itself
+    cuts = [0, *range(FIRST, len(crow), TILE[1]), len(crow)] if len(crow) else []
+    out = []
+    for a in range(0, len(qrow), TILE[0]):
+        rows = qrow[a:a + TILE[0]]
+        best, at = np.full((len(rows), k), -np.inf), np.full((len(rows), k), -1)
+        for b, end in pairwise(cuts):
+            near = qu[a:a + TILE[0]] @ cu[b:end].T
+            kth = best[:, -1]
+            bound = kth - slack
+            if np.isinf(kth).any() and k + own < near.shape[1]:
+                bound = np.maximum(bound, np.partition(near, near.shape[1] - k - own, axis=1)[:, -k - own] - 2 * slack)
+            bound[kth >= 1.0] = np.inf           # nothing is nearer, and later rows lose ties
+            i, j = np.nonzero(near >= bound[:, None])
+            j = crow[b + j]
+            if ccode is not None:
+                other = qcode[rows[i]] != ccode[j]
+                i, j = i[other], j[other]
+            sims = np.empty(len(i))
+            for lo in range(0, len(i), 32768):
+                x, y = rows[i[lo:lo + 32768]], j[lo:lo + 32768]
+                with np.errstate(all="ignore"):
+                    sims[lo:lo + 32768] = np.round(np.einsum("ij,ij->i", qm[x], cm[y]) / (qn[x] * cn[y]), 6)
+            better = np.isfinite(sims) & (sims > kth[i])
+            i, j, sims = i[better], j[better], sims[better]
+            if not len(i):
+                continue
+            some = np.unique(i)
+            held = at[some] >= 0
+            i, j, sims = (np.concatenate(x) for x in ((np.repeat(some, held.sum(1)), i), (at[some][held], j), (best[some][held], sims)))
+            order = np.lexsort((j, -sims, i))
+            i, j, sims = i[order], j[order], sims[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, sims, rank = (x[rank < k] for x in (i, j, sims, rank))
+            best[i, rank], at[i, rank] = sims, j
+        i, r = np.nonzero(at >= 0)
+        out.append((rows[i], at[i, r], best[i, r]))
+    if not out:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _best_pairs(k: int, exclude_self: bool):
     """Of each pair of a query block and a corpus block: every query's ``k``
     nearest corpus vectors (ties by the smaller id)."""
-    def pair(qs: pa.StructArray, cs: pa.StructArray) -> pa.RecordBatch:
-        (qids, qm), (cids, cm) = _ids_and_matrix(qs), _ids_and_matrix(cs)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            sims = np.round((qm @ cm.T) / np.outer(np.linalg.norm(qm, axis=1), np.linalg.norm(cm, axis=1)), 6)
-        valid = np.isfinite(sims)
-        if exclude_self:
-            code = pa.concat_arrays([qids, cids]).dictionary_encode().indices.to_numpy()
-            valid &= code[:len(qids), None] != code[None, len(qids):]
-        sims[~valid] = -np.inf
-        n = min(k, sims.shape[1])
-        least = np.partition(sims, sims.shape[1] - n, axis=1)[:, -n]
-        i, j = np.nonzero((sims >= least[:, None]) & valid)
-        order = np.lexsort((j, -sims[i, j], i))
-        i, j = i[order], j[order]
-        first = np.searchsorted(i, np.arange(len(qids)))
-        keep = np.arange(len(i)) - first[i] < k
-        i, j = i[keep], j[keep]
-        return pa.RecordBatch.from_arrays([qids.take(pa.array(i)), cids.take(pa.array(j)), pa.array(sims[i, j])], ["_qid", "_cid", "similarity"])
-
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                yield pair(batch.column(0)[r].values, batch.column(1)[r].values)
+    def run(pairs: pa.Table) -> pa.Table:
+        out = []
+        for r in range(pairs.num_rows):
+            (qids, qm), (cids, cm) = (_ids_and_matrix(pairs.column(x)[r].values) for x in ("_q", "_c"))
+            codes = ()
+            if exclude_self:
+                code = pa.concat_arrays([qids, cids]).dictionary_encode().indices.to_numpy()
+                codes = code[:len(qids)], code[len(qids):]
+            i, j, sims = _nearest(qm, cm, k, *codes)
+            out.append(pa.Table.from_arrays([qids.take(pa.array(i)), cids.take(pa.array(j)), pa.array(sims)], ["_qid", "_cid", "similarity"]))
+        return pa.concat_tables(out)
     return run
 
 
@@ -342,38 +408,38 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = RETRIEVAL_K,
 
     Plan: queries and corpus are cut into blocks per key; each (query
     block, corpus block) pair meets once, under a shuffle key of its own, so
-    the pairs of a hot key spread over all tasks; a numpy matrix product
-    yields each query's best ``k`` in that block; a final top-k per query
+    the pairs of a hot key spread over all tasks; matrix products
+    yield each query's best ``k`` in that block; a final top-k per query
     over its block winners (``k`` x blocks rows) gives the exact answer.  No
-    row per pair is ever materialised, and no block grows with the key's
-    size; a block of vectors is shuffled once for each block it meets, so
-    larger blocks move less.  An id that the corpus has several times (one
+    row per pair is ever materialised, and a Python worker holds one pair of
+    blocks at a time.  A block of vectors is shuffled once for each block it
+    meets, see :func:`_n_blocks`.  An id that the corpus has several times (one
     vector in several cells of an index) counts once.  Null vectors take no
     part.  Ties are broken by the smaller corpus id.  Output: query id, corpus
     id, rank (1 = nearest), similarity rounded to 6 decimals.
     """
     def side(df: DataFrame, id_col: str, name: str) -> DataFrame:
-        return df.where(F.col("embedding").isNotNull()).select(
-            F.col(id_col).alias(name), F.col("embedding").cast("array<double>").alias("embedding"), *([key] if key else []))
+        kept = df.schema["embedding"].dataType.simpleString()
+        v = F.col("embedding").cast(kept if kept == "array<float>" else "array<double>")     # half the bytes, the same numbers
+        return df.where(F.col("embedding").isNotNull()).select(F.col(id_col).alias(name), v.alias("embedding"), *([key] if key else []))
     q, c = side(queries, query_id, "_qid"), side(corpus, corpus_id, "_cid")
 
-    def n_blocks(count):
-        return F.greatest(F.lit(1), F.ceil(count / F.lit(block_size))).cast("long")
-
     if key:
         both = q.select(key, F.lit(1).alias("_q1"), F.lit(0).alias("_c1")).unionByName(
             c.select(key, F.lit(0).alias("_q1"), F.lit(1).alias("_c1")))
-        sizes = both.groupBy(key).agg(n_blocks(F.sum("_q1")).alias("_nq"), n_blocks(F.sum("_c1")).alias("_nc"))
+        nq, nc = _n_blocks(F.sum("_q1"), F.sum("_c1"), block_size)
+        sizes = both.groupBy(key).agg(nq.alias("_nq"), nc.alias("_nc"))
         q, c = q.join(sizes, key), c.join(sizes, key)
         nq, nc = F.col("_nq"), F.col("_nc")
     else:
-        nq, nc = (n_blocks(F.lit(d.count())) for d in (q, c))     # two numbers
+        nq, nc = _n_blocks(*(F.lit(d.count()) for d in (q, c)), block_size)     # two numbers
     pair = [*([key] if key else []), "_q_block", "_c_block"]
-    pairs = _blocked(q, "_qid", key, nq, nc, "q").join(_blocked(c, "_cid", key, nc, nq, "c"), pair).select("_q", "_c")
+    pairs = _blocked(q, "_qid", key, nq, nc, "q").join(_blocked(c, "_cid", key, nc, nq, "c"), pair)
     out_schema = T.StructType([T.StructField("_qid", queries.schema[query_id].dataType),
                                T.StructField("_cid", corpus.schema[corpus_id].dataType),
                                T.StructField("similarity", T.DoubleType())])
-    found = pairs.mapInArrow(_best_pairs(k, exclude_self), out_schema).distinct()
+    # grouped as they are dealt out already: a worker is given one pair at a time
+    found = pairs.groupBy(*pair).applyInArrow(_best_pairs(k, exclude_self), out_schema).distinct()
     w = Window.partitionBy("_qid").orderBy(F.col("similarity").desc(), F.col("_cid"))
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(F.col("_qid").alias(query_id), F.col("_cid").alias(corpus_id), "rank", "similarity"))

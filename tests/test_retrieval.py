@@ -149,3 +149,48 @@ def test_cells_are_ruled_out():
     assert next(dc._open_cells(centres, radius)([batch])).num_rows == 0
     unknown = batch.set_column(3, "kth", pa.array([None], pa.float64()))
     assert next(dc._open_cells(centres, radius)([unknown])).num_rows == 7
+
+
+def plain_nearest(qm, cm, k, qcode, ccode):
+    """Every pair worked out and sorted."""
+    out = []
+    for i, q in enumerate(qm):
+        with np.errstate(all="ignore"):
+            sims = np.round((cm @ q) / (np.linalg.norm(q) * np.linalg.norm(cm, axis=1)), 6)
+        some = [(-s, j) for j, s in enumerate(sims) if np.isfinite(s) and qcode[i] != ccode[j]]
+        out += [(i, j, -s) for s, j in sorted(some)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "copies"])
+def test_nearest_by_tiles_equals_brute_force(kind):
+    r = np.random.default_rng(5)
+    q, c = (r.normal(size=(n, 12)) if kind == "spread" else r.integers(-1, 2, size=(n, 12)).astype(float) for n in (600, 2600))
+    if kind == "copies":
+        c[r.random(2600) < 0.5], q[::3] = c[7], c[7]
+        q[1], c[3] = np.nan, 0.0
+    qcode, ccode = r.integers(0, 40, 600), r.integers(0, 40, 2600)
+    got = dc._nearest(q, c, 4, qcode, ccode)
+    assert [tuple(x) for x in zip(*(a.tolist() for a in got), strict=True)] == plain_nearest(q, c, 4, qcode, ccode)
+
+
+def test_copies_of_vectors_grow_with_their_number(spark):
+    """A vector is copied once for each block of the other side: so often at most, whatever the size of its key."""
+    sizes = [(1, 1), (63, 65), (200, 0), (0, 7), (1026, 1026), (10256, 10256), (61538, 61538), (15000, 600000), (600000, 15000)]
+    df = spark.createDataFrame(sizes, "nq long, nc long")
+    for size in (64, 4096):
+        nq, nc = dc._n_blocks(F.col("nq"), F.col("nc"), size)
+        for r in df.select("nq", "nc", nq.alias("bq"), nc.alias("bc")).collect():
+            assert r.bq >= 1 and r.bc >= 1 and r.nq <= r.bq * dc.MOST_VECTORS and r.nc <= r.bc * dc.MOST_VECTORS
+            assert r.nq * r.bc + r.nc * r.bq <= 20 * (r.nq + r.nc)
+    wide = dc._n_blocks(F.lit(10256), F.lit(10256), 64)
+    assert tuple(df.limit(1).select(*wide).first()) == (8, 8)          # a hot key is still spread over 64 tasks
+
+
+def test_a_worker_is_given_one_pair_of_blocks_at_a_time(spark):
+    c = spark.createDataFrame([(k, [1.0, float(k)], k % 2) for k in range(400)], "chunk_id long, embedding array<float>, label int")
+    found = dc.topk_similar(c.withColumnRenamed("chunk_id", "query_id"), c, k=2, key="label", exclude_self=True, block_size=8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "MapInArrow [" not in plan.replace("FlatMapGroupsInArrow", "")
+    # grouped where the pairs lie: the join's own exchanges, none between it and Python
+    assert "Exchange" not in plan.split("FlatMapGroupsInArrow")[1].split("Join")[0]
