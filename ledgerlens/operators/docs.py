@@ -285,6 +285,12 @@ def embed_with(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[s
 # --------------------------------------------------------------------------
 
 
+def _vector(df: DataFrame) -> Column:
+    """The embedding as it is if in single precision (half the bytes, the same numbers), else in double."""
+    kept = df.schema["embedding"].dataType.simpleString()
+    return F.col("embedding").cast(kept if kept == "array<float>" else "array<double>").alias("embedding")
+
+
 def _blocked(df: DataFrame, id_col: str, key: str | None, own: Column, other: Column, tag: str) -> DataFrame:
     """Vectors in blocks by hash of their id, once for each block of the
     other side that the block has to meet.  ``own`` and ``other`` are the
@@ -419,9 +425,7 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = RETRIEVAL_K,
     id, rank (1 = nearest), similarity rounded to 6 decimals.
     """
     def side(df: DataFrame, id_col: str, name: str) -> DataFrame:
-        kept = df.schema["embedding"].dataType.simpleString()
-        v = F.col("embedding").cast(kept if kept == "array<float>" else "array<double>")     # half the bytes, the same numbers
-        return df.where(F.col("embedding").isNotNull()).select(F.col(id_col).alias(name), v.alias("embedding"), *([key] if key else []))
+        return df.where(F.col("embedding").isNotNull()).select(F.col(id_col).alias(name), _vector(df), *([key] if key else []))
     q, c = side(queries, query_id, "_qid"), side(corpus, corpus_id, "_cid")
 
     if key:
@@ -453,7 +457,7 @@ def _angles(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _matrix_of(lists: pa.ListArray) -> np.ndarray:
-    return lists.flatten().to_numpy().reshape(len(lists), -1)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
 
 
 def _in_cells(centres: np.ndarray):
@@ -501,16 +505,15 @@ def topk_pruned(queries: DataFrame, corpus: DataFrame, k: int = SIMILAR_CASES_K,
     the cells that are left.  Where vectors have no neighbourhoods nothing is
     ruled out, and the work is that of :func:`topk_similar`."""
     def side(df: DataFrame, id_col: str) -> DataFrame:
-        return df.where(F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        return df.where(F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), _vector(df))
     q, c = side(queries, query_id), side(corpus, corpus_id)
     some = c.where(F.exists("embedding", lambda x: x != 0)).orderBy(F.xxhash64("id", "embedding")).limit(cells)     # cells x length numbers
     centres = np.array([r.embedding for r in some.select("embedding").collect()], float)
     if not len(centres):
         return topk_similar(queries, corpus, k, None, query_id, corpus_id, exclude_self, block_size)
     centres /= np.linalg.norm(centres, axis=1, keepdims=True)
-    placed = f"id {c.schema['id'].dataType.simpleString()}, embedding array<double>, cell int, angle double"
-    c = materialize(c.mapInArrow(_in_cells(centres), placed))
-    q = materialize(q.mapInArrow(_in_cells(centres), placed.replace(placed.split(",")[0], f"id {q.schema['id'].dataType.simpleString()}", 1)))
+    c, q = (materialize(d.mapInArrow(_in_cells(centres), T.StructType([*d.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])))
+            for d in (c, q))
     radius = np.full(len(centres), -1.0)
     for r in c.groupBy("cell").agg(F.max("angle").alias("far")).collect():         # cells rows
         radius[r.cell] = r.far
@@ -521,7 +524,7 @@ def topk_pruned(queries: DataFrame, corpus: DataFrame, k: int = SIMILAR_CASES_K,
     own = materialize(search(q))
     kth = own.where(F.col("rank") == k).select(F.col("_q").alias("id"), F.col("similarity").alias("kth"))
     others = q.join(kth, "id", "left").select("id", "embedding", "cell", "kth").mapInArrow(
-        _open_cells(centres, radius), f"id {q.schema['id'].dataType.simpleString()}, embedding array<double>, cell int")
+        _open_cells(centres, radius), q.select("id", "embedding", "cell").schema)
     found = own.unionByName(search(others)).select("_q", "_c", "similarity").distinct()
     w = Window.partitionBy("_q").orderBy(F.col("similarity").desc(), F.col("_c"))
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -536,8 +539,9 @@ def topk_pruned(queries: DataFrame, corpus: DataFrame, k: int = SIMILAR_CASES_K,
 def _cells(df: DataFrame, model: BucketedRandomProjectionLSHModel, tables: int) -> DataFrame:
     """Each row once per hash table, with ``table`` and ``cell``: the table's
     share of the model's projections, each rounded to a bucket, as one key."""
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.when(norm > 0, F.transform("embedding", lambda x: x / norm)).otherwise(F.col("embedding"))
+    v = F.col("embedding").cast("array<double>")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    unit = F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
     hashed = model.transform(df.withColumn("_unit", array_to_vector(unit)))
     per = model.getNumHashTables() // tables
     keys = [F.struct(F.lit(t).alias("table"), F.xxhash64(F.lit(t), *[
@@ -555,7 +559,7 @@ def build_lsh_index(corpus: DataFrame, path: str, corpus_id: str = "chunk_id", k
     the same cell of some table.  More tables find more, more projections or
     shorter buckets search fewer vectors.  A vector is stored once a table."""
     rows = corpus.where(F.col("embedding").isNotNull()).select(
-        F.col(corpus_id).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), *([F.col(key).alias("key")] if key else []))
+        F.col(corpus_id).alias("id"), _vector(corpus), *([F.col(key).alias("key")] if key else []))
     lsh = BucketedRandomProjectionLSH(inputCol="_unit", outputCol="_hashes", bucketLength=bucket, numHashTables=tables * projections, seed=seed)
     # the projections depend on the seed and the number of dimensions alone
     model = lsh.fit(rows.limit(1).withColumn("_unit", array_to_vector("embedding")))
@@ -576,11 +580,13 @@ def topk_docs_lsh(spark: SparkSession, queries: DataFrame, path: str, k: int = R
     if tables is None:
         tables = 0      # an empty index finds nothing
     q = queries.where(F.col("embedding").isNotNull()).select(
-        F.col(query_id).alias("_query"), F.col("embedding").cast("array<double>").alias("embedding"), *([F.col(key).alias("key")] if key else []))
+        F.col(query_id).alias("_query"), _vector(queries), *([F.col(key).alias("key")] if key else []))
     where = F.struct(*(["key"] if key else []), "table", "cell")
     c = index.select(F.col("id").alias("_id"), "embedding", where.alias("_place"))
+    # of one type, so that pairs are grouped as they were joined; the cells are spread already, so blocks are large
+    where = where.cast(c.schema["_place"].dataType)
     found = topk_similar(_cells(q, model, tables + 1).select("_query", "embedding", where.alias("_place")), c, k=k, key="_place",
-                         query_id="_query", corpus_id="_id", exclude_self=exclude_self)
+                         query_id="_query", corpus_id="_id", exclude_self=exclude_self, block_size=16384)
     return found.withColumnsRenamed({"_query": query_id, "_id": corpus_id})
 
 

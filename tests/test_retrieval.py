@@ -194,3 +194,22 @@ def test_a_worker_is_given_one_pair_of_blocks_at_a_time(spark):
     assert "FlatMapGroupsInArrow" in plan and "MapInArrow [" not in plan.replace("FlatMapGroupsInArrow", "")
     # grouped where the pairs lie: the join's own exchanges, none between it and Python
     assert "Exchange" not in plan.split("FlatMapGroupsInArrow")[1].split("Join")[0]
+
+
+def test_index_keeps_single_precision_and_joins_once(spark):
+    """Vectors are stored as they come, and pairs go to Python as they were joined: no further exchange."""
+    rows = clustered(300, 8, 4)
+    c = spark.createDataFrame(rows, "chunk_id long, embedding array<float>, label int")
+    path = scratch_path(spark, "t_lsh_f")
+    dc.build_lsh_index(c, path, key="label", tables=3)
+    assert spark.read.parquet(f"{path}/cells").schema["embedding"].dataType.simpleString() == "array<float>"
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(old, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        found = dc.topk_docs_lsh(spark, c.withColumnRenamed("chunk_id", "query_id"), path, k=2, key="label", exclude_self=True)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "Exchange" not in plan.split("FlatMapGroupsInArrow")[1].split("SortMergeJoin")[0]
