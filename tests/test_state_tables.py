@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+import types
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import accounts_rows, ledger_rows
@@ -88,6 +90,73 @@ def test_calls_in_any_order(spark):
     assert rows_of(spark.read.parquet(out["rates"][0]).withColumnRenamed("key", "agent"), *cols) == rows_of(co.call_rate_stats(calls, key="agent"), *cols)
 
 
+class _Asked:
+    """State of one key in a dict, and timers; counts what is asked of them."""
+
+    def __init__(self):
+        self.kept, self.timers, self.asked = {}, set(), 0
+
+    def _part(self, name):
+        def call(f):
+            def run(*a):
+                self.asked += 1
+                return f(*a)
+            return run
+        kept = self.kept
+        return types.SimpleNamespace(
+            exists=call(lambda: name in kept), get=call(lambda: kept[name]), update=call(lambda v: kept.__setitem__(name, v)),
+            containsKey=call(lambda k: (name, k) in kept), getValue=call(lambda k: kept[name, k]),
+            updateValue=call(lambda k, v: kept.__setitem__((name, k), v)), removeKey=call(lambda k: kept.pop((name, k))))
+
+    def getMapState(self, name, *_):
+        return self._part(name)
+
+    getValueState = getMapState
+
+    def registerTimer(self, ms):
+        self.asked += 1
+        self.timers.add(ms)
+
+    def run_timers(self, processor, watermark):
+        out = []
+        while due := sorted(t for t in self.timers if t <= watermark):
+            for ms in due:
+                self.timers.discard(ms)
+                out += processor.handleExpiredTimer(("a",), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark),
+                                                    types.SimpleNamespace(getExpiryTimeInMs=lambda ms=ms: ms))
+        return pd.concat(out) if out else pd.DataFrame({"ts": []})
+
+
+def test_state_is_asked_by_the_hour():
+    """Calls of ten hours, one a second, shuffled into three batches: each call is given out once, in order and with
+    its minute passed, and the state is asked a few times an hour (before: several times a minute)."""
+    us = [k * 1_000_000 + 500_000 for k in range(10 * 3600)]
+    random.Random(3).shuffle(us)
+    handle, processor = _Asked(), so._Rates()
+    processor.init(handle)
+    for k in range(3):
+        assert list(processor.handleInputRows(("a",), iter([pd.DataFrame({"us": us[k::3]})]), None)) == []
+    first = handle.run_timers(processor, 90_000_000 // 1000 + 4 * 3_600_000)            # 4 h, 1 min and 30 s
+    assert len(first) == 4 * 3600 + 60 and first["ts"].is_monotonic_increasing
+    assert len(handle.run_timers(processor, 90_000_000 // 1000 + 4 * 3_600_000 + 20_000)) == 0
+    rest = handle.run_timers(processor, 11 * 3_600_000)
+    every = pd.concat([first, rest])
+    assert every["ts"].is_monotonic_increasing and len(every) == len(us)
+    assert every["calls_last_minute"].tolist() == [min(k + 1, 61) for k in range(len(us))]
+    assert every["calls_last_hour"].tolist() == [min(k + 1, 3601) for k in range(len(us))]
+    assert not handle.timers and handle.asked < 120
+
+
+def test_landed_files_make_a_fixed_number_of_batches(spark):
+    from ledgerlens.plans.q_streams import _stream
+    path = scratch_path(spark, "t_landed")
+    spark.range(200).withColumn("land", F.col("id") % 2).repartition(20).write.partitionBy("land").parquet(path)
+    assert len(spark.read.parquet(path).inputFiles()) == 40
+    seen = []
+    sm.run_available(_stream(spark, path, batches=3).writeStream.foreachBatch(lambda b, n: seen.append(b.count())), scratch_path(spark, "t_landed_ck"))
+    assert len(seen) == 3 and sum(seen) == 200
+
+
 def test_limiter_with_null_keys_and_times(spark):
     start = dt.datetime(2025, 1, 1)
     rows = [(k, start + dt.timedelta(seconds=s)) for k in (1, None) for s in range(20)] + [(1, None), (None, None)]
