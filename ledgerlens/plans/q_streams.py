@@ -26,14 +26,17 @@ def _landing(spark, sf, files: int = 3, twice: bool = False) -> str:
     return path
 
 
-def _stream(spark, path):
-    """A few files per micro-batch."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(path).drop("land")
+def _stream(spark, path, batches: int = 3):
+    """So many micro-batches, with as many files each, however many files have
+    landed: a batch has costs of its own, whatever it brings."""
+    landed = spark.read.parquet(path)
+    files = max(1, -(-len(landed.inputFiles()) // batches))
+    return spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", files).parquet(path).drop("land")
 
 
 @register("stream_monthly_balances", o.with_(o.SQL_LEDGER_NATION, o.BALANCES) + "SELECT * FROM balances")
 def stream_monthly_balances(spark, sf):
-    src = _stream(spark, _landing(spark, sf, files=6))
+    src = _stream(spark, _landing(spark, sf, files=6), batches=6)
     agg = sm.monthly_balances_stream(src)
     out = sm.upsert_log(agg, scratch_path(spark, "stream_bal"), scratch_path(spark, "ckpt_bal"), keys=["gl_account_id", "month_ts"], fold_every=2)
     res = sm.latest_rows(spark, out, ["gl_account_id", "month_ts"])
