@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator, Sequence
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
@@ -261,22 +260,24 @@ def embed_with(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[s
     A null text has a null vector and is not given to the model.  A model that
     returns another number of vectors, or a vector of another length or with a
     number that is not finite, fails the job and the message tells which."""
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def embed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for texts in parts:
-            out: list = [None] * len(texts)
-            given = [i for i, t in enumerate(texts) if t is not None]
+            valid = texts.is_valid().to_numpy(zero_copy_only=False)
+            given = np.flatnonzero(valid)
+            out = np.zeros((len(given), dim))
             for k in range(0, len(given), batch):
-                some = given[k:k + batch]
-                made = [np.asarray(v, dtype=float) for v in model([texts.iloc[i] for i in some])]
+                some = texts.take(pa.array(given[k:k + batch])).to_pylist()       # no more texts than these are Python's
+                made = [np.asarray(v, dtype=float) for v in model(some)]
                 if len(made) != len(some):
                     raise ValueError(f"the embedding function returned {len(made)} vectors for {len(some)} texts")
-                for i, v in zip(some, made, strict=True):
+                for i, v in enumerate(made):
                     if v.shape != (dim,) or not np.isfinite(v).all():
-                        raise ValueError(f"the embedding function returned a vector of shape {v.shape}, not of {dim} finite numbers, for {texts.iloc[i][:40]!r}")
-                    out[i] = v
-            yield pd.Series(out, index=texts.index, dtype=object)
+                        raise ValueError(f"the embedding function returned a vector of shape {v.shape}, not of {dim} finite numbers, for {some[i][:40]!r}")
+                    out[k + i] = v
+            ends = np.concatenate([[0], np.cumsum(valid * dim)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()), mask=pa.array(~valid))
     return df.withColumn(out_col, embed(F.col(text_col)))
 
 
@@ -479,17 +480,17 @@ def _open_cells(centres: np.ndarray, radius: np.ndarray):
     vector at least as near as the k-th one found so far."""
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a = _angles(_matrix_of(batch.column(1)), centres)
-            # no vector of a cell is nearer than the angle to its centre less its radius
-            nearest = np.cos(np.maximum(a - radius[None, :] - 1e-7, 0.0))
-            kth = batch.column(3).fill_null(-2.0).to_numpy()
-            may = (nearest + 1e-6 >= kth[:, None]) & (radius >= 0)[None, :]
-            may[np.arange(len(may)), batch.column(2).to_numpy()] = False
-            i, j = np.nonzero(may)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(j.astype(np.int32))],
-                                             ["id", "embedding", "cell"])
+            for at in range(0, batch.num_rows, 512):        # a row can become one for each cell
+                part = batch.slice(at, 512)
+                a = _angles(_matrix_of(part.column(1)), centres)
+                # no vector of a cell is nearer than the angle to its centre less its radius
+                nearest = np.cos(np.maximum(a - radius[None, :] - 1e-7, 0.0))
+                kth = part.column(3).fill_null(-2.0).to_numpy()
+                may = (nearest + 1e-6 >= kth[:, None]) & (radius >= 0)[None, :]
+                may[np.arange(len(may)), part.column(2).to_numpy()] = False
+                i, j = np.nonzero(may)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i)), pa.array(j.astype(np.int32))],
+                                                 ["id", "embedding", "cell"])
     return run
 
 
@@ -507,7 +508,7 @@ def topk_pruned(queries: DataFrame, corpus: DataFrame, k: int = SIMILAR_CASES_K,
     def side(df: DataFrame, id_col: str) -> DataFrame:
         return df.where(F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), _vector(df))
     q, c = side(queries, query_id), side(corpus, corpus_id)
-    some = c.where(F.exists("embedding", lambda x: x != 0)).orderBy(F.xxhash64("id", "embedding")).limit(cells)     # cells x length numbers
+    some = c.where(F.exists("embedding", lambda x: x != 0)).orderBy(F.xxhash64("id", F.col("embedding").cast("array<double>"))).limit(cells)     # cells x length numbers
     centres = np.array([r.embedding for r in some.select("embedding").collect()], float)
     if not len(centres):
         return topk_similar(queries, corpus, k, None, query_id, corpus_id, exclude_self, block_size)

@@ -213,3 +213,34 @@ def test_index_keeps_single_precision_and_joins_once(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert "Exchange" not in plan.split("FlatMapGroupsInArrow")[1].split("SortMergeJoin")[0]
+
+
+def test_a_model_gets_its_texts_in_parts(spark):
+    """Python holds ``batch`` texts as strings at a time; the rest of an Arrow batch stays in Arrow."""
+    def _load():
+        import gc
+
+        def embed(texts):
+            held = sum(isinstance(x, str) and x.startswith("held-") for o in gc.get_objects() if isinstance(o, list) for x in o)
+            import numpy
+            held += sum(o.size for o in gc.get_objects() if isinstance(o, numpy.ndarray) and o.dtype == object)
+            return [[float(held), float(len(t))] for t in texts]
+        return embed
+    df = spark.createDataFrame([(k, None if k % 9 == 0 else f"held-{k}") for k in range(3000)], "id int, text string").coalesce(1)
+    got = {r.id: r.embedding for r in dc.embed_with(df, "text", _load, dim=2, batch=50).collect()}
+    assert all(v is None if k % 9 == 0 else v[1] == len(f"held-{k}") for k, v in got.items()) and len(got) == 3000
+    assert max(v[0] for v in got.values() if v) <= 200
+    assert "ArrowEvalPython" in dc.embed_with(df, "text", _load, dim=2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_open_cells_are_given_out_in_parts():
+    """A batch of queries that every cell may hold is not multiplied by the cells at once."""
+    import pyarrow as pa
+    r = np.random.default_rng(1)
+    centres = np.eye(8)
+    v = pa.array(list(r.normal(size=(2000, 8)).astype(np.float32)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), v, pa.array([0] * 2000, pa.int32()), pa.array([None] * 2000, pa.float64())],
+                                       ["id", "embedding", "cell", "kth"])
+    parts = list(dc._open_cells(centres, np.full(8, 4.0))([batch]))
+    assert sum(p.num_rows for p in parts) == 2000 * 7 and max(p.num_rows for p in parts) <= 512 * 7
+    assert {p.schema.field("embedding").type for p in parts} == {pa.list_(pa.float32())}
