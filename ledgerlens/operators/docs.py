@@ -4,6 +4,7 @@ top-k similarity search, and retrieval context for flagged anomalies."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 from itertools import pairwise
 
 import numpy as np
@@ -212,10 +213,29 @@ def token_idf(df: DataFrame, text_col: str, dim: int = 256) -> DataFrame:
             .select("bucket", (F.log((F.col("_n") + 1.0) / (F.col("_df") + 1.0)) + 1.0).alias("idf")))
 
 
-def embed_text(df: DataFrame, text_col: str, idf: DataFrame, out_col: str = "embedding", dim: int = 256) -> DataFrame:
-    """L2-normalised tf-idf vectors as ``array<double>``, one per row.  A
-    local stand-in for a remote embedding model.  A text without known tokens
-    has the zero vector.
+def _rounded(m: np.ndarray, decimals: int) -> np.ndarray:
+    """Numbers from -1 to 1 rounded as ``F.round`` does, half up on their
+    decimal form, without a decimal number for each: only for those too near
+    a half for their product with the scale to tell."""
+    out = np.zeros_like(m)
+    some = np.nonzero(m)
+    v = m[some]
+    scale = 10.0 ** decimals
+    size = np.abs(v) * scale
+    whole = np.floor(size)
+    rest = size - whole
+    r = np.copysign((whole + (rest > 0.5)) / scale, v)
+    for i in np.flatnonzero(np.abs(rest - 0.5) < 1e-6):
+        r[i] = float(Decimal(repr(float(v[i]))).quantize(Decimal(1).scaleb(-decimals), ROUND_HALF_UP))
+    out[some] = r + 0.0             # no negative zero
+    return out
+
+
+def embed_text(df: DataFrame, text_col: str, idf: DataFrame, out_col: str = "embedding", dim: int = 256,
+               decimals: int | None = None) -> DataFrame:
+    """L2-normalised tf-idf vectors as ``array<double>``, one per row,
+    rounded if ``decimals`` (at most 9) is given.  A local stand-in for a
+    remote embedding model.  A text without known tokens has the zero vector.
 
     Each row is embedded where it lies: its buckets are counted in one Arrow
     pass, no token is shuffled.  ``idf`` has ``dim`` rows at most, which go to
@@ -236,6 +256,8 @@ def embed_text(df: DataFrame, text_col: str, idf: DataFrame, out_col: str = "emb
                 v = np.bincount(cell, minlength=len(lists) * dim).reshape(len(lists), dim) * weights
                 norm = np.sqrt((v * v).sum(1, keepdims=True))
                 v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+                if decimals is not None:
+                    v = _rounded(v, decimals)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], _as_lists(v)], part.schema.names)
 
     return rows.mapInArrow(run, out)
@@ -246,9 +268,9 @@ def _as_lists(m: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
 
 
-def embed_chunks(chunks: DataFrame, dim: int = 256, text_col: str = "chunk_text") -> DataFrame:
+def embed_chunks(chunks: DataFrame, dim: int = 256, text_col: str = "chunk_text", decimals: int | None = None) -> DataFrame:
     """Chunks with vectors, weighted by their own frequencies."""
-    return embed_text(chunks, text_col, token_idf(chunks, text_col, dim), dim=dim)
+    return embed_text(chunks, text_col, token_idf(chunks, text_col, dim), dim=dim, decimals=decimals)
 
 
 def embed_with(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], dim: int,

@@ -155,7 +155,7 @@ def embed_chunks(spark, sf):
     """Tf-idf vectors of every chunk, rounded to 6 decimals."""
     ch = dc.chunk_fixed(ad.table(spark, sf, "documents").select("doc_id", "text")).select(
         F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), "chunk_text")
-    return dc.embed_chunks(ch).select("chunk_id", F.transform("embedding", lambda x: F.round(x, 6) + F.lit(0.0)).alias("embedding"))
+    return dc.embed_chunks(ch, decimals=6).select("chunk_id", "embedding")
 
 
 @register("dedupe_chunks", "WITH c AS (" + CHUNK_SQL + """),

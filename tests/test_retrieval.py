@@ -77,6 +77,32 @@ def test_tfidf_vectors_without_shuffling_tokens(spark):
     assert plan.count("Exchange") <= 1          # the test's own repartition
 
 
+def test_vectors_are_rounded_where_they_are_made(spark):
+    """As ``F.round`` rounds them, without a decimal number for each of a vector's numbers."""
+    r = np.random.default_rng(4)
+    ties = np.array([(2 * k + 1) / 2e6 for k in r.integers(0, 500_000, 400)])
+    near = np.concatenate([ties, np.nextafter(ties, 0), np.nextafter(ties, 1)])
+    v = np.concatenate([r.random(2000), near, -near[:300], [0.0, -0.0, 1.0, -1.0, 1e-9, -1e-9, 5e-7, 4.9999999999e-7, 0.9999995]])
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, x double")
+    want = [x.y for x in df.select("i", (F.round("x", 6) + F.lit(0.0)).alias("y")).orderBy("i").collect()]
+    got = dc._rounded(v.reshape(1, -1), 6)[0].tolist()
+    assert list(map(repr, got)) == list(map(repr, want))
+
+    texts = ["Rent rent office", "rent ÉTÉ été 12", "", None, "office supplies, paper a b c d e f g", "..."]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, chunk_text string")
+    made = {x.chunk_id: x.embedding for x in dc.embed_chunks(df, dim=16).select(
+        "chunk_id", F.transform("embedding", lambda y: F.round(y, 6) + F.lit(0.0)).alias("embedding")).collect()}
+    assert {x.chunk_id: x.embedding for x in dc.embed_chunks(df, dim=16, decimals=6).collect()} == made
+
+
+def test_registered_vectors_are_not_rounded_in_the_plan(spark, tmp_path):
+    from ledgerlens.plans import q_docs
+    spark.createDataFrame([(1, "a b c"), (2, None), (3, "b " * 400)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = q_docs.embed_chunks(spark, str(tmp_path))
+    assert "round(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(x.chunk_id for x in got.collect()) == ["1:0", "3:0", "3:1"]
+
+
 def test_embedding_by_a_model(spark):
     def _load():
         calls = []
